@@ -25,7 +25,7 @@ from tidemark.llm.common import word_count, written
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD_BLOCKS, ROUNDS, SEED = 512, 1024, 32, 20_011
 #: Documents per bucket of the two-level running sum, and slots per row before they are spread.
-BUCKET_DOCS, CHUNK_SLOTS = 4096, 4096
+BUCKET_DOCS, CHUNK_SLOTS = 512, 256
 
 
 def source_key(source: Column) -> Column:
@@ -79,13 +79,18 @@ def stream(docs: DataFrame, sizes: DataFrame | None = None, bucket_docs: int = B
 
 
 def slots(wanted: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(shard, skey, epoch, slot, block, length) of every slot; wanted: (skey, source_size, target)."""
+    """(shard, skey, epoch, slot, block, length) of every slot; wanted: (skey, source_size, target).
+
+    Chunks of slots are dealt out before they become rows, over a number of partitions that follows the number of slots.
+    """
+    words = wanted.agg(F.sum("target")).first()[0] or 0
+    parts = max(wanted.sparkSession.sparkContext.defaultParallelism, int(words / block / CHUNK_SLOTS / 16))
     full = F.floor(F.col("source_size") / block)
     total = F.sum("target").over(Window.partitionBy())
     epochs = wanted.where("source_size > 0").withColumn("shards", F.greatest(F.lit(1), F.ceil(total / (block * shard_blocks)))).withColumn("want", F.floor("target")).withColumn("last_epoch", F.greatest(F.lit(0), F.ceil(F.col("want") / F.col("source_size")) - 1))
     epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "last_epoch")))
     epochs = epochs.withColumn("words", F.least(F.col("source_size"), F.col("want") - F.col("epoch") * F.col("source_size"))).where("words > 0").withColumn("n", F.ceil(F.col("words") / block))
-    chunks = epochs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_SLOTS)))).repartition("skey", "epoch", "chunk")
+    chunks = epochs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_SLOTS)))).repartition(parts, "skey", "epoch", "chunk")
     each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1)))
     where = F.when(F.col("slot") < full, permuted(F.col("slot"), F.greatest(full, F.lit(1).cast("long")), F.col("skey"), F.col("epoch"), seed=seed)).otherwise(F.col("slot"))
     return each.select(
@@ -99,7 +104,8 @@ def pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame
     at = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     head = F.greatest("start", F.col("block") * block)
     tail = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("length"))
-    return at.join(drawn, ["skey", "block"]).withColumn("first_word", head - F.col("start")).withColumn("n_words", tail - head).where("n_words > 0").select("doc_id", "skey", "row_hash", "start", "size", "shard", "epoch", "slot", "first_word", "n_words")
+    # both sides grow with the corpus: neither may be broadcast, however small it looks before its rows are made
+    return at.join(drawn.hint("merge"), ["skey", "block"]).withColumn("first_word", head - F.col("start")).withColumn("n_words", tail - head).where("n_words > 0").select("doc_id", "skey", "row_hash", "start", "size", "shard", "epoch", "slot", "first_word", "n_words")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
