@@ -21,7 +21,7 @@ def make_dir(uri: str) -> None:
 def write_bytes(uri: str, *parts) -> None:
     """A whole file. Readers learn of a file by a manifest only, after its task has ended well, so a lost task's file is never read."""
     store, path = opened(uri)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         for part in parts:
             out.write(part)
 

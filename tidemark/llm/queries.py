@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, token_ids, url_filters
+from tidemark.llm import mixing, quality_rules, token_ids, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -21,13 +21,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(spark, warc.archive(table(spark, sf_dir, "pages")))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_url_filters, op9_token_ids)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_url_filters, op7_warc, op9_token_ids)}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
