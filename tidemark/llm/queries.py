@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality_rules, token_ids, url_filters, warc
+from tidemark.llm import decontaminate, mixing, quality_rules, token_ids, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -33,9 +33,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_index(spark, warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_url_filters, op7_warc, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_url_filters, op7_warc, op8_decontaminate, op9_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
