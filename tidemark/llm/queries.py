@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, near_duplicates, quality_rules, token_ids, url_filters, warc
+from tidemark.llm import decontaminate, mixing, near_duplicates, quality_rules, token_ids, toxicity, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
@@ -45,5 +49,5 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_jaccard_join, op5_url_filters, op7_warc, op8_decontaminate, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op7_warc, op8_decontaminate, op9_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
