@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, near_duplicates, quality_rules, token_ids, toxicity, url_filters, warc
+from tidemark.llm import decontaminate, mixing, near_duplicates, quality_model, quality_rules, token_ids, toxicity, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -37,6 +37,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_index(spark, warc.archive(table(spark, sf_dir, "pages")))
 
@@ -49,5 +53,5 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op7_warc, op8_decontaminate, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
