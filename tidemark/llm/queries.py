@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, near_duplicates, quality_model, quality_rules, token_ids, toxicity, url_filters, warc
+from tidemark.llm import decontaminate, mixing, near_duplicates, pii, quality_model, quality_rules, token_ids, toxicity, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -53,5 +53,9 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}

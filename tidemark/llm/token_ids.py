@@ -24,6 +24,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from tidemark.llm.common import scratch_path, written
 MAGIC, RUN = b"TMDAC\x00\x01\n", 512
 END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
-FILE_IDS, CACHE_WORDS = 8_000_000, 300_000
+FILE_IDS, CACHE_WORDS = 8_000_000, 600_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 
@@ -108,7 +110,7 @@ class Encoder:
     """A tokenizer that remembers the ids of words.
 
     It is for tokenizers that drop white space and never join what it separates: a text's ids are then its
-    words' ids one after another, and a word is given to the tokenizer once.
+    words' ids one after another, and a word is given to the tokenizer once. The words' ids lie in one flat array.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -117,37 +119,81 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        # a special token between words lets one call take many of them
+        self.between = next(((i, t.content) for i, t in added if t.special and ids(f"a {t.content} b") == [*ids("a"), i, *ids("b")]), None)
+        # whether case, and a full stop or comma at a word's end, can be taken apart before words are looked up
+        self.folds = all(ids(w) == ids(w.lower()) for w in ("A", "Word", "QX", "Ab,"))
+        self.parts = all(ids(w + p) == ids(w) + ids(p) for w in ("a", "word", "é", "don't", "中") for p in ".,")
+        self.forget()
+
+    def forget(self) -> None:
+        """Word 0 is the end id."""
+        self.place: dict[str, int] = {}
+        self.flat, self.first = np.array([self.end], np.uint32), np.array([0, 1], np.int64)
+
+    def coded(self, new: list[str]) -> list[list[int]]:
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.between is None:
+            return encode(new)
+        mark, name = self.between
+        out: list = [None] * len(new)
+        apart = [k for k, w in enumerate(new) if name[:2] in w]
+        plain = [k for k, w in enumerate(new) if name[:2] not in w]
+        for k, ids in zip(apart, encode([new[k] for k in apart]), strict=True):
+            out[k] = ids
+        for lo in range(0, len(plain), 1 << 14):
+            some = plain[lo : lo + (1 << 14)]
+            packs = [some[k : k + 64] for k in range(0, len(some), 64)]
+            for pack, ids in zip(packs, encode([f" {name} ".join([new[k] for k in pack]) for pack in packs]), strict=True):
+                at = 0
+                for k in pack[:-1]:
+                    end = ids.index(mark, at)
+                    out[k], at = ids[at:end], end + 1
+                out[pack[-1]] = ids[at:]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        coded = self.coded(new)
+        self.place.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new)), strict=True))
+        count = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(count.sum()))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(count)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, an end id after each, and how many each has."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if self.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name keeps its case
+            texts = pc.ascii_lower(texts)
+        if self.parts:
+            texts = pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
         at = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
         each = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in each if w not in self.known]
-        for k in range(0, len(new), 4096):
-            for w, e in zip(new[k : k + 4096], self.tokenizer.encode_batch(new[k : k + 4096], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        own = [self.known[w] for w in each]
-        count = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate([*own, np.array([self.end], np.uint32)])
-        first = np.concatenate(([0], np.cumsum(count)))
-        # the end id is one more "word", put after each text's words
-        word, texts_n = coded.indices.to_numpy(), len(at) - 1
-        order = np.insert(word.astype(np.int64), at[1:], len(own))
-        count, first = np.append(count, 1), first[: len(own) + 1]
-        n = count[order]
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        if new := [w for w in each if w not in self.place]:
+            self.learn(new)
+        place = np.fromiter(map(self.place.__getitem__, each), np.int64, len(each))
+        # the end id is one more word, put after each text's words
+        order = np.insert(place[coded.indices.to_numpy()], at[1:], 0)
+        n = (self.first[1:] - self.first[:-1])[order]
         ends = np.cumsum(n)
-        out = flat[np.repeat(first[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        last = at[1:] + np.arange(1, texts_n + 1)
-        total = np.concatenate(([0], ends))[last]
+        out = self.flat[np.repeat(self.first[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        total = ends[at[1:] + np.arange(len(at) - 1)]
         return out, np.diff(np.concatenate(([0], total)))
 
 
+@cache
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder for each worker process, so that its tasks share the words."""
+    return Encoder(path, end_id)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows whose texts have about so many bytes; a longer text is a run of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -167,7 +213,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     files.make_dir(folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, number = Encoder(tokenizer_path, end_id), [], 0
+        encoder, held, number = encoder_of(tokenizer_path, end_id), [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
@@ -190,7 +236,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     manifest = written(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(encode, "part int, number long, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
