@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count, written
+from tidemark.llm.common import word_count, words, written
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD_BLOCKS, ROUNDS, SEED = 512, 1024, 32, 20_011
@@ -136,13 +136,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts, _, _ = mix(docs, **options)
     own = parts.groupBy("doc_id", "row_hash", "start", "size", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
     per_row = own.groupBy("doc_id", "row_hash", "start", "size").agg(F.array_sort(F.collect_list(F.struct("epoch", "n", "runs"))).alias("epochs"))
-    per_key = per_row.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("start", "size", "epochs"))).alias("copies"))
-    per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "copies")
+    per_key = per_row.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("start", "size", "epochs"))).alias("_copies"))
+    per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_copies")
     one = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
     rows = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_copy", F.row_number().over(one))
-    both = rows.join(per_key, rows["doc_id"].eqNullSafe(per_key["_id"]) & (rows["_row"] == per_key["_hash"])).withColumn("_place", F.get("copies", F.col("_copy") - 1)).withColumn("_epoch", F.explode("_place.epochs"))
-    from tidemark.llm.common import words
-
+    both = rows.join(per_key, rows["doc_id"].eqNullSafe(per_key["_id"]) & (rows["_row"] == per_key["_hash"])).withColumn("_place", F.get("_copies", F.col("_copy") - 1)).withColumn("_epoch", F.explode("_place.epochs"))
     both = both.withColumn("_words", words(F.col("text")))
     cut = F.array_join(F.flatten(F.transform("_epoch.runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
     text = F.when(F.col("_epoch.n") == F.col("_place.size"), F.col("text")).otherwise(cut)
