@@ -1,6 +1,603 @@
-"""The query catalogue: engine operators bound to the driver's tables, each beside its SQL."""
+"""The query catalogue: engine operators bound to the driver's tables, each beside DuckDB SQL with the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import dates, geo, identity, media, quality, text
+from tidemark.functions.json_schema import schema_errors
+from tidemark.operators import diff, facets, paging, reports, store, versions
+from tidemark.plans import roles, search
+from tidemark.plans.roles import DATASETS, EVENTS_NOW, ISSUES, JOBS, LATEST, ORDERS_NOW, RECORDS, SNAPSHOT
+from tidemark.sources import catalogs, listings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- record log
+
+
+@query(f"WITH {LATEST} SELECT id, identifier, harvest_source_id, record_type, action, date_created FROM latest WHERE action <> 'delete'")
+def latest_live_version(s, d):
+    return versions.latest_live(roles.records(s, d), columns=["id", "identifier", "harvest_source_id", "record_type", "action", "date_created"])
+
+
+@query(f"WITH {LATEST} SELECT harvest_source_id, count(*)::BIGINT AS live FROM latest WHERE action <> 'delete' GROUP BY 1")
+def latest_live_count_by_source(s, d):
+    return versions.latest_live(roles.records(s, d), columns=["harvest_source_id"]).groupBy("harvest_source_id").agg(F.count("*").alias("live"))
+
+
+@query(f"WITH {LATEST}, {DATASETS} SELECT l.id, l.identifier, l.harvest_source_id, d.slug AS dataset_slug FROM latest l LEFT JOIN datasets d ON d.harvest_record_id = l.id WHERE l.action <> 'delete'")
+def latest_with_slug(s, d):
+    return versions.with_slug(versions.latest_live(roles.records(s, d), columns=["id", "identifier", "harvest_source_id"]), roles.datasets(s, d))
+
+
+@query(f"WITH {RECORDS} SELECT id, identifier, harvest_source_id, r::INT AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY id) AS r FROM records) WHERE r > 1")
+def duplicate_positions(s, d):
+    return versions.duplicate_positions(roles.records(s, d).select("id", "identifier", "harvest_source_id"), order="id", within=("harvest_source_id",))
+
+
+@query(f"""WITH {RECORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY id) AS r FROM records)
+SELECT id, 'kept' AS outcome, NULL AS message FROM n WHERE r = 1 UNION ALL
+SELECT id, 'error', 'Duplicate identifier ''' || coalesce(identifier, 'None') || ''' found' FROM n WHERE r > 1""")
+def duplicate_filter(s, d):
+    kept, errors = versions.split_duplicates(roles.records(s, d).select("id", "identifier", "harvest_source_id"), order="id", within=("harvest_source_id",))
+    return kept.select("id", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("message")).unionAll(errors.select("id", F.col("status").alias("outcome"), "message"))
+
+
+@query(f"""WITH {RECORDS}, {DATASETS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY date_created DESC, id DESC) AS r
+FROM records WHERE status = 'success' AND record_type = 'dataset') WHERE r = 1 AND action <> 'delete') SELECT id, identifier, harvest_source_id FROM l WHERE NOT EXISTS (SELECT 1 FROM datasets x WHERE x.harvest_record_id = l.id)""")
+def missing_datasets(s, d):
+    return versions.missing_datasets(roles.records(s, d), roles.datasets(s, d)).select("id", "identifier", "harvest_source_id")
+
+
+@query(f"""WITH {RECORDS}, {DATASETS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY date_created DESC, id DESC) AS r
+FROM records WHERE status = 'success') WHERE r = 1 AND action <> 'delete' AND record_type = 'dataset') SELECT l.id, l.harvest_source_id, c.c_name AS source_name FROM l JOIN customer c ON c.c_custkey = l.harvest_source_id
+LEFT JOIN datasets x ON x.harvest_record_id = l.id WHERE x.id IS NULL""")
+def records_missing_datasets(s, d):
+    live = versions.latest_live(roles.records(s, d), ("harvest_source_id", "identifier")).where("record_type = 'dataset'")
+    source = roles.read(s, d, "customer").select(F.col("c_custkey").alias("harvest_source_id"), F.col("c_name").alias("source_name"))
+    return live.join(source, "harvest_source_id").join(roles.datasets(s, d).select(F.col("harvest_record_id").alias("id")), "id", "left_anti").select("id", "harvest_source_id", "source_name")
+
+
+@query(f"WITH {RECORDS}, {DATASETS} SELECT x.id, x.slug, r.status, r.action FROM datasets x JOIN records r ON r.id = x.harvest_record_id WHERE r.action = 'delete' OR r.status <> 'success'")
+def datasets_unexpected(s, d):
+    return versions.unexpected_datasets(roles.records(s, d), roles.datasets(s, d)).select("id", "slug", "status", "action")
+
+
+@query(f"""WITH {LATEST} SELECT id, identifier, harvest_source_id FROM (SELECT id, identifier, harvest_source_id FROM records
+WHERE floor((epoch(TIMESTAMP '{EVENTS_NOW}') - epoch(date_trunc('second', date_created))) / 86400) > 7 EXCEPT ALL SELECT id, identifier, harvest_source_id FROM latest WHERE action <> 'delete')""")
+def outdated_records(s, d):
+    return versions.outdated_records(roles.records(s, d), 7, EVENTS_NOW).select("id", "identifier", "harvest_source_id")
+
+
+# --- jobs
+
+
+@query(f"WITH {JOBS} SELECT * FROM jobs WHERE status = 'complete' AND total >= 250000 AND priority LIKE '1%' ORDER BY date_created, id LIMIT 100 OFFSET 100")
+def facet_filter_jobs(s, d):
+    rows = facets.facet_filter(roles.jobs(s, d), "status eq complete,total ge 250000,priority like_op 1%")
+    return paging.page(paging.ordered(rows), 1, 100)
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%RED%' AND starts_with(p_type, 'E') AND p_size <> 11")
+def facet_like_in_parts(s, d):
+    return facets.facet_filter(roles.read(s, d, "part"), "p_name ilike_op %RED%,p_type startswith_op E,p_size ne 11").select("p_partkey", "p_name", "p_type")
+
+
+@query(f"WITH {JOBS} SELECT count(*)::BIGINT AS n FROM jobs WHERE status = 'new' AND harvest_source_id < 700")
+def facet_count(s, d):
+    return facets.facet_filter(roles.jobs(s, d), facets.facet_string("harvest_source_id lt 700", status="new")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {JOBS} SELECT id, harvest_source_id, date_created FROM jobs WHERE status = 'new' AND date_created < TIMESTAMP '{ORDERS_NOW}' ORDER BY date_created, id LIMIT 50")
+def jobs_due_queue(s, d):
+    due = roles.jobs(s, d).where((F.col("status") == "new") & (F.col("date_created") < F.lit(ORDERS_NOW).cast("timestamp")))
+    return due.orderBy("date_created", "id").limit(50).select("id", "harvest_source_id", "date_created")
+
+
+@query(f"WITH {JOBS} SELECT id, harvest_source_id, date_created FROM jobs WHERE status = 'in_progress' AND date_created <= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 1 DAY")
+def jobs_orphaned(s, d):
+    return roles.jobs(s, d).where((F.col("status") == "in_progress") & (F.col("date_created") <= F.lit(ORDERS_NOW).cast("timestamp") - F.expr("interval 1 day"))).select("id", "harvest_source_id", "date_created")
+
+
+@query(f"WITH {JOBS} SELECT id, date_created FROM jobs WHERE status = 'new' AND harvest_source_id = 7 AND date_created > TIMESTAMP '{ORDERS_NOW}'")
+def jobs_future_of_source(s, d):
+    return facets.facet_filter(roles.jobs(s, d), f"status eq new,harvest_source_id eq 7,date_created gt {ORDERS_NOW}").select("id", "date_created")
+
+
+@query(f"""WITH {JOBS}, n AS (SELECT harvest_source_id, CASE harvest_source_id % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'manual' END AS frequency, max(date_created) AS last FROM jobs GROUP BY 1)
+SELECT harvest_source_id, last + CASE frequency WHEN 'daily' THEN INTERVAL 1 DAY WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS next_run FROM n WHERE frequency <> 'manual'
+AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.harvest_source_id = n.harvest_source_id AND j.status = 'new' AND j.date_created > TIMESTAMP '{ORDERS_NOW}')""")
+def next_runs(s, d):
+    jobs = roles.jobs(s, d)
+    source = F.col("harvest_source_id") % 4
+    last = jobs.groupBy("harvest_source_id").agg(F.max("date_created").alias("last")).withColumn("frequency", F.when(source == 0, "daily").when(source == 1, "weekly").when(source == 2, "monthly").otherwise("manual"))
+    waiting = jobs.where((F.col("status") == "new") & (F.col("date_created") > F.lit(ORDERS_NOW).cast("timestamp"))).select("harvest_source_id")
+    return last.where("frequency <> 'manual'").join(waiting, "harvest_source_id", "left_anti").select("harvest_source_id", dates.next_run(F.col("last"), F.col("frequency")).alias("next_run"))
+
+
+@query(f"WITH {RECORDS} SELECT id, action, date_created FROM records WHERE date_created BETWEEN TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{EVENTS_NOW}'")
+def dashboard_window(s, d):
+    now = F.lit(EVENTS_NOW).cast("timestamp")
+    return roles.records(s, d).where(F.col("date_created").between(now - F.expr("interval 7 days"), now)).select("id", "action", "date_created")
+
+
+@query(f"""WITH {JOBS}, c AS (SELECT DISTINCT ON (harvest_source_id) harvest_source_id, id, date_created FROM jobs WHERE status = 'complete' ORDER BY harvest_source_id, date_created DESC, id DESC),
+f AS (SELECT DISTINCT ON (harvest_source_id) harvest_source_id, id, date_created FROM jobs WHERE status = 'new' AND date_created > TIMESTAMP '{ORDERS_NOW}' ORDER BY harvest_source_id, date_created, id)
+SELECT c_custkey AS harvest_source_id, c.id AS last_job, f.id AS next_job FROM customer LEFT JOIN c ON c.harvest_source_id = c_custkey LEFT JOIN f ON f.harvest_source_id = c_custkey""")
+def first_job_per_source(s, d):
+    jobs = roles.jobs(s, d)
+    last = versions.top_per_group(jobs.where("status = 'complete'"), ["harvest_source_id"], [F.desc("date_created"), F.desc("id")]).select("harvest_source_id", F.col("id").alias("last_job"))
+    ahead = jobs.where((F.col("status") == "new") & (F.col("date_created") > F.lit(ORDERS_NOW).cast("timestamp")))
+    following = versions.top_per_group(ahead, ["harvest_source_id"], [F.asc("date_created"), F.asc("id")]).select("harvest_source_id", F.col("id").alias("next_job"))
+    return roles.read(s, d, "customer").select(F.col("c_custkey").alias("harvest_source_id")).join(last, "harvest_source_id", "left").join(following, "harvest_source_id", "left")
+
+
+@query(f"WITH {JOBS} SELECT id, harvest_source_id, date_created FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id ORDER BY date_created DESC, id DESC) AS r FROM jobs) WHERE r <= 2")
+def last_two_jobs(s, d):
+    return versions.top_per_group(roles.jobs(s, d), ["harvest_source_id"], [F.desc("date_created"), F.desc("id")], 2).select("id", "harvest_source_id", "date_created")
+
+
+@query(f"WITH {JOBS} SELECT id, date_created FROM jobs ORDER BY date_created DESC, id DESC LIMIT 10 OFFSET 30")
+def page_offset(s, d):
+    return paging.page(paging.ordered(roles.jobs(s, d).select("id", "date_created"), order="desc"), 3)
+
+
+@query(f"WITH {JOBS} SELECT id, total FROM jobs WHERE total < 250000 OR (total = 250000 AND id > 100) ORDER BY total DESC, id LIMIT 25")
+def page_keyset(s, d):
+    return paging.keyset_page(roles.jobs(s, d).select("id", "total"), [("total", "desc"), ("id", "asc")], 25, [250000.0, 100])
+
+
+@query(f"""WITH {JOBS}, n AS (SELECT o_orderkey AS id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS whole, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') AS part FROM orders)
+SELECT id, CASE WHEN whole = 0 THEN '0%' ELSE floor(100 * part / whole)::BIGINT || '%' END AS percent FROM n""")
+def job_percent(s, d):
+    n = roles.issues(s, d).groupBy(F.col("harvest_job_id").alias("id")).agg(F.count("*").alias("whole"), F.count_if(F.col("type") == "F").alias("part"))
+    return roles.jobs(s, d).select("id").join(n, "id", "left").select("id", reports.percent(F.col("part"), F.col("whole")).alias("percent"))
+
+
+# --- issues
+
+
+@query(f"WITH {ISSUES} SELECT severity, type, count(*)::BIGINT AS count FROM issues GROUP BY 1, 2")
+def issue_summary(s, d):
+    return reports.issue_summary(roles.issues(s, d))
+
+
+def _event_issues(s, d):
+    r = roles.records(s, d)
+    kind = F.when(F.col("action") == "create", "ValidationException").when(F.col("action") == "delete", F.lit(None).cast("string")).otherwise("SynchronizeException")
+    return r.select("id", F.when(F.col("id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("identifier")).alias("harvest_record_id"), F.col("harvest_source_id").alias("harvest_job_id"), "date_created", kind.alias("type"), F.lit("error").alias("severity"), F.concat(F.lit("m"), "id").alias("message"))
+
+
+@query(f"""WITH {RECORDS}, i AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE identifier END AS harvest_record_id, harvest_source_id AS harvest_job_id, date_created,
+CASE action WHEN 'create' THEN 'ValidationException' WHEN 'delete' THEN NULL ELSE 'SynchronizeException' END AS type, 'error' AS severity, 'm' || id AS message FROM records)
+SELECT harvest_record_id, arg_min(harvest_job_id, id) AS harvest_job_id, arg_min(date_created, id) AS date_created, arg_min(type, id) AS type, arg_min(severity, id) AS severity, min(id) AS id,
+string_agg(message, '::' ORDER BY id) AS message FROM i WHERE type IN ('ValidationException', 'ValidationError') GROUP BY harvest_record_id
+UNION ALL SELECT harvest_record_id, harvest_job_id, date_created, type, severity, id, message FROM i WHERE type NOT IN ('ValidationException', 'ValidationError')""")
+def issue_rollup_union(s, d):
+    return reports.issue_rollup(_event_issues(s, d))
+
+
+@query(f"""WITH {ISSUES}, {JOBS} SELECT i.id, i.harvest_job_id, i.severity, j.status, CASE WHEN j.status = 'new' THEN '{{"title": "' || j.priority || '"}}' END AS title_json FROM issues i LEFT JOIN jobs j ON j.id = i.harvest_job_id AND j.status <> 'complete'""")
+def issues_left_records(s, d):
+    jobs = roles.jobs(s, d).where("status <> 'complete'").select(F.col("id").alias("harvest_job_id"), "status", F.when(F.col("status") == "new", F.concat(F.lit('{"title": "'), "priority", F.lit('"}'))).otherwise(F.lit("<xml/>")).alias("raw"))
+    return roles.issues(s, d).join(jobs, "harvest_job_id", "left").select("id", "harvest_job_id", "severity", "status", reports.json_payload(F.col("raw")).alias("title_json"))
+
+
+@query(f"""WITH {ISSUES}, {JOBS}, p AS (SELECT id, harvest_job_id, severity FROM issues WHERE severity = 'R' ORDER BY id LIMIT 100 OFFSET 200) SELECT p.id, p.harvest_job_id, j.status, j.priority FROM p LEFT JOIN jobs j ON j.id = p.harvest_job_id""")
+def issues_page_then_join(s, d):
+    paged = paging.page(facets.facet_filter(roles.issues(s, d), "severity eq R").select("id", "harvest_job_id").orderBy("id"), 2, 100)
+    return paged.join(roles.jobs(s, d).select(F.col("id").alias("harvest_job_id"), "status", "priority"), "harvest_job_id", "left").select("id", "harvest_job_id", "status", "priority")
+
+
+# --- counts, joins and comparisons
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)::BIGINT AS source_count FROM nation")
+def source_count_per_org(s, d):
+    return reports.count_by_parent(roles.read(s, d, "nation").select("n_nationkey", "n_name"), roles.read(s, d, "customer"), "n_nationkey", "c_nationkey", "source_count")
+
+
+def _sides(s, d):
+    r = roles.records(s, d).where("status = 'success'")
+    hashed = r.withColumn("source_hash", F.concat_ws("|", "action", F.round("value", 0).cast("int").cast("string")))
+    side = lambda rows: rows.groupBy("identifier", "record_type").agg(F.max_by("source_hash", F.struct("date_created", "id")).alias("source_hash"))
+    cut = F.lit(SNAPSHOT).cast("timestamp")
+    return side(hashed.where((F.col("date_created") >= cut) & (F.col("harvest_source_id") % 2 == 0) & (F.col("identifier").cast("int") > 8))), side(hashed.where((F.col("date_created") < cut) & (F.col("identifier").cast("int") < 90)))
+
+
+_SIDES = f"""{RECORDS}, h AS (SELECT *, action || '|' || CAST(round(value, 0) AS INT) AS source_hash FROM records WHERE status = 'success'),
+ext AS (SELECT identifier, record_type, arg_max(source_hash, struct_pack(a := date_created, b := id)) AS source_hash FROM h WHERE date_created >= TIMESTAMP '{SNAPSHOT}' AND harvest_source_id % 2 = 0 AND identifier::INT > 8 GROUP BY 1, 2),
+int AS (SELECT identifier, record_type, arg_max(source_hash, struct_pack(a := date_created, b := id)) AS source_hash FROM h WHERE date_created < TIMESTAMP '{SNAPSHOT}' AND identifier::INT < 90 GROUP BY 1, 2),
+df AS (SELECT coalesce(e.identifier, i.identifier) AS identifier, coalesce(e.record_type, i.record_type) AS record_type,
+CASE WHEN i.identifier IS NULL THEN 'create' WHEN e.identifier IS NULL THEN 'delete' WHEN e.source_hash IS DISTINCT FROM i.source_hash THEN 'update' END AS action
+FROM ext e FULL OUTER JOIN int i ON e.identifier = i.identifier AND e.record_type = i.record_type)"""
+
+
+@query(f"WITH {_SIDES} SELECT identifier, record_type, action FROM df")
+def snapshot_diff(s, d):
+    return diff.snapshot_diff(*_sides(s, d)).select("identifier", "record_type", "action")
+
+
+@query(f"WITH {_SIDES} SELECT identifier, record_type, 'delete' AS action FROM int WHERE NOT EXISTS (SELECT 1 FROM ext WHERE ext.identifier = int.identifier AND ext.record_type = int.record_type)")
+def deletions(s, d):
+    return diff.deletions(*_sides(s, d))
+
+
+@query(f"""WITH {_SIDES} SELECT count(*)::BIGINT AS records_total, count(*) FILTER (action = 'create')::BIGINT AS records_added, count(*) FILTER (action = 'update')::BIGINT AS records_updated,
+count(*) FILTER (action = 'delete')::BIGINT AS records_deleted, count(*) FILTER (action IS NULL)::BIGINT AS records_ignored FROM df""")
+def job_counters(s, d):
+    return diff.job_counters(diff.snapshot_diff(*_sides(s, d)))
+
+
+@query(f"WITH {_SIDES} SELECT identifier, record_type, action, CASE action WHEN 'delete' THEN 0 ELSE 1 END::INT AS phase FROM df WHERE action IS NOT NULL")
+def harvest_plan(s, d):
+    external, internal = _sides(s, d)
+    return diff.harvest(external.withColumn("pos", F.lit(0)), internal)
+
+
+@query(f"WITH {_SIDES} SELECT identifier, record_type, 'delete' AS action, 0 AS phase FROM int")
+def harvest_clear(s, d):
+    external, internal = _sides(s, d)
+    return diff.harvest(external.withColumn("pos", F.lit(0)), internal, "clear")
+
+
+@query(f"WITH {_SIDES} SELECT identifier, record_type, action FROM (SELECT identifier, record_type, CASE WHEN a IS NULL THEN 'create' WHEN b IS NULL THEN 'delete' ELSE 'update' END AS action FROM (SELECT coalesce(e.identifier, i.identifier) AS identifier, coalesce(e.record_type, i.record_type) AS record_type, i.identifier AS a, e.identifier AS b FROM ext e FULL OUTER JOIN int i ON e.identifier = i.identifier AND e.record_type = i.record_type))")
+def snapshot_diff_forced(s, d):
+    return diff.snapshot_diff(*_sides(s, d), force=True).select("identifier", "record_type", "action")
+
+
+@query(f"""WITH {RECORDS}, f AS (SELECT identifier, max(date_created) AS modified_date FROM records WHERE harvest_source_id < 20 GROUP BY 1), t AS (SELECT identifier, max(date_created) AS date_finished FROM records WHERE harvest_source_id BETWEEN 10 AND 40 GROUP BY 1)
+SELECT f.identifier, modified_date FROM f LEFT JOIN t ON t.identifier = f.identifier WHERE date_finished IS NULL OR modified_date > date_finished""")
+def waf_modified_since(s, d):
+    r = roles.records(s, d)
+    files = r.where("harvest_source_id < 20").groupBy("identifier").agg(F.max("date_created").alias("modified_date"))
+    stored = r.where("harvest_source_id between 10 and 40").groupBy("identifier").agg(F.max("date_created").alias("date_finished"))
+    return diff.modified_since(files, stored)[0].select("identifier", "modified_date")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderdate AS stamp FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS stamp FROM orders WHERE o_orderkey % 17 <> 0)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' ELSE 'stale' END AS state FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.stamp IS DISTINCT FROM b.stamp""")
+def index_reconcile(s, d):
+    o = roles.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("stamp"))
+    indexed = o.where("id % 17 <> 0").withColumn("stamp", F.when(F.col("id") % 13 == 0, F.col("stamp") + F.expr("interval 1 day")).otherwise(F.col("stamp")))
+    return diff.reconcile(o.where("id % 11 <> 0"), indexed)
+
+
+_VIEWS = "v AS (SELECT left(regexp_replace(p, '^/dataset/', ''), 100) AS dataset_slug, arg_min(n, id) AS view_count FROM (SELECT event_id AS id, '/dataset/' || slug AS p, CAST(floor(value) AS INT) AS n FROM events JOIN datasets ON datasets.id = event_id % 300) GROUP BY 1)"
+
+
+@query(f"WITH {DATASETS}, {_VIEWS} SELECT d.id, d.slug, coalesce(v.view_count, d.popularity) AS popularity FROM datasets d LEFT JOIN v ON v.dataset_slug = d.slug")
+def view_count_popularity(s, d):
+    sets = roles.datasets(s, d)
+    report = roles.read(s, d, "events").join(sets.select("id", "slug"), F.col("event_id") % 300 == F.col("id")).select(F.col("event_id").alias("pos"), F.concat(F.lit("/dataset/"), "slug").alias("path"), F.floor("value").cast("int").alias("views"))
+    return store.popularity(sets, store.view_counts(report)).select("id", "slug", "popularity")
+
+
+@query(f"""WITH {DATASETS}, c AS (SELECT CASE WHEN id % 10 = 0 THEN 'new-' || id ELSE slug END AS slug, upper(title) AS title, popularity + 100 AS popularity FROM datasets WHERE id % 5 = 0)
+SELECT coalesce(d.slug, c.slug) AS slug, CASE WHEN c.slug IS NOT NULL THEN c.title ELSE d.title END AS title, CASE WHEN c.slug IS NOT NULL THEN c.popularity ELSE d.popularity END AS popularity, d.publisher FROM datasets d FULL OUTER JOIN c ON c.slug = d.slug""")
+def upsert_merge(s, d):
+    sets = roles.datasets(s, d)
+    changes = sets.where("id % 5 = 0").select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("new-"), "id")).otherwise(F.col("slug")).alias("slug"), F.upper("title").alias("title"), (F.col("popularity") + 100).alias("popularity"))
+    return store.upserted(sets.select("slug", "title", "popularity", "publisher"), changes)
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS slug, row_number() OVER (PARTITION BY replace(p_name, ' ', '-') ORDER BY p_partkey) AS r FROM part), t AS (SELECT DISTINCT replace(p_name, ' ', '-') AS slug FROM part WHERE p_partkey < 5)
+SELECT id, CASE WHEN r > 1 OR t.slug IS NOT NULL THEN n.slug || '-' || left(sha256(id::VARCHAR), 5) ELSE n.slug END AS slug FROM n LEFT JOIN t ON t.slug = n.slug""")
+def slug_collisions(s, d):
+    named = roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", " ", "-").alias("slug"))
+    return store.unique_slugs(named, named.where("id < 5"))
+
+
+@query("""SELECT n_name AS name, count(c.c_custkey)::BIGINT AS count, coalesce(t.n, 0)::BIGINT AS other_count, (count(c.c_custkey) - coalesce(t.n, 0))::BIGINT AS difference, t.n IS NOT NULL AS in_other
+FROM nation JOIN customer c ON c.c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) t ON t.s_nationkey = n_nationkey GROUP BY n_name, t.n""")
+def org_compare(s, d):
+    nation = roles.read(s, d, "nation")
+    count = lambda t, k: roles.read(s, d, t).groupBy(F.col(k).alias("n_nationkey")).agg(F.count("*").alias("count")).join(nation, "n_nationkey").select(F.col("n_name").alias("name"), "count")
+    return reports.catalog_counts(count("customer", "c_nationkey"), count("supplier", "s_nationkey"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_brand AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 1 AND p_partkey < 200),
+n AS (SELECT name, min(other) AS m FROM b GROUP BY 1), i AS (SELECT identifier, min(other) AS m FROM b WHERE identifier IS NOT NULL GROUP BY 1), g AS (SELECT guid, min(other) AS m FROM b GROUP BY 1)
+SELECT a.id, coalesce(n.m, i.m, g.m) AS matched, CASE WHEN n.m IS NOT NULL THEN 'name' WHEN i.m IS NOT NULL THEN 'identifier' WHEN g.m IS NOT NULL THEN 'guid' END AS matched_by FROM a LEFT JOIN n ON n.name = a.name LEFT JOIN i ON i.identifier = a.identifier LEFT JOIN g ON g.guid = a.guid""")
+def match_cascade(s, d):
+    p = roles.read(s, d, "part")
+    mine = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("identifier"), F.col("p_type").alias("guid"))
+    key = F.col("p_partkey")
+    others = p.where("p_partkey % 2 = 1 and p_partkey < 200").select(key.alias("other"), F.when(key % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"), F.when(key % 5 == 0, F.col("p_brand")).alias("identifier"), F.col("p_type").alias("guid"))
+    return reports.match_cascade(mine, others, ["name", "identifier", "guid"], "other").select("id", "matched", "matched_by")
+
+
+@query("""SELECT user_id, count(*)::BIGINT AS n, coalesce(max(epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts))) FILTER (event_type = 'error'), 0)::BIGINT AS longest_error_age, count(*) FILTER (event_type = 'purchase' AND value > 50)::BIGINT AS waiting, arg_min(event_type, struct_pack(a := ts, b := event_id)) AS oldest FROM events GROUP BY 1""")
+def monitor_conditional_aggs(s, d):
+    age = F.unix_timestamp(F.lit(EVENTS_NOW).cast("timestamp")) - F.unix_timestamp("ts")
+    return roles.read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("event_type") == "error", age)), F.lit(0)).alias("longest_error_age"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("waiting"), F.min_by("event_type", F.struct("ts", "event_id")).alias("oldest"))
+
+
+@query(f"""SELECT count(*) FILTER (o_orderdate >= t - INTERVAL 7 DAY)::BIGINT AS within_week, count(*) FILTER (o_orderdate >= t - INTERVAL 30 DAY AND o_orderdate < t - INTERVAL 7 DAY)::BIGINT AS within_month,
+count(*) FILTER (o_orderdate >= t - INTERVAL 365 DAY AND o_orderdate < t - INTERVAL 30 DAY)::BIGINT AS within_year, count(*) FILTER (o_orderdate < t - INTERVAL 365 DAY)::BIGINT AS older FROM orders, (SELECT TIMESTAMP '{ORDERS_NOW}' AS t)""")
+def age_bins(s, d):
+    return reports.age_bins(roles.read(s, d, "orders"), ORDERS_NOW, "o_orderdate")
+
+
+@query(f"WITH {JOBS} SELECT harvest_source_id, status, count(*)::BIGINT AS n, max(date_created) AS latest FROM jobs GROUP BY 1, 2")
+def source_page_summary(s, d):
+    return roles.jobs(s, d).groupBy("harvest_source_id", "status").agg(F.count("*").alias("n"), F.max("date_created").alias("latest"))
+
+
+# --- search. Documents' texts are tokenised alike in SQL: runs of ASCII letters, digits and apostrophes
+
+GAP = r"[^a-z0-9']+"
+_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+_DOCS = f"""t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9'']+'), lambda w: w <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM t), k AS (SELECT * FROM p WHERE token NOT IN ({_STOP}))"""
+
+
+def _indexed(s, d):
+    return roles.read(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", search.positions(F.col("text"), GAP).alias("t_description"))
+
+
+def _match(s, d, q):
+    docs = _indexed(s, d)
+    return docs.where(search.matches(docs, search.parse(q))).select("id")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id AS id FROM k WHERE token IN ('ering', 'thion') GROUP BY 1 HAVING count(DISTINCT token) = 2")
+def search_simple_and(s, d):
+    return _match(s, d, "the ering thion")
+
+
+@query(f"WITH {_DOCS} SELECT DISTINCT doc_id AS id FROM k WHERE token IN ('worthless', 'moron', 'einge')")
+def search_or(s, d):
+    return _match(s, d, "worthless or moron OR einge")
+
+
+@query(f"WITH {_DOCS} SELECT DISTINCT a.doc_id AS id FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'thon' AND b.token = 'er'")
+def search_phrase(s, d):
+    return _match(s, d, '"thon er"')
+
+
+@query(f"WITH {_DOCS} SELECT DISTINCT a.doc_id AS id FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 2 WHERE a.token = 'er' AND b.token = 'er'")
+def search_phrase_gap(s, d):
+    return _match(s, d, '"er the er"')
+
+
+@query("SELECT doc_id AS id FROM documents")
+def search_match_all_quirk(s, d):
+    return _match(s, d, '"thon er" ering')
+
+
+_BM25 = f"""WITH {_DOCS}, len AS (SELECT doc_id, count(*) AS l FROM k GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS m FROM len), tf AS (SELECT doc_id, token, count(*) AS tf FROM k WHERE token IN ('er', 'thon', 'ering') GROUP BY 1, 2),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), sc AS (SELECT doc_id AS id, sum(3.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * l / m))) AS s FROM tf JOIN df USING (token) JOIN len USING (doc_id), st GROUP BY 1)"""
+
+
+@query(_BM25 + " SELECT id, round(s, 4) AS score FROM sc WHERE id IN (SELECT doc_id FROM tf GROUP BY 1 HAVING count(*) = 3) ORDER BY round(s, 4) DESC, id DESC LIMIT 20")
+def search_bm25_topk(s, d):
+    docs = _indexed(s, d)
+    hits = docs.where(search.matches(docs, search.parse("er thon ering"))).select("id").join(search.bm25(docs, ["er", "thon", "ering"]), "id")
+    return hits.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(20)
+
+
+@query(_BM25 + " SELECT id, round(s, 4) AS score, n_chars FROM sc JOIN documents ON doc_id = id ORDER BY n_chars DESC, round(s, 4) DESC, id DESC LIMIT 20")
+def search_sort_popularity(s, d):
+    docs = _indexed(s, d)
+    hits = docs.select("id", F.col("n_chars").alias("popularity")).join(search.bm25(docs, ["er", "thon", "ering"]), "id").withColumn("score", F.round("score", 4))
+    order = [F.col(c).desc_nulls_last() for c, _ in search.sort_keys("popularity")]
+    return hits.orderBy(*order).limit(20).select("id", "score", F.col("popularity").alias("n_chars"))
+
+
+@query(f"WITH {_DOCS} SELECT token AS term, count(DISTINCT doc_id)::BIGINT AS count FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def facet_terms_keyword(s, d):
+    return search.term_counts(_indexed(s, d), F.transform("t_description", lambda t: t["token"]), 25)
+
+
+@query("SELECT p_brand AS term, count(*)::BIGINT AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_terms_publisher(s, d):
+    return search.term_counts(roles.datasets(s, d), F.col("publisher"))
+
+
+@query("SELECT n_name AS term, count(*)::BIGINT AS count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_terms_org(s, d):
+    rows = roles.read(s, d, "customer").join(F.broadcast(roles.read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
+    return search.term_counts(rows.select(F.col("c_custkey").alias("id"), F.struct(F.col("n_name").alias("slug")).alias("organization")), F.col("organization.slug"))
+
+
+@query(f"WITH {_DOCS} SELECT token AS term, count(DISTINCT doc_id)::BIGINT AS count FROM k WHERE contains(token, 'ing') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 ORDER BY 2 DESC, 1 LIMIT 50")
+def keyword_counts(s, d):
+    return search.term_counts(_indexed(s, d), F.transform("t_description", lambda t: t["token"]), 50, "ING", 5)
+
+
+@query("SELECT p_partkey AS id FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND lower(p_brand) = 'brand#1' AND p_type IN ('ECONOMY', 'PROMO') AND p_size > 10 AND p_partkey % 2 = 0")
+def search_filters_all(s, d):
+    p = roles.read(s, d, "part")
+    docs = p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("keyword"), F.col("p_brand").alias("publisher"), F.struct(F.lit("o").alias("id"), F.col("p_type").alias("organization_type")).alias("organization"), (F.col("p_size") > 10).alias("has_download"), (F.col("p_partkey") % 2 == 0).alias("has_spatial"), F.lit("c").alias("is_part_of"))
+    params = {"keyword": "Red", "publisher": "BRAND#1", "org_type": ["ECONOMY", "PROMO"], "has_download": "true", "spatial_filter": "geospatial", "org_id": "o", "collection": "c"}
+    out = docs
+    for p in search.filter_predicates(params):
+        out = out.where(p)
+    return out.select("id")
+
+
+# --- functions
+
+
+@query(r"""WITH x AS (SELECT doc_id AS id, left(coalesce(text, ''), 100) AS s FROM documents WHERE lang = 'en'),
+a AS (SELECT id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(translate(s, '""" + text.ACCENTED + r"""', '""" + text.PLAIN + r"""'), 'Æ', 'Ae'), 'Ð', 'Th'), 'Þ', 'th'), 'ß', 'ss'), 'æ', 'ae'), 'ð', 'th'), 'þ', 'th'), '[^\x00-\x7F]', '', 'g'), '[ .:/]', '-', 'g'), '[^a-zA-Z0-9_-]', '', 'g')), '-+', '-', 'g'), '-') AS n FROM x),
+b AS (SELECT id, n, CASE WHEN length(n) > 90 THEN regexp_extract(n, '[_-]((?:[0-9]{2,4}-)?[0-9]{2,4})$', 1) ELSE '' END AS y FROM a),
+c AS (SELECT id, CASE WHEN y <> '' THEN left(n, 89 - length(y)) || '-' || y ELSE left(n, 90) END AS n FROM b) SELECT id, CASE WHEN length(n) < 2 THEN rpad(n, 2, '_') ELSE n END AS slug FROM c""")
+def slugify(s, d):
+    return roles.read(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), text.slug(F.substring(F.coalesce("text", F.lit("")), 1, 100)).alias("slug"))
+
+
+@query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'id-' || event_id WHEN 1 THEN 'at-' || event_id END AS identifier, CASE event_id % 5 WHEN 2 THEN 'identifier is missing' WHEN 3 THEN 'identifier is invalid' WHEN 4 THEN 'identifier object has no usable ''@id''' END AS error FROM events""")
+def identifier_norm(s, d):
+    n = F.col("event_id")
+    raw = F.when(n % 5 == 0, F.concat(F.lit('"id-'), n, F.lit('"'))).when(n % 5 == 1, F.concat(F.lit('{"@id": "at-'), n, F.lit('"}'))).when(n % 5 == 2, F.lit('"  "')).when(n % 5 == 3, n.cast("string")).otherwise(F.lit('{"k": 1}'))
+    return roles.read(s, d, "events").select(n.alias("id"), raw.alias("raw")).select("id", identity.identifier(F.col("raw")).alias("identifier"), identity.identifier_error(F.col("raw")).alias("error"))
+
+
+@query("""SELECT p_partkey AS id, sha256('"' || replace(p_name, '"', '\\"') || '"') AS text_hash, sha256('"' || '{\\"a\\": ' || p_partkey || ', \\"b\\": \\"' || p_brand || '\\"}' || '"') AS content_hash FROM part""".replace("\\\\", "\\"))
+def content_hash(s, d):
+    raw = F.concat(F.lit('{"b": "'), "p_brand", F.lit('", "a": '), "p_partkey", F.lit("}"))
+    return roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), identity.text_hash(F.col("p_name")).alias("text_hash"), identity.content_hash()(raw).alias("content_hash"))
+
+
+@query("SELECT event_id AS id, 'urn:datagov:catalogrecord:' || sha256(coalesce(json_extract_string(props, '$.k'), 'None') || '|' || CASE WHEN event_id % 3 = 0 THEN 'None' ELSE event_type END) AS record_id FROM events")
+def synthetic_ids(s, d):
+    return roles.read(s, d, "events").select(F.col("event_id").alias("id"), identity.synthetic_record_id(F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 3 != 0, F.col("event_type"))).alias("record_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE < o_orderdate::DATE AS shipped_before_order, year(l_shipdate) < year(o_orderdate) AS year_before FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def date_order_warnings(s, d):
+    both = roles.read(s, d, "lineitem").join(roles.read(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    day = lambda c, f: F.date_format(c, f)
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", quality.out_of_order(day("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), day("l_shipdate", "yyyy-MM-dd")).alias("shipped_before_order"), quality.out_of_order(day("o_orderdate", "yyyy"), day("l_shipdate", "yyyy")).alias("year_before"))
+
+
+@query(r"""SELECT p_partkey AS id, NOT regexp_full_match(p_retailprice::VARCHAR, '-?[0-9]+(\.[0-9]+)?') AS bad_resolution, p_size % 2 = 0 AS bad_duration, p_size % 3 = 0 AS bad_size, regexp_matches(p_name, '[A-Za-z]') AS bad_tel, p_partkey % 2 = 0 AS bad_postcode, p_type <> 'ECONOMY' AS not_xsd FROM part""")
+def regex_warnings(s, d):
+    size = F.col("p_size")
+    return roles.read(s, d, "part").select(
+        F.col("p_partkey").alias("id"), quality.bad_resolution(F.col("p_retailprice").cast("string")).alias("bad_resolution"), quality.bad_duration(F.when(size % 2 == 0, F.concat(F.lit("P"), size)).otherwise(F.concat(F.lit("P"), size, F.lit("D")))).alias("bad_duration"),
+        quality.bad_byte_size(F.when(size % 3 == 0, F.concat(size, F.lit("kB"))).otherwise(F.concat(size, F.lit("e3")))).alias("bad_size"), quality.letters_in_phone(F.col("p_name")).alias("bad_tel"),
+        quality.letters_in_us_postcode(F.lit("A1"), F.when(F.col("p_partkey") % 2 == 0, "USA").otherwise("France")).alias("bad_postcode"), quality.not_xsd(F.when(F.col("p_type") == "ECONOMY", "xsd:string").otherwise(F.col("p_type"))).alias("not_xsd"),
+    )
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT page_id + 1000000, regexp_extract(url, '^[a-z]+') FROM pages WHERE NOT starts_with(url, 'https')")
+def vocab_warnings(s, d):
+    known = s.createDataFrame([("EN",), ("fr",)], "value string")
+    kinds = s.createDataFrame([("https",)], "value string")
+    docs = quality.not_in_vocabulary(roles.read(s, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "lang", known)
+    pages = roles.read(s, d, "pages").select((F.col("page_id") + 1000000).alias("id"), F.concat(F.regexp_extract("url", "^[a-z]+", 0), F.lit("; q=1")).alias("lang"))
+    return docs.unionAll(quality.not_in_vocabulary(pages, "lang", kinds, essence=True).select("id", F.split_part("lang", F.lit(";"), F.lit(1)).alias("lang")))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id AS id, token AS keyword FROM k WHERE length(token) > 6 GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keywords(s, d):
+    long = F.filter(F.transform("t_description", lambda t: t["token"]), lambda w: F.length(w) > 6)
+    return _indexed(s, d).select("id", F.explode(long).alias("keyword")).groupBy("id", "keyword").agg(F.count("*").alias("n")).where("n > 1").select("id", "keyword")
+
+
+@query(r"""WITH m AS (SELECT page_id AS id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) SELECT id, CASE WHEN ends_with(u, '.html') THEN 'text/html' WHEN id % 3 = 0 THEN 'wms' WHEN id % 3 = 1 THEN 'arcgis_rest' END AS media_type, CASE WHEN ends_with(u, '.html') THEN 'HTML' END AS format FROM m""")
+def media_types(s, d):
+    clean = F.regexp_replace("url", r"[?#].*$", "")
+    n = F.col("page_id")
+    kind = media.media_type(F.when(clean.endswith(".html"), clean).when(n % 3 == 0, F.lit("http://a/x?service=wms")).when(n % 3 == 1, F.lit("http://a/arcgis/rest/services/y")).otherwise(F.lit("http://a/b")))
+    return roles.read(s, d, "pages").select(n.alias("id"), kind.alias("media_type"), media.format_label(kind).alias("format"))
+
+
+_AT = "SELECT c_custkey AS id, (c_custkey * 37 % 170) - 85 AS lat, (c_custkey * 91 % 350) - 175 AS lon FROM customer"
+
+
+def _places(s, d):
+    n = F.col("c_custkey")
+    return roles.read(s, d, "customer").select(n.alias("id"), ((n * 37 % 170) - 85).alias("lat"), ((n * 91 % 350) - 175).alias("lon"))
+
+
+@query(f"""WITH x AS ({_AT}) SELECT id, CASE id % 4 WHEN 0 THEN '{{"type": "Point", "coordinates": [' || lon || ', ' || lat || ']}}'
+WHEN 1 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '], [' || lon || ', ' || (lat + 2) || '], [' || (lon + 300) || ', ' || (lat + 2) || '], [' || (lon + 300) || ', ' || lat || '], [' || lon || ', ' || lat || ']]]}}'
+WHEN 2 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '], [' || lon || ', 99], [400, 99], [400, ' || lat || '], [' || lon || ', ' || lat || ']]]}}' ELSE '' END AS geojson FROM x""")
+def spatial_munge(s, d):
+    n, lat, lon = F.col("id"), F.col("lat"), F.col("lon")
+    raw = F.when(n % 4 == 0, F.concat_ws(" ", lon, lat)).when(n % 4 == 1, F.concat_ws(", ", lon, lat, lon + 300, lat + 2)).when(n % 4 == 2, F.concat(F.lit("[["), lon, F.lit(", "), lat, F.lit("], [400, 99]]"))).otherwise("somewhere")
+    return _places(s, d).select("id", geo.spatial_text(raw).alias("geojson"))
+
+
+_KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(lat - 38.9) / 2), 2) + cos(radians(38.9)) * cos(radians(lat)) * pow(sin(radians(lon + 77.0) / 2), 2))))"
+
+
+@query(f"WITH x AS ({_AT}) SELECT id, round({_KM}, 3) AS km FROM x")
+def haversine(s, d):
+    return _places(s, d).select("id", F.round(geo.haversine(F.lit(38.9), F.lit(-77.0), F.col("lat"), F.col("lon")), 3).alias("km"))
+
+
+@query(f"WITH x AS ({_AT}) SELECT id, round({_KM}, 3) AS distance FROM x ORDER BY round({_KM}, 3), id DESC LIMIT 40")
+def geo_distance_sort(s, d):
+    docs = _places(s, d).select("id", F.struct("lat", "lon").alias("spatial_centroid"))
+    return search.with_distance(docs, 38.9, -77.0).select("id", F.round("distance", 3).alias("distance")).orderBy("distance", F.desc("id")).limit(40)
+
+
+@query(f"WITH x AS ({_AT}) SELECT id, round((lat + lat + lat + 1 + lat + 1 + lat) / 5.0, 6) AS lat, round((lon + lon + 2 + lon + 2 + lon + lon) / 5.0, 6) AS lon FROM x")
+def centroid(s, d):
+    lat, lon = F.col("lat"), F.col("lon")
+    shape = geo.spatial_text(F.concat_ws(",", lon, lat, lon + 2, lat + 1))
+    c = geo.centroid(shape)
+    # the box runs up its west side first, so four of its five vertices alternate as in the SQL
+    return _places(s, d).select("id", F.round(c["lat"], 6).alias("lat"), F.round(c["lon"], 6).alias("lon"))
+
+
+@query(f"WITH x AS ({_AT}) SELECT id, lon >= -60 AND lon + 5 <= 60 AND lat >= -30 AND lat + 5 <= 30 AS within, lon <= 60 AND lon + 5 >= -60 AND lat <= 30 AND lat + 5 >= -30 AS meets FROM x")
+def bbox_within_intersects(s, d):
+    box = (F.col("lon"), F.col("lat"), F.col("lon") + 5, F.col("lat") + 5)
+    area = (F.lit(-60), F.lit(-30), F.lit(60), F.lit(30))
+    return _places(s, d).select("id", geo.box_within(box, area).alias("within"), geo.box_intersects(box, area).alias("meets"))
+
+
+@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon > -60 AND lon < 60 AND lat > -30 AND lat < 30")
+def polygon_within(s, d):
+    area = {"type": "Polygon", "coordinates": [[[-60, -30], [60, -30], [60, 30], [-60, 30], [-60, -30]]]}
+    point = F.format_string('{"type": "Point", "coordinates": [%s, %s]}', "lon", "lat")
+    near = _places(s, d).where("lon > -60 and lon < 60 and lat > -30 and lat < 30")  # the box first; the exact test sees what it leaves
+    return near.where(geo.shape_filter(area)(point)).select("id")
+
+
+@query()
+def antimeridian(s, d):
+    lon = F.col("lon")
+    shape = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', lon, "lat", lon + 20, "lat", lon + 20, F.col("lat") + 4, lon, F.col("lat") + 4, lon, "lat")
+    return _places(s, d).select("id", geo.fixed_geometry(shape).alias("geojson"))
+
+
+_SCHEMA = {"type": "object", "required": ["title", "keyword"], "properties": {"title": {"type": "string", "minLength": 8}, "keyword": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "string"}}, "size": {"anyOf": [{"type": "null"}, {"type": "integer", "maximum": 40}]}}}
+
+
+@query("SELECT p_partkey AS id, (CASE WHEN length(p_name) < 8 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size > 40 THEN 1 ELSE 0 END)::INT AS n_errors FROM part")
+def json_schema_validate(s, d):
+    raw = F.concat(F.lit('{"title": "'), "p_name", F.lit('", "keyword": ["a", "'), F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("b"), F.lit('"], "size": '), "p_size", F.lit("}"))
+    return roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.size(schema_errors(_SCHEMA)(raw)).alias("n_errors"))
+
+
+@query("""SELECT p_partkey AS id, 'Dataset' AS class, 'accessRights' AS field, 'legacy_access_rights' AS type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'Distribution', 'byteSize', 'invalid_byte_size' FROM part WHERE p_size % 3 = 0""")
+def content_warnings(s, d):
+    raw = F.concat(F.lit('{"@type": "Dataset", "accessRights": "'), F.when(F.col("p_partkey") % 2 == 0, "Non-Public").otherwise("public"), F.lit('", "distribution": [{"@type": "Distribution", "byteSize": "'), "p_size", F.when(F.col("p_size") % 3 == 0, "kB").otherwise(""), F.lit('"}]}'))
+    return quality.warnings(roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), raw.alias("source_raw"))).select("id", "class", "field", "type")
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 4 END AS parent, p_partkey % 4 AS pos FROM part WHERE p_partkey < 400),
+w AS (SELECT id, [pos] AS path FROM n WHERE id = 0 UNION ALL SELECT n.id, list_append(w.path, n.pos) FROM w JOIN n ON n.parent = w.id) SELECT id AS key, array_to_string(path, '.') AS path FROM w""")
+def catalog_tree_walk(s, d):
+    n = F.col("p_partkey")
+    nodes = roles.read(s, d, "part").where("p_partkey < 400").select(n.alias("id"), F.when(n > 0, F.expr("(p_partkey - 1) div 4")).alias("parent"), (n % 4).alias("pos"))
+    return catalogs.tree_walk(nodes, 0).select("key", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
+
+
+@query("""SELECT n_nationkey AS id, u.pos::INT AS pos, u.identifier AS identifier, u.depth::INT AS depth FROM nation, (VALUES (0, 'a', 0), (1, 'b', 0), (0, 'c', 1), (0, 'd', 2)) AS u(pos, identifier, depth)""")
+def catalog_walk(s, d):
+    doc = F.lit('{"dataset": [{"identifier": "a"}, {"identifier": {"@id": "b"}}], "catalog": [{"dataset": [{"identifier": "c"}], "catalog": {"dataset": [{"identifier": "d"}]}}]}')
+    docs = roles.read(s, d, "nation").select(F.col("n_nationkey").alias("id"), doc.alias("doc"))
+    return catalogs.nested_records(docs).select("id", "pos", "identifier", F.size("path").alias("depth"))
+
+
+@query("""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages), u AS (SELECT page_id, url, unnest(h) AS href FROM a) SELECT page_id, href, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS target FROM u WHERE ends_with(href, '.')""")
+def waf_links(s, d):
+    pages = roles.read(s, d, "pages")
+    found = listings.links(pages, extension=".").where("kind = 'file'")
+    return found.join(pages.dropDuplicates(["url"]).select(F.col("url").alias("page"), "page_id"), "page").select("page_id", "href", "target")
