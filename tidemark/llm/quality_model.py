@@ -22,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
 from tidemark.llm.textvec import word_codes, hashed
 from tidemark.llm.token_ids import slices
 
@@ -30,7 +29,8 @@ GRAMS, BUCKETS_LOG, DIMENSIONS = (3, 4, 5), 18, 10
 BUCKETS = 1 << BUCKETS_LOG
 #: Labelled rows to learn from, passes over them, and the first step's rate.
 TRAIN_ROWS, EPOCHS, RATE, SEED = 5000, 10, 0.5, 11
-LABEL_ROWS = 1_000_000
+#: Bytes of text that a worker takes apart at once.
+PIECE_BYTES = 1 << 20
 
 
 def bucket(key: np.ndarray, salt: int) -> np.ndarray:
@@ -105,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32)
     texts = got["text"].combine_chunks()
-    texts = pa.chunked_array([texts]).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    return train([e for a, b in slices(texts) for e in per_text(texts.slice(a, b - a))], y)
+    return train([e for a, b in slices(texts, PIECE_BYTES) for e in per_text(texts.slice(a, b - a))], y)
 
 
 def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -116,7 +115,7 @@ def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds = shared.value
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], PIECE_BYTES):
                 total, n = np.full(b - a, odds[0], np.float64), np.ones(b - a)
                 for places, at in features(batch["text"].slice(a, b - a)):
                     sums = np.concatenate(([0], np.cumsum(odds[places], dtype=np.float64)))
