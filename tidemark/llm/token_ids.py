@@ -39,9 +39,9 @@ from tidemark.llm.common import scratch_path, written
 MAGIC, RUN = b"TMDAC\x00\x01\n", 512
 END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
-FILE_IDS, CACHE_WORDS = 8_000_000, 600_000
+FILE_IDS, CACHE_WORDS = 8_000_000, 250_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def pack(ids: np.ndarray) -> list[tuple[str, np.ndarray]]:
