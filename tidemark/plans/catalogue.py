@@ -359,9 +359,9 @@ def _match(s, d, q):
     return docs.where(search.matches(docs, search.parse(q))).select("id")
 
 
-@query(f"WITH {_DOCS} SELECT doc_id AS id FROM k WHERE token IN ('ering', 'thion') GROUP BY 1 HAVING count(DISTINCT token) = 2")
+@query(f"WITH {_DOCS} SELECT doc_id AS id FROM k WHERE token IN ('ering', 'thon') GROUP BY 1 HAVING count(DISTINCT token) = 2")
 def search_simple_and(s, d):
-    return _match(s, d, "the ering thion")
+    return _match(s, d, "the ering thon")
 
 
 @query(f"WITH {_DOCS} SELECT DISTINCT doc_id AS id FROM k WHERE token IN ('worthless', 'moron', 'einge')")
@@ -513,11 +513,11 @@ def _places(s, d):
 
 
 @query(f"""WITH x AS ({_AT}) SELECT id, CASE id % 4 WHEN 0 THEN '{{"type": "Point", "coordinates": [' || lon || ', ' || lat || ']}}'
-WHEN 1 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '], [' || lon || ', ' || (lat + 2) || '], [' || (lon + 300) || ', ' || (lat + 2) || '], [' || (lon + 300) || ', ' || lat || '], [' || lon || ', ' || lat || ']]]}}'
+WHEN 1 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '.5], [' || lon || ', ' || (lat + 2) || '.5], [' || (lon + 300) || '.25, ' || (lat + 2) || '.5], [' || (lon + 300) || '.25, ' || lat || '.5], [' || lon || ', ' || lat || '.5]]]}}'
 WHEN 2 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '], [' || lon || ', 99], [400, 99], [400, ' || lat || '], [' || lon || ', ' || lat || ']]]}}' ELSE '' END AS geojson FROM x""")
 def spatial_munge(s, d):
     n, lat, lon = F.col("id"), F.col("lat"), F.col("lon")
-    raw = F.when(n % 4 == 0, F.concat_ws(" ", lon, lat)).when(n % 4 == 1, F.concat_ws(", ", lon, lat, lon + 300, lat + 2)).when(n % 4 == 2, F.concat(F.lit("[["), lon, F.lit(", "), lat, F.lit("], [400, 99]]"))).otherwise("somewhere")
+    raw = F.when(n % 4 == 0, F.concat_ws(" ", lon, lat)).when(n % 4 == 1, F.concat(lon, F.lit(", "), lat, F.lit(".5, "), lon + 300, F.lit(".25, "), lat + 2, F.lit(".5"))).when(n % 4 == 2, F.concat(F.lit("[["), lon, F.lit(", "), lat, F.lit("], [400, 99]]"))).otherwise("somewhere")
     return _places(s, d).select("id", geo.spatial_text(raw).alias("geojson"))
 
 
@@ -538,9 +538,8 @@ def geo_distance_sort(s, d):
 @query(f"WITH x AS ({_AT}) SELECT id, round((lat + lat + lat + 1 + lat + 1 + lat) / 5.0, 6) AS lat, round((lon + lon + 2 + lon + 2 + lon + lon) / 5.0, 6) AS lon FROM x")
 def centroid(s, d):
     lat, lon = F.col("lat"), F.col("lon")
-    shape = geo.spatial_text(F.concat_ws(",", lon, lat, lon + 2, lat + 1))
+    shape = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', lon, lat, lon, lat + 1, lon + 2, lat + 1, lon + 2, lat, lon, lat)
     c = geo.centroid(shape)
-    # the box runs up its west side first, so four of its five vertices alternate as in the SQL
     return _places(s, d).select("id", F.round(c["lat"], 6).alias("lat"), F.round(c["lon"], 6).alias("lon"))
 
 
