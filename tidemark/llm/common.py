@@ -29,6 +29,16 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """Every column of df, whatever its name."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def boxed(df: DataFrame, *more: Column) -> DataFrame:
+    """df's rows as one struct, ``_doc``, so that its columns can't clash with those of an operator; with more columns beside it."""
+    return df.select(F.struct(*columns(df)).alias("_doc"), *more)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

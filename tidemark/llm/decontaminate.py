@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, words, written
+from tidemark.llm.common import boxed, small, words, written
 
 #: Fixed masks over SPAN words: places that a seed looks at. Any one substitution leaves one of them whole in each span.
 SPAN = 10
@@ -105,4 +105,4 @@ def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark text."""
     dirty = overlaps(docs, bench, **options).select("doc_id").distinct()
     dirty = written(dirty.withColumn("_hit", F.lit(True)).withColumnRenamed("doc_id", "_dirty"), "contaminated")
-    return docs.join(small(dirty, ID_ROWS), docs["doc_id"].eqNullSafe(F.col("_dirty")), "left_anti")
+    return boxed(docs).join(small(dirty, ID_ROWS), F.col("_doc.doc_id").eqNullSafe(F.col("_dirty")), "left_anti").select("_doc.*")

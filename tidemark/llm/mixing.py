@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count, words, written
+from tidemark.llm.common import boxed, columns, small, word_count, words, written
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD_BLOCKS, ROUNDS, SEED = 512, 1024, 32, 20_011
@@ -69,7 +69,7 @@ def stream(docs: DataFrame, sizes: DataFrame | None = None, bucket_docs: int = B
     A window over all of a source would be one task, so documents are ordered within hashed buckets of bounded size
     and the buckets' sums are added up in a second, small window.
     """
-    sized = written(docs.select("doc_id", source_key(F.col("source")).alias("skey"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"), word_count(F.col("text")).alias("size")), "sizes") if sizes is None else sizes
+    sized = written(docs.select("doc_id", source_key(F.col("source")).alias("skey"), F.xxhash64(*columns(docs)).alias("row_hash"), word_count(F.col("text")).alias("size")), "sizes") if sizes is None else sizes
     buckets = max(1, -(-sized.count() // bucket_docs))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets)))
     by = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,11 +121,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     got = parts.groupBy("skey", "start").agg(F.sum("n_words").alias("got"))
     # A document's words begin at one place of its source's stream; those without words have no pieces.
     rows = placed.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(got.withColumnRenamed("start", "at"), ["skey", "at"], "left")
-    return rows.join(F.broadcast(wanted) if _few(wanted) else wanted, "skey").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
-
-
-def _few(wanted: DataFrame, rows: int = 100_000) -> bool:
-    return wanted.limit(rows + 1).count() <= rows
+    return rows.join(small(wanted), "skey").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -138,13 +134,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     per_row = own.groupBy("doc_id", "row_hash", "start", "size").agg(F.array_sort(F.collect_list(F.struct("epoch", "n", "runs"))).alias("epochs"))
     per_key = per_row.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("start", "size", "epochs"))).alias("_copies"))
     per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_copies")
-    one = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    rows = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_copy", F.row_number().over(one))
-    both = rows.join(per_key, rows["doc_id"].eqNullSafe(per_key["_id"]) & (rows["_row"] == per_key["_hash"])).withColumn("_place", F.get("_copies", F.col("_copy") - 1)).withColumn("_epoch", F.explode("_place.epochs"))
-    both = both.withColumn("_words", words(F.col("text")))
+    # documents stand in a struct, so no column of theirs can clash
+    rows = boxed(docs, F.xxhash64(*columns(docs)).alias("_row")).withColumn("_copy", F.row_number().over(Window.partitionBy("_doc.doc_id", "_row").orderBy(F.lit(1))))
+    both = rows.join(per_key, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))).withColumn("_place", F.get("_copies", F.col("_copy") - 1)).withColumn("_epoch", F.explode("_place.epochs"))
+    both = both.withColumn("_words", words(F.col("_doc.text")))
     cut = F.array_join(F.flatten(F.transform("_epoch.runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
-    text = F.when(F.col("_epoch.n") == F.col("_place.size"), F.col("text")).otherwise(cut)
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    both = both.withColumn("_text", F.when(F.col("_epoch.n") == F.col("_place.size"), F.col("_doc.text")).otherwise(cut))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return both.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])

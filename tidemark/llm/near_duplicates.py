@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, small, written
+from tidemark.llm.common import boxed, release, small, written
 from tidemark.llm.graph import connected_components
 from tidemark.llm.token_ids import slices
 
@@ -285,8 +285,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     # texts that stay: with their class's smallest doc_id; of several such texts under one id the least node
     stay = marked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("_own")).agg(F.min("node").alias("_keep"), F.count_if(F.lit(True)).alias("_rows"))
     stay = written(stay.select(F.col("class_id").alias("_id"), "_keep", "_rows"), "kept-texts")
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_node", node).join(small(stay, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_keep")))
+    node = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node")
+    rows = boxed(docs, node).join(small(stay, 1_000_000), F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_keep")))
     if stay.where("_rows > 1").limit(1).count():  # only where whole rows repeat are texts gathered by id
         rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_id", "_keep"]))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select("_doc.*")
