@@ -39,6 +39,36 @@ def boxed(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(F.struct(*columns(df)).alias("_doc"), *more)
 
 
+#: Rows of a batch that goes to a Python worker; texts may be long.
+BATCH_ROWS = 2000
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers outlive their tasks, and several share an executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow with small batches, and with the memory given back after each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

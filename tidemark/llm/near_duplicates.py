@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import boxed, release, small, written
+from tidemark.llm.common import boxed, mapped, release, small, written
 from tidemark.llm.graph import connected_components
 from tidemark.llm.token_ids import slices
 
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
                     ["doc_id", "node", "size", "prefixes", "sketch"])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, prefixes array<long>, sketch binary")
+    return mapped(rows, sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, prefixes array<long>, sketch binary")
 
 
 def forest(pairs_a: np.ndarray, pairs_b: np.ndarray, count: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     units = F.when(blocks == 1, F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(2).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct((F.least(o, own) * blocks + F.greatest(o, own)).alias("unit"), F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side"))))
     dealt = met.withColumn("u", F.explode(units)).select("key", "u.unit", "u.side", "node", "sketch")
-    return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "node").mapInArrow(compare, "a long, b long").distinct()
+    return mapped(dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "node"), compare, "a long, b long").distinct()
 
 
 def verify_unit(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +246,11 @@ def verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFram
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     want = clusters.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"), "component", "blocks")
     texts = rows.join(small(want), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("component", "blocks", "node", "text")
-    sets = texts.mapInArrow(gather, "component long, blocks long, node long, members binary")
+    sets = mapped(texts, gather, "component long, blocks long, node long, members binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct((F.least(o, own) * F.col("blocks") + F.greatest(o, own)).alias("unit"), F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side")))
     dealt = sets.withColumn("u", F.explode(units)).select("component", "u.unit", "u.side", "node", "members")
-    return dealt.repartition("component", "unit").sortWithinPartitions("component", "unit", "node").mapInArrow(compare, "node long, links long, root long")
+    return mapped(dealt.repartition("component", "unit").sortWithinPartitions("component", "unit", "node"), compare, "node long, links long, root long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, written
+from tidemark.llm.common import mapped, small, written
 from tidemark.llm.textvec import mixed, word_hashes
 from tidemark.llm.token_ids import slices
 
@@ -140,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = "kind string, start int, end int"
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, {counts}, base_sha256 string, base array<struct<{span}>>, found array<struct<{span}, instance string, patterns array<long>>>")
+    return mapped(docs.select("doc_id", "text"), find, f"doc_id {kind}, {counts}, base_sha256 string, base array<struct<{span}>>, found array<struct<{span}, instance string, patterns array<long>>>")
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(total[kept])], ["pattern", "n"])
 
         if len(keys):
-            got = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+            got = mapped(docs.select("text"), count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
             out = got if out is None else out.union(got)
     return out
 

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import mapped
 from tidemark.llm.textvec import word_codes, hashed
 from tidemark.llm.token_ids import slices
 
@@ -123,7 +124,7 @@ def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     n += np.diff(at)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(total / n, -700, 700))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -34,23 +34,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import files
-from tidemark.llm.common import scratch_path, written
+from tidemark.llm.common import mapped, scratch_path, written
 
 MAGIC, RUN = b"TMDAC\x00\x01\n", 512
 END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
-FILE_IDS, CACHE_WORDS = 8_000_000, 250_000
+FILE_IDS, CACHE_WORDS = 4_000_000, 250_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 2 << 20
 
 
 def pack(ids: np.ndarray) -> list[tuple[str, np.ndarray]]:
     """The levels of a run of ids."""
-    parts, level, left = [], 0, ids.astype(np.uint32)
+    parts, level, left = [], 0, ids
     while level == 0 or len(left):
         more = left > 0xFF
-        ones = np.concatenate(([0], np.cumsum(more)))[:: RUN].astype(np.uint32)
-        parts += [(f"chunk{level}", (left & 0xFF).astype(np.uint8)), (f"more{level}", np.packbits(more, bitorder="little")), (f"rank{level}", ones)]
+        bits = np.packbits(more, bitorder="little")
+        ones = np.bitwise_count(np.concatenate((bits, np.zeros(-len(bits) % (RUN // 8), np.uint8)))).reshape(-1, RUN // 8).sum(1)
+        rank = np.concatenate(([0], np.cumsum(ones)))[: len(left) // RUN + 1].astype(np.uint32)
+        parts += [(f"chunk{level}", left.astype(np.uint8)), (f"more{level}", bits), (f"rank{level}", rank)]
         left, level = left[more] >> 8, level + 1
     return parts
 
@@ -237,7 +239,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
 
     schema = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    manifest = written(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(encode, "part int, number long, path string, n_docs long, n_ids long"), "manifest")
+    manifest = written(mapped(ordered.withColumn("part", F.spark_partition_id()), encode, "part int, number long, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -257,7 +259,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(begins + start), pa.array(codes.parts["n_tokens"].astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = max(1, manifest.sparkSession.sparkContext.defaultParallelism, -(-manifest.count() // 8))
-    return manifest.select("path", "start").repartition(parts).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(manifest.select("path", "start").repartition(parts), decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
