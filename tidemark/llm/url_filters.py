@@ -95,3 +95,39 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     out = at.join(matched(at, rules), ["host", "path"], "left").join(aliases, "url", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def sql(rules: list[tuple[str, str, str]]) -> str:
+    """DuckDB SQL for judge() over ``pages``; the closure of the alias edges stands in for components."""
+    rest = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+
+    def place(url: str) -> str:
+        after = rest.format(url)
+        return f"lower_az(regexp_extract(coalesce({after}, ''), '^[^/?#]*')) AS host, regexp_extract(coalesce({after}, ''), '^[^/?#]*([^?#]*)', 1) AS path"
+
+    def form(url: str) -> str:
+        after = rest.format(url)
+        kept = f"array_to_string(list_filter(string_split(regexp_extract({after}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '{TRACKING}')), '&')"
+        name = f"regexp_replace(lower_az(regexp_extract({after}, '^[^/?#]*')), ':(80|443)$', '')"
+        return f"CASE WHEN {name} <> '' THEN '//' || {name} || regexp_replace(regexp_extract({after}, '^[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
+
+    quoted = lambda r: r.replace("'", "''")
+    values = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}', {k})" for k, (v, h, p) in enumerate(rules))
+    text = f"""WITH RECURSIVE rules(rule_verdict, rule_host, rule_path, rule, rank) AS (VALUES {values}),
+found AS (SELECT url AS a, unnest([{form('url')}, regexp_extract(regexp_extract(html, '{quoted(LINK)}'), '{quoted(HREF)}', 1), regexp_extract(regexp_extract(html, '{quoted(REFRESH)}'), '{quoted(TARGET)}', 1)]) AS b FROM pages WHERE strpos(url, '://') > 0),
+one AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM found WHERE b <> '' UNION ALL SELECT b, {form('b')} FROM found WHERE b LIKE '%://%') WHERE b IS NOT NULL),
+e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+urls AS (SELECT url, {place('url')} FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT b FROM reach WHERE b LIKE '%://%'))),
+m AS (SELECT url, arg_max(rule, (length(rule), -rank)) AS rule, arg_max(rule_verdict, (length(rule), -rank)) AS rule_verdict FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) WHERE host <> '' GROUP BY url),
+d AS (SELECT a AS url, bool_or(rule_verdict = 'allow') AS allowed, bool_or(rule_verdict = 'block') AS blocked FROM reach JOIN m ON m.url = reach.b GROUP BY a)
+SELECT page_id, urls.host, urls.path, m.rule, coalesce(m.rule_verdict, CASE WHEN d.blocked AND NOT d.allowed THEN 'block' END, 'allow') AS verdict
+FROM pages JOIN urls ON urls.url IS NOT DISTINCT FROM pages.url LEFT JOIN m ON m.url = pages.url LEFT JOIN d ON d.url = pages.url"""
+    while "lower_az(" in text:  # A-Z only, as the contract has it
+        at = text.index("lower_az(")
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}translate({text[at + 9 : end - 1]}, '{UPPER}', '{LOWER}'){text[end:]}"
+    return text
