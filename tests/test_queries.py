@@ -20,7 +20,7 @@ def duck():
 
 
 def shown(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
     return f"{float(value):.6f}" if hasattr(value, "dtype") or isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
