@@ -6,7 +6,6 @@ equi-join on tokens, and BM25 uses the statistics of the whole index while filte
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -133,21 +132,23 @@ def _times(own: Column, word: str) -> Column:
 def bm25(docs: DataFrame, words: list[str], fields=FIELDS, key: str = "id") -> DataFrame:
     """(id, score): fields' BM25 by weight, summed over the words; statistics are those of all docs.
 
-    Only the query's words leave the scan; document counts and lengths are one row a field.
+    One pass takes lengths and the query words' counts from the index, another adds up the statistics, a single row.
     """
-    scores = []
-    wanted = sorted(set(words))
-    for f in (f for f in fields if f"t_{f}" in docs.columns):
-        own = F.transform(f"t_{f}", lambda t: t["token"])
-        lengths = docs.where(F.size(f"t_{f}") > 0).agg(F.count("*").alias("n"), F.avg(F.size(f"t_{f}")).alias("mean"))
-        hits = docs.select(key, F.size(f"t_{f}").alias("length"), own.alias("own")).where(F.arrays_overlap("own", F.array(*map(F.lit, wanted))))
-        tf = hits.select(key, "length", F.explode(F.array(*[F.struct(F.lit(w).alias("token"), _times(F.col("own"), w).alias("tf")) for w in wanted])).alias("x")).select(key, "length", "x.*").where("tf > 0")
-        df = tf.groupBy("token").agg(F.count("*").alias("df"))
-        both = tf.join(F.broadcast(df), "token").join(F.broadcast(lengths))  # a row per query word, and one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        one = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        scores.append(both.select(key, (F.lit(fields[f]) * one).alias("score")))
-    return reduce(DataFrame.union, scores).groupBy(key).agg(F.sum("score").alias("score"))
+    wanted, names = sorted(set(words)), [f for f in fields if f"t_{f}" in docs.columns]
+    counted = [F.size(f"t_{f}").alias(f"_l_{f}") for f in names]
+    counted += [_times(F.transform(f"t_{f}", lambda t: t["token"]), w).alias(f"_c_{f}_{k}") for f in names for k, w in enumerate(wanted)]
+    rows = docs.select(key, *counted)
+    stats = [x for f in names for x in (F.count_if(F.col(f"_l_{f}") > 0).alias(f"_n_{f}"), F.avg(F.when(F.col(f"_l_{f}") > 0, F.col(f"_l_{f}"))).alias(f"_m_{f}"))]
+    stats += [F.count_if(F.col(f"_c_{f}_{k}") > 0).alias(f"_d_{f}_{k}") for f in names for k in range(len(wanted))]
+    places = [(f, k) for f in names for k in range(len(wanted))]
+    hits = rows.where(reduce(Column.__or__, [F.col(f"_c_{f}_{k}") > 0 for f, k in places])).join(F.broadcast(rows.agg(*stats)))  # one row
+
+    def part(f: str, k: int) -> Column:
+        n, d, c = F.col(f"_n_{f}"), F.col(f"_d_{f}_{k}"), F.col(f"_c_{f}_{k}")
+        norm = K1 * (1 - B + B * F.col(f"_l_{f}") / F.col(f"_m_{f}"))
+        return F.when(c > 0, F.lit(fields[f]) * F.log(1 + (n - d + 0.5) / (d + 0.5)) * c / (c + norm)).otherwise(0.0)
+
+    return hits.select(key, reduce(Column.__add__, [part(f, k) for f, k in places]).alias("score"))
 
 
 # --- structured filters
@@ -274,6 +275,3 @@ def search(docs: DataFrame, criteria: Criteria) -> tuple[DataFrame, dict[str, Da
     keys = sort_keys(criteria.sort, point)
     return hits.orderBy(*[F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in keys]), facets(chosen)
 
-
-def idf(n: int, df: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))
