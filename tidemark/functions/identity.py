@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The canonical form of a random UUID, and the name space of synthetic record ids that stored records use.
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+RECORD_SPACE = "urn:datagov:catalogrecord:"
 
 
 def is_uuid4(text: Column) -> Column:
@@ -34,7 +36,7 @@ def identifier_error(raw: Column) -> Column:
 def synthetic_record_id(topic: Column, modified: Column) -> Column:
     """A stable @id for a catalog record without one."""
     basis = F.concat(F.coalesce(topic, F.lit("None")), F.lit("|"), F.coalesce(modified, F.lit("None")))
-    return F.concat(F.lit("urn:datagov:catalogrecord:"), F.sha2(basis, 256))
+    return F.concat(F.lit(RECORD_SPACE), F.sha2(basis, 256))
 
 
 def text_hash(text: Column) -> Column:
