@@ -88,3 +88,50 @@ def chart_series(rows: DataFrame, fields: list[str], order: str) -> DataFrame:
 
 def discrepancy_share(failed: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(100.0 * failed / total, 3)).otherwise(F.lit(0.0))
+
+
+def issue_export(issues: DataFrame, records: DataFrame) -> DataFrame:
+    """A job's record issues with their record's identifier and the title in its payload, for a CSV file."""
+    own = records.select(F.col("id").alias("harvest_record_id"), "identifier", "source_raw")
+    rows = issues.join(own, "harvest_record_id", "left")
+    return rows.select("harvest_record_id", "identifier", payload_title(F.col("source_raw"), F.col("type")).alias("title"), "harvest_job_id", "type", "severity", "message", "date_created")
+
+
+def sync_plan(records: DataFrame, datasets: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records whose dataset is to be added, and datasets to be deleted.
+
+    The newest successful version of each (source, identifier), of whatever type, decides; only datasets of known sources are added.
+    """
+    from tidemark.operators.versions import latest_versions, unexpected_datasets
+
+    newest = latest_versions(records, ("harvest_source_id", "identifier")).where("action <> 'delete' and record_type = 'dataset'")
+    add = newest.join(sources.select("harvest_source_id"), "harvest_source_id", "left_semi").join(datasets.select(F.col("harvest_record_id").alias("id")), "id", "left_anti")
+    return add, unexpected_datasets(records, datasets)
+
+
+def sync_report(add: DataFrame, delete: DataFrame, batch: int = 1000) -> DataFrame:
+    """One row: how much is to be added and deleted, and in how many batches."""
+    n = add.agg(F.count("*").alias("to_add")).join(F.broadcast(delete.agg(F.count("*").alias("to_delete"))))  # a row each
+    return n.withColumn("batches", (F.ceil(F.col("to_add") / batch) + F.ceil(F.col("to_delete") / batch)).cast("long"))
+
+
+def source_summary(jobs: DataFrame, live: DataFrame, now: str) -> DataFrame:
+    """(harvest_source_id, live_records, last_errors, next_run): what a source's page tells."""
+    done = jobs.where("status = 'complete'").groupBy("harvest_source_id").agg(F.max_by("records_errored", F.struct("date_created", "id")).alias("last_errors"))
+    ahead = jobs.where((F.col("status") == "new") & (F.col("date_created") > F.lit(now).cast("timestamp"))).groupBy("harvest_source_id").agg(F.min("date_created").alias("next_run"))
+    n = live.groupBy("harvest_source_id").agg(F.count("*").alias("live_records"))
+    return n.join(done, "harvest_source_id", "full_outer").join(ahead, "harvest_source_id", "full_outer").withColumn("live_records", F.coalesce("live_records", F.lit(0)))
+
+
+def seeded_sample(rows: DataFrame, size: int, seed: int, key: str = "id") -> DataFrame:
+    """A run of rows, by key, from a place that the seed chooses: the same on every run."""
+    import random
+
+    return rows.orderBy(key).offset(random.Random(seed).randrange(max(1, rows.count() - size + 1))).limit(size)
+
+
+def document_differences(left: DataFrame, right: DataFrame, key: str = "id", doc: str = "doc") -> DataFrame:
+    """(key, field, left, right) of top-level fields in which two JSON documents differ."""
+    flat = lambda df, name: df.select(key, F.explode(F.from_json(doc, "map<string,string>")).alias("field", name))
+    both = flat(left, "left").join(flat(right, "right"), [key, "field"], "full_outer")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))

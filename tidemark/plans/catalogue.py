@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, geo, identity, media, quality, text
 from tidemark.functions.json_schema import schema_errors
-from tidemark.operators import diff, facets, paging, reports, store, versions
+from tidemark.operators import diff, documents, facets, paging, reports, scheduling, store, versions
 from tidemark.plans import roles, search
 from tidemark.plans.roles import DATASETS, EVENTS_NOW, ISSUES, JOBS, LATEST, ORDERS_NOW, RECORDS, SNAPSHOT
 from tidemark.sources import catalogs, listings
@@ -342,6 +342,51 @@ def source_page_summary(s, d):
     return roles.jobs(s, d).groupBy("harvest_source_id", "status").agg(F.count("*").alias("n"), F.max("date_created").alias("latest"))
 
 
+@query(f"""WITH {RECORDS}, {DATASETS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY date_created DESC, id DESC) AS r FROM records WHERE status = 'success') WHERE r = 1 AND action <> 'delete' AND record_type = 'dataset'),
+a AS (SELECT count(*) AS n FROM l WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = harvest_source_id) AND NOT EXISTS (SELECT 1 FROM datasets x WHERE x.harvest_record_id = l.id)),
+b AS (SELECT count(*) AS n FROM datasets x JOIN records r ON r.id = x.harvest_record_id WHERE r.action = 'delete' OR r.status <> 'success')
+SELECT a.n::BIGINT AS to_add, b.n::BIGINT AS to_delete, (ceil(a.n / 1000) + ceil(b.n / 1000))::BIGINT AS batches FROM a, b""")
+def sync_report(s, d):
+    sources = roles.read(s, d, "customer").select(F.col("c_custkey").alias("harvest_source_id"))
+    return reports.sync_report(*reports.sync_plan(roles.records(s, d), roles.datasets(s, d), sources))
+
+
+@query(f"""WITH {RECORDS}, {ISSUES} SELECT i.id, r.identifier, CASE WHEN i.type <> 'F' AND r.id % 2 = 0 THEN 'T' || r.id END AS title, i.harvest_job_id FROM issues i LEFT JOIN records r ON r.id = i.harvest_record_id""")
+def issue_export(s, d):
+    records = roles.records(s, d).select("id", "identifier", F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"title": "T'), "id", F.lit('"}'))).otherwise(F.lit("<x/>")).alias("source_raw"))
+    issues = roles.issues(s, d).withColumn("message", F.col("id")).withColumn("type", F.when(F.col("type") == "F", "TransformationException").otherwise(F.col("type")))
+    return reports.issue_export(issues, records).select(F.col("message").alias("id"), "identifier", "title", "harvest_job_id")
+
+
+@query(f"""WITH {JOBS}, {LATEST}, c AS (SELECT harvest_source_id, arg_max(CAST(floor(total) AS BIGINT), struct_pack(a := date_created, b := id)) AS last_errors FROM jobs WHERE status = 'complete' GROUP BY 1),
+f AS (SELECT harvest_source_id, min(date_created) AS next_run FROM jobs WHERE status = 'new' AND date_created > TIMESTAMP '{ORDERS_NOW}' GROUP BY 1), n AS (SELECT harvest_source_id, count(*)::BIGINT AS live_records FROM latest WHERE action <> 'delete' GROUP BY 1)
+SELECT k AS harvest_source_id, coalesce(live_records, 0)::BIGINT AS live_records, last_errors, next_run FROM (SELECT harvest_source_id AS k FROM c UNION SELECT harvest_source_id FROM f UNION SELECT harvest_source_id FROM n) LEFT JOIN c ON c.harvest_source_id = k LEFT JOIN f ON f.harvest_source_id = k LEFT JOIN n ON n.harvest_source_id = k""")
+def source_summary(s, d):
+    jobs = roles.jobs(s, d).withColumn("records_errored", F.floor("total"))
+    return reports.source_summary(jobs, versions.latest_live(roles.records(s, d), columns=["harvest_source_id"]), ORDERS_NOW)
+
+
+@query("SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'JSON' WHEN 1 THEN 'ISO-2' WHEN 2 THEN 'INDETERMINATE' ELSE 'N/A' END AS metadata_type, CASE page_id % 3 WHEN 0 THEN 'apache' WHEN 1 THEN 'nginx' ELSE 'unknown' END AS server FROM pages")
+def source_health(s, d):
+    n = F.col("page_id")
+    body = F.when(n % 4 == 0, F.lit('{"a": 1}')).when(n % 4 == 1, F.lit('<?xml version="1.0"?><gmi:MI_Metadata/>')).when(n % 4 == 2, F.substring("html", 1, 200))
+    header = F.when(n % 3 == 0, "Apache/2.4").when(n % 3 == 1, "nginx/1.2")
+    return roles.read(s, d, "pages").select(n.alias("id"), media.metadata_type(F.lit("text/plain"), body).alias("metadata_type"), media.server_type(header).alias("server"))
+
+
+@query(f"WITH {JOBS} SELECT id, harvest_source_id FROM jobs j WHERE status = 'new' AND NOT EXISTS (SELECT 1 FROM jobs r WHERE r.status = 'in_progress' AND r.harvest_source_id = j.harvest_source_id)")
+def jobs_startable(s, d):
+    return scheduling.startable(roles.jobs(s, d)).select("id", "harvest_source_id")
+
+
+@query("""SELECT p_partkey AS id, p_name AS title, p_brand AS publisher, string_split(p_name, ' ') AS k, p_partkey % 2 = 0 AS has_download FROM part""".replace("string_split(p_name, ' ') AS k", "array_to_string(string_split(p_name, ' '), '|') AS keyword"))
+def index_documents(s, d):
+    words = F.concat(F.lit('["'), F.regexp_replace("p_name", " ", '", "'), F.lit('"]'))
+    raw = F.concat(F.lit('{"title": "'), "p_name", F.lit('", "publisher": {"name": "'), "p_brand", F.lit('"}, "keyword": '), words, F.lit(', "distribution": [{"downloadURL": "'), F.when(F.col("p_partkey") % 2 == 0, "u").otherwise(" "), F.lit('"}]}'))
+    rows = roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), raw.alias("dcat"), F.lit(None).cast("string").alias("translated_spatial"), F.col("p_partkey").alias("harvest_record_id"), F.lit(False).alias("has_transformed"))
+    return documents.documents(rows, "http://catalog").select("id", "title", "publisher", F.array_join("keyword", "|").alias("keyword"), "has_download")
+
+
 # --- search. Documents' texts are tokenised alike in SQL: runs of ASCII letters, digits and apostrophes
 
 GAP = r"[^a-z0-9']+"
