@@ -150,6 +150,50 @@ def test_toxicity_symbols():
     assert ((toxicity.place(key) >= 0) & (toxicity.place(key) < toxicity.BUCKETS)).all()
 
 
+def brute_kneser_ney(texts, labels):
+    """log P(1) - log P(0) of a symbol after its history, by plain interpolated Kneser-Ney models."""
+    size, less = toxicity.ORDER, toxicity.DISCOUNT
+    level = {size: {}}
+    for t, y in zip(texts, labels, strict=True):
+        t = f" {t} "
+        for k in range(len(t) - size + 1):
+            level[size].setdefault(t[k : k + size], [0, 0])[y] += 1
+    for k in range(size - 1, 0, -1):
+        level[k] = {}
+        for g, n in level[k + 1].items():
+            own = level[k].setdefault(g[1:], [0, 0])
+            for i in (0, 1):
+                own[i] += n[i] > 0
+    shared = {g: sum(n) + 0.5 for g, n in level[1].items()}
+    after = {}
+    for k in range(2, size + 1):
+        for g, n in level[k].items():
+            for i in (0, 1):
+                s = after.setdefault((g[:-1], i), [0, 0])
+                s[0], s[1] = s[0] + n[i], s[1] + (n[i] > 0)
+
+    def p(g, i):
+        if len(g) == 1:
+            return shared.get(g, 0.5) / sum(shared.values())
+        s, kinds = after.get((g[:-1], i), (0, 0))
+        return (max(level[len(g)].get(g, (0, 0))[i] - less, 0) + less * kinds * p(g[1:], i)) / s if s else p(g[1:], i)
+
+    return lambda g: np.log(p(g, 1)) - np.log(p(g, 0))
+
+
+def test_toxicity_is_the_kneser_ney_ratio(spark):
+    rng = np.random.default_rng(31)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 7))) for _ in range(n))
+    texts, labels = [text(60) for _ in range(160)], [int(k % 3 == 0) for k in range(160)]
+    seen = toxicity.counts(spark.createDataFrame([(t, y, 0) for t, y in zip(texts, labels, strict=True)], "text string, label int, part int"))
+    table = toxicity.packed(toxicity.weights(seen, F.col("a0"), F.col("a1")))
+    ratio, size = brute_kneser_ney(texts, labels), toxicity.ORDER
+    tried = [*texts[:30], *(text(40) for _ in range(30)), "zqzqzqzqzq"]  # of texts not learned from, most n-grams are new
+    for t, mean in zip(tried, toxicity.evidence(pa.array(tried), *table)[:, 0], strict=True):
+        own = f" {t} "
+        assert mean == pytest.approx(np.mean([ratio(own[k : k + size]) for k in range(len(own) - size + 1)]), abs=1e-5)
+
+
 def test_quality_classifier(spark, labelled, odd, none):
     docs, labels = labelled
     assert accuracy(quality_model.judge(docs, labels), labels, "quality", False) > 0.95

@@ -9,8 +9,8 @@ and the largest mean over any ``SPAN`` symbols, which a single expression in a l
 them into a score.
 
 Counting runs over all labelled texts; the counts meet in Spark and the models are built by joins. What goes to the
-workers is one table of ``BUCKETS`` places, whatever the corpus: where n-grams share a place the one whose weight times count is larger
-stays, and the other is scored by its next shorter suffix, as is any n-gram not seen. The curve is fitted on at most
+workers is a table of the whole model, which grows with the labelled texts: the log ratio of every n-gram that either class has, and of every history
+the log ratio of its backoff weights, by which an n-gram that neither class has is scored before its next shorter suffix. The curve is fitted on at most
 ``CURVE_ROWS`` labelled rows of a part that its model did not count; the final model counts all parts.
 
 Symbols beyond U+0BFF share 1024 codes. Defined cases: null and empty texts score as a text without evidence; with no labelled
@@ -34,12 +34,15 @@ from tidemark.llm.token_ids import slices
 
 ORDER, DISCOUNT, SPAN, CLEAR = 5, 0.75, 12, 4 / 12
 EVIDENCE = ("_mean", "_top", "_clear", "_all_clear")
+#: The least places of the model's table; it gets two an entry or more, and entries that share a place are all kept.
 BUCKETS_LOG = 21
 BUCKETS = 1 << BUCKETS_LOG
 CURVE_ROWS = 20_000
 #: Labelled rows that may be broadcast to the documents.
 LABEL_ROWS = 1_000_000
 BITS = 12
+#: The bit that tells a history's key from an n-gram's.
+HISTORY = 1 << 62
 #: Bytes of text that a worker takes apart at once; an n-gram takes some eighty bytes meanwhile.
 PIECE_BYTES = 1 << 20
 #: Counted n-grams that a worker holds before it adds equal ones up.
@@ -109,20 +112,22 @@ def _tail(k: int) -> Column:
 
 
 def weights(seen: DataFrame, n0: Column, n1: Column) -> DataFrame:
-    """(key, llr, n) of every n-gram of orders 2 to ORDER; key is the n-gram with its order in the bits above."""
+    """(key, llr) of every n-gram of orders 2 to ORDER and of every history's backoff weights; key is the n-gram or history with its order, and a bit for a history, in the bits above."""
     level = {ORDER: written(seen.select("g", n0.alias("n0"), n1.alias("n1")).where("n0 + n1 > 0"), "order")}
     for k in range(ORDER - 1, 0, -1):
         level[k] = written(level[k + 1].groupBy(_tail(k).alias("g")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "order")
     every = Window.partitionBy()  # one row per symbol at most
     shared = (F.col("n0") + F.col("n1") + 0.5) / F.sum(F.col("n0") + F.col("n1") + 0.5).over(every)
     lower, out = level[1].select(F.col("g").alias("low"), shared.alias("q0"), shared.alias("q1")), []
+    backoff = lambda i: F.when(F.col(f"s{i}") > 0, DISCOUNT * F.col(f"t{i}") / F.col(f"s{i}")).otherwise(1.0)
     for k in range(2, ORDER + 1):
         ahead = F.shiftright("g", BITS).alias("h")
-        sums = level[k].groupBy(ahead).agg(*[x for i in (0, 1) for x in (F.sum(f"n{i}").alias(f"s{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"t{i}"))])
+        sums = written(level[k].groupBy(ahead).agg(*[x for i in (0, 1) for x in (F.sum(f"n{i}").alias(f"s{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"t{i}"))]), "histories")
         joined = level[k].withColumn("h", ahead).withColumn("low", _tail(k - 1)).join(sums, "h").join(lower, "low")
-        p = lambda i: F.when(F.col(f"s{i}") > 0, (F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t{i}") * F.col(f"q{i}")) / F.col(f"s{i}")).otherwise(F.col(f"q{i}"))
-        found = written(joined.select("g", p(0).alias("p0"), p(1).alias("p1"), (F.col("n0") + F.col("n1")).alias("n")), "model")
-        out.append(found.select((F.col("g").bitwiseOR(F.lit((k - 2) << BITS * ORDER))).alias("key"), (F.log("p1") - F.log("p0")).alias("llr"), "n"))
+        p = lambda i: F.when(F.col(f"s{i}") > 0, F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{i}")).otherwise(0.0) + backoff(i) * F.col(f"q{i}")
+        found = written(joined.select("g", p(0).alias("p0"), p(1).alias("p1")), "model")
+        out.append(found.select((F.col("g").bitwiseOR(F.lit((k - 2) << BITS * ORDER))).alias("key"), (F.log("p1") - F.log("p0")).alias("llr")))
+        out.append(sums.select((F.col("h").bitwiseOR(F.lit((k - 2) << BITS * ORDER | HISTORY))).alias("key"), (F.log(backoff(1)) - F.log(backoff(0))).alias("llr")))
         lower = found.select(F.col("g").alias("low"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
     rows = out[0]
     for more in out[1:]:
@@ -130,35 +135,50 @@ def weights(seen: DataFrame, n0: Column, n1: Column) -> DataFrame:
     return rows
 
 
-def place(key):
-    """A key's place in the table, alike in Spark and numpy."""
-    if isinstance(key, Column):
-        return key.bitwiseXOR(F.shiftrightunsigned(key, 19)).bitwiseXOR(F.shiftrightunsigned(key, 37)).bitwiseAND(F.lit(BUCKETS - 1))
-    return (key ^ key >> 19 ^ key >> 37) & (BUCKETS - 1)
+def place(key: np.ndarray, bits: int = BUCKETS_LOG) -> np.ndarray:
+    """The places of keys in a table of 2^bits."""
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The table for the workers, of BUCKETS places: keys and log ratios."""
-    best = F.max_by(F.struct("key", "llr"), F.abs("llr") * F.log1p("n")).alias("best")
-    got = rows.groupBy(place(F.col("key")).alias("place")).agg(best).select("best.*").toArrow()
-    keys, ratios = np.full(BUCKETS, -1, np.int64), np.zeros(BUCKETS, np.float32)
-    key = got["key"].to_numpy()
-    keys[place(key)], ratios[place(key)] = key, got["llr"].to_numpy()
-    return keys, ratios
+def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table for the workers: all keys in order of their places, their log ratios, and where each place begins."""
+    got = rows.select("key", F.col("llr").cast("float")).toArrow()
+    key, ratio = got["key"].to_numpy(), got["llr"].to_numpy()
+    bits = max(BUCKETS_LOG, int(2 * len(key)).bit_length())
+    spot = place(key, bits)
+    order = np.argsort(spot, kind="stable")
+    starts = np.zeros((1 << bits) + 1, np.int32 if len(key) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount(spot, minlength=1 << bits), out=starts[1:])
+    return key[order], ratio[order], starts
 
 
-def evidence(texts: pa.Array, keys: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+def looked_up(key: np.ndarray, keys: np.ndarray, ratios: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's log ratio, 0 where the table has none, and whether it has."""
+    spot = place(key, (len(starts) - 1).bit_length() - 1)
+    at, end = starts[spot], starts[spot + 1]
+    out, found = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        here = at[left]
+        same = keys[here] == key[left]
+        out[left[same]], found[left[same]] = ratios[here[same]], True
+        at[left] += 1
+        left = left[~same & (here + 1 < end[left])]
+    return out, found
+
+
+def evidence(texts: pa.Array, keys: np.ndarray, ratios: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Each text's EVIDENCE, a row per text."""
     values, at = symbols(texts)
     gram = grams(values)
     ratio = np.zeros(len(gram), np.float32)
     left = np.arange(len(gram))
     for k in range(ORDER, 1, -1):
-        key = gram[left] & ((1 << BITS * k) - 1) | (k - 2) << BITS * ORDER
-        spot = place(key)
-        found = keys[spot] == key
-        ratio[left[found]] = ratios[spot[found]]
-        left = left[~found]
+        key = gram[left] & ((1 << BITS * k) - 1)
+        own, found = looked_up(key | (k - 2) << BITS * ORDER, keys, ratios, starts)
+        ratio[left] += own
+        left, key = left[~found], key[~found]
+        ratio[left] += looked_up(key >> BITS | (k - 2) << BITS * ORDER | HISTORY, keys, ratios, starts)[0]
     each = np.zeros(len(values) + 1)  # each[i + 1]: sum up to symbol i
     each[ORDER:] = np.cumsum(ratio.astype(np.float64))
     # a text's first n-grams reach into the text before it: they don't count
@@ -179,16 +199,15 @@ def evidence(texts: pa.Array, keys: np.ndarray, ratios: np.ndarray) -> np.ndarra
 
 def _measured(docs: DataFrame, table, keep: list[str]) -> DataFrame:
     """docs' kept columns with EVIDENCE."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS places of 12 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # the whole model: 12 bytes an entry, 4 a place
 
     names = [f"_{k}" for k in range(len(keep))]  # a kept column may have any name
     text = names[keep.index("text")] if "text" in keep else "text"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ratios = shared.value
         for batch in batches:
             for a, b in slices(batch[text], PIECE_BYTES):
-                found = evidence(batch[text].slice(a, b - a), keys, ratios)
+                found = evidence(batch[text].slice(a, b - a), *shared.value)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(EVIDENCE)))], [*names, *EVIDENCE])
 
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
