@@ -150,6 +150,16 @@ def test_toxicity_symbols():
     assert ((toxicity.place(key) >= 0) & (toxicity.place(key) < toxicity.BUCKETS)).all()
 
 
+def test_clean_drops_what_judge_predicts(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    spread = docs.select("doc_id", (F.col("doc_id") / 300).alias("score"))  # scores all over, those between 0.3 and 0.5 too
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(toxicity, "score", lambda docs, model, keep, name="score": docs.join(spread.withColumnRenamed("score", name), "doc_id").select(*keep, name))
+    predicted = {r.doc_id for r in toxicity.judge(docs, labels).where("predicted = 1").collect()}
+    kept = {r.doc_id for r in toxicity.clean(docs, docs, labels).collect()}
+    assert predicted and kept and not predicted & kept and predicted | kept == {r.doc_id for r in docs.collect()}
+
+
 def brute_kneser_ney(texts, labels):
     """log P(1) - log P(0) of a symbol after its history, by plain interpolated Kneser-Ney models."""
     size, less = toxicity.ORDER, toxicity.DISCOUNT

@@ -33,6 +33,8 @@ from tidemark.llm.common import mapped, small, written
 from tidemark.llm.token_ids import slices
 
 ORDER, DISCOUNT, SPAN, CLEAR = 5, 0.75, 12, 4 / 12
+#: The score from which a document counts as toxic.
+THRESHOLD = 0.3
 EVIDENCE = ("_mean", "_top", "_clear", "_all_clear")
 #: The least places of the model's table; it gets two an entry or more, and entries that share a place are all kept.
 BUCKETS_LOG = 21
@@ -255,14 +257,14 @@ def parts(labels: DataFrame, label: str, divisor: int, held_out: int, curve_part
     return labels.where(left != held_out).select("doc_id", F.col(label).alias("label"), (left == curve_part).cast("int").alias("part"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(docs, parts(labels, "toxic", 4, 2, 3))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return score(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def clean(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score at least the threshold, by a model learned from corpus and labels."""
     rows = score(docs, fit(corpus, parts(labels, "toxic", 4, 2, 3)), docs.columns, "_score")
     return rows.where(F.col("_score") < threshold).drop("_score")
