@@ -1,6 +1,7 @@
 """Edge cases of every training-data operator: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -368,6 +369,41 @@ def test_masks_survive_any_one_substitution():
     assert all(any(k not in mask for mask in decontaminate.MASKS) for k in range(decontaminate.SPAN))
 
 
+def test_masks_hit_every_placement():
+    """No placement of substitutions inside an accepted run goes without a hit: tried one by one to 20 places, and beyond by the least substitutions that avoid all hits."""
+    masks = [(m[-1], sum(1 << k for k in m)) for m in decontaminate.MASKS]
+    for n in range(decontaminate.SPAN, 21):
+        for many in range(n // 5 + 1):
+            swapped = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(1, n - 1), many)])
+            hit = np.zeros(len(swapped), bool)
+            for last, bits in masks:
+                for at in range(n - last):
+                    hit |= swapped >> at & bits == 0
+            assert hit.all(), (n, many, int((~hit).sum()))
+    size = 1 << decontaminate.SPAN - 1  # states: the last SPAN - 1 places, a bit for each equal one
+    least, state = np.full(size, 10**6), np.arange(size)
+    least[1] = 0
+    equal = state << 1 | 1
+    for n in range(2, 201):
+        hit = np.zeros(size, bool)
+        for m in decontaminate.MASKS:
+            back = sum(1 << m[-1] - k for k in m)
+            hit |= (m[-1] < n) & (equal & back == back)
+        after = np.full(size, 10**6)
+        np.minimum.at(after, state << 1 & size - 1, least + 1)
+        np.minimum.at(after, equal[~hit] & size - 1, least[~hit])
+        least = after
+        assert n < decontaminate.SPAN or 5 * least[1::2].min() > n
+
+
+def test_decontamination_finds_every_placement(spark):
+    places = list(itertools.combinations(range(1, 14), 3))
+    text = [f"q{k}" for k in range(15)]
+    docs = [(i, " ".join([*(f"a{i}x{k}" for k in range(12)), *("other" if k in own else w for k, w in enumerate(text)), *(f"b{i}x{k}" for k in range(12))])) for i, own in enumerate(places)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")).collect()
+    assert len(places) == 286 and {(r.doc_id, r.doc_from, r.n_places, r.n_equal) for r in got} == {(i, 12, 15, 12) for i in range(286)}
+
+
 # 9
 
 
