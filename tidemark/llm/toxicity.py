@@ -156,16 +156,19 @@ def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def looked_up(key: np.ndarray, keys: np.ndarray, ratios: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key's log ratio, 0 where the table has none, and whether it has."""
-    spot = place(key, (len(starts) - 1).bit_length() - 1)
-    at, end = starts[spot], starts[spot + 1]
     out, found = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
-    left = np.flatnonzero(at < end)
-    while len(left):
-        here = at[left]
-        same = keys[here] == key[left]
-        out[left[same]], found[left[same]] = ratios[here[same]], True
-        at[left] += 1
-        left = left[~same & (here + 1 < end[left])]
+    bits, block = (len(starts) - 1).bit_length() - 1, 1 << 16  # in blocks, so that what a lookup holds stays small
+    for a in range(0, len(key), block):
+        some = key[a : a + block]
+        spot = place(some, bits)
+        at, end = starts[spot], starts[spot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            same = keys[here] == some[left]
+            out[a + left[same]], found[a + left[same]] = ratios[here[same]], True
+            at[left] += 1
+            left = left[~same & (here + 1 < end[left])]
     return out, found
 
 
