@@ -13,8 +13,12 @@ Columns, each nullable: record_id, record_type, target_uri, date, refers_to, pay
 http_status int, payload_length long, payload binary. payload_length is the HTTP Content-Length where the record has
 HTTP headers (so a revisit tells the length of the payload it refers to), else the length of the block.
 
-Defined cases: a null payload is written as an empty one; control characters in a url are percent-encoded; an empty table gives no
-archive and reads as no rows.
+Archives are read in pieces of 64 KB, whatever their size; a payload that a column asks for is held whole, as are the rows of a batch of some 4 MB.
+
+Defined cases: a null payload is written as an empty one; blanks, control characters and line separators in a header's value are
+percent-encoded; of a header that repeats the first holds; a record without a readable length has an empty block; an empty table gives no
+archive and reads as no rows; payloads and urls of any length are kept whole; pages that repeat are written each; extra columns stay out.
+Reading and writing turn on spark.sql.python.filterPushdown.enabled for the session.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from tidemark.llm.common import scratch_path
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, content_type string, http_status int, payload_length long, payload binary"
-FILE_BYTES, LEVEL, BATCH_BYTES = 32 << 20, 3, 4 << 20
+FILE_BYTES, LEVEL, BATCH_BYTES, PIECE = 32 << 20, 3, 4 << 20, 1 << 16
 
 
 def member(record: bytes, level: int = LEVEL) -> bytes:
@@ -50,23 +54,40 @@ def member(record: bytes, level: int = LEVEL) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra + body + zlib.crc32(record).to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
-def member_length(data: memoryview, at: int) -> int | None:
-    """The length of the gzip member that begins there, if its extra field tells it."""
-    if data[at + 3] & 4:
-        end = at + 12 + int.from_bytes(data[at + 10 : at + 12], "little")
-        k = at + 12
+def member_sizes(head: bytes) -> tuple[int, int] | None:
+    """The length of the gzip member that begins there and of what it holds, if its extra field tells them."""
+    if len(head) > 12 and head[3] & 4:
+        end, k = 12 + int.from_bytes(head[10:12], "little"), 12
         while k + 4 <= end:
-            size = int.from_bytes(data[k + 2 : k + 4], "little")
-            if bytes(data[k : k + 2]) == b"sl" and size == 8:
-                return int.from_bytes(data[k + 4 : k + 8], "little")
+            size = int.from_bytes(head[k + 2 : k + 4], "little")
+            if head[k : k + 2] == b"sl" and size == 8:
+                return int.from_bytes(head[k + 4 : k + 8], "little"), int.from_bytes(head[k + 8 : k + 12], "little")
             k += 4 + size
     return None
 
 
 def fields(head: bytes) -> dict[str, str]:
-    """Header lines by lower-case name; continued lines are joined."""
-    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
+    """Header lines by lower-case name, the first of a name that repeats. Only LF, with or without CR, ends a line; continued lines are joined."""
+    out: dict[str, str] = {}
+    for line in re.sub(rb"\r?\n[ \t]+", b" ", head).split(b"\n")[1:]:
+        name, colon, value = line.partition(b":")
+        if colon and name.strip():
+            out.setdefault(name.strip().decode("utf-8", "replace").lower(), value.strip(b" \t\r").decode("utf-8", "replace"))
+    return out
+
+
+def length_of(head: dict[str, str]) -> int | None:
+    told = head.get("content-length", "")
+    return int(told) if told.isascii() and told.isdigit() else None
+
+
+#: Blanks, controls and whatever else some reader may take for the end of a line.
+UNSAFE = re.compile("[\x00-\x20\x7f-\x9f\u2028\u2029]")
+
+
+def safe(value: str | None) -> str | None:
+    """A header's value with UNSAFE characters percent-encoded as UTF-8."""
+    return value and UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
 def record_bytes(row: dict) -> bytes:
@@ -74,10 +95,10 @@ def record_bytes(row: dict) -> bytes:
     length = row.get("payload_length")
     http = f"HTTP/1.1 {row.get('http_status') or 200} OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if length is None else length}\r\n\r\n".encode()
     block = http + (b"" if row["record_type"] == "revisit" else payload)
-    clean = lambda s: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s)
-    head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<{row['record_id']}>"), ("WARC-Date", row.get("date") or "1970-01-01T00:00:00Z"), ("WARC-Target-URI", row.get("target_uri") and clean(row["target_uri"])), ("WARC-Payload-Digest", row.get("payload_digest") and f"sha256:{row['payload_digest']}")]
+    told = {c: safe(row.get(c)) for c in HEADERS}
+    head = [("WARC-Type", told["record_type"]), ("WARC-Record-ID", f"<{told['record_id']}>"), ("WARC-Date", told["date"] or "1970-01-01T00:00:00Z"), ("WARC-Target-URI", told["target_uri"]), ("WARC-Payload-Digest", told["payload_digest"] and f"sha256:{told['payload_digest']}")]
     if row["record_type"] == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", row.get("refers_to") and f"<{row['refers_to']}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", told["refers_to"] and f"<{told['refers_to']}>")]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -109,61 +130,140 @@ def named(head: dict[str, str]) -> dict:
     return row
 
 
-def finished(row: dict, block: bytes, payload: bool) -> dict:
-    row |= {"http_status": None, "payload_length": len(block), "payload": block if payload else None}
-    if (row["content_type"] or "").startswith("application/http"):
-        http, gap, body = block.partition(b"\r\n\r\n")
-        status = http.split(b" ", 2)[1:2]
-        length = fields(http).get("content-length", "")
-        row |= {"http_status": int(status[0]) if status and status[0].isdigit() else None, "payload_length": int(length) if length.isdigit() else len(body), "payload": bytes(body) if payload else None}
-    return row
-
-
-def records(data: bytes, wanted: Wanted, columns: set[str]) -> Iterator[dict]:
+class Raw:
+    """A file's bytes from a place on; what is stepped over is not read, but for what a piece holds of it."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.held, self.base = file, size, 0, b"", 0
+
+    def __call__(self, n: int) -> bytes:
+        off = self.at - self.base
+        if not 0 <= off <= len(self.held) - min(n, self.size - self.at):
+            self.file.seek(self.at)
+            self.held, self.base, off = self.file.read(max(n, 4 * PIECE)), self.at, 0
+        piece = self.held[off : off + n]
+        self.at += len(piece)
+        return piece
+
+    def peek(self, n: int) -> bytes:
+        at, piece = self.at, self(n)
+        self.at = at
+        return piece
+
+    def skip(self, n: int) -> None:
+        self.at = min(self.size, self.at + n)
+
+
+class Inflated:
+    """What the gzip members from a place on, or up to another, hold, a bounded piece at a time."""
+
+    def __init__(self, raw: Raw, end: int | None = None):
+        self.raw, self.end, self.inflate, self.rest = raw, raw.size if end is None else end, zlib.decompressobj(31), b""
+
+    def __call__(self, n: int) -> bytes:
+        while True:
+            if self.inflate.eof:
+                self.rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+            self.rest = self.rest or self.raw(min(PIECE, self.end - self.raw.at))
+            if not self.rest:
+                return b""
+            piece = self.inflate.decompress(self.rest, n)
+            self.rest = self.inflate.unconsumed_tail
+            if piece:
+                return piece
+
+
+class Text:
+    """Bytes that come in pieces: heads are looked for, blocks taken or stepped over, and what has passed is let go."""
+
+    def __init__(self, more):
+        self.more, self.held, self.passed = more, bytearray(), 0
+
+    def grow(self) -> bool:
+        piece = self.more(PIECE)
+        self.held += piece
+        return bool(piece)
+
+    def skip(self, n: int) -> None:
+        self.passed += n
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if isinstance(self.more, Raw):
+                self.more.skip(n)
+                return
+            if not self.grow():
+                return
+        del self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.grow():
+            pass
+        block = bytes(self.held[:n])
+        self.skip(len(block))
+        return block
+
+    def head(self, mark: bytes = b"") -> bytes | None:
+        """What stands before the next blank line, from mark on; None if there is none. What stands before mark is let go."""
+        if mark:
+            while (at := self.held.find(mark)) < 0:
+                self.skip(max(0, len(self.held) - len(mark)))
+                if not self.grow():
+                    return None
+            self.skip(at)
+        tried = 0
+        while (end := self.held.find(b"\r\n\r\n", tried)) < 0:
+            tried = max(0, len(self.held) - 3)
+            if not self.grow():
+                return None
+        return self.take(end + 4)[:-4]
+
+
+def next_record(text: Text, wanted: Wanted, columns: set[str]) -> tuple[int, dict | None]:
+    """Where the next record ends, and its row if it is wanted; (-1, None) if there is none. Only as much of the block is read as the columns ask for."""
+    head = text.head(b"WARC/")
+    if head is None:
+        return -1, None
+    known = fields(head)
+    size, end = length_of(known) or 0, text.passed
+    row: dict | None = named(known)
+    if not wanted(row):
+        row = None
+    elif columns & {"payload", "payload_length", "http_status"}:
+        row |= {"http_status": None, "payload_length": size, "payload": None}
+        payload, rest = "payload" in columns, size
+        if (row["content_type"] or "").startswith("application/http"):
+            block = Text(lambda n: text.take(min(n, end + size - text.passed)))
+            http = block.head()
+            if http is not None:
+                status = http.split(b" ", 2)[1:2]
+                rest = size - len(http) - 4
+                told = length_of(fields(http))
+                row |= {"http_status": int(status[0]) if status and status[0].isdigit() else None, "payload_length": rest if told is None else told}
+                row["payload"] = block.take(rest) if payload else None
+        elif payload:
+            row["payload"] = text.take(size)
+    return end + size, row
+
+
+def records(file, size: int, wanted: Wanted, columns: set[str]) -> Iterator[dict]:
     """The wanted records of an archive: plain, with a gzip member per record, or gzipped as a whole."""
-    whole = memoryview(data)
-    payload, block = "payload" in columns, bool(columns & {"payload", "payload_length", "http_status"})
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] != b"\x1f\x8b":
-            yield from plain(whole[at:], wanted, payload)
+    raw = Raw(file, size)
+    while raw.at < size:
+        start, zipped = raw.at, raw.peek(2) == b"\x1f\x8b"
+        head = raw.peek(12) if zipped else b""
+        sizes = member_sizes(raw.peek(12 + int.from_bytes(head[10:12], "little"))) if zipped else None
+        text = Text(Inflated(raw, start + sizes[0] if sizes else None) if zipped else raw)
+        while True:
+            end, row = next_record(text, wanted, columns)
+            if row is not None:
+                yield row
+            if end < 0 or sizes and end + 4 >= sizes[1]:  # a member that tells its length is left here, what is left of it not inflated
+                break
+            text.skip(end - text.passed)
+        if not sizes:
             return
-        step = member_length(whole, at)
-        inflate = zlib.decompressobj(31)
-        if step:
-            head = inflate.decompress(whole[at : at + min(step, 2048)], 4096)
-            while b"\r\n\r\n" not in head:
-                more = inflate.decompress(inflate.unconsumed_tail or whole[at + 2048 : at + step], 1 << 16)
-                if not more:
-                    break
-                head += more
-            first, _, rest = head.partition(b"\r\n\r\n")
-            known = fields(first)
-            row = named(known)
-            if wanted(row):
-                if block:
-                    size = int(known.get("content-length", 0))
-                    body = zlib.decompress(whole[at : at + step], 31)[len(first) + 4 :] if payload and row["record_type"] != "revisit" else rest
-                    yield finished(row, body[:size], payload)
-                else:
-                    yield row
-            at += step
-        else:
-            text = inflate.decompress(whole[at:])
-            yield from plain(memoryview(text), wanted, payload)
-            at = len(data) - len(inflate.unused_data)
-
-
-def plain(data: memoryview, wanted: Wanted, payload: bool) -> Iterator[dict]:
-    """Records one after another, without compression; an unwanted block is stepped over."""
-    text, at = data.obj if data.nbytes == len(data.obj) else bytes(data), 0
-    while (begin := text.find(b"WARC/", at)) >= 0 and (end := text.find(b"\r\n\r\n", begin)) >= 0:
-        known = fields(text[begin:end])
-        size = int(known.get("content-length", 0))
-        row = named(known)
-        if wanted(row):
-            yield finished(row, bytes(text[end + 4 : end + 4 + size]), payload)
-        at = end + 4 + size
+        raw.at = start + sizes[0]
 
 
 @dataclass
@@ -200,12 +300,14 @@ class WarcReader(DataSourceReader):
             return
         schema = pa.schema(self.columns)
         held, size = [], 0
-        for row in records(files.read_bytes(partition.path), self.wanted, {c for c, _ in self.columns}):
-            held.append(row)
-            size += 200 + len(row.get("payload") or b"")
-            if size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(held, schema)
-                held, size = [], 0
+        store, path = files.opened(partition.path)
+        with store.open_input_file(path) as file:
+            for row in records(file, file.size(), self.wanted, {c for c, _ in self.columns}):
+                held.append(row)
+                size += 200 + len(row.get("payload") or b"")
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
