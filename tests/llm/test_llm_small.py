@@ -1,6 +1,7 @@
 """Edge cases of every training-data operator: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import hashlib
+import io
 import itertools
 import zlib
 
@@ -315,6 +316,28 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0 and url_filters.judge(pages, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_url_filters_relative_links(spark):
+    """Targets are read against their own page, in Spark and in the SQL, so hosts that share a relative link stay apart."""
+    import duckdb
+
+    rules = [("block", "evil.com", "/"), ("block", "spam.org", "/a/x")]
+    link = lambda href: f'<link rel=canonical href="{href}">'
+    rows = [
+        (1, "https://evil.com/a", link("/home")), (2, "https://good.org/b", link("/home")), (3, "https://ok.net/1", link("//evil.com/z")), (4, "https://spam.org/a/b/c?q#f", link("../x")), (5, "https://ok.net/2", link("HTTPS://spam.org/a/./q/../x?a=1&amp;b=2")),
+        (6, "https://ok.net/3", link("mailto:me@evil.com")), (7, "https://ok.net/4", link("javascript:void(0)")), (8, "https://ok.net/5", link("#evil.com")), (9, "https://spam.org", link("a/x/")), (10, "https://ok.net/6?p=//evil.com", link("?p=1")),
+        (11, "https://" + "a." * 30 + "net/" + "p/" * 2000, link("../" * 3000 + "a/x")), (12, "https://spam.org/a/y", '<meta http-equiv=refresh content="1;url=x">'), (13, "https://other.org/a/y", '<meta http-equiv=refresh content="1;url=x">'), (14, "https://ok.net/7", link("https:")),
+        (15, "no scheme", link("/home")), (16, None, link("/home")), (17, "https://good.org/home", None),
+    ]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filters.rule_table(spark, rules)).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 3, 4, 5, 9, 12}
+    db = duckdb.connect()
+    db.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", rows)
+    assert {r[0]: r[-1] for r in db.execute(url_filters.sql(rules)).fetchall()} == got
+    base = spark.createDataFrame([("http://h/a/b/c", t) for t in ("x", "./x", "../x", "../../../x", "/x/./y/../z", "", "?q", "//o/p", "x://h", "..", ".")], "u string, t string")
+    assert [r[0] for r in base.select(url_filters.resolved(F.col("u"), F.col("t"))).collect()] == ["http://h/a/b/x", "http://h/a/b/x", "http://h/a/x", "http://h/x", "http://h/x/z", None, "http://h/a/b/c?q", "http://o/p", "x://h", "http://h/a/", "http://h/a/b/"]
+
+
 # 7
 
 
@@ -340,11 +363,41 @@ def test_warc_reads_plain_and_whole_gzip():
     one = warc.record_bytes({"record_id": "r1", "record_type": "response", "payload": b"hello"})
     two = warc.record_bytes({"record_id": "r2", "record_type": "revisit", "refers_to": "r1", "payload_length": 5})
     columns = {"record_id", "payload", "payload_length"}
-    for data in (one + two, gzip.compress(one + two), warc.member(one) + warc.member(two), gzip.compress(one) + gzip.compress(two)):
-        got = list(warc.records(data, warc.Wanted(), columns))
+    for data in (one + two, gzip.compress(one + two), warc.member(one) + warc.member(two), gzip.compress(one) + gzip.compress(two), warc.member(one + two)):
+        got = list(warc.records(io.BytesIO(data), len(data), warc.Wanted(), columns))
         assert [(r["record_id"], r["payload_length"], r["payload"]) for r in got] == [("r1", 5, b"hello"), ("r2", 5, b"")]
 
 
+def foreign(name, block, kind="resource"):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Type: text/plain\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("piece", [7, 1000, 1 << 16])
+def test_warc_lengths_of_blocks_that_are_not_read(monkeypatch, piece):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", piece)
+    noise = np.random.default_rng(0).integers(0, 256, 20_000, np.uint8).tobytes()
+    many = [foreign("a", noise), foreign("b", b"WARC/1.0\r\n\r\n" + noise), foreign("c", b""), warc.record_bytes({"record_id": "d", "record_type": "response", "payload": noise})]
+    for data in (b"".join(many), gzip.compress(b"".join(many)), b"".join(map(warc.member, many)), b"".join(map(gzip.compress, many))):
+        got = list(warc.records(io.BytesIO(data), len(data), warc.Wanted(), {"record_id", "payload_length"}))
+        assert [(r["record_id"], r["payload_length"], r["payload"]) for r in got] == [("a", 20_000, None), ("b", 20_012, None), ("c", 0, None), ("d", 20_000, None)]
+        got = list(warc.records(io.BytesIO(data), len(data), warc.Wanted(), {"payload"}))
+        assert [r["payload"] for r in got] == [noise, b"WARC/1.0\r\n\r\n" + noise, b"", noise]
+        assert [r["record_id"] for r in warc.records(io.BytesIO(data), len(data), warc.Wanted([warc.EqualTo(("record_type",), "response")]), {"record_id"})] == ["d"]
+
+
+def test_warc_headers_cannot_be_injected(spark, tmp_path):
+    ends = ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029", "\r\n\r\n"]
+    rows = [(k, f"http://h/{end}WARC-Type:metadata{end}WARC-Record-ID:<urn:page:99>{end}Content-Length: 1: 2", "p" * k) for k, end in enumerate(ends)]
+    folder = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = sorted(warc.page_index(spark, folder).collect())
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in got] == [(k, k, "response") for k in range(len(ends))]
+    urls = {r.target_uri for r in spark.read.format("warc").schema("target_uri string").load(folder).collect()}
+    assert len(urls) == len(ends) and "http://h/%E2%80%A8WARC-Type:metadata%E2%80%A8WARC-Record-ID:<urn:page:99>%E2%80%A8Content-Length:%201:%202" in urls
+    assert warc.fields(b"WARC/1.1\r\nA: 1\x85B: 2\r\na: 3\r\nC: x\r\n  y") == {"a": "1\ufffdB: 2", "c": "x y"}
+
+
 # 8
 
 

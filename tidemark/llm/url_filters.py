@@ -6,11 +6,13 @@ components over those edges carry a block to all aliases without a rule of their
 keeps its own rule's verdict, and a component that holds an explicitly allowed url blocks none of its other aliases.
 
 Edges come from three places: a page's <link rel=canonical>, a page's <meta http-equiv=refresh>, and the url's own canonical
-form (scheme and fragment apart, host in lower case without a default port, without tracking parameters or a final slash). A caller may
-add a table of further redirects.
+form (scheme and fragment apart, host in lower case without a default port, without tracking parameters or a final slash). A target is
+read against its page's url, with dot segments taken out and &amp; decoded, so that it names one url; <base> is not looked at. Targets without
+a host (mailto:, javascript:) make no edge. A caller may add a table of further redirects, between whole urls.
 
-Defined cases: a null url, or one without "://", has empty host and path, no rule, no aliases and the verdict allow;
-empty rule or page tables give no matches or no rows; pages that repeat are judged alike; extra columns are ignored.
+Defined cases: a null url, or one without "://", has empty host and path, no rule, no aliases and the verdict allow, whatever its page links to;
+empty rule or page tables give no matches or no rows; pages that repeat are judged alike; of rules that fit equally long the first holds; urls and
+html of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +55,30 @@ def canonical(url: Column) -> Column:
     return F.when(name != "", form)
 
 
+#: What begins a target that needs no page: a scheme.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def undotted(path: Column) -> Column:
+    """A path from its first slash on without its "." and ".." segments."""
+    parts = F.split(path, "/")
+    dots = F.element_at(parts, -1).isin(".", "..")  # the path then ends in a slash
+    start = F.slice(parts, 1, 1)
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), start, lambda all, p: F.when(p == ".", all).when(p == "..", F.slice(all, 1, F.greatest(F.size(all) - 1, F.lit(1)))).otherwise(F.concat(all, F.array(p))))
+    return F.concat(F.array_join(kept, "/"), F.when(dots, F.lit("/")).otherwise(""))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The whole url that a page's target names, without its fragment; null where it names none with a host."""
+    t = F.regexp_replace(F.regexp_replace(target, "&amp;", "&"), "#.*$", "")
+    origin = F.regexp_extract(url, r"^.*?://[^/?#]*", 0)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(url), r"^/(.*/)", 1))
+    whole = F.when(t == "", F.lit("")).when(t.rlike(SCHEME), t).when(t.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), t)).when(t.startswith("?"), F.concat(origin, path(url), t)).when(t.startswith("/"), F.concat(origin, t)).otherwise(F.concat(origin, folder, t))
+    place = F.regexp_extract(whole, r"^[^?]*?://[^/?]*(/[^?]*)", 1)
+    clean = F.when(place.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.regexp_extract(whole, r"^[^?]*?://[^/?]*", 0), undotted(place), F.regexp_extract(whole, r"\?.*$", 0))).otherwise(whole)
+    return F.when(host(whole) != "", clean)
+
+
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(verdict, host, path) in order of preference; of equal rules the first holds."""
     return spark.createDataFrame([(v, h, p, h + p, k) for k, (v, h, p) in enumerate(rules)], "rule_verdict string, rule_host string, rule_path string, rule string, rank int")
@@ -68,11 +94,12 @@ def matched(places: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Alias edges (a, b) of pages (url, html)."""
+    """Alias edges (a, b) of pages (url, html); both ends are whole urls or canonical forms."""
     tag = F.regexp_extract("html", LINK, 0)
     jump = F.regexp_extract("html", REFRESH, 0)
-    own = F.array(canonical(F.col("url")), F.regexp_extract(tag, HREF, 1), F.regexp_extract(jump, TARGET, 1))
-    found = pages.where(F.instr("url", "://") > 0).select(F.col("url").alias("a"), F.explode(own).alias("b")).where("b <> ''")
+    named = F.filter(F.array(F.regexp_extract(tag, HREF, 1), F.regexp_extract(jump, TARGET, 1)), lambda t: t != "")
+    own = F.concat(F.array(canonical(F.col("url"))), F.transform(named, lambda t: resolved(F.col("url"), t)))
+    found = pages.where((F.instr("url", "://") > 0) & (host(F.col("url")) != "")).select(F.col("url").alias("a"), F.explode(own).alias("b")).where("b <> ''")
     # a target's canonical form joins the forms of one page
     also = found.where("b like '%://%'").select(F.col("b").alias("a"), canonical(F.col("b")).alias("b"))
     return found.union(also).where("b is not null")
@@ -111,10 +138,20 @@ def sql(rules: list[tuple[str, str, str]]) -> str:
         name = f"regexp_replace(lower_az(regexp_extract({after}, '^[^/?#]*')), ':(80|443)$', '')"
         return f"CASE WHEN {name} <> '' THEN '//' || {name} || regexp_replace(regexp_extract({after}, '^[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
 
+    def whole(url: str, target: str) -> str:
+        """resolved() of a page's target, by the stages t (target), w (whole url), p (its path)."""
+        origin, own = f"regexp_extract({url}, '^.*?://[^/?#]*')", f"regexp_extract(coalesce({rest.format(url)}, ''), '^[^/?#]*([^?#]*)', 1)"
+        t = f"SELECT regexp_replace(replace({target}, '&amp;', '&'), '#.*$', '') AS t"
+        w = f"SELECT CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '{SCHEME}') THEN t WHEN starts_with(t, '//') THEN regexp_extract({url}, '^(.*?:)//', 1) || t WHEN starts_with(t, '?') THEN {origin} || {own} || t WHEN starts_with(t, '/') THEN {origin} || t ELSE {origin} || '/' || regexp_extract({own}, '^/(.*/)', 1) || t END AS w FROM ({t})"
+        p = f"SELECT w, string_split(regexp_extract(w, '^[^?]*?://[^/?]*(/[^?]*)', 1), '/') AS s FROM ({w})"
+        kept = "list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN x = ['.'] THEN acc WHEN x = ['..'] THEN acc[1:greatest(len(acc) - 1, 1)] ELSE list_concat(acc, x) END)"
+        return f"(SELECT CASE WHEN regexp_extract({rest.format('w')}, '^[^/?#]*') = '' THEN NULL WHEN len(list_intersect(s, ['.', '..'])) > 0 THEN regexp_extract(w, '^[^?]*?://[^/?]*') || array_to_string({kept}, '/') || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract(w, '\\?.*$') ELSE w END FROM ({p}))"
+
     quoted = lambda r: r.replace("'", "''")
     values = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}', {k})" for k, (v, h, p) in enumerate(rules))
     text = f"""WITH RECURSIVE rules(rule_verdict, rule_host, rule_path, rule, rank) AS (VALUES {values}),
-found AS (SELECT url AS a, unnest([{form('url')}, regexp_extract(regexp_extract(html, '{quoted(LINK)}'), '{quoted(HREF)}', 1), regexp_extract(regexp_extract(html, '{quoted(REFRESH)}'), '{quoted(TARGET)}', 1)]) AS b FROM pages WHERE strpos(url, '://') > 0),
+tags AS (SELECT url, regexp_extract(regexp_extract(html, '{quoted(LINK)}'), '{quoted(HREF)}', 1) AS c, regexp_extract(regexp_extract(html, '{quoted(REFRESH)}'), '{quoted(TARGET)}', 1) AS r FROM pages WHERE strpos(url, '://') > 0 AND regexp_extract({rest.format('url')}, '^[^/?#]*') <> ''),
+found AS (SELECT url AS a, {form('url')} AS b FROM tags UNION ALL SELECT url, {whole('url', 'c')} FROM tags WHERE c <> '' UNION ALL SELECT url, {whole('url', 'r')} FROM tags WHERE r <> ''),
 one AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM found WHERE b <> '' UNION ALL SELECT b, {form('b')} FROM found WHERE b LIKE '%://%') WHERE b IS NOT NULL),
 e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
