@@ -75,6 +75,56 @@ def test_targets_and_permutation(spark):
         assert sorted(image) == list(range(n))
 
 
+def test_running_sums(spark):
+    rows = [(k, i, (i * 7 + len(k)) % 5) for k in ("a", "bb") for i in range(60) if i % 7]
+    got = mixing.running(spark.createDataFrame(rows, "k string, i long, v long"), "k", "i", "v", "before", 59, width=3).collect()
+    assert sorted((r.k, r.i, r.before) for r in got) == sorted((k, i, sum(w for m, j, w in rows if m == k and j < i)) for k, i, _ in rows)
+
+
+def test_mixing_against_brute_force(spark):
+    """Draw, slots, blocks and pieces made anew in Python; only the permutations' images are Spark's."""
+    block, shard_blocks = 16, 8
+    docs = spark.createDataFrame([(i, f"d{i} " * (i * 37 % 90), "en", (None, "b", "c", "c", "c")[i % 5], 0) for i in range(60)] + [(7, "same row", "en", "b", 1)] * 5, KIND)
+
+    def image(n, *key, seed):
+        return [r[0] for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), *key, seed=seed).alias("to")).orderBy("id").select("to").collect()]
+
+    stream = {n: sorted((r.skey, r.start, r.size, r.doc_id) for r in mixing.stream(docs, bucket_docs=n).collect()) for n in (4, mixing.BUCKET_DOCS)}
+    placed = stream[mixing.BUCKET_DOCS]
+    for rows in stream.values():  # a stream has no gaps
+        size = {}
+        for skey, start, n, _ in rows:
+            assert start == size.get(skey, 0)
+            size[skey] = start + n
+    wanted = {r.skey: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "skey string, source_size long")).collect()}
+    pool = []
+    for skey in sorted(size):
+        epochs, left = divmod(int(wanted[skey]), size[skey])
+        pool += [skey] * (epochs * -(-size[skey] // block) + -(-left // block))
+    deal = image(len(pool), F.lit("draw"), seed=mixing.SEED + 2)
+    drawn = {}
+    for at, skey in enumerate(pool):
+        drawn[skey, deal[at] // shard_blocks] = drawn.get((skey, deal[at] // shard_blocks), 0) + 1
+    assert all(sum(n for (_, k), n in drawn.items() if k == shard) == min(shard_blocks, len(pool) - shard * shard_blocks) for shard in range(-(-len(pool) // shard_blocks)))
+    want, number = [], dict.fromkeys(size, 0)
+    for skey, shard in sorted(drawn):
+        for _ in range(drawn[skey, shard]):
+            blocks = -(-size[skey] // block)
+            epoch, slot = divmod(number[skey], blocks)
+            number[skey] += 1
+            full = size[skey] // block
+            at = image(full, F.lit(skey), F.lit(epoch).cast("long"), seed=mixing.SEED)[slot] if slot < full else slot
+            length = min(block, min(size[skey], int(wanted[skey]) - epoch * size[skey]) - slot * block)
+            for other, start, n, doc in placed:  # the words of the slot's block
+                a, b = max(start, at * block), min(start + n, at * block + length)
+                if other == skey and a < b:
+                    want.append((shard, skey, epoch, slot, doc, start, a - start, b - a))
+    parts, _, _ = mixing.mix(docs, block=block, shard_blocks=shard_blocks)
+    assert sorted((r.shard, r.skey, r.epoch, r.slot, r.doc_id, r.start, r.first_word, r.n_words) for r in parts.collect()) == sorted(want)
+    plan = mixing.taken(docs, block=block)._jdf.queryExecution().optimizedPlan().toString()
+    assert "draws" in plan or "shard" in plan  # the draw decides which slots there are
+
+
 # 2
 
 

@@ -1,18 +1,24 @@
 """Mixing sources to target weights: fixed-length blocks drawn through index permutations.
 
 The words of each source form one stream, its documents in a fixed order, and that stream is cut into blocks of
-``block`` words. An epoch of a source is a pseudorandom permutation of its block indexes. A source whose target is t
-words fills slots with the first t words of its permuted epochs; every slot draws the output shard it goes to, so
-the source counts of a shard are multinomial draws, conditioned on every source's total being its target. Slots and
-blocks then meet in an equi-join on (source, block index). No rows are collected: what is gathered by source is one
-row per bucket of documents, and a hot source is spread over its buckets and blocks.
+``block`` words. An epoch of a source is a pseudorandom permutation of its block indexes, and a source whose target is t
+words has the first t words of its permuted epochs to give, a slot per block.
 
-The permutation is a swap-or-not shuffle: every round pairs index i with (k - i) mod n and swaps the pair if a hash
+Output shards have ``shard_blocks`` slots each, the last one what is left. How many slots of a shard each source gets is a multinomial draw
+at the target weights, conditioned on every source giving its target over all shards, no more and no less: the pool of
+all sources' slots is dealt over the shards' places by a pseudorandom permutation, and the sources' counts in each shard are taken. Running sums of
+a source's counts over the shards number its slots; a slot's number names its epoch and its index there, the permutation maps
+that to a block, and slots and blocks meet in an equi-join on (source, block index).
+
+No rows are collected but one sum. Running sums go over groups of bounded size whose own sums are added up the same way, so no task gets a hot
+source's rows; a row per source is the most that one task sees (the targets are shared between all sources).
+
+A permutation is a swap-or-not shuffle: every round pairs index i with (k - i) mod n and swaps the pair if a hash
 of its larger member is odd. Each round is a bijection on 0..n-1 for any n, so the whole is one.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without words
-have taken 0; rows that repeat, even whole rows, are separate documents of the stream; an empty table gives no rows;
-extra columns are ignored.
+have taken 0; a text of any length is spread over its blocks; documents that tie in order (whole rows that repeat) are separate documents
+of the stream, one behind the other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from tidemark.llm.common import boxed, columns, small, word_count, words, writte
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD_BLOCKS, ROUNDS, SEED = 512, 1024, 32, 20_011
-#: Documents per bucket of the two-level running sum, and slots per row before they are spread.
-BUCKET_DOCS, CHUNK_SLOTS = 512, 256
+#: Documents per bucket of a stream, slots per row before they are spread, and rows per group of a running sum.
+BUCKET_DOCS, CHUNK_SLOTS, GROUP = 512, 256, 1024
 
 
 def source_key(source: Column) -> Column:
@@ -63,40 +69,71 @@ def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS, seed:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, turn)
 
 
+def running(rows: DataFrame, key: str, index: str, value: str, name: str, last: int, width: int = GROUP) -> DataFrame:
+    """rows with the sum, by that name, of the values of the key's rows with a smaller index; index: 0 to last, once per key at most.
+
+    A window goes over width indexes at most; what stands before them is a running sum over such groups.
+    """
+    own = lambda w: F.coalesce(F.sum(value).over(w.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if last < width:
+        return rows.withColumn(name, own(Window.partitionBy(key)))
+    group, before = f"_{index}_group", f"_{index}_before"
+    grouped = rows.withColumn(group, F.floor(F.col(index) / width))
+    ahead = running(grouped.groupBy(key, group).agg(F.sum(value).alias("_sum")), key, group, "_sum", before, last // width, width)
+    return grouped.withColumn(name, own(Window.partitionBy(key, group))).join(ahead.select(key, group, before), [key, group]).withColumn(name, F.col(name) + F.col(before)).drop(group, before)
+
+
 def stream(docs: DataFrame, sizes: DataFrame | None = None, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """(doc_id, skey, row_hash, size, start): each document's place in its source's stream of words.
 
     A window over all of a source would be one task, so documents are ordered within hashed buckets of bounded size
-    and the buckets' sums are added up in a second, small window.
+    and the buckets' sums are added up. Rows that repeat are one row with their number until they have their places.
     """
     sized = written(docs.select("doc_id", source_key(F.col("source")).alias("skey"), F.xxhash64(*columns(docs)).alias("row_hash"), word_count(F.col("text")).alias("size")), "sizes") if sizes is None else sizes
     buckets = max(1, -(-sized.count() // bucket_docs))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets)))
-    by = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket")).select("skey", "bucket", F.coalesce(F.sum("in_bucket").over(by), F.lit(0)).alias("ahead"))
+    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets))).groupBy("skey", "bucket", "doc_id", "row_hash", "size").agg(F.count("*").alias("copies"))
+    words = F.col("size") * F.col("copies")
+    ahead = running(sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets))).groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket")), "skey", "bucket", "in_bucket", "ahead", buckets - 1)
     inside = Window.partitionBy("skey", "bucket").orderBy("doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.join(ahead, ["skey", "bucket"]).select("doc_id", "skey", "row_hash", "size", (F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
+    first = rows.join(ahead.select("skey", "bucket", "ahead"), ["skey", "bucket"]).withColumn("first", F.col("ahead") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
+    return first.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("doc_id", "skey", "row_hash", "size", (F.col("first") + F.col("copy") * F.col("size")).alias("start"))
 
 
-def slots(wanted: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(shard, skey, epoch, slot, block, length) of every slot; wanted: (skey, source_size, target).
+def giving(wanted: DataFrame, block: int) -> DataFrame:
+    """wanted (skey, source_size, target) with what each source gives: whole epochs, words of a last one, blocks per epoch, and slots in all."""
+    want = F.floor("target")
+    return (
+        wanted.where("source_size > 0")
+        .withColumn("epochs", F.floor(want / F.col("source_size")))
+        .withColumn("left", want - F.col("epochs") * F.col("source_size"))
+        .withColumn("blocks", F.ceil(F.col("source_size") / block))
+        .withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("left") / block))
+        .where("slots > 0")
+    )
 
-    Chunks of slots are dealt out before they become rows, over a number of partitions that follows the number of slots.
-    """
-    words = wanted.agg(F.sum("target")).first()[0] or 0
-    parts = max(wanted.sparkSession.sparkContext.defaultParallelism, int(words / block / CHUNK_SLOTS / 16))
-    full = F.floor(F.col("source_size") / block)
-    total = F.sum("target").over(Window.partitionBy())
-    epochs = wanted.where("source_size > 0").withColumn("shards", F.greatest(F.lit(1), F.ceil(total / (block * shard_blocks)))).withColumn("want", F.floor("target")).withColumn("last_epoch", F.greatest(F.lit(0), F.ceil(F.col("want") / F.col("source_size")) - 1))
-    epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "last_epoch")))
-    epochs = epochs.withColumn("words", F.least(F.col("source_size"), F.col("want") - F.col("epoch") * F.col("source_size"))).where("words > 0").withColumn("n", F.ceil(F.col("words") / block))
-    chunks = epochs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_SLOTS)))).repartition(parts, "skey", "epoch", "chunk")
-    each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1)))
-    where = F.when(F.col("slot") < full, permuted(F.col("slot"), F.greatest(full, F.lit(1).cast("long")), F.col("skey"), F.col("epoch"), seed=seed)).otherwise(F.col("slot"))
-    return each.select(
-        F.pmod(F.xxhash64(F.lit(seed + 2), "skey", "epoch", "slot"), F.col("shards")).alias("shard"), "skey", "epoch", "slot", where.alias("block"),
-        F.least(F.lit(block).cast("long"), F.col("words") - F.col("slot") * block).alias("length"),
-    )
+
+def draws(given: DataFrame, total: int, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(skey, shard, n): the draw, how many of a shard's slots the source gets; given: giving()'s rows, total: their slots."""
+    parts = max(given.sparkSession.sparkContext.defaultParallelism, total // CHUNK_SLOTS // 16)
+    pool = given.withColumn("before", F.coalesce(F.sum("slots").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    chunks = pool.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS)))).repartition(parts, "skey", "chunk")
+    each = chunks.select("skey", F.explode(F.sequence(F.col("before") + F.col("chunk") * CHUNK_SLOTS, F.col("before") + F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1)).alias("at"))
+    place = permuted(F.col("at"), F.lit(total).cast("long"), F.lit("draw"), seed=seed + 2)
+    return each.groupBy("skey", F.floor(place / shard_blocks).alias("shard")).agg(F.count("*").alias("n"))
+
+
+def slots(wanted: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(shard, skey, epoch, slot, block, length) of every slot; wanted: (skey, source_size, target)."""
+    given = giving(wanted, block)
+    total = given.agg(F.sum("slots")).first()[0] or 0
+    drawn = written(draws(given, total, shard_blocks, seed), "draws")
+    numbered = running(drawn, "skey", "shard", "n", "first", max(0, (total - 1) // shard_blocks)).repartition(max(given.sparkSession.sparkContext.defaultParallelism, total // CHUNK_SLOTS // 16), "skey", "shard")
+    own = numbered.join(small(given), "skey").withColumn("number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    epoch = F.floor(F.col("number") / F.col("blocks"))
+    own = own.withColumn("epoch", epoch).withColumn("slot", F.col("number") - epoch * F.col("blocks")).withColumn("full", F.floor(F.col("source_size") / block))
+    where = F.when(F.col("slot") < F.col("full"), permuted(F.col("slot"), F.greatest("full", F.lit(1).cast("long")), F.col("skey"), F.col("epoch"), seed=seed)).otherwise(F.col("slot"))
+    in_epoch = F.when(F.col("epoch") < F.col("epochs"), F.col("source_size")).otherwise(F.col("left"))
+    return own.select("shard", "skey", "epoch", "slot", where.alias("block"), F.least(F.lit(block).cast("long"), in_epoch - F.col("slot") * block).alias("length"))
 
 
 def pieces(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
