@@ -46,9 +46,9 @@ BITS = 12
 #: The bit that tells a history's key from an n-gram's.
 HISTORY = 1 << 62
 #: Bytes of text that a worker takes apart at once; an n-gram takes some eighty bytes meanwhile.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Counted n-grams that a worker holds before it adds equal ones up.
-HELD = 2_000_000
+HELD = 500_000
 
 
 @cache
@@ -99,7 +99,7 @@ def counts(labelled: DataFrame) -> DataFrame:
                 inside = np.arange(ORDER - 1, len(values)) - (ORDER - 1) >= begin[ORDER - 1 :]
                 held.append(np.unique((grams(values) << 2 | own)[inside], return_counts=True))
                 size += len(held[-1][0])
-                if size > HELD:
+                if size > HELD + len(held[0][0]):  # so that adding up stays in proportion however many n-grams there are
                     held, size = [added()], 0
         keys, n = added()
         for k in range(0, len(keys), 100_000):
