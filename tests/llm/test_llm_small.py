@@ -324,6 +324,42 @@ def test_near_duplicates_blocks_agree(spark, monkeypatch):
     assert sorted(map(tuple, near_duplicates.near_duplicates(docs).collect())) == whole and len(whole) == 60
 
 
+def test_forest_shortens_prefixes_to_the_recall(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(150):
+        words = [f"b{base}w{i}" for i in rng.integers(0, 5000, 100)]
+        for _ in range(4):
+            own = list(words)
+            for k in rng.integers(0, 100, rng.integers(0, 3)):
+                own[k] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_duplicates.signatures(docs)
+    # few pairs tell: down to where a pair at the threshold meets almost surely
+    _, depth, recall = near_duplicates.candidate_edges(signed, 0.8, 0.9999)
+    assert depth == 6 and recall is None
+    # enough do: a low target is met at full depth, a high one by shorter prefixes; the measure agrees with brute force
+    monkeypatch.setattr(near_duplicates, "MEASURED", 100)
+    edges, depth, recall = near_duplicates.candidate_edges(signed, 0.8, 0.9)
+    assert depth == 8 and recall > 0.9
+    assert near_duplicates.candidate_edges(signed, 0.8, 1 - 1e-9)[1] < 8
+    distinct = list(dict.fromkeys(texts))
+    links = brute_links(distinct)
+    hashes = [r[0] for r in spark.createDataFrame(list(enumerate(distinct)), "k long, t string").orderBy("k").select(F.xxhash64("t")).collect()]
+    group = {r.node: r.component for r in graph.connected_components(edges).collect()}
+    found = sum(group.get(hashes[i], i) == group.get(hashes[j], -j - 1) for i, j in links)
+    assert found / len(links) >= recall - 0.01
+    assert near_duplicates.missed(0.8, 6) < 1e-4 < near_duplicates.missed(0.8, 8)
+
+
+def test_near_duplicates_hot_copies(spark):
+    docs = spark.createDataFrame([(k, "the same words in every copy" if k % 3 else f"other {k} text of its own") for k in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs).collect()}
+    assert len(got) == 300 and {(r.class_id, r.n_copies) for k, r in got.items() if k % 3} == {(1, 200)}
+    assert all((r.class_id, r.n_copies) == (k, 1) for k, r in got.items() if k % 3 == 0)
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = near_duplicates.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.class_id for r in got if r.doc_id in (3, 8)} == {3} and {r.class_id for r in got if r.doc_id in (1, 2)} == {1}

@@ -1,18 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A text's set is its runs of five words. Its signature labels it in ``TREES`` prefix tries by minhash values. Two texts
-meet in a tree if they share a label prefix; the prefix is taken at the full depth first and shortened level by level until a pair
-at the threshold meets in some tree with at least ``RECALL`` probability (depth_for). Meeting texts are compared by a
-64-byte sketch, and the pairs that may be similar link into candidate clusters. Every pair within a cluster is then verified on the whole
-sets, in blocks, so an answer never rests on a hash estimate and a dense cluster costs no row per pair: a block tells each
-text's number of links and a forest that spans them.
+A text's set is its runs of five words. Its signature is a path in each of ``TREES`` prefix tries: ``DEPTH`` labels, a byte of a minhash
+value each, packed into one number whose order is the trie's. Texts are sorted by tree and prefix, and those that share a
+prefix meet. Prefixes have the full depth at first. The pairs that met tell, by their estimated similarities, how many of the pairs at the threshold
+the forest has missed so far; prefixes are shortened by ``STRIDE`` levels, and only texts whose paths part within these levels are compared anew, until the
+recall so measured reaches ``RECALL``, or, where fewer than ``MEASURED`` pairs tell, until a pair right at the threshold meets with that probability.
+
+Meeting texts are compared by a sketch of ``SKETCH`` labels, and the pairs that may be similar link into candidate clusters. Every pair within a cluster is
+then verified on the whole sets, in blocks, so an answer never rests on a hash estimate and a dense cluster costs no row per pair: a block tells each
+text's number of links and a forest that spans them. A cluster of n different texts is as many sets as n * ceil(n / ``CLUSTER_TEXTS``).
 
 Equal texts are one text to all of this and count once. Nodes of a trie and clusters of any size are split into pairs of
 bounded blocks; nothing is capped. Clusters and groups are connected components over written tables.
 
 Defined cases: null is as an empty text; texts without words link to nothing, and equal ones are copies of each other; a text with one to four
-words has one run of all its words; rows may repeat doc_ids; a group's class is its smallest doc_id, null if all are null; an empty
-table gives no rows; extra columns stay out of the join. Texts are held equal if their 64-bit hashes are.
+words has one run of all its words; very long texts are taken whole; rows may repeat doc_ids; of documents that tie the smallest doc_id is a group's
+class, null if all are null; an empty table gives no rows; extra columns stay out of the join. Texts are held equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -29,18 +32,33 @@ from tidemark.llm.graph import connected_components
 from tidemark.llm.token_ids import slices
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEPTH, SKETCH = 32, 8, 64
-#: Sketch bytes that similar texts share: five standard deviations under the threshold's mean, rounded down.
-LEAST_SHARED = 36
+TREES, DEPTH, STRIDE, SKETCH = 32, 8, 2, 128
+#: Sketch labels that similar texts share: five standard deviations under the threshold's mean, rounded down.
+LEAST_SHARED = 80
+#: Pairs at the threshold or above that a measured recall needs.
+MEASURED = 1000
+#: A text with so large a share of all rows as copies is looked up from a broadcast of such texts: there are no more than 1 / HOT of them.
+HOT = 1 / 1000
 #: Texts per block of a trie node; texts and set members per block of a cluster. They bound memory and leave the result as it is.
 NODE_BLOCK, CLUSTER_TEXTS, CLUSTER_MEMBERS = 2048, 1024, 1_000_000
 
 
-def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the wanted probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def missed(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+    """The share of pairs of that similarity that meet in no tree at that depth."""
+    return (1 - similarity**depth) ** TREES
+
+
+def recall_at(depth: int, met: np.ndarray, threshold: float) -> tuple[float, float]:
+    """The measured recall of pairs at the threshold or above, and how many such pairs there are by this measure.
+
+    met[k]: how often, over all trees, texts met that share k of SKETCH labels. A pair of similarity s meets TREES * s**depth times on the average,
+    so each meeting stands for the inverse of that many pairs, those that never met included.
+    """
+    similarity = np.clip((np.arange(SKETCH + 1) / SKETCH - 1 / 256) / (1 - 1 / 256), 0, 1)
+    least = similarity >= threshold
+    pairs = met[least] / (TREES * similarity[least] ** depth)
+    total = pairs.sum()
+    return (1 - (pairs * missed(similarity[least], depth)).sum() / total if total else 0.0), total
 
 
 def minhashes(values: np.ndarray, at: np.ndarray, count: int, seed: int = 77) -> np.ndarray:
@@ -60,32 +78,29 @@ def minhashes(values: np.ndarray, at: np.ndarray, count: int, seed: int = 77) ->
     return out
 
 
-def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(doc_id, node, size, prefixes, sketch) of docs; texts without words have no prefixes."""
-    depth = depth_for(threshold, recall)
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, size, paths, sketch) of docs; texts without words have no paths."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.random.default_rng(5).integers(1, 1 << 63, (TREES, depth), dtype=np.uint64) | np.uint64(1)
-        from tidemark.llm.textvec import mixed, shingles
+        from tidemark.llm.textvec import shingles
 
         for batch in batches:
             texts = batch["text"]
             for a, b in slices(texts):
                 values, at = shingles(texts.slice(a, b - a), SHINGLE)
-                least = minhashes(values, at, TREES * depth)
-                labels = least.reshape(-1, TREES, depth).astype(np.uint64)
-                keys = mixed((mixed(labels + np.uint64(1)) * powers).sum(axis=2, dtype=np.uint64)).view(np.int64)
-                sketch = (least[:, np.arange(SKETCH) * (TREES * depth // SKETCH)] & 0xFF).astype(np.uint8)
+                labels = (minhashes(values, at, TREES * DEPTH) & 0xFF).astype(np.uint8).reshape(-1, TREES, DEPTH)
+                paths = labels.reshape(-1, TREES * DEPTH).view(">i8").astype(np.int64)
+                sketch = np.ascontiguousarray(labels[:, :, : SKETCH // TREES]).reshape(-1, SKETCH)
                 n = np.diff(at)
                 held = np.where(n > 0, TREES, 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(a, b - a), batch["node"].slice(a, b - a), pa.array(n.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32)), pa.array(keys[n > 0].ravel())),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32)), pa.array(paths[n > 0].ravel())),
                      pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["doc_id", "node", "size", "prefixes", "sketch"])
+                    ["doc_id", "node", "size", "paths", "sketch"])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return mapped(rows, sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, prefixes array<long>, sketch binary")
+    return mapped(rows, sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, paths array<long>, sketch binary")
 
 
 def forest(pairs_a: np.ndarray, pairs_b: np.ndarray, count: int) -> np.ndarray:
@@ -137,57 +152,88 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(table))
 
 
-def alike(node: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one trie node's texts whose sketches agree enough. side: 0 and 1 for a pair of blocks, 2 where all pairs count."""
-    found = []
-    for i in range(0, len(node), 128):
-        equal = np.zeros((min(128, len(node) - i), len(node)), np.int16)
-        for j in range(0, len(node), 1024):
-            equal[:, j : j + 1024] = (sketch[i : i + 128, None, :] == sketch[None, j : j + 1024, :]).sum(axis=2, dtype=np.int16)
-        ok = (equal >= least) & (node[i : i + 128, None] < node[None, :]) | (equal >= least) & (side[i : i + 128, None] != side[None, :])
-        ok &= (side[i : i + 128, None] == 2) | (side[i : i + 128, None] != side[None, :])
+def alike(sketch: np.ndarray, child: np.ndarray, side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one trie node's texts, and what they share, whose sketches agree enough and whose paths part below the node. side: 0 and 1 for a pair of blocks, 2 where all pairs count."""
+    found, place = [], np.arange(len(sketch))
+    for i in range(0, len(sketch), 128):
+        here = slice(i, i + 128)
+        equal = np.zeros((len(sketch[here]), len(sketch)), np.int16)
+        for j in range(0, len(sketch), 512):
+            equal[:, j : j + 512] = (sketch[here, None, :] == sketch[None, j : j + 512, :]).sum(axis=2, dtype=np.int16)
+        ok = (equal >= least) & (child[here, None] != child[None, :])
+        ok &= ((side[here, None] == 2) & (place[here, None] < place[None, :])) | ((side[here, None] == 0) & (side[None, :] == 1))
         a, b = np.nonzero(ok)
-        found.append((a + i, b))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        found.append((a + i, b, equal[a, b]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
 
+def meetings(texts: DataFrame, depth: int) -> DataFrame:
+    """What texts tell that meet at that depth and not STRIDE levels deeper: edges (a, b) that span those whose sketches agree enough, and how many pairs share so many labels (shared, n).
 
-def candidate_edges(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the texts whose labels share a prefix and whose sketches agree enough. signed: a row per node."""
+    texts: (node, paths, sketch), a row per node.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key", "unit"]):
-            node, side = table["node"].to_numpy(), table["side"].to_numpy()
+        tally = np.zeros(SKETCH + 1, np.int64)
+        for table in runs(batches, ["tree", "prefix", "unit"]):
+            node, side, child = (table[c].to_numpy() for c in ("node", "side", "child"))
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-            start = group_starts(table, ["key", "unit"])
+            start = group_starts(table, ["tree", "prefix", "unit"])
             size = np.diff(start)
             own = np.repeat(np.arange(len(size)), size)
             left, right = [], []
             few = size[own] <= 24
             for step in range(1, int(min(24, size[size <= 24].max(initial=1)))):  # all pairs of small nodes at once
-                i = np.flatnonzero(few[:-step] & (own[:-step] == own[step:]))
-                hit = (sketch[i] == sketch[i + step]).sum(axis=1) >= LEAST_SHARED
-                left.append(i[hit])
-                right.append(i[hit] + step)
+                i = np.flatnonzero(few[:-step] & (own[:-step] == own[step:]) & (child[:-step] != child[step:]) & ((side[:-step] == 2) | (side[:-step] != side[step:])))
+                for j in range(0, len(i), 100_000):
+                    some = i[j : j + 100_000]
+                    shared = (sketch[some] == sketch[some + step]).sum(axis=1)
+                    hit = shared >= LEAST_SHARED
+                    tally += np.bincount(shared[hit], minlength=SKETCH + 1)
+                    left.append(some[hit])
+                    right.append(some[hit] + step)
             for g in np.flatnonzero(size > 24):
                 s, e = start[g], start[g + 1]
-                a, b = alike(node[s:e], sketch[s:e], side[s:e], LEAST_SHARED)
+                a, b, shared = alike(sketch[s:e], child[s:e], side[s:e], LEAST_SHARED)
+                tally += np.bincount(shared, minlength=SKETCH + 1)
                 left.append(a + s)
                 right.append(b + s)
             if left:
                 root = forest(np.concatenate(left), np.concatenate(right), len(node))
                 kept = np.flatnonzero(root != np.arange(len(node)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(node[root[kept]])], ["a", "b"])
-
-    places = signed.select("node", F.explode("prefixes").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = places.join(shared.hint("merge"), "key").join(signed.select("node", "sketch").hint("merge"), "node")
+                none = pa.nulls(len(kept), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(node[root[kept]]), none, none], ["a", "b", "shared", "n"])
+        kept = np.flatnonzero(tally)
+        none = pa.nulls(len(kept), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(kept), pa.array(tally[kept])], ["a", "b", "shared", "n"])
+
+    full, places = depth == DEPTH, texts.select("node", F.posexplode("paths").alias("tree", "path"))
+    places = places.select("node", "tree", F.shiftrightunsigned("path", 8 * (DEPTH - depth)).alias("prefix"), F.col("node").alias("child") if full else F.shiftrightunsigned("path", 8 * (DEPTH - depth - STRIDE)).alias("child"))
+    shared = places.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("child").alias("low"), F.max("child").alias("high")).where("low <> high").drop("low", "high")
+    met = places.join(shared.hint("merge"), ["tree", "prefix"]).join(texts.select("node", "sketch").hint("merge"), "node")
     blocks = F.ceil(F.col("n") / NODE_BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     # a node of one block is one unit, where all pairs count; else a unit is a pair of blocks, and with itself a block has all its pairs
     units = F.when(blocks == 1, F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(2).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct((F.least(o, own) * blocks + F.greatest(o, own)).alias("unit"), F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side"))))
-    dealt = met.withColumn("u", F.explode(units)).select("key", "u.unit", "u.side", "node", "sketch")
-    return mapped(dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "node"), compare, "a long, b long").distinct()
+    dealt = met.withColumn("u", F.explode(units)).select("tree", "prefix", "u.unit", "u.side", "child", "node", "sketch")
+    return mapped(dealt.repartition("tree", "prefix", "unit").sortWithinPartitions("tree", "prefix", "unit", "node"), compare, "a long, b long, shared long, n long")
+
+
+def candidate_edges(texts: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int, float | None]:
+    """Edges (a, b) that span the texts that may be similar, the depth to which prefixes were shortened, and the recall measured there (None if too few pairs tell)."""
+    met, edges, depth = np.zeros(SKETCH + 1), None, DEPTH
+    while True:
+        level = written(meetings(texts, depth), f"depth-{depth}")
+        for shared, n in level.where("a is null").groupBy("shared").agg(F.sum("n")).collect():  # SKETCH + 1 rows at most
+            met[shared] += n
+        found = level.where("a is not null").select("a", "b")
+        edges = found if edges is None else edges.union(found)
+        measured, pairs = recall_at(depth, met, threshold)
+        enough = measured >= recall if pairs >= MEASURED else missed(threshold, depth) <= 1 - recall
+        if enough or depth <= STRIDE:
+            return edges.distinct(), depth, measured if pairs >= MEASURED else None
+        depth -= STRIDE
 
 
 def verify_unit(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +305,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     copy_id is the smallest doc_id with the very same text, n_copies how many documents have that text, n_links with how many other
     texts it is similar, and class_id the smallest doc_id of all that copies and links tie together.
     """
-    signed = written(signatures(docs, threshold, recall), "signatures")
-    texts = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
+    signed = written(signatures(docs), "signatures")
+    texts = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     texts = written(texts, "texts")
-    component = connected_components(candidate_edges(texts.where("size > 0")), "candidates")
+    component = connected_components(candidate_edges(texts.where("size > 0"), threshold, recall)[0], "candidates")
     sized = written(component.join(texts.select("node", "rep", "size"), "node"), "clusters")
     blocks = F.greatest(F.ceil(F.count("*") / CLUSTER_TEXTS), F.ceil(F.sum("size") / CLUSTER_MEMBERS))
     clusters = written(sized.join(sized.groupBy("component").agg(blocks.alias("blocks")), "component"), "cluster-blocks")
@@ -274,7 +320,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     least = ids.groupBy("component").agg(F.min("rep").alias("class_id"))
     tied = ids.join(least, "component").select("node", "class_id").join(links, "node", "left")
     table = texts.select("node", "rep", "n_copies").join(tied, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = signed.select("doc_id", "node").join(table, "node")
+    table = written(table, "classes")
+    hot = F.col("n_copies") >= max(2, HOT * signed.count())
+    often, ids = F.broadcast(table.where(hot)), signed.select("doc_id", "node")
+    out = ids.join(often, "node").unionByName(ids.join(often.select("node"), "node", "left_anti").join(table.where(~hot), "node"))
     release(sized)
     return out.select("doc_id", "class_id", "copy_id", "n_links", "n_copies", "node")
 
