@@ -504,6 +504,48 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.clean(odd, tests).count() == len(ODD) and decontaminate.overlaps(none, tests).count() == 0 and decontaminate.overlaps(table, tests.limit(0)).count() == 0
 
 
+def brute_overlap(doc, item, least_words=13, least_equal=0.8):
+    """(n_places, n_equal, doc_from) of the best run over all shifts, None without one that is long enough."""
+    best, least_equal = None, least_equal if len(item) >= decontaminate.SPAN else 1  # a text shorter than a seed counts as it is only
+    for shift in range(-len(item) + 1, len(doc)):
+        equal = [p for p in range(len(item)) if 0 <= p + shift < len(doc) and doc[p + shift] == item[p]]
+        runs = [(equal[k] - equal[j] + 1, -equal[j], k - j + 1) for j in range(len(equal)) for k in range(j, len(equal)) if k - j + 1 >= least_equal * (equal[k] - equal[j] + 1) - 1e-9]
+        if runs and max(runs)[0] >= min(least_words, len(item)):
+            n, back, same = max(runs)
+            key = (same, n, -(shift - back))
+            best = max(best or key, key)
+    return best and (best[1], best[0], -best[2])
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    items = [[f"w{k}" for k in rng.integers(0, vocabulary, n)] for n, vocabulary in ((30, 400), (18, 3), (40, 2), (25, 400), (6, 400), (60, 5))]
+    docs = []
+    for _ in range(120):
+        own = [f"w{k}" for k in rng.integers(0, (400, 3)[rng.integers(0, 2)], rng.integers(1, 60))]
+        item = list(items[rng.integers(0, len(items))])
+        for k in rng.integers(0, len(item), rng.integers(0, 1 + len(item) // 4)):
+            item[k] = f"x{k}"
+        a = rng.integers(0, max(1, len(item) - 8))
+        at = rng.integers(0, len(own) + 1)
+        docs.append(own[:at] + item[a:] + own[at:])
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_places, r.n_equal, r.doc_from) for r in decontaminate.overlaps(frame, bench).collect()}
+    want = {(d, i): found for d, doc in enumerate(docs) for i, item in enumerate(items) if (found := brute_overlap(doc, item))}
+    assert {k for k in want if k not in got} == set() and {k for k in got if k not in want} == set() and len(want) > 60
+    assert got == want
+
+
+def test_decontamination_of_repeated_words(spark):
+    """Hits of texts that repeat a word stay in proportion to their lengths."""
+    docs = spark.createDataFrame([(1, "again " * 3000, 1), (2, "again and " * 1500, 2)], "doc_id long, text string, copy long")
+    bench = spark.createDataFrame([(1, "again " * 300, 1), (2, "and again " * 200, 2)], "item_id long, text string, item long")
+    assert decontaminate.hits(docs, bench).count() < 10_000
+    got = {(r.doc_id, r.item_id): (r.n_places, r.n_equal) for r in decontaminate.overlaps(docs.drop("copy"), bench.drop("item")).collect()}
+    assert got == {(1, 1): (300, 300), (2, 2): (400, 400)}
+
+
 def test_masks_survive_any_one_substitution():
     assert all(any(k not in mask for mask in decontaminate.MASKS) for k in range(decontaminate.SPAN))
 

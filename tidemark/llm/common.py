@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: A side of a join is broadcast up to this many rows; beyond it Spark's sort-merge join with skew splitting is used.
+#: A side of a join is broadcast up to so many rows and bytes; beyond it Spark's sort-merge join with skew splitting is used.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,14 @@ def release(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row of df has."""
+    per = {"string": F.octet_length, "binary": F.octet_length}
+    each = [F.size(F.col(f"`{c}`")) * 8 if kind.startswith("array") else per[kind](F.col(f"`{c}`")) if kind in per else F.lit(8) for c, kind in df.dtypes]
+    return sum((F.greatest(F.coalesce(e, F.lit(0)), F.lit(0)).cast("long") for e in each), F.lit(16).cast("long"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is. The count is of a written table, so it is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES bytes, else as it is. What is measured is a written table, so it is cheap."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df

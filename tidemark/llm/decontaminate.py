@@ -4,22 +4,22 @@ A seed is a run of ``SPAN`` words of which a fixed mask looks at some and ignore
 ignored place leaves the seed's hash as it is. The seeds of every benchmark text and of every document are hashed and joined; a hit
 proposes that the document holds the benchmark text at one offset. Around the hits of an offset the words of both texts
 are compared place by place, which tolerates substitutions: the overlap is the longest run of places that begins and ends with
-an equal word and in which at least ``LEAST_EQUAL`` of the places are equal, taken as the whole aligned stretch first and, where
-that has too many differences, as the best run that the equal places allow. A document is contaminated by a text if the overlap has
+an equal word and in which at least ``LEAST_EQUAL`` of the places are equal. A document is contaminated by a text if the overlap has
 at least ``LEAST_WORDS`` places, or all of a shorter text.
 
 Words are in lower case and without punctuation at their ends. A benchmark text shorter than a seed is matched as a whole by the hash of all its words.
 
-All of it is built-in functions. The benchmark's hashes are broadcast only if they are few; the documents that have hits are read again
+All of it is built-in functions. The benchmark's hashes are broadcast only if they are few and small; the documents that have hits are read again
 for the comparison, by a broadcast of their ids only if those are few, else by a join that can split hot keys.
 
 Defined cases: null, empty and blank texts have no seeds and match nothing; benchmark texts that repeat are each reported; documents that
-repeat (same doc_id and text) are reported once; a null doc_id or item_id is carried as null; empty tables give no rows; extra columns are ignored.
+repeat (same doc_id and text) are reported once; of a text's overlaps that tie the first place counts; very long texts are taken whole, and texts
+that repeat few words meet in rows in proportion to their lengths; a null doc_id or item_id is carried as null; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import boxed, small, words, written
@@ -44,25 +44,60 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame, lengths: list[int] = ()) -> DataFrame:
-    """rows (.., h: word hashes) to a row per seed: (.., at, seed); a mask needs its own places only, in texts of SPAN words or more. lengths: spans shorter than SPAN whose whole runs are seeds too."""
+    """rows (.., h: word hashes) to a row per seed: (.., at, mask, seed); a mask needs its own places only, in texts of SPAN words or more. lengths: spans shorter than SPAN whose whole runs are seeds too."""
     others = [c for c in rows.columns if c != "h"]
     shifted = F.arrays_zip(*[(F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))) if k else F.col("h")).alias(f"w{k}") for k in range(SPAN)])
     places = rows.where(F.size("h") > 0).select(*others, (F.size("h") >= SPAN).alias("_long"), F.posexplode(shifted).alias("at", "w")).select(*others, "_long", "at", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(SPAN)])
     full = [F.when(F.col("_long") & F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"w{k}") for k in mask])) for m, mask in enumerate(MASKS)]
     short = [F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(F.lit(-n), *[F.col(f"w{k}") for k in range(n)])) for n in lengths]
-    return places.select(*others, "at", F.explode(F.array(*full, *short)).alias("seed")).where("seed is not null")
+    return places.select(*others, "at", F.posexplode(F.array(*full, *short)).alias("mask", "seed")).where("seed is not null")
+
+
+def classes(found: DataFrame, *key: str) -> DataFrame:
+    """(*key, seed, prior, places) of seeds (*key, at, mask, seed): the places of a seed in a text, by the seed of the same mask one place before (null without one)."""
+    by = Window.partitionBy(*key, "mask").orderBy("at")
+    prior = F.when(F.lag("at").over(by) == F.col("at") - 1, F.lag("seed").over(by))
+    return found.withColumn("prior", prior).groupBy(*key, "seed", "prior").agg(F.collect_list("at").alias("places"))
 
 
 def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """(doc, item, shift) with their hits: the document's word at ``at`` stands where the text's word at ``at - shift`` does."""
+    """(doc_id, copy, item, shift) with a hit: the document's word at ``at`` stands where the text's word at ``at - shift`` does.
+
+    Of hits one behind the other only the first is made: where both seeds follow on equal ones, the hit before has the same shift. So texts
+    that repeat a word or phrase meet in as many rows as they have places together, not as many as their product.
+    """
     items = written(bench.select("item", word_hashes(F.col("text")).alias("h")), "bench")
     sizes = [r[0] for r in items.select(F.size("h").alias("n")).where(f"n > 0 and n < {SPAN}").distinct().collect()]
     own = seeds(items.select("item", "h", F.size("h").alias("n")), sorted(sizes))
     # a short text counts as a whole only, and so do the short seeds
-    own = own.where(f"n >= {SPAN} or at = 0").select("item", F.col("at").alias("item_at"), "seed", "n")
+    own = written(own.where(f"n >= {SPAN} or at = 0").select("item", "at", "mask", "seed"), "bench-seeds")
     theirs = seeds(docs.select("doc_id", "copy", word_hashes(F.col("text")).alias("h")), sorted(sizes))
-    own = written(own, "bench-seeds")
-    return theirs.join(small(own, SEED_ROWS), "seed").groupBy("doc_id", "copy", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))
+    known = small(written(own.select("seed").distinct(), "bench-hashes"), SEED_ROWS)
+    theirs = classes(theirs.join(known, "seed", "left_semi"), "doc_id", "copy")
+    item = written(classes(own, "item").select("item", "seed", F.col("prior").alias("item_prior"), F.col("places").alias("item_places")), "bench-classes")
+    met = theirs.join(small(item, SEED_ROWS), "seed").where(F.coalesce(F.col("prior") != F.col("item_prior"), F.lit(True)))
+    return met.withColumn("at", F.explode("places")).select("doc_id", "copy", "item", F.explode(F.transform("item_places", lambda k: F.col("at") - k)).alias("shift")).distinct()
+
+
+def longest_run(spots: Column, least_equal: float) -> Column:
+    """The longest run that begins and ends with an equal place and has least_equal of its places equal: a struct (n, back, equal), back the negative of its first place; of equally long ones the first.
+
+    spots: the equal places in order. With a(j) = j - least_equal * spots[j] a run from the j-th to the k-th has enough if a(j) is at most
+    a(k) + 1 - least_equal. So starts and ends are put in order of these, and each end takes the first place of all starts before it.
+    """
+    value = lambda x: F.round(x * 1_000_000).cast("long")  # noqa: E731  shares such as 0.8 are exact here
+    starts = F.transform(spots, lambda s, j: F.struct(value(j - F.lit(least_equal) * s).alias("v"), F.lit(0).alias("end"), j.alias("k"), s.alias("s")))
+    ends = F.transform(spots, lambda s, k: F.struct(value(k + 1 - F.lit(least_equal) * (s + 1)).alias("v"), F.lit(1).alias("end"), k.alias("k"), s.alias("s")))
+    far = F.lit(1 << 30)
+    state = F.struct(far.alias("k"), far.alias("s"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("back"), F.lit(0).alias("equal")).alias("best"))
+
+    def step(now: Column, e: Column) -> Column:
+        run = F.struct((e["s"] - now["s"] + 1).alias("n"), (-now["s"]).alias("back"), (e["k"] - now["k"] + 1).alias("equal"))
+        at_end = F.struct(now["k"].alias("k"), now["s"].alias("s"), F.greatest(run, now["best"]).alias("best"))
+        at_start = F.struct(F.least(now["k"], e["k"]).alias("k"), F.least(now["s"], e["s"]).alias("s"), now["best"].alias("best"))
+        return F.when(e["end"] == 1, at_end).otherwise(at_start)
+
+    return F.aggregate(F.array_sort(F.concat(starts, ends)), state, step, lambda x: x["best"])
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, least_words: int = LEAST_WORDS, least_equal: float = LEAST_EQUAL) -> DataFrame:
@@ -79,24 +114,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, least_words: int = LEAST_WORDS,
     equal = F.zip_with(F.slice("item_words", head + 1, count), F.slice("doc_words", head + F.col("shift") + 1, count), lambda a, b: a == b)
     spots = F.filter(F.transform(equal, lambda e, k: F.when(e, k)), lambda k: k.isNotNull())
     placed = both.select("doc_id", "copy", "item_id", "item", "shift", head.alias("head"), F.size("item_words").alias("n_item"), spots.alias("spots"))
-    # runs between equal places j <= k: k - j + 1 places of which as many are equal as stand between them in spots
-    run = F.struct(F.lit(0).alias("n"), F.lit(0).alias("equal"), F.lit(0).alias("from"))
-
-    def longest(best: Column, j: Column) -> Column:
-        first = F.get("spots", j)
-        ends = F.filter(F.sequence(j, F.size("spots") - 1), lambda k: (k - j + 1) >= F.lit(least_equal) * (F.get("spots", k) - first + 1))
-        k = F.array_max(ends)
-        here = F.struct((F.get("spots", k) - first + 1).alias("n"), (k - j + 1).alias("equal"), first.alias("from"))
-        return F.when(here["n"] > best["n"], here).otherwise(best)
-
-    # tried from the first equal place on; a start that can't reach a longer run is passed over
-    def step(best: Column, j: Column) -> Column:
-        room = F.get("spots", F.size("spots") - 1) - F.get("spots", j) + 1
-        return F.when(room > best["n"], longest(best, j)).otherwise(best)
-
-    best = placed.where(F.size("spots") > 0).withColumn("run", F.aggregate(F.sequence(F.lit(0), F.size("spots") - 1), run, step))
-    enough = F.col("run.n") >= F.least(F.lit(least_words), F.col("n_item"))
-    rows = best.where(enough).select("doc_id", "copy", "item_id", "item", (F.col("head") + F.col("shift") + F.col("run.from")).alias("doc_from"), F.col("run.n").alias("n_places"), F.col("run.equal").alias("n_equal"), F.col("n_item").alias("item_words"))
+    need = F.least(F.lit(least_words), F.col("n_item"))
+    best = placed.where((F.size("spots") > 0) & (F.size("spots") >= F.lit(least_equal) * need - 1e-6)).withColumn("run", longest_run(F.col("spots"), least_equal))
+    rows = best.where(F.col("run.n") >= need).select("doc_id", "copy", "item_id", "item", (F.col("head") + F.col("shift") - F.col("run.back")).alias("doc_from"), F.col("run.n").alias("n_places"), F.col("run.equal").alias("n_equal"), F.col("n_item").alias("item_words"))
     longest_of = F.max_by(F.struct("doc_id", "item_id", "doc_from", "n_places", "n_equal", "item_words"), F.struct("n_equal", "n_places", -F.col("doc_from"))).alias("r")
     out = rows.groupBy("copy", "item").agg(longest_of).select("r.*")
     return out.withColumn("doc_to", F.col("doc_from") + F.col("n_places"))
