@@ -269,6 +269,12 @@ def test_quality_features_stay_within_their_text():
     a, b = "abc de", "fgh"
     joint, alone = quality_model.per_text(pa.array([a, None, b])), quality_model.per_text(pa.array([b]))
     assert (joint[2][0] == alone[0][0]).all() and len(joint[1][0]) == 1
+    # n-grams are of characters and never cross a word's ends
+    for text in ("日本 語", "aé\tb  c", "", "x" * 50):
+        words = [f" {w} " for w in text.split()]
+        grams = [w[k : k + n] for n in quality_model.GRAMS for w in words for k in range(len(w) - n + 1)]
+        got = list(quality_model.features(pa.array([text, "z"])))
+        assert got[0][1][1] == len(words) and sum(at[1] for _, at in got[1:]) == len(grams)
 
 
 # 4
@@ -654,6 +660,24 @@ def test_base_spans_against_the_forms():
     assert pii.base_spans("1" * 200_000 + "." + "a" * 200_000 + "@") == []
 
 
+def test_contexts_discover_secrets_on_both_sides(spark):
+    hexes = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(40)]
+    rows = [(k, f'set token = "{hexes[k]}" here now') for k in range(6)]
+    rows += [(10 + k, f'then token = "short-{k}9{k}83" here') for k in range(3)]  # no seed's form, the seeds' context
+    rows += [(20 + k, f"lorem w{k} {hexes[20 + k]} ipsum v{k}") for k in range(6)]  # a seed's form, no context of its own
+    rows += [(30 + k, f"mail x{k} user{k}@example.com replied at once") for k in range(5)] + [(40 + k, f"mail y{k} handle-{k}{k}{k}{k} replied at once") for k in range(2)]
+    rows += [(50, "pad " * 2000 + f"{'w' * 400} {'v' * 400} 1234{'5' * 300} " + "pad " * 2000), (51, f'set token = "{"a1" * 200}" end')]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        if k < 20 or k == 51:
+            at = text.index('"') + 1
+            assert got[k].spans == f"secret:{at}:{text.index('"', at)}" and got[k].base_sha256 == hashlib.sha256(b"").hexdigest()
+        elif k < 30 or k == 50:
+            assert got[k].spans == ""
+        elif k >= 40:
+            assert got[k].spans == f"email:8:{text.index(' replied')}" and got[k].n_email == 0  # what stands behind tells
+
+
 def test_contexts_discover(spark, odd, none):
     rows = [(k, f"the contact phone is: +1 (555) 555-{1000 + k} ok") for k in range(6)] + [(10 + k, f"the contact phone is: 555-{3000 + 3 * k} ok") for k in range(4)] + [(20 + k, f"item the {1000 + k} of many the words") for k in range(9)]
     got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

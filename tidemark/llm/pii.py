@@ -1,17 +1,18 @@
 """Personal data: fixed forms, and identifiers that bootstrapped contexts discover.
 
-Four kinds have a form of their own: e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds. The one or
-two words before a seed are a lexical pattern; so are the words before any other token that could be an identifier (it has at least
-``LEAST_DIGITS`` digits or an @). Patterns and instances make a graph that Spark scores in rounds: a pattern's confidence is
-the share of all its occurrences in the corpus that known instances follow, if at least ``LEAST_INSTANCES`` different ones do; an instance's is
+Four kinds have a form of their own: e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds, and so are
+long runs of letters and digits (``SECRET``), as keys and tokens have; these count as an identifier, of the kind secret, only if a context confirms them. The one or
+two words before a seed and the one or two behind it are lexical patterns; so are the words about any other token that could be an identifier (it has at least
+``LEAST_DIGITS`` digits or an @). Patterns and instances make a graph that Spark scores in rounds: a pattern's confidence for a kind is
+the share of all its occurrences in the corpus that known instances of that kind stand at, if at least ``LEAST_INSTANCES`` different ones do; an instance's is
 1 - prod(1 - confidence) over its accepted patterns; instances that reach ``LEAST_INSTANCE`` become known, with the kind of
-most known instances of their patterns, and the next round's patterns count them. Spans of discovered instances are added; spans of
-the fixed forms stay as they are. A context that is followed by ordinary words is never confident, however often it precedes a seed.
+their most confident pattern, and the next round's patterns count them. Spans of discovered instances are added; spans of
+the fixed forms stay as they are. A context that ordinary words share is never confident, however often it stands at a seed.
 
 Pattern occurrences are counted over all texts, for at most ``PATTERN_ROWS`` patterns a pass, in as many passes as that takes.
 
-Defined cases: null and empty texts have no spans; rows that repeat are each reported; an empty table gives no rows; a very long token costs
-time in proportion to its length; extra columns stay out. Offsets are code points, ends exclusive.
+Defined cases: null and empty texts have no spans; rows that repeat are each reported; of kinds that tie the last by name holds; an empty table gives no rows;
+a very long token costs time in proportion to its length, and is known by a hash beyond ``LONG_INSTANCE`` characters; extra columns stay out. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -30,14 +31,19 @@ from tidemark.llm.textvec import mixed, word_hashes
 from tidemark.llm.token_ids import slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only a context confirms; their spans come after the others.
+SOFT = "secret"
 #: Fixed forms. A domain is tried at each @; the others begin where no digit stands before, which leaves their matches as they are and their time linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+WORDS = re.compile(r"[^\W_]+|[=:#]")
 CANDIDATE = re.compile(r"[^\s=:;,\"'<>()\[\]{}]+(?:\x20[0-9][^\s=:;,\"'<>()\[\]{}]*)*")
-LEAST_DIGITS, LEAST_LENGTH, MOST_LENGTH, REACH = 4, 6, 64, 160
+SECRET = re.compile(r"(?=(?:[A-Za-z]*[0-9]){4})(?=(?:[0-9]*[A-Za-z]){4})[A-Za-z0-9]{16,}")
+#: Characters about an identifier that are looked at first for its two words; more are if those are not whole.
+LEAST_DIGITS, LEAST_LENGTH, REACH, LONG_INSTANCE = 4, 6, 80, 64
 LEAST_INSTANCES, LEAST_PATTERN, LEAST_INSTANCE, ROUNDS = 3, 0.5, 0.8, 3
 PATTERN_ROWS = 1_000_000
 
@@ -90,7 +96,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
             k += 1
         if any(a < end and start < b for a, b in spans[max(0, k - 1) : k + 2]):
             continue
-        if LEAST_LENGTH <= end - start <= MOST_LENGTH and (sum(c.isdigit() for c in text[start:end]) >= LEAST_DIGITS or "@" in text[start:end]):
+        if LEAST_LENGTH <= end - start and (sum(c.isdigit() for c in text[start:end]) >= LEAST_DIGITS or "@" in text[start:end]):
             out.append((start, end))
     return out
 
@@ -101,10 +107,21 @@ def context_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.replace_substring_regex(clean, r"([=:#])", r" \1 "))
 
 
-def pattern_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the keys of the pattern of it alone and of it after the word before."""
-    before = np.concatenate(([0], words[:-1])).astype(np.uint64)
-    return mixed(words).view(np.int64), mixed(mixed(before) * np.uint64(3) + words).view(np.int64)
+def pattern_keys(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each word the keys of four patterns: it alone, and it after the word before, with an identifier behind; it alone, and it before the next word, with an identifier before."""
+    before, after = np.concatenate(([0], words[:-1])).astype(np.uint64), np.concatenate((words[1:], [0])).astype(np.uint64)
+    return tuple(k.view(np.int64) for k in (mixed(words), mixed(mixed(before) * np.uint64(3) + words), mixed(words ^ np.uint64(0x5EED)), mixed(mixed(words) * np.uint64(5) + after)))
+
+
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and behind a span, as far as two words each need."""
+    reach = REACH
+    while reach < max(start, len(text) - end):
+        left, right = text[max(0, start - reach) : start], text[end : end + reach]
+        if (len(left) == start or len(WORDS.findall(left)) > 2) and (len(right) == len(text) - end or len(WORDS.findall(right)) > 2):
+            return left, right
+        reach *= 4
+    return text[max(0, start - reach) : start], text[end : end + reach]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -125,13 +142,18 @@ def scan(docs: DataFrame) -> DataFrame:
                     text = texts[int(row)].as_py()
                     spans[row] = base_spans(text)
                     for kind, s, e in [*spans[row], *((None, *c) for c in candidates(text, spans[row]))]:
-                        found[row].append({"kind": kind, "start": s, "end": e, "instance": re.sub(r"\s", " ", text[s:e]).lower(), "left": text[max(0, s - REACH) : s]})
+                        instance, (left, right) = re.sub(r"\s", " ", text[s:e]).lower(), around(text, s, e)
+                        if len(instance) > LONG_INSTANCE:
+                            instance = sha256(instance.encode()).hexdigest() + f":{len(instance)}"
+                        found[row].append({"kind": kind or (SOFT if SECRET.fullmatch(text, s, e) else None), "start": s, "end": e, "instance": instance, "left": left, "right": right})
                 flat = [f for fs in found for f in fs]
                 if flat:
-                    words, at = context_words(pa.array([f.pop("left") for f in flat], pa.string()))
-                    one, two = pattern_keys(words)
-                    for f, s, e in zip(flat, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                        f["patterns"] = [] if e == s else [int(one[e - 1])] if e == s + 1 else [int(one[e - 1]), int(two[e - 1])]
+                    for side in ("left", "right"):
+                        words, at = context_words(pa.array([f.pop(side) for f in flat], pa.string()))
+                        keys = pattern_keys(words)[0 if side == "left" else 2 :]
+                        for f, s, e in zip(flat, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                            near = e - 1 if side == "left" else s
+                            f["patterns"] = [*f.get("patterns", ()), *(int(k[near]) for k in keys[: min(2, e - s)])]
                 joined = [",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in spans]
                 counts = [pa.array([sum(k == kind for k, _, _ in x) for x in spans], pa.int64()) for kind in KINDS]
                 base = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
@@ -144,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern occurs before a word in all texts."""
+    """(pattern, total): how often each pattern occurs beside a word in all texts."""
     wanted = written(patterns.select("pattern"), "patterns")
     passes = max(1, -(-wanted.count() // PATTERN_ROWS))
     out = None
@@ -161,11 +183,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     words, at = context_words(batch["text"].slice(a, b - a))
                     if not len(words):
                         continue
-                    last = at[1:][np.diff(at) > 0] - 1  # a text's last word is before none
+                    last = at[1:][np.diff(at) > 0] - 1
                     first = at[:-1][np.diff(at) > 0]
                     for n, key in enumerate(pattern_keys(words)):
                         fits = mask[key & (1 << 20) - 1]
-                        fits[last] = False
+                        if n != 2:  # nothing stands behind a text's last word, nor is there a next word
+                            fits[last] = False
                         if n:
                             fits[first] = False
                         key = key[fits]
@@ -184,20 +207,24 @@ def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
     """(instance, kind) of the instances that confident patterns discover; None where no pattern could."""
     seen = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
     edges = written(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pattern-edges")
-    often = edges.groupBy("pattern").agg(F.count("*").alias("distinct"), F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("new")).where(f"distinct >= {LEAST_INSTANCES} and seeds > 0")
+    open_ = F.col("kind").isNull() | (F.col("kind") == SOFT)
+    often = edges.groupBy("pattern").agg(F.count("*").alias("distinct"), F.count("kind").alias("seeds"), F.count_if(open_).alias("new")).where(f"distinct >= {LEAST_INSTANCES} and seeds > 0")
     often = written(often.select("pattern"), "candidate-patterns")
-    if not often.limit(1).count() or not edges.where("kind is null").limit(1).count():
+    if not often.limit(1).count() or not edges.where(open_).limit(1).count():
         return None
     totals = written(occurrences(docs, often), "pattern-totals")
     graph = written(edges.join(totals, "pattern"), "pattern-graph")
     known = None
     for _ in range(ROUNDS):
-        now = graph if known is None else graph.join(known.withColumnRenamed("kind", "_kind"), "instance", "left").withColumn("kind", F.coalesce("kind", "_kind")).drop("_kind")
-        by_kind = now.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("instances"), F.sum("n").alias("hits"), F.max("total").alias("total"))
-        scored = by_kind.groupBy("pattern").agg(F.sum("instances").alias("instances"), (F.least(F.sum("hits"), F.max("total")) / F.max("total")).alias("confidence"), F.max_by("kind", F.struct("instances", "kind")).alias("pattern_kind"))
-        accepted = scored.where(f"instances >= {LEAST_INSTANCES} and confidence >= {LEAST_PATTERN}").select("pattern", "confidence", "pattern_kind")
+        now, left = graph, graph.where(open_)
+        if known is not None:
+            now = graph.join(known.withColumnRenamed("kind", "_kind"), "instance", "left").withColumn("kind", F.coalesce("_kind", "kind")).drop("_kind")
+            left = left.join(known, "instance", "left_anti")
+        by_kind = now.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("instances"), F.sum("n").alias("hits"), F.max("total").alias("total"))
+        accepted = by_kind.withColumn("confidence", F.least("hits", "total") / F.col("total")).where(f"instances >= {LEAST_INSTANCES} and confidence >= {LEAST_PATTERN}")
+        accepted = accepted.groupBy("pattern").agg(F.max_by(F.struct("confidence", "kind"), F.struct("confidence", "kind")).alias("best")).select("pattern", "best.confidence", F.col("best.kind").alias("pattern_kind"))
         miss = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(1 - 1e-9))))
-        new = now.where("kind is null").join(accepted, "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("score"), F.max_by("pattern_kind", F.struct("confidence", "pattern_kind")).alias("kind")).where(f"score >= {LEAST_INSTANCE}").select("instance", "kind")
+        new = left.join(accepted, "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("score"), F.max_by("pattern_kind", F.struct("confidence", "pattern_kind")).alias("kind")).where(f"score >= {LEAST_INSTANCE}").select("instance", "kind")
         new = written(new, "instances")
         if not new.limit(1).count():
             break
@@ -209,11 +236,11 @@ def extract(docs: DataFrame) -> DataFrame:
     """Per document of docs (doc_id, text): the counts and digest of the fixed forms, and all spans."""
     scanned = written(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     known = discovered(docs, scanned)
-    order = F.array(*map(F.lit, KINDS))
+    order = F.array(*map(F.lit, (*KINDS, SOFT)))
     spans = F.col("base")
     rows = scanned
     if known is not None:
-        unknown = scanned.select("row", F.explode("found").alias("f")).where("f.kind is null").select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.instance").alias("instance"))
+        unknown = scanned.select("row", F.explode("found").alias("f")).where(F.col("f.kind").isNull() | (F.col("f.kind") == SOFT)).select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.instance").alias("instance"))
         more = unknown.join(small(known), "instance").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
         rows = scanned.join(more, "row", "left")
         spans = F.concat(spans, F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))

@@ -1,7 +1,7 @@
 """A quality classifier of supervised subword embeddings.
 
-A text's features are its words and its byte n-grams of ``GRAMS`` lengths, hashed into ``BUCKETS`` vectors, and one feature that every text
-has. The vectors are averaged per document and a softmax layer over the average gives the class; vectors and layer are
+A text's features are its words and its words' character n-grams of ``GRAMS`` lengths, with a space at either end of a word, hashed into ``BUCKETS`` vectors, and one
+feature that every text has. The vectors are averaged per document and a softmax layer over the average gives the class; vectors and layer are
 learned together by stochastic gradient descent in numpy, on at most ``TRAIN_ROWS`` labelled documents (those of the least hashes of
 doc_id), each with its whole text. Case and punctuation are kept: they tell junk from prose.
 
@@ -9,7 +9,8 @@ Because average and layer are linear, a feature's vector times the layer is one
 per feature. That table of BUCKETS floats is all that goes to the workers, whatever the corpus.
 
 Defined cases: null and empty texts have the common feature only; without labelled rows of both classes the score is 0.5; rows that repeat are
-scored each; null labels are left out; an empty table gives no rows; extra columns stay out.
+scored each; of rows whose doc_id's hashes tie the smallest ids are learned from; null labels are left out; very long texts are taken whole, and the
+labelled rows go to the driver a part at a time, as features; an empty table gives no rows; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BUCKETS = 1 << BUCKETS_LOG
 #: Labelled rows to learn from, passes over them, and the first step's rate.
 TRAIN_ROWS, EPOCHS, RATE, SEED = 5000, 10, 0.5, 11
 #: Bytes of text that a worker takes apart at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def bucket(key: np.ndarray, salt: int) -> np.ndarray:
@@ -44,25 +45,20 @@ def bucket(key: np.ndarray, salt: int) -> np.ndarray:
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature the places of all texts' features and where each text's begin."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    at = offsets - offsets[0]
-    codes, words, word_at = word_codes(texts.cast(pa.string()))
+    texts = pc.fill_null(texts, "")
+    codes, words, word_at = word_codes(texts)
     yield (bucket(hashed(words), 7)[codes] if len(words) else np.empty(0, np.int64)), word_at
-    size = np.diff(at)
+    at = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 2)))
+    points = np.frombuffer("".join(f" {t} " for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    space = (points == 32) | (points >= 9) & (points <= 13)
+    points[space] = 32
+    before = np.concatenate(([0], np.cumsum(space)))
     for n in GRAMS:
-        count = np.maximum(size - n + 1, 0)
-        key = np.zeros(max(0, len(data) - n + 1), np.uint64)
+        key = np.zeros(max(0, len(points) - n + 1), np.uint64)
         for k in range(n):
-            key = key << np.uint64(8) | data[k : k + len(key)]
-        places = bucket(key, n)
-        inside = np.ones(len(places), bool)
-        for k in range(1, n):  # an n-gram that ends in the next text is none
-            cut = at[1:-1] - k
-            cut = cut[(cut >= 0) & (cut < len(places))]
-            inside[cut] = False
-        yield places[inside], np.concatenate(([0], np.cumsum(count)))
+            key = key * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(key)]
+        own = np.flatnonzero(before[n - 1 : len(before) - 1] == before[1 : len(before) - n + 1])  # no space but at its ends
+        yield bucket(key[own], n), np.searchsorted(own, at)
 
 
 def per_text(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -75,6 +71,14 @@ def per_text(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, label) with per_text()'s places and shares for the text: no more than BUCKETS of either, however long it is."""
+    for batch in batches:
+        for a, b in slices(batch["text"], PIECE_BYTES):
+            each = per_text(batch["text"].slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).cast(pa.string()), pa.array([p.astype(np.int32).tobytes() for p, _ in each]), pa.array([s.tobytes() for _, s in each]), batch["label"].slice(a, b - a)], ["doc_id", "places", "share", "label"])
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
     """The log odds of class 1 that each place adds for a whole share of the average."""
     rng = np.random.default_rng(seed)
@@ -101,12 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     """The table of a classifier. labels: (doc_id, label)."""
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = mapped(texts, shares, "doc_id string, places binary, share binary, label int").orderBy("doc_id", F.xxhash64("places", "share"), "label").limit(rows).toArrow()
     y = got["label"].to_numpy()
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32)
-    texts = got["text"].combine_chunks()
-    return train([e for a, b in slices(texts, PIECE_BYTES) for e in per_text(texts.slice(a, b - a))], y)
+    return train([(np.frombuffer(p, np.int32), np.frombuffer(s, np.float32)) for p, s in zip(got["places"].to_pylist(), got["share"].to_pylist(), strict=True)], y)
 
 
 def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
