@@ -23,26 +23,32 @@ def _ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     return F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', minx, miny, minx, maxy, maxx, maxy, maxx, miny, minx, miny)
 
 
+#: A written number, and the layouts of loose spatial text: so many numbers between commas, whole numbers between blanks, two corners in brackets.
+_N = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+COMMAS = rf"^\s*{_N}(?:\s*,\s*{_N})+\s*$"
+BLANKS = r"^\s*[+-]?\d+(?: [+-]?\d+)+\s*$"
+CORNERS = rf"^\s*\[\s*\[\s*{_N}\s*,\s*{_N}\s*\]\s*,\s*\[\s*{_N}\s*,\s*{_N}\s*\]\s*\]\s*$"
+
+
+def plain_number(number: Column) -> Column:
+    """A number as JSON has it: without a plus sign, needless leading zeros or a loose full stop, its spelling kept else."""
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.ltrim(number, F.lit("+-")), r"\.$", "")
+    whole = F.ltrim(F.regexp_extract(digits, r"^\d*", 0), F.lit("0"))
+    return F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.regexp_extract(digits, r"^\d*(.*)$", 1))
+
+
 def spatial_text(value: Column) -> Column:
-    """GeoJSON of loose spatial text: two numbers a point; four a box, a line if one repeats, a point if both do; two corners in brackets a box; else "".
-
-    Numbers keep their spelling but for plus signs, loose full stops and leading zeros.
-    """
-    clean = F.replace(F.replace(F.replace(value, F.lit("+"), F.lit("")), F.lit(".,"), F.lit(",")), F.lit(".]"), F.lit("]"))
-    clean = F.regexp_replace(clean, r"\.$", "")
-    clean = F.regexp_replace(clean, r"(^|\s)(-?)0+((0|[1-9][0-9]*)(\.[0-9]*)?)", "$1$2$3")
-    clean = F.when(clean.rlike(r"^\s*-?\d+( -?\d+)*\s*$"), F.replace(clean, F.lit(" "), F.lit(","))).otherwise(clean)
-    part = F.transform(F.split(F.trim(clean), ","), lambda x: F.trim(x))
+    """GeoJSON of loose spatial text: two numbers a point; four a box, a line if one repeats, a point if both do; two corners in brackets a box; else ""."""
+    part = F.transform(F.regexp_extract_all(value, F.lit(_N), F.lit(0)), plain_number)
     p = lambda k: F.get(part, F.lit(k))
-    numbers = F.forall(part, is_number)
-    unique = F.size(F.array_distinct(part))
-    point = lambda x, y: F.format_string('{"type": "Point", "coordinates": [%s, %s]}', x, y)
+    listed, n, unique = value.rlike(COMMAS) | value.rlike(BLANKS), F.size(part), F.size(F.array_distinct(part))
+    point = F.format_string('{"type": "Point", "coordinates": [%s, %s]}', p(0), p(1))
     line = F.format_string('{"type": "LineString", "coordinates": [[%s, %s], [%s, %s]]}', p(0), p(1), p(2), p(3))
-    four = F.when((unique == 2) & (p(0) == p(2)) & (p(1) == p(3)), point(p(0), p(1))).when(unique == 3, line).when(unique == 1, point(p(0), p(0))).otherwise(_ring(p(0), p(1), p(2), p(3)))
-    corner = F.from_json(clean, "array<array<string>>")
-    at = lambda i, j: F.get(F.get(corner, F.lit(i)), F.lit(j))
-    corners = (F.size(corner) == 2) & at(0, 1).isNotNull() & at(1, 1).isNotNull()
-    return F.when((F.size(part) == 2) & numbers, point(p(0), p(1))).when((F.size(part) == 4) & numbers, four).when(corners, _ring(at(0, 0), at(0, 1), at(1, 0), at(1, 1))).otherwise("")
+    box = _ring(p(0), p(1), p(2), p(3))
+    same = (p(0) == p(2)) & (p(1) == p(3))
+    four = F.when(same, point).when(unique == 3, line).otherwise(box)
+    return F.coalesce(F.when(listed & (n == 2), point).when(listed & (n == 4), four).when(value.rlike(CORNERS), box), F.lit(""))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -21,14 +21,16 @@ def ascii_fold(text: Column) -> Column:
 
 
 def slug(title: Column, longest: int = LONGEST) -> Column:
-    """A name for a title: lower case with hyphens, at most ``longest`` characters but with a year at its end kept, padded to two with ``_``."""
-    name = F.regexp_replace(ascii_fold(title), r"[ .:/]", "-")
-    name = F.lower(F.regexp_replace(name, r"[^a-zA-Z0-9_-]", ""))
-    name = F.btrim(F.regexp_replace(name, r"-+", "-"), F.lit("-"))
-    year = F.regexp_extract(name, r"[_-]((?:\d{2,4}-)?\d{2,4})$", 1)
-    year = F.when(F.length(name) > longest, year).otherwise("")
-    cut = F.when(year != "", F.concat(F.substring(name, F.lit(1), longest - 1 - F.length(year)), F.lit("-"), year)).otherwise(F.substring(name, 1, longest))
-    return F.when(F.length(cut) < SHORTEST, F.rpad(cut, SHORTEST, "_")).otherwise(cut)
+    """A name for a title: lower case with hyphens, at most ``longest`` characters but with a year at its end kept, padded to two with ``_``.
+
+    Blanks, full stops, colons, slashes and hyphens part words; other characters than letters, digits and ``_`` vanish from them.
+    """
+    letters = F.regexp_replace(F.lower(ascii_fold(title)), r"[^a-z0-9_ .:/-]+", "")
+    name = F.array_join(F.filter(F.split(letters, r"[ .:/-]+"), lambda word: word != ""), "-")
+    year = F.regexp_extract(name, r"[-_](\d{2,4}(?:-\d{2,4})?)$", 1)
+    kept = F.concat(F.left(name, F.lit(longest - 1) - F.length(year)), F.lit("-"), year)
+    cut = F.when(F.length(name) <= longest, name).when(year == "", F.left(name, F.lit(longest))).otherwise(kept)
+    return F.rpad(cut, F.greatest(F.length(cut), F.lit(SHORTEST)), F.lit("_"))
 
 
 def slug_suffix(name: Column, key: Column) -> Column:

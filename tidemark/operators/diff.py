@@ -43,8 +43,8 @@ def without_identifier(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.where(~blank), records.where(blank).withColumn("label", label).withColumn("status", F.lit("error"))
 
 
-def job_counters(diff: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """One row: how many records a job adds, updates, deletes, leaves, and takes on in all."""
+def job_counters(diff: DataFrame) -> DataFrame:
+    """One row: how many records a job is to add, update, delete, leave, and take on in all; lifecycle.counters() counts what came of them."""
     counted = [F.count_if(F.col("action") == a).alias(f"records_{n}") for a, n in (("create", "added"), ("update", "updated"), ("delete", "deleted"))]
     return diff.agg(F.count("*").alias("records_total"), *counted, F.count_if(F.col("action").isNull()).alias("records_ignored"))
 
@@ -63,6 +63,11 @@ def reconcile_gate(found: DataFrame, most_missing: int = 50) -> bool:
     return not n.get("extra") and not n.get("stale") and n.get("missing", 0) <= most_missing
 
 
+def to_fetch(files: DataFrame, stored: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """modified_since(), but a forced job takes every listed file."""
+    return (files, files.limit(0)) if force else modified_since(files, stored)
+
+
 def harvest(external: DataFrame, internal: DataFrame, job_type: str = "harvest") -> DataFrame:
     """A job's plan: deletions first (phase 0), then creates and updates (phase 1).
 

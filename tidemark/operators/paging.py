@@ -46,11 +46,15 @@ def after(keys: list[tuple[str, str]], place: list) -> Column:
     return reduce(Column.__or__, found, F.lit(False))
 
 
+def key_order(keys: list[tuple[str, str]]) -> list[Column]:
+    """An order of (column, asc or desc), nulls last in each."""
+    return [F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in keys]
+
+
 def keyset_page(df: DataFrame, keys: list[tuple[str, str]], size: int, place: list | None = None) -> DataFrame:
     """The next size rows after a place, or the first; a top-k, so nothing before the place is sorted."""
     rows = df if place is None else df.where(after(keys, place))
-    order = [F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in keys]
-    return rows.orderBy(*order).limit(size)
+    return rows.orderBy(*key_order(keys)).limit(size)
 
 
 def keyset_rows(df: DataFrame, keys: list[tuple[str, str]], size: int, place: list | None = None) -> tuple[list, str | None]:

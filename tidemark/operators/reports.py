@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import extra
+
 VALIDATION_TYPES = ("ValidationException", "ValidationError")
 FIRST = ("harvest_job_id", "date_created", "type", "severity", "id")
 
@@ -78,6 +80,73 @@ def match_cascade(rows: DataFrame, others: DataFrame, keys: list[str], value: st
     return out.select(*rows.columns, F.coalesce(*found).alias("matched"), F.coalesce(*by).alias("matched_by"))
 
 
+def mapped_names(counts: DataFrame, titles: DataFrame) -> DataFrame:
+    """counts (name, count) with titles (title, name) turned into the names they stand for; other names stay. Names that meet are added up."""
+    known = titles.groupBy(F.col("title").alias("name")).agg(F.min("name").alias("_name"))
+    return counts.join(known, "name", "left").groupBy(F.coalesce("_name", "name").alias("name")).agg(F.sum("count").alias("count"))
+
+
+def attribute_comparison(ours: DataFrame, theirs: DataFrame, same: tuple[str, ...] = ("type", "logo"), shown: tuple[str, ...] = ("package_count",), key: str = "name") -> DataFrame:
+    """For each of ours: whether theirs has it, whether attributes are the same, and both sides' values of others. One that theirs lacks has no attributes and counts 0."""
+    other = theirs.select(key, F.lit(True).alias("_in"), *[F.col(c).alias(f"_{c}") for c in (*same, *shown)])
+    both = ours.join(other, key, "left")
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")).alias(f"same_{c}") for c in same]
+    values = [x for c in shown for x in (F.col(c), F.coalesce(f"_{c}", F.lit(0)).alias(f"other_{c}"))]
+    return both.select(key, F.coalesce("_in", F.lit(False)).alias("in_other"), *equal, *values)
+
+
+def same_schema_type(ours: Column, theirs: Column) -> Column:
+    """Whether a source's schema type fits the older catalog's kind of source; null for kinds that fit none or may be either."""
+    fits = (ours.startswith("dcatus") & theirs.isin("datajson", "single-doc")) | (ours.startswith("iso") & theirs.isin("waf", "waf-collection", "single-doc"))
+    return F.when(fits, True).when(theirs.isin("csw", "arcgis", "single-doc", "geoportal"), F.lit(None).cast("boolean")).otherwise(False)
+
+
+def last_modified(listed: DataFrame, source: str = "source") -> DataFrame:
+    """(source, last_modified): the latest of a source's Last-Modified headers (header), else the greatest modified text."""
+    at = F.try_to_timestamp(F.regexp_replace("header", r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return listed.groupBy(source).agg(F.coalesce(F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss"), F.max("modified")).alias("last_modified"))
+
+
+def samples(rows: DataFrame, by: str, key: str = "id", size: int = 10) -> DataFrame:
+    """One row a group: how many there are, and the first ids in order, size at most. Each group's ids are cut before they are gathered."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    few = rows.select(by, key).withColumn("_n", nth).where(F.col("_n") <= size).groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("sample"))
+    return rows.groupBy(by).agg(F.count("*").alias("count")).join(few, by)
+
+
+def source_fields(sources: DataFrame) -> DataFrame:
+    """An older catalog's sources (source_type, frequency, extras of their organization) with the fields that this one has for them."""
+    kind = F.col("source_type")
+    return sources.withColumns({
+        "source_type": F.when(kind.startswith("waf"), "waf").otherwise("document"), "schema_type": F.when(kind.startswith("waf"), "iso19115_2").otherwise("dcatus1.1: non-federal"), "frequency": F.lower("frequency"),
+        "notification_emails": F.filter(F.split(F.coalesce(extra(F.col("extras"), "email_list"), F.lit("")), r"\s+"), lambda x: x != ""), "notification_frequency": F.lit("always"),
+    })
+
+
+def with_parents(jobs: DataFrame, sources: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Jobs with their source's and its organization's columns, in structs."""
+    owned = sources.join(organizations.select(F.col("id").alias("organization_id"), F.struct("*").alias("organization")), "organization_id", "left")
+    one = owned.select(F.col("id").alias("harvest_source_id"), F.struct(*sources.columns).alias("source"), "organization")
+    return jobs.join(one, "harvest_source_id", "left")
+
+
+def last_days(rows: DataFrame, now: str, days: int, column: str = "date_created") -> DataFrame:
+    """Rows of the last days up to now, both ends included."""
+    end = F.lit(now).cast("timestamp")
+    return rows.where(F.col(column).between(end - F.expr(f"interval {days} days"), end))
+
+
+def monitor(rows: DataFrame, now: str, by: list[str], running: Column, waiting: Column, label: str, at: str, key: str) -> DataFrame:
+    """A row a group: rows, the longest age in seconds of running ones (0 without any), how many wait, and the label of the oldest."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(at)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(running, age)), F.lit(0)).alias("longest_error_age"), F.count_if(waiting).alias("waiting"), F.min_by(label, F.struct(at, key)).alias("oldest"))
+
+
+def state_counts(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """How many jobs each group has, and when its latest began."""
+    return jobs.groupBy(*by).agg(F.count("*").alias("n"), F.max("date_created").alias("latest"))
+
+
 def chart_series(rows: DataFrame, fields: list[str], order: str) -> DataFrame:
     """One row: each field's values as a list, in one order, timestamps as text. For charts of a few hundred points."""
     kinds = dict(rows.dtypes)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug_suffix
+from tidemark.sources.scratch import remove
 
 
 def patched(current: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -34,11 +35,43 @@ def removed(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def unique_slugs(new: DataFrame, existing: DataFrame, slug: str = "slug", order: str = "id") -> DataFrame:
     """new with a slug for each row that no other has: the first of a slug keeps it unless it is taken, others get a suffix of their id's hash."""
-    taken = existing.select(F.col(slug)).distinct().withColumn("_taken", F.lit(True))
+    taken = existing.select(F.col(slug).alias("_slug")).distinct().withColumn("_taken", F.lit(True))
     nth = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    rows = new.withColumn("_nth", nth).join(taken, slug, "left")
+    rows = new.withColumn("_nth", nth).join(taken, F.col(slug) == F.col("_slug"), "left").drop("_slug")
     clash = (F.col("_nth") > 1) | F.col("_taken").isNotNull()
-    return rows.select(*[F.when(clash, slug_suffix(F.col(slug), F.col(order).cast("string"))).otherwise(F.col(slug)).alias(c) if c == slug else F.col(c) for c in new.columns])
+    own = F.when(clash, slug_suffix(F.col(slug), F.col(order).cast("string"))).otherwise(F.col(slug))
+    rows = rows.withColumn("_own", own).drop("_taken")
+    # a suffixed slug may be another's: such rows get the whole hash
+    all_slugs = taken.select("_slug").union(rows.where("_nth = 1").select(slug)).distinct().withColumnRenamed("_slug", "_other")
+    again = F.row_number().over(Window.partitionBy("_own").orderBy(order)) > 1
+    rows = rows.withColumn("_again", again).join(all_slugs, F.col("_own") == F.col("_other"), "left")
+    whole = F.concat(F.col(slug), F.lit("-"), F.sha2(F.col(order).cast("string"), 256))
+    chosen = F.when((F.col("_own") != F.col(slug)) & (F.col("_other").isNotNull() | F.col("_again")), whole).otherwise(F.col("_own"))
+    return rows.select(*[chosen.alias(c) if c == slug else F.col(c) for c in new.columns])
+
+
+def slug_conflicts(changes: DataFrame, current: DataFrame) -> DataFrame:
+    """Changes (id, slug) whose slug another row has, or another change asks for."""
+    others = current.select(F.col("id").alias("_id"), "slug").unionByName(changes.select(F.col("id").alias("_id"), "slug")).distinct()
+    return changes.join(others, "slug").where("id <> _id").select(*changes.columns).distinct()
+
+
+def repo_conflicts(organizations: DataFrame) -> DataFrame:
+    """Organizations that have both a code repository and an exemption from having one, or a repository that is no web address."""
+    url = F.trim(F.coalesce("code_repo_url", F.lit("")))
+    return organizations.where(((url != "") & F.col("code_repo_exempt")) | ((url != "") & ~url.rlike("^https?://")))
+
+
+def reslugged(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """current with edited slugs (id, slug), and the changes that name no row or a slug in use, which are left out."""
+    bad = slug_conflicts(changes, current).unionByName(changes.join(current.select("id"), "id", "left_anti")).distinct()
+    good = changes.join(bad.select("id"), "id", "left_anti").select("id", F.col("slug").alias("_slug"))
+    return current.join(good, "id", "left").withColumn("slug", F.coalesce("_slug", "slug")).select(*current.columns), bad
+
+
+def harvested(current: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """patched(), but a slug that stands stays: an edited slug outlives later harvests."""
+    return patched(current, records.drop("slug"), key)
 
 
 def popularity(datasets: DataFrame, views: DataFrame) -> DataFrame:
@@ -79,10 +112,10 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_table(df: DataFrame, root: str, name: str, expected: int | None = None) -> str:
+def replace_table(df: DataFrame, root: str, name: str, expected: int | None = None, old: str | None = None) -> str:
     """Write df as a new version of a table, check its count, and point the view of that name at it; the version's path.
 
-    Readers keep the old version until the new one is whole.
+    Readers keep the old version until the new one is whole; old is the path of a version to delete then.
     """
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
@@ -90,9 +123,26 @@ def replace_table(df: DataFrame, root: str, name: str, expected: int | None = No
     if expected is not None and (n := new.count()) != expected:
         raise ValueError(f"{name}: wrote {n} rows, expected {expected}")
     new.createOrReplaceTempView(name)
+    if old:
+        remove(df.sparkSession, old)
     return path
 
 
+def index_outcome(documents: DataFrame, required: tuple[str, ...] = ("id", "title")) -> tuple[DataFrame, DataFrame]:
+    """Documents that can be indexed, and (id, error_type, error_reason) of those that can't: without a required field, or after the first of an id."""
+    bare = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in required])
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(*documents.columns)))
+    marked = documents.withColumn("_bare", bare).withColumn("_nth", nth)
+    reason = F.coalesce("_bare", F.when(F.col("_nth") > 1, F.lit("the id repeats")))
+    failed = marked.withColumn("_reason", reason).where("_reason is not null").select("id", F.when(F.col("_bare").isNotNull(), "mapper_parsing_exception").otherwise("version_conflict_engine_exception").alias("error_type"), F.col("_reason").alias("error_reason"))
+    return marked.where("_bare is null and _nth = 1").drop("_bare", "_nth"), failed
+
+
+def index_tally(indexed: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: how many documents were indexed and how many failed."""
+    return indexed.agg(F.count("*").alias("succeeded")).join(F.broadcast(failed.agg(F.count("*").alias("failed"))))  # a row each
+
+
 def same_schema(df: DataFrame, other: DataFrame) -> bool:
     return df.schema.simpleString() == other.schema.simpleString()
 

@@ -46,10 +46,10 @@ def unexpected_datasets(records: DataFrame, datasets: DataFrame) -> DataFrame:
 def outdated_records(records: DataFrame, days: int, now: str) -> DataFrame:
     """Records older than so many whole days that aren't the latest live version of anything.
 
-    Rows have unique ids, so the bag difference is an anti join on id.
+    The difference is one of bags, so of rows that repeat, id and all, as many go as are live: none but the first of each.
     """
     age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("date_created")) / 86400)
-    return records.where(age > days).join(latest_live(records, columns=["id"]), "id", "left_anti")
+    return records.where(age > days).exceptAll(latest_live(records).select(*records.columns))
 
 
 def duplicate_positions(rows: DataFrame, key: str = "identifier", order: str = "pos", within: tuple = ()) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.identity import identifier
+from tidemark.functions.json_schema import schema_errors
 from tidemark.schema import IDENTITY_FIELD
+from tidemark.sources.scratch import written
 
 #: Fixed names: the field of a nested catalog for each type of record.
 CATALOG_FIELDS = {"dataset": "dataset", "data_service": "service", "catalog_record": "record", "data_series": "datasetSeries"}
@@ -28,6 +30,15 @@ def flat_records(docs: DataFrame, field: str = "dataset", doc: str = "doc") -> D
     return docs.select(*others, F.posexplode(raw).alias("pos", "raw"))
 
 
+def _object(text) -> dict | None:
+    """JSON text as an object; None for anything else, so that one malformed catalog has no records and the others do."""
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def _walked(batches: Iterator[pd.Series], field: str) -> Iterator[pd.Series]:
     def walk(catalog, path, out):
         entries = catalog.get(field) or []
@@ -40,7 +51,7 @@ def _walked(batches: Iterator[pd.Series], field: str) -> Iterator[pd.Series]:
         return out
 
     for batch in batches:
-        yield batch.map(lambda t: walk(json.loads(t), [], []) if t else [])
+        yield batch.map(lambda t: walk(_object(t) or {}, [], []), na_action=None)
 
 
 def nested_records(docs: DataFrame, record_type: str = "dataset", doc: str = "doc") -> DataFrame:
@@ -66,17 +77,39 @@ def all_records(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return out
 
 
-def tree_walk(nodes: DataFrame, root: str, parent: str = "parent", key: str = "id", order: str = "pos", levels: int = 64) -> DataFrame:
-    """Depth-first order of a tree of rows (key, parent, pos) from a root, as (key, path): level by level joins, for trees of tables."""
-    level = nodes.where(F.col(key) == root).select(F.col(key).alias("key"), F.array(F.col(order)).alias("path"))
+def tree_walk(nodes: DataFrame, root: str, parent: str = "parent", key: str = "id", order: str = "pos") -> DataFrame:
+    """Depth-first order of a tree of rows (key, parent, pos) from a root, as (key, path): level by level joins, for trees of tables of any depth.
+
+    A node that is reached again, by a cycle or under two parents, is an error.
+    """
+    level = written(nodes.where(F.col(key) == root).select(F.col(key).alias("key"), F.array(F.col(order)).alias("path")), "tree")
     out = level
     inner = nodes.select(F.col(key).alias("_key"), F.col(parent).alias("_parent"), F.col(order).alias("_pos"))
-    for _ in range(levels):
-        level = level.join(inner, F.col("key") == F.col("_parent")).select(F.col("_key").alias("key"), F.concat("path", F.array("_pos")).alias("path"))
+    while True:
+        level = written(level.join(inner, F.col("key") == F.col("_parent")).select(F.col("_key").alias("key"), F.concat("path", F.array("_pos")).alias("path")), "tree")
         if level.isEmpty():
-            break
+            return out
+        if not level.join(out, "key", "left_semi").isEmpty():
+            raise ValueError("the rows are no tree: a node is reached twice")
         out = out.union(level)
-    return out
+
+
+def single_document(docs: DataFrame, identifier_of: str = "url") -> DataFrame:
+    """A source that is one document: a record per document, named by its url."""
+    return docs.select(F.col(identifier_of).alias("identifier"), F.lit(0).alias("pos"), F.col("doc").alias("raw"))
+
+
+def exported_pages(spark: SparkSession, path: str, field: str, key: str) -> DataFrame:
+    """Items of saved pages of a paged listing, JSON files with a list under a field; pages overlap when rows are added meanwhile, so an item counts once by its key, the last page's."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.posexplode(F.from_json(F.get_json_object("value", f"$.{field}"), "array<string>")).alias("pos", "raw"))
+    return raw.withColumn(key, F.get_json_object("raw", f"$.{key}")).groupBy(key).agg(F.max_by("raw", F.struct("page", "pos")).alias("raw"))
+
+
+def invalid_records(docs: DataFrame, schema: dict, field: str = "dataset", doc: str = "doc") -> DataFrame:
+    """(url, identifier, path, message) of all that is wrong in catalogs' records: a record's identifier, or its place where it has none."""
+    rows = flat_records(docs, field, doc)
+    name = F.coalesce(F.get_json_object("raw", "$.identifier"), F.col("pos").cast("string"))
+    return rows.withColumn("identifier", name).select("url", "identifier", F.explode(schema_errors(schema)(F.col("raw"))).alias("e")).select("url", "identifier", "e.path", "e.message")
 
 
 def nested_datasets(parents: DataFrame, fields: list[str], parent_identifier: str = "identifier", raw: str = "raw") -> DataFrame:
@@ -112,6 +145,6 @@ def stripped(fields=tuple(CATALOG_FIELDS.values())):
             return out
 
         for batch in batches:
-            yield batch.map(lambda t: json.dumps(clean(json.loads(t))) if t else None)
+            yield batch.map(lambda t: None if (c := _object(t)) is None else json.dumps(clean(c)), na_action=None)
 
     return strip

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import listing_time
+from tidemark.sources.scratch import written
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 #: Folders that are never entered.
@@ -37,21 +38,27 @@ def files(links_table: DataFrame, placeholder: str) -> DataFrame:
     return own.select(F.col("target").alias("identifier"), listing_time(F.col("row"), F.lit(placeholder).cast("timestamp")).alias("modified_date"), "page", "pos")
 
 
-def crawl(pages: DataFrame, start: str, levels: int = 32, **options) -> DataFrame:
-    """Links of the pages that folders reach from a start page, each page once, by breadth."""
+def crawl(pages: DataFrame, start: str, **options) -> DataFrame:
+    """Links of the pages that folders reach from a start page, each page once, by breadth, however deep."""
     every = links(pages, **options)
+    folders = written(every.where("kind = 'folder'").select("page", "target").distinct(), "folders")
     level = pages.where(F.col("url") == start).select(F.col("url").alias("page")).distinct()
     seen = level
-    for _ in range(levels):
-        level = every.where("kind = 'folder'").join(level, "page").select(F.col("target").alias("page")).distinct().join(seen, "page", "left_anti")
+    while True:  # each level is pages not seen before, so it ends
+        level = written(folders.join(level, "page").select(F.col("target").alias("page")).distinct().join(seen, "page", "left_anti"), "level")
         if level.isEmpty():
-            break
+            return every.join(seen, "page", "left_semi")
         seen = seen.union(level)
-    return every.join(seen, "page", "left_semi")
+
+
+def fetched(listed: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listed files (identifier, ..) with the text of their document (url, doc), and those whose document could not be had."""
+    own = documents.select(F.col("url").alias("identifier"), F.col("doc").alias("raw"))
+    return listed.join(own, "identifier"), listed.join(own.select("identifier"), "identifier", "left_anti")
 
 
 def collection(parent: DataFrame, members: DataFrame) -> DataFrame:
-    """A collection's parent document first, then its members, told their parent."""
+    """A collection's parent document first, then its members, told their parent; of several parents members are told the first by identifier."""
     first = parent.select("identifier", "modified_date", F.lit(None).cast("string").alias("parent_identifier"), F.lit(0).alias("phase"))
-    rest = members.join(F.broadcast(parent.select(F.col("identifier").alias("parent_identifier")).limit(1))).select("identifier", "modified_date", "parent_identifier", F.lit(1).alias("phase"))
-    return first.unionByName(rest)
+    rest = members.join(F.broadcast(parent.agg(F.min("identifier").alias("parent_identifier"))))  # one row
+    return first.unionByName(rest.select("identifier", "modified_date", "parent_identifier", F.lit(1).alias("phase")))
