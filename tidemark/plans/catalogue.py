@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, geo, identity, media, quality, text
 from tidemark.functions.json_schema import schema_errors
 from tidemark.operators import diff, documents, facets, paging, reports, scheduling, store, versions
-from tidemark.plans import roles, search
+from tidemark.plans import roles
+from tidemark.plans.registry import ORACLE_SQL, QUERIES, query
 from tidemark.plans.roles import DATASETS, EVENTS_NOW, ISSUES, JOBS, LATEST, ORDERS_NOW, RECORDS, SNAPSHOT
 from tidemark.sources import catalogs, listings
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query by its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # --- record log
 
@@ -108,13 +92,12 @@ def facet_count(s, d):
 
 @query(f"WITH {JOBS} SELECT id, harvest_source_id, date_created FROM jobs WHERE status = 'new' AND date_created < TIMESTAMP '{ORDERS_NOW}' ORDER BY date_created, id LIMIT 50")
 def jobs_due_queue(s, d):
-    due = roles.jobs(s, d).where((F.col("status") == "new") & (F.col("date_created") < F.lit(ORDERS_NOW).cast("timestamp")))
-    return due.orderBy("date_created", "id").limit(50).select("id", "harvest_source_id", "date_created")
+    return scheduling.due(roles.jobs(s, d), ORDERS_NOW, 50).select("id", "harvest_source_id", "date_created")
 
 
 @query(f"WITH {JOBS} SELECT id, harvest_source_id, date_created FROM jobs WHERE status = 'in_progress' AND date_created <= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 1 DAY")
 def jobs_orphaned(s, d):
-    return roles.jobs(s, d).where((F.col("status") == "in_progress") & (F.col("date_created") <= F.lit(ORDERS_NOW).cast("timestamp") - F.expr("interval 1 day"))).select("id", "harvest_source_id", "date_created")
+    return scheduling.orphaned(roles.jobs(s, d), ORDERS_NOW).select("id", "harvest_source_id", "date_created")
 
 
 @query(f"WITH {JOBS} SELECT id, date_created FROM jobs WHERE status = 'new' AND harvest_source_id = 7 AND date_created > TIMESTAMP '{ORDERS_NOW}'")
@@ -122,21 +105,16 @@ def jobs_future_of_source(s, d):
     return facets.facet_filter(roles.jobs(s, d), f"status eq new,harvest_source_id eq 7,date_created gt {ORDERS_NOW}").select("id", "date_created")
 
 
-@query(f"""WITH {JOBS}, n AS (SELECT harvest_source_id, CASE harvest_source_id % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'manual' END AS frequency, max(date_created) AS last FROM jobs GROUP BY 1)
-SELECT harvest_source_id, last + CASE frequency WHEN 'daily' THEN INTERVAL 1 DAY WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS next_run FROM n WHERE frequency <> 'manual'
+@query(f"""WITH {JOBS}, n AS (SELECT c_custkey AS harvest_source_id, CASE c_custkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'manual' END AS frequency FROM customer)
+SELECT harvest_source_id, TIMESTAMP '{ORDERS_NOW}' + CASE frequency WHEN 'daily' THEN INTERVAL 1 DAY WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS date_created FROM n WHERE frequency <> 'manual'
 AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.harvest_source_id = n.harvest_source_id AND j.status = 'new' AND j.date_created > TIMESTAMP '{ORDERS_NOW}')""")
 def next_runs(s, d):
-    jobs = roles.jobs(s, d)
-    source = F.col("harvest_source_id") % 4
-    last = jobs.groupBy("harvest_source_id").agg(F.max("date_created").alias("last")).withColumn("frequency", F.when(source == 0, "daily").when(source == 1, "weekly").when(source == 2, "monthly").otherwise("manual"))
-    waiting = jobs.where((F.col("status") == "new") & (F.col("date_created") > F.lit(ORDERS_NOW).cast("timestamp"))).select("harvest_source_id")
-    return last.where("frequency <> 'manual'").join(waiting, "harvest_source_id", "left_anti").select("harvest_source_id", dates.next_run(F.col("last"), F.col("frequency")).alias("next_run"))
+    return scheduling.next_jobs(roles.sources(s, d), roles.jobs(s, d), ORDERS_NOW)
 
 
 @query(f"WITH {RECORDS} SELECT id, action, date_created FROM records WHERE date_created BETWEEN TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{EVENTS_NOW}'")
 def dashboard_window(s, d):
-    now = F.lit(EVENTS_NOW).cast("timestamp")
-    return roles.records(s, d).where(F.col("date_created").between(now - F.expr("interval 7 days"), now)).select("id", "action", "date_created")
+    return reports.last_days(roles.records(s, d), EVENTS_NOW, 7).select("id", "action", "date_created")
 
 
 @query(f"""WITH {JOBS}, c AS (SELECT DISTINCT ON (harvest_source_id) harvest_source_id, id, date_created FROM jobs WHERE status = 'complete' ORDER BY harvest_source_id, date_created DESC, id DESC),
@@ -264,12 +242,12 @@ def snapshot_diff_forced(s, d):
     return diff.snapshot_diff(*_sides(s, d), force=True).select("identifier", "record_type", "action")
 
 
-@query(f"""WITH {RECORDS}, f AS (SELECT identifier, max(date_created) AS modified_date FROM records WHERE harvest_source_id < 20 GROUP BY 1), t AS (SELECT identifier, max(date_created) AS date_finished FROM records WHERE harvest_source_id BETWEEN 10 AND 40 GROUP BY 1)
+@query(f"""WITH {RECORDS}, f AS (SELECT harvest_source_id || '/' || identifier AS identifier, max(date_created) AS modified_date FROM records WHERE action <> 'create' GROUP BY 1), t AS (SELECT harvest_source_id || '/' || identifier AS identifier, max(date_created) AS date_finished FROM records WHERE action = 'create' GROUP BY 1)
 SELECT f.identifier, modified_date FROM f LEFT JOIN t ON t.identifier = f.identifier WHERE date_finished IS NULL OR modified_date > date_finished""")
 def waf_modified_since(s, d):
-    r = roles.records(s, d)
-    files = r.where("harvest_source_id < 20").groupBy("identifier").agg(F.max("date_created").alias("modified_date"))
-    stored = r.where("harvest_source_id between 10 and 40").groupBy("identifier").agg(F.max("date_created").alias("date_finished"))
+    r = roles.records(s, d).withColumn("identifier", F.concat("harvest_source_id", F.lit("/"), "identifier"))
+    files = r.where("action <> 'create'").groupBy("identifier").agg(F.max("date_created").alias("modified_date"))
+    stored = r.where("action = 'create'").groupBy("identifier").agg(F.max("date_created").alias("date_finished"))
     return diff.modified_since(files, stored)[0].select("identifier", "modified_date")
 
 
@@ -299,11 +277,11 @@ def upsert_merge(s, d):
     return store.upserted(sets.select("slug", "title", "popularity", "publisher"), changes)
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS slug, row_number() OVER (PARTITION BY replace(p_name, ' ', '-') ORDER BY p_partkey) AS r FROM part), t AS (SELECT DISTINCT replace(p_name, ' ', '-') AS slug FROM part WHERE p_partkey < 5)
+@query("""WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS slug, row_number() OVER (PARTITION BY replace(p_name, ' ', '-') ORDER BY p_partkey) AS r FROM part), t AS (SELECT DISTINCT replace(p_name, ' ', '-') AS slug FROM part WHERE p_size = 1)
 SELECT id, CASE WHEN r > 1 OR t.slug IS NOT NULL THEN n.slug || '-' || left(sha256(id::VARCHAR), 5) ELSE n.slug END AS slug FROM n LEFT JOIN t ON t.slug = n.slug""")
 def slug_collisions(s, d):
-    named = roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", " ", "-").alias("slug"))
-    return store.unique_slugs(named, named.where("id < 5"))
+    named = roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", " ", "-").alias("slug"), "p_size")
+    return store.unique_slugs(named.drop("p_size"), named.where("p_size = 1"))
 
 
 @query("""SELECT n_name AS name, count(c.c_custkey)::BIGINT AS count, coalesce(t.n, 0)::BIGINT AS other_count, (count(c.c_custkey) - coalesce(t.n, 0))::BIGINT AS difference, t.n IS NOT NULL AS in_other
@@ -314,21 +292,20 @@ def org_compare(s, d):
     return reports.catalog_counts(count("customer", "c_nationkey"), count("supplier", "s_nationkey"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_brand AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 1 AND p_partkey < 200),
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_brand AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS identifier, p_type AS guid FROM part WHERE p_partkey % 2 = 1),
 n AS (SELECT name, min(other) AS m FROM b GROUP BY 1), i AS (SELECT identifier, min(other) AS m FROM b WHERE identifier IS NOT NULL GROUP BY 1), g AS (SELECT guid, min(other) AS m FROM b GROUP BY 1)
 SELECT a.id, coalesce(n.m, i.m, g.m) AS matched, CASE WHEN n.m IS NOT NULL THEN 'name' WHEN i.m IS NOT NULL THEN 'identifier' WHEN g.m IS NOT NULL THEN 'guid' END AS matched_by FROM a LEFT JOIN n ON n.name = a.name LEFT JOIN i ON i.identifier = a.identifier LEFT JOIN g ON g.guid = a.guid""")
 def match_cascade(s, d):
     p = roles.read(s, d, "part")
     mine = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("identifier"), F.col("p_type").alias("guid"))
     key = F.col("p_partkey")
-    others = p.where("p_partkey % 2 = 1 and p_partkey < 200").select(key.alias("other"), F.when(key % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"), F.when(key % 5 == 0, F.col("p_brand")).alias("identifier"), F.col("p_type").alias("guid"))
+    others = p.where("p_partkey % 2 = 1").select(key.alias("other"), F.when(key % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name"), F.when(key % 5 == 0, F.col("p_brand")).alias("identifier"), F.col("p_type").alias("guid"))
     return reports.match_cascade(mine, others, ["name", "identifier", "guid"], "other").select("id", "matched", "matched_by")
 
 
 @query("""SELECT user_id, count(*)::BIGINT AS n, coalesce(max(epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts))) FILTER (event_type = 'error'), 0)::BIGINT AS longest_error_age, count(*) FILTER (event_type = 'purchase' AND value > 50)::BIGINT AS waiting, arg_min(event_type, struct_pack(a := ts, b := event_id)) AS oldest FROM events GROUP BY 1""")
 def monitor_conditional_aggs(s, d):
-    age = F.unix_timestamp(F.lit(EVENTS_NOW).cast("timestamp")) - F.unix_timestamp("ts")
-    return roles.read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("event_type") == "error", age)), F.lit(0)).alias("longest_error_age"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("waiting"), F.min_by("event_type", F.struct("ts", "event_id")).alias("oldest"))
+    return reports.monitor(roles.read(s, d, "events"), EVENTS_NOW, ["user_id"], running=F.col("event_type") == "error", waiting=(F.col("event_type") == "purchase") & (F.col("value") > 50), label="event_type", at="ts", key="event_id")
 
 
 @query(f"""SELECT count(*) FILTER (o_orderdate >= t - INTERVAL 7 DAY)::BIGINT AS within_week, count(*) FILTER (o_orderdate >= t - INTERVAL 30 DAY AND o_orderdate < t - INTERVAL 7 DAY)::BIGINT AS within_month,
@@ -339,7 +316,7 @@ def age_bins(s, d):
 
 @query(f"WITH {JOBS} SELECT harvest_source_id, status, count(*)::BIGINT AS n, max(date_created) AS latest FROM jobs GROUP BY 1, 2")
 def source_page_summary(s, d):
-    return roles.jobs(s, d).groupBy("harvest_source_id", "status").agg(F.count("*").alias("n"), F.max("date_created").alias("latest"))
+    return reports.state_counts(roles.jobs(s, d), ["harvest_source_id", "status"])
 
 
 @query(f"""WITH {RECORDS}, {DATASETS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY harvest_source_id, identifier ORDER BY date_created DESC, id DESC) AS r FROM records WHERE status = 'success') WHERE r = 1 AND action <> 'delete' AND record_type = 'dataset'),
@@ -369,7 +346,7 @@ def source_summary(s, d):
 @query("SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'JSON' WHEN 1 THEN 'ISO-2' WHEN 2 THEN 'INDETERMINATE' ELSE 'N/A' END AS metadata_type, CASE page_id % 3 WHEN 0 THEN 'apache' WHEN 1 THEN 'nginx' ELSE 'unknown' END AS server FROM pages")
 def source_health(s, d):
     n = F.col("page_id")
-    body = F.when(n % 4 == 0, F.lit('{"a": 1}')).when(n % 4 == 1, F.lit('<?xml version="1.0"?><gmi:MI_Metadata/>')).when(n % 4 == 2, F.substring("html", 1, 200))
+    body = F.when(n % 4 == 0, F.lit('{"a": 1}')).when(n % 4 == 1, F.lit('<?xml version="1.0"?><gmi:MI_Metadata/>')).when(n % 4 == 2, F.col("html"))
     header = F.when(n % 3 == 0, "Apache/2.4").when(n % 3 == 1, "nginx/1.2")
     return roles.read(s, d, "pages").select(n.alias("id"), media.metadata_type(F.lit("text/plain"), body).alias("metadata_type"), media.server_type(header).alias("server"))
 
@@ -387,108 +364,19 @@ def index_documents(s, d):
     return documents.documents(rows, "http://catalog").select("id", "title", "publisher", F.array_join("keyword", "|").alias("keyword"), "has_download")
 
 
-# --- search. Documents' texts are tokenised alike in SQL: runs of ASCII letters, digits and apostrophes
-
-GAP = r"[^a-z0-9']+"
-_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
-_DOCS = f"""t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9'']+'), lambda w: w <> '') AS ws FROM documents),
-p AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM t), k AS (SELECT * FROM p WHERE token NOT IN ({_STOP}))"""
-
-
-def _indexed(s, d):
-    return roles.read(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", search.positions(F.col("text"), GAP).alias("t_description"))
-
-
-def _match(s, d, q):
-    docs = _indexed(s, d)
-    return docs.where(search.matches(docs, search.parse(q))).select("id")
-
-
-@query(f"WITH {_DOCS} SELECT doc_id AS id FROM k WHERE token IN ('ering', 'thon') GROUP BY 1 HAVING count(DISTINCT token) = 2")
-def search_simple_and(s, d):
-    return _match(s, d, "the ering thon")
-
-
-@query(f"WITH {_DOCS} SELECT DISTINCT doc_id AS id FROM k WHERE token IN ('worthless', 'moron', 'einge')")
-def search_or(s, d):
-    return _match(s, d, "worthless or moron OR einge")
-
-
-@query(f"WITH {_DOCS} SELECT DISTINCT a.doc_id AS id FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'thon' AND b.token = 'er'")
-def search_phrase(s, d):
-    return _match(s, d, '"thon er"')
-
-
-@query(f"WITH {_DOCS} SELECT DISTINCT a.doc_id AS id FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 2 WHERE a.token = 'er' AND b.token = 'er'")
-def search_phrase_gap(s, d):
-    return _match(s, d, '"er the er"')
-
-
-@query("SELECT doc_id AS id FROM documents")
-def search_match_all_quirk(s, d):
-    return _match(s, d, '"thon er" ering')
-
-
-_BM25 = f"""WITH {_DOCS}, len AS (SELECT doc_id, count(*) AS l FROM k GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS m FROM len), tf AS (SELECT doc_id, token, count(*) AS tf FROM k WHERE token IN ('er', 'thon', 'ering') GROUP BY 1, 2),
-df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), sc AS (SELECT doc_id AS id, sum(3.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * l / m))) AS s FROM tf JOIN df USING (token) JOIN len USING (doc_id), st GROUP BY 1)"""
-
-
-@query(_BM25 + " SELECT id, round(s, 4) AS score FROM sc WHERE id IN (SELECT doc_id FROM tf GROUP BY 1 HAVING count(*) = 3) ORDER BY round(s, 4) DESC, id DESC LIMIT 20")
-def search_bm25_topk(s, d):
-    docs = _indexed(s, d)
-    hits = docs.where(search.matches(docs, search.parse("er thon ering"))).select("id").join(search.bm25(docs, ["er", "thon", "ering"]), "id")
-    return hits.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(20)
-
-
-@query(_BM25 + " SELECT id, round(s, 4) AS score, n_chars FROM sc JOIN documents ON doc_id = id ORDER BY n_chars DESC, round(s, 4) DESC, id DESC LIMIT 20")
-def search_sort_popularity(s, d):
-    docs = _indexed(s, d)
-    hits = docs.select("id", F.col("n_chars").alias("popularity")).join(search.bm25(docs, ["er", "thon", "ering"]), "id").withColumn("score", F.round("score", 4))
-    order = [F.col(c).desc_nulls_last() for c, _ in search.sort_keys("popularity")]
-    return hits.orderBy(*order).limit(20).select("id", "score", F.col("popularity").alias("n_chars"))
-
-
-@query(f"WITH {_DOCS} SELECT token AS term, count(DISTINCT doc_id)::BIGINT AS count FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
-def facet_terms_keyword(s, d):
-    return search.term_counts(_indexed(s, d), F.transform("t_description", lambda t: t["token"]), 25)
-
-
-@query("SELECT p_brand AS term, count(*)::BIGINT AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def facet_terms_publisher(s, d):
-    return search.term_counts(roles.datasets(s, d), F.col("publisher"))
-
-
-@query("SELECT n_name AS term, count(*)::BIGINT AS count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def facet_terms_org(s, d):
-    rows = roles.read(s, d, "customer").join(F.broadcast(roles.read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
-    return search.term_counts(rows.select(F.col("c_custkey").alias("id"), F.struct(F.col("n_name").alias("slug")).alias("organization")), F.col("organization.slug"))
-
-
-@query(f"WITH {_DOCS} SELECT token AS term, count(DISTINCT doc_id)::BIGINT AS count FROM k WHERE contains(token, 'ing') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 ORDER BY 2 DESC, 1 LIMIT 50")
-def keyword_counts(s, d):
-    return search.term_counts(_indexed(s, d), F.transform("t_description", lambda t: t["token"]), 50, "ING", 5)
-
-
-@query("SELECT p_partkey AS id FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND lower(p_brand) = 'brand#1' AND p_type IN ('ECONOMY', 'PROMO') AND p_size > 10 AND p_partkey % 2 = 0")
-def search_filters_all(s, d):
-    p = roles.read(s, d, "part")
-    docs = p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("keyword"), F.col("p_brand").alias("publisher"), F.struct(F.lit("o").alias("id"), F.col("p_type").alias("organization_type")).alias("organization"), (F.col("p_size") > 10).alias("has_download"), (F.col("p_partkey") % 2 == 0).alias("has_spatial"), F.lit("c").alias("is_part_of"))
-    params = {"keyword": "Red", "publisher": "BRAND#1", "org_type": ["ECONOMY", "PROMO"], "has_download": "true", "spatial_filter": "geospatial", "org_id": "o", "collection": "c"}
-    out = docs
-    for p in search.filter_predicates(params):
-        out = out.where(p)
-    return out.select("id")
+# --- functions
 
 
-# --- functions
+_FOLD = f"translate(coalesce(text, ''), '{text.ACCENTED}', '{text.PLAIN}')"
+for _letter, _pair in text.PAIRS.items():
+    _FOLD = f"replace({_FOLD}, '{_letter}', '{_pair}')"
 
 
-@query(r"""WITH x AS (SELECT doc_id AS id, left(coalesce(text, ''), 100) AS s FROM documents WHERE lang = 'en'),
-a AS (SELECT id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(translate(s, '""" + text.ACCENTED + r"""', '""" + text.PLAIN + r"""'), 'Æ', 'Ae'), 'Ð', 'Th'), 'Þ', 'th'), 'ß', 'ss'), 'æ', 'ae'), 'ð', 'th'), 'þ', 'th'), '[^\x00-\x7F]', '', 'g'), '[ .:/]', '-', 'g'), '[^a-zA-Z0-9_-]', '', 'g')), '-+', '-', 'g'), '-') AS n FROM x),
-b AS (SELECT id, n, CASE WHEN length(n) > 90 THEN regexp_extract(n, '[_-]((?:[0-9]{2,4}-)?[0-9]{2,4})$', 1) ELSE '' END AS y FROM a),
+@query(rf"""WITH a AS (SELECT doc_id AS id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(regexp_replace({_FOLD}, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9_ .:/-]', '', 'g'), '[ .:/-]+'), lambda w: w <> ''), '-') AS n FROM documents),
+b AS (SELECT id, n, CASE WHEN length(n) > 90 THEN regexp_extract(n, '[-_]([0-9]{{2,4}}(?:-[0-9]{{2,4}})?)$', 1) ELSE '' END AS y FROM a),
 c AS (SELECT id, CASE WHEN y <> '' THEN left(n, 89 - length(y)) || '-' || y ELSE left(n, 90) END AS n FROM b) SELECT id, CASE WHEN length(n) < 2 THEN rpad(n, 2, '_') ELSE n END AS slug FROM c""")
 def slugify(s, d):
-    return roles.read(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), text.slug(F.substring(F.coalesce("text", F.lit("")), 1, 100)).alias("slug"))
+    return roles.read(s, d, "documents").select(F.col("doc_id").alias("id"), text.slug(F.coalesce("text", F.lit(""))).alias("slug"))
 
 
 @query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'id-' || event_id WHEN 1 THEN 'at-' || event_id END AS identifier, CASE event_id % 5 WHEN 2 THEN 'identifier is missing' WHEN 3 THEN 'identifier is invalid' WHEN 4 THEN 'identifier object has no usable ''@id''' END AS error FROM events""")
@@ -535,12 +423,6 @@ def vocab_warnings(s, d):
     return docs.unionAll(quality.not_in_vocabulary(pages, "lang", kinds, essence=True).select("id", F.split_part("lang", F.lit(";"), F.lit(1)).alias("lang")))
 
 
-@query(f"WITH {_DOCS} SELECT doc_id AS id, token AS keyword FROM k WHERE length(token) > 6 GROUP BY 1, 2 HAVING count(*) > 1")
-def duplicate_keywords(s, d):
-    long = F.filter(F.transform("t_description", lambda t: t["token"]), lambda w: F.length(w) > 6)
-    return _indexed(s, d).select("id", F.explode(long).alias("keyword")).groupBy("id", "keyword").agg(F.count("*").alias("n")).where("n > 1").select("id", "keyword")
-
-
 @query(r"""WITH m AS (SELECT page_id AS id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) SELECT id, CASE WHEN ends_with(u, '.html') THEN 'text/html' WHEN id % 3 = 0 THEN 'wms' WHEN id % 3 = 1 THEN 'arcgis_rest' END AS media_type, CASE WHEN ends_with(u, '.html') THEN 'HTML' END AS format FROM m""")
 def media_types(s, d):
     clean = F.regexp_replace("url", r"[?#].*$", "")
@@ -574,12 +456,6 @@ def haversine(s, d):
     return _places(s, d).select("id", F.round(geo.haversine(F.lit(38.9), F.lit(-77.0), F.col("lat"), F.col("lon")), 3).alias("km"))
 
 
-@query(f"WITH x AS ({_AT}) SELECT id, round({_KM}, 3) AS distance FROM x ORDER BY round({_KM}, 3), id DESC LIMIT 40")
-def geo_distance_sort(s, d):
-    docs = _places(s, d).select("id", F.struct("lat", "lon").alias("spatial_centroid"))
-    return search.with_distance(docs, 38.9, -77.0).select("id", F.round("distance", 3).alias("distance")).orderBy("distance", F.desc("id")).limit(40)
-
-
 @query(f"WITH x AS ({_AT}) SELECT id, round((lat + lat + lat + 1 + lat + 1 + lat) / 5.0, 6) AS lat, round((lon + lon + 2 + lon + 2 + lon + lon) / 5.0, 6) AS lon FROM x")
 def centroid(s, d):
     lat, lon = F.col("lat"), F.col("lon")
@@ -619,17 +495,11 @@ def json_schema_validate(s, d):
     return roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.size(schema_errors(_SCHEMA)(raw)).alias("n_errors"))
 
 
-@query("""SELECT p_partkey AS id, 'Dataset' AS class, 'accessRights' AS field, 'legacy_access_rights' AS type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'Distribution', 'byteSize', 'invalid_byte_size' FROM part WHERE p_size % 3 = 0""")
-def content_warnings(s, d):
-    raw = F.concat(F.lit('{"@type": "Dataset", "accessRights": "'), F.when(F.col("p_partkey") % 2 == 0, "Non-Public").otherwise("public"), F.lit('", "distribution": [{"@type": "Distribution", "byteSize": "'), "p_size", F.when(F.col("p_size") % 3 == 0, "kB").otherwise(""), F.lit('"}]}'))
-    return quality.warnings(roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), raw.alias("source_raw"))).select("id", "class", "field", "type")
-
-
-@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 4 END AS parent, p_partkey % 4 AS pos FROM part WHERE p_partkey < 400),
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 4 END AS parent, p_partkey % 4 AS pos FROM part),
 w AS (SELECT id, [pos] AS path FROM n WHERE id = 0 UNION ALL SELECT n.id, list_append(w.path, n.pos) FROM w JOIN n ON n.parent = w.id) SELECT id AS key, array_to_string(path, '.') AS path FROM w""")
 def catalog_tree_walk(s, d):
     n = F.col("p_partkey")
-    nodes = roles.read(s, d, "part").where("p_partkey < 400").select(n.alias("id"), F.when(n > 0, F.expr("(p_partkey - 1) div 4")).alias("parent"), (n % 4).alias("pos"))
+    nodes = roles.read(s, d, "part").select(n.alias("id"), F.when(n > 0, F.expr("(p_partkey - 1) div 4")).alias("parent"), (n % 4).alias("pos"))
     return catalogs.tree_walk(nodes, 0).select("key", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
@@ -645,3 +515,6 @@ def waf_links(s, d):
     pages = roles.read(s, d, "pages")
     found = listings.links(pages, extension=".").where("kind = 'file'")
     return found.join(pages.dropDuplicates(["url"]).select(F.col("url").alias("page"), "page_id"), "page").select("page_id", "href", "target")
+
+
+from tidemark.plans import catalogue_search, catalogue_store  # noqa: E402, F401  they register more queries

@@ -23,6 +23,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as harvest sources."""
+    n = F.col("c_custkey")
+    frequency = F.when(n % 4 == 0, "daily").when(n % 4 == 1, "weekly").when(n % 4 == 2, "monthly").otherwise("manual")
+    return read(spark, sf_dir, "customer").select(n.alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("organization_id"), frequency.alias("frequency"), F.lower("c_mktsegment").alias("source_type"))
+
+
+def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as organizations."""
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.concat(F.lit("type-"), "n_regionkey").alias("type"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as jobs."""
     status = F.when(F.col("o_orderstatus") == "P", "in_progress").when(F.col("o_orderstatus") == "O", "new").otherwise("complete")

@@ -1,20 +1,25 @@
 """Catalog search: analysed text, query forms, structured filters, facets, ranking and sort orders as one plan.
 
-Documents are indexed once: each text field becomes (field, token, positions) rows kept by document, so matching is an
-equi-join on tokens, and BM25 uses the statistics of the whole index while filters only choose which hits are shown.
+Documents are indexed once (stored()): postings have a row per field, token and document with its places, sorted by token, so that a query reads
+the row groups of its few tokens; beside them stand each field's lengths, and a row of statistics per field. Terms and phrases are
+groupings of postings, and BM25 uses the statistics of the whole index while filters only choose which hits are shown.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import haversine
+from tidemark.functions.geo import box_intersects, box_within, haversine, shape_filter
+from tidemark.operators import paging
 
 #: The analyser's stop words, the searched fields with their weights, and BM25's constants.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
@@ -62,93 +67,95 @@ def parse(text: str | None) -> Query | None:
     any_of = re.search(r"\sor\s", text, re.I) is not None
     if not any_of and '"' not in text:
         return Query((Term(text),))
-    found = []
-    for quoted, bare in re.findall(r'"([^"]+)"|(\S+)', text):
-        if quoted.strip():
-            found.append(Term(quoted.strip(), True))
-        elif bare and bare.upper() != "OR":
-            found.append(Term(bare))
+    found, rest = [], text
+    while rest := rest.lstrip():
+        closing = rest.find('"', 1) if rest[0] == '"' else -1
+        if closing > 1:  # a quoted run; a lone quote belongs to its word
+            word, rest = rest[1:closing].strip(), rest[closing + 1 :]
+            found += [Term(word, True)] if word else []
+        else:
+            word, *tail = rest.split(None, 1)
+            rest = tail[0] if tail else ""
+            found += [Term(word)] if word.upper() != "OR" else []
     return Query(tuple(found), any_of, False) if found else Query((Term(text),))
 
 
-def _array(name: str, kind: str) -> Column:
-    column = F.col(name)
-    return F.array_join(column, " ") if kind.startswith("array") else column
+class Index(NamedTuple):
+    """postings (field, token, id, places), lengths (field, id, length) and stats (field, n, mean: documents that have the field, and its mean length)."""
 
+    postings: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
 
-def indexed(docs: DataFrame, fields=FIELDS) -> DataFrame:
-    """docs with a column t_<field> of (token, pos) for each searched field it has."""
-    kinds = dict(docs.dtypes)
-    return docs.withColumns({f"t_{f}": positions(_array(f, kinds[f])) for f in fields if f in kinds})
 
+def _words(docs: DataFrame, field: str, key: str, gap: str) -> DataFrame:
+    kind = dict(docs.dtypes)[field]
+    text = F.array_join(field, " ") if kind.startswith("array") else F.col(field)
+    split = docs.select(F.col(key).alias("id"), F.split(F.lower(F.coalesce(text, F.lit(""))), gap).alias("_all"))
+    # text that begins with a gap has an empty piece before its first word
+    each = split.select("id", F.when(F.get("_all", F.lit(0)) == "", 1).otherwise(0).alias("_first"), F.posexplode("_all").alias("_at", "token"))
+    return each.where((F.col("token") != "") & ~F.col("token").isin(*STOP_WORDS)).select(F.lit(field).alias("field"), "token", "id", (F.col("_at") - F.col("_first")).alias("at"))
 
-def has_all(analysed_field: Column, words: list[str]) -> Column:
-    own = F.transform(analysed_field, lambda t: t["token"])
-    return reduce(Column.__and__, [F.array_contains(own, w) for w in words])
 
+def index(docs: DataFrame, fields=FIELDS, key: str = "id", gap: str = TOKEN_GAP) -> Index:
+    """The index of docs' searched fields, those it has."""
+    every = reduce(DataFrame.unionAll, [_words(docs, f, key, gap) for f in fields if f in docs.columns])
+    postings = every.groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    lengths = postings.groupBy("field", "id").agg(F.sum(F.size("places")).alias("length"))
+    return Index(postings, lengths, lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
 
-def has_phrase(analysed_field: Column, words: list[tuple[str, int]]) -> Column:
-    """Whether the words stand at their distances, stop words leaving gaps."""
-    first, at = words[0]
 
-    def stands(word: str, place: Column) -> Column:
-        return F.exists(analysed_field, lambda u: (u["token"] == word) & (u["pos"] == place))
+def stored(made: Index, path: str) -> Index:
+    """The index as tables under a path, postings in order of their tokens."""
+    spark = made.postings.sparkSession
+    made.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "field", "id").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("field", "id").agg(F.sum(F.size("places")).alias("length")).write.parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/stats")
+    return loaded(spark, path)
 
-    return F.exists(analysed_field, lambda t: reduce(Column.__and__, [stands(w, t["pos"] + (k - at)) for w, k in words[1:]], t["token"] == first))
 
+def loaded(spark, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in Index._fields))
 
-def matches(docs: DataFrame, query: Query | None) -> Column:
-    """Which documents a query matches; every word of a term must be in the same field.
 
-    Several terms with quotes but without OR match everything, as the search this mirrors does.
-    """
-    if query is None or not query.any_of and not query.simple and len(query.terms) > 1:
-        return F.lit(True)
-    fields = [F.col(c) for c in docs.columns if c.startswith("t_")]
-    found = []
-    for term in query.terms:
-        words = analysed(term.text)
-        if not words:
-            found.append(F.lit(not term.phrase))
-            continue
-        one = [has_phrase(f, words) if term.phrase else has_all(f, [w for w, _ in words]) for f in fields]
-        found.append(reduce(Column.__or__, one))
-    return reduce(Column.__or__, found)
-
-
-def postings(docs: DataFrame, fields=FIELDS, key: str = "id") -> DataFrame:
-    """(id, field, token, tf, length) of indexed documents."""
-    parts = []
-    for f in (f for f in fields if f"t_{f}" in docs.columns):
-        own = docs.select(key, F.size(f"t_{f}").alias("length"), F.explode(F.transform(f"t_{f}", lambda t: t["token"])).alias("token"))
-        parts.append(own.groupBy(key, "token", "length").agg(F.count("*").alias("tf")).withColumn("field", F.lit(f)))
-    return reduce(DataFrame.unionByName, parts)
+def matches_all(query: Query | None) -> bool:
+    """Whether a query matches every document: a blank one, and several terms with quotes but without OR, as in the search this mirrors."""
+    return query is None or not query.any_of and not query.simple and len(query.terms) > 1
 
 
-def _times(own: Column, word: str) -> Column:
-    return F.size(F.filter(own, lambda t: t == word))
+def _ids(index: Index, term: Term) -> DataFrame | None:
+    """Documents with all of a term's words in one field, at their distances if it is a phrase. None for all documents."""
+    words = analysed(term.text)
+    if not words:
+        return index.lengths.select("id").limit(0) if term.phrase else None
+    own = index.postings.where(F.col("token").isin(sorted({w for w, _ in words})))
+    if not term.phrase:
+        n = len({w for w, _ in words})
+        return own.groupBy("field", "id").agg(F.count("*").alias("_n")).where(F.col("_n") == n).select("id")
+    # every word of the phrase votes for where the phrase would begin
+    offsets = F.create_map(*[x for w in sorted({w for w, _ in words}) for x in (F.lit(w), F.array(*[F.lit(k) for v, k in words if v == w]))])
+    begins = own.select("field", "id", "token", "places", F.explode(F.element_at(offsets, F.col("token"))).alias("_k")).select("field", "id", "_k", F.explode("places").alias("_at"))
+    return begins.groupBy("field", "id", (F.col("_at") - F.col("_k")).alias("_begin")).agg(F.count("*").alias("_n")).where(F.col("_n") == len(words)).select("id")
 
 
-def bm25(docs: DataFrame, words: list[str], fields=FIELDS, key: str = "id") -> DataFrame:
-    """(id, score): fields' BM25 by weight, summed over the words; statistics are those of all docs.
-
-    One pass takes lengths and the query words' counts from the index, another adds up the statistics, a single row.
-    """
-    wanted, names = sorted(set(words)), [f for f in fields if f"t_{f}" in docs.columns]
-    counted = [F.size(f"t_{f}").alias(f"_l_{f}") for f in names]
-    counted += [_times(F.transform(f"t_{f}", lambda t: t["token"]), w).alias(f"_c_{f}_{k}") for f in names for k, w in enumerate(wanted)]
-    rows = docs.select(key, *counted)
-    stats = [x for f in names for x in (F.count_if(F.col(f"_l_{f}") > 0).alias(f"_n_{f}"), F.avg(F.when(F.col(f"_l_{f}") > 0, F.col(f"_l_{f}"))).alias(f"_m_{f}"))]
-    stats += [F.count_if(F.col(f"_c_{f}_{k}") > 0).alias(f"_d_{f}_{k}") for f in names for k in range(len(wanted))]
-    places = [(f, k) for f in names for k in range(len(wanted))]
-    hits = rows.where(reduce(Column.__or__, [F.col(f"_c_{f}_{k}") > 0 for f, k in places])).join(F.broadcast(rows.agg(*stats)))  # one row
+def matching(index: Index, query: Query | None) -> DataFrame | None:
+    """The ids that a query matches, once each; every word of a term must be in the same field. None for all documents."""
+    if matches_all(query):
+        return None
+    found = [_ids(index, term) for term in query.terms]
+    return None if any(f is None for f in found) else reduce(DataFrame.union, found).distinct()
 
-    def part(f: str, k: int) -> Column:
-        n, d, c = F.col(f"_n_{f}"), F.col(f"_d_{f}_{k}"), F.col(f"_c_{f}_{k}")
-        norm = K1 * (1 - B + B * F.col(f"_l_{f}") / F.col(f"_m_{f}"))
-        return F.when(c > 0, F.lit(fields[f]) * F.log(1 + (n - d + 0.5) / (d + 0.5)) * c / (c + norm)).otherwise(0.0)
 
-    return hits.select(key, reduce(Column.__add__, [part(f, k) for f, k in places]).alias("score"))
+def bm25(index: Index, words: list[str], fields=FIELDS) -> DataFrame:
+    """(id, score): fields' BM25 by weight, summed over the words; statistics are those of all documents."""
+    own = index.postings.where(F.col("token").isin(sorted(set(words))) & F.col("field").isin(*fields)).select("field", "token", "id", F.size("places").alias("tf"))
+    often = own.groupBy("field", "token").agg(F.count("*").alias("df")).join(F.broadcast(index.stats), "field")  # a row per field
+    n, df, tf, weight = F.col("n"), F.col("df"), F.col("tf"), F.element_at(F.create_map(*[F.lit(x) for f in fields.items() for x in f]), F.col("field"))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    rows = own.join(index.lengths, ["field", "id"]).join(F.broadcast(often), ["field", "token"])  # a row per field and query word
+    return rows.groupBy("id").agg(F.sum(weight * F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + norm)).alias("score"))
 
 
 # --- structured filters
@@ -186,6 +193,43 @@ def _lowered(name: str) -> Column:
     return F.transform(name, F.lower)
 
 
+class FilterError(ValueError):
+    """A filter's parameter that can't be read."""
+
+
+def shape(value) -> dict | None:
+    """A geometry from url-encoded JSON text, or as it is."""
+    if value is None or isinstance(value, dict):
+        return value
+    try:
+        return json.loads(unquote(value))
+    except ValueError as e:
+        raise FilterError("the geometry is no JSON") from e
+
+
+def _bounds(geometry: dict) -> tuple[float, float, float, float]:
+    todo, points = [geometry["coordinates"]], []
+    while todo:
+        x = todo.pop()
+        if x and isinstance(x[0], (int, float)):
+            points.append(x)
+        else:
+            todo += x
+    return min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)
+
+
+def geography(value: tuple[dict, bool]) -> Column:
+    """Whether spatial_shape (GeoJSON text) lies within a geometry, or meets it; where documents have a column bbox (minx, miny, maxx, maxy) that is tried first, and scans can use it."""
+    geometry, within = value
+    return shape_filter(geometry, "within" if within else "intersects")(F.col("spatial_shape"))
+
+
+def near(value: tuple[dict, bool]) -> Column:
+    """The box condition that geography() implies."""
+    own, area = tuple(F.col(f"bbox.{c}") for c in ("minx", "miny", "maxx", "maxy")), tuple(map(F.lit, _bounds(value[0])))
+    return box_within(own, area) if value[1] else box_intersects(own, area)
+
+
 FILTERS = [
     Filter("keyword", words_list, lambda v: reduce(Column.__and__, [F.array_contains(_lowered("keyword"), k.lower()) for k in v])),
     Filter("org_id", lambda v: (v or "").strip(), lambda v: F.col("organization.id") == v),
@@ -197,15 +241,25 @@ FILTERS = [
 ]
 
 
-def filter_predicates(params: dict) -> list[Column]:
-    """Predicates of the filters that the parameters set, in the registry's order."""
+def place_filter(params: dict) -> tuple[dict, bool] | None:
+    """The geometry that spatial_geometry names, and whether documents must lie within it, as they must unless spatial_within says no."""
+    geometry, within = shape(params.get("spatial_geometry")), flag(params.get("spatial_within"))
+    return None if geometry is None else (geometry, within is not False)
+
+
+def filter_predicates(params: dict, columns: Iterable[str] = ()) -> list[Column]:
+    """Predicates of the filters that the parameters set, in the registry's order, the exact place test last; columns: those of the documents."""
     read = ((f, f.parse(params.get(f.name))) for f in FILTERS)
-    return [f.predicate(v) for f, v in read if f.active(v)]
+    out, place = [f.predicate(v) for f, v in read if f.active(v)], place_filter(params)
+    return out + ([] if place is None else [*([near(place)] if "bbox" in columns else []), geography(place)])
+
+
+PLACE = ("spatial_geometry", "spatial_within", "geography_label")
 
 
 @dataclass(frozen=True)
 class Criteria:
-    """What a request asks for; to_pairs() writes it back."""
+    """What a request asks for; to_pairs() writes it back. per_page: a page's hits, 0 for facets alone, None for all; after: the cursor of the page before."""
 
     q: str = ""
     sort: str = "relevance"
@@ -218,12 +272,13 @@ class Criteria:
     @classmethod
     def of(cls, params: dict) -> Criteria:
         number = lambda v: float(v) if v not in (None, "") else None
-        named = {f.name: params[f.name] for f in FILTERS if params.get(f.name) not in (None, "", [])}
+        named = {n: params[n] for n in (*(f.name for f in FILTERS), *PLACE) if params.get(n) not in (None, "", [])}
         return cls(params.get("q", ""), params.get("sort") or "relevance", whole(params.get("per_page")), params.get("after"), number(params.get("lat")), number(params.get("lon")), named)
 
     def to_pairs(self) -> list[tuple[str, str]]:
         own = [(k, str(v)) for k, v in (("q", self.q), ("sort", self.sort if self.sort != "relevance" else None), ("per_page", self.per_page), ("after", self.after), ("lat", self.lat), ("lon", self.lon)) if v not in (None, "")]
-        return own + [(k, x) for k, v in self.filters.items() for x in ([v] if isinstance(v, str) else map(str, v) if isinstance(v, (list, tuple)) else [str(v)])]
+        text = lambda v: json.dumps(v, separators=(",", ":")) if isinstance(v, dict) else str(v)
+        return own + [(k, x) for k, v in self.filters.items() for x in (map(str, v) if isinstance(v, (list, tuple)) else [text(v)])]
 
     def has_filters(self) -> bool:
         return bool(filter_predicates(self.filters))
@@ -258,20 +313,56 @@ def term_counts(docs: DataFrame, column: Column, size: int = 10, contains: str |
     return rows.groupBy("term").agg(F.count("*").alias("count")).where(F.col("count") >= least).orderBy(F.desc("count"), "term").limit(size)
 
 
+def token_counts(index: Index, field: str, size: int = 10, contains: str | None = None, least: int = 1) -> DataFrame:
+    """(term, count): in how many documents' field each token is; most first."""
+    rows = index.postings.where(F.col("field") == field)
+    if contains:
+        rows = rows.where(F.col("token").contains(contains.lower()))
+    return rows.groupBy(F.col("token").alias("term")).agg(F.count("*").alias("count")).where(F.col("count") >= least).orderBy(F.desc("count"), "term").limit(size)
+
+
 def facets(docs: DataFrame, size: int = 10) -> dict[str, DataFrame]:
     return {"keywords": term_counts(docs, F.transform("keyword", F.lower), size), "organizations": term_counts(docs, F.col("organization.slug"), size), "publishers": term_counts(docs, F.col("publisher"), size)}
 
 
-def search(docs: DataFrame, criteria: Criteria) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(hits in order, facets). Facets see what is filtered and ignore the page; scores are by the whole index."""
-    index = docs if any(c.startswith("t_") for c in docs.columns) else indexed(docs)
+def document(docs: DataFrame, name: str) -> DataFrame:
+    """The document of a slug or an id, one at most; the slug goes first."""
+    return docs.where((F.col("slug") == name) | (F.col("id") == name)).orderBy(F.col("slug") != name, "id").limit(1)
+
+
+def parts(docs: DataFrame) -> DataFrame:
+    """Documents that are part of another."""
+    return docs.where(F.col("is_part_of").isNotNull())
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """One row: how many documents there are, and how many of them are part of another."""
+    return docs.agg(F.count("*").alias("total"), F.count("is_part_of").alias("parts"))
+
+
+def search(docs: DataFrame, criteria: Criteria, made: Index | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(a page of hits in order, facets). Facets see what is filtered and ignore the page; scores are by the whole index, made beforehand or here.
+
+    Hits have their sort values, and with per_page a page's hits are those that follow the cursor's.
+    """
+    made = made or index(docs)
     query = parse(criteria.q)
-    chosen = index.where(reduce(Column.__and__, filter_predicates(criteria.filters), matches(index, query)))
+    ids = matching(made, query)
+    chosen = docs if ids is None else docs.join(ids, "id", "left_semi")
+    chosen = reduce(DataFrame.where, filter_predicates(criteria.filters, docs.columns), chosen)
     words = [w for t in (query.terms if query else ()) for w, _ in analysed(t.text)]
-    hits = chosen.join(bm25(index, words), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))) if words else chosen.withColumn("score", F.lit(1.0))
+    hits = chosen.join(bm25(made, words), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))) if words else chosen.withColumn("score", F.lit(1.0))
     point = criteria.lat is not None and criteria.lon is not None
     if point:
         hits = with_distance(hits, criteria.lat, criteria.lon)
     keys = sort_keys(criteria.sort, point)
-    return hits.orderBy(*[F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in keys]), facets(chosen)
+    if criteria.per_page is None:
+        hits = hits.orderBy(*paging.key_order(keys))
+    else:
+        hits = paging.keyset_page(hits, keys, criteria.per_page, paging.decode_cursor(criteria.after) if criteria.after else None)
+    return hits, facets(chosen)
+
 
+def cursor(hit, sort: str, point: bool = False) -> str:
+    """The cursor of the page that follows a hit."""
+    return paging.encode_cursor([hit[c] for c, _ in sort_keys(sort, point)])
