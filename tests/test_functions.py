@@ -14,15 +14,20 @@ def apply(spark, f, values, kind="string"):
     return [r[0] for r in df.select("i", f(F.col("v")).alias("o")).orderBy("i").select("o").collect()]
 
 
+#: What each rule of a slug does: words part at blanks and marks, other signs vanish, letters fold, long names keep a year, short ones are padded.
 SLUGS = {
-    "some spaces  here    &here": "some-spaces-here-here",
-    "s": "s_",
-    "random:other%character&": "random-othercharacter",
-    "u with umlaut ü": "u-with-umlaut-u",
-    "reallylong" * 12: "reallylong" * 9,
-    "reallylong" * 12 + " - 2012": "reallylong" * 8 + "reall-2012",
-    "Æther ßtraße": "aether-sstrasse",
-    "": "__",
+    "Rain gauges   of  the north": "rain-gauges-of-the-north",
+    "x": "x_",
+    "a.b:c/d-e": "a-b-c-d-e",
+    "50% (rough) #1": "50-rough-1",
+    "Crème brûlée in Ýstad": "creme-brulee-in-ystad",
+    "Ægir & Þór, Straße": "aegir-thor-strasse",
+    "tide" * 30: "tidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetidetideti",
+    "tide" * 30 + " 1998": "tide" * 21 + "t-1998",
+    "tide" * 30 + "_1998-99": "tide" * 20 + "ti-1998-99",
+    "水": "__",
+    "--_--": "__",
+    None: None,
 }
 
 
@@ -32,27 +37,34 @@ def test_slug(spark):
 
 def test_spatial_text(spark):
     ring = lambda a, b, c, d: {"type": "Polygon", "coordinates": [[[a, b], [a, d], [c, d], [c, b], [a, b]]]}
+    point = lambda a, b: {"type": "Point", "coordinates": [a, b]}
     cases = {
-        "1.0,2.0,3.5,5.5": ring(1.0, 2.0, 3.5, 5.5),
-        "-92.109, 15.132, -92.109, 15.132": {"type": "Point", "coordinates": [-92.109, 15.132]},
-        "10,20,30,10": {"type": "LineString", "coordinates": [[10, 20], [30, 10]]},
-        "0,0,0,0": {"type": "Point", "coordinates": [0, 0]},
-        "-88.9718,36.52033": {"type": "Point", "coordinates": [-88.9718, 36.52033]},
-        "10 20": {"type": "Point", "coordinates": [10, 20]},
-        "[[1,2],[3,4]]": ring(1, 2, 3, 4),
-        "somewhere": "",
+        "5,6,7.25,8": ring(5, 6, 7.25, 8),
+        " -12.50 ,+40. , 3, .5": ring(-12.5, 40, 3, 0.5),
+        "7,8,7,8": point(7, 8),
+        "4,4,4,4": point(4, 4),
+        "1,9,2,9": {"type": "LineString", "coordinates": [[1, 9], [2, 9]]},
+        "-003, 0.70": point(-3, 0.7),
+        "11 -22": point(11, -22),
+        "1e1,2": point(10, 2),
+        "[[ -5, 6 ], [7,8.]]": ring(-5, 6, 7, 8),
+        "[[1,2],[3]]": "",
+        "1,2,3": "",
+        "12 km, 4": "",
+        "the old harbour": "",
+        None: "",
     }
     got = apply(spark, geo.spatial_text, cases)
     assert [json.loads(g) if g else g for g in got] == list(cases.values())
 
 
 def test_antimeridian_and_winding(spark):
-    ring = lambda a, b: [[a, 40], [b, 40], [b, 50], [a, 50], [a, 40]]
-    for a, b in ((-190, -170), (170, 190)):
+    ring = lambda a, b: [[a, -7], [b, -7], [b, 9], [a, 9], [a, -7]]
+    for a, b, west, east in ((-199, -150, 161, -150), (140, 211, 140, -149)):
         shape = geo.unwrapped({"type": "Polygon", "coordinates": [ring(a, b)]})
-        assert shape["type"] == "MultiPolygon" and len(shape["coordinates"]) == 2
-        x = sorted((min(p[0] for p in part[0]), max(p[0] for p in part[0])) for part in shape["coordinates"])
-        assert x == [(-180, -170), (170, 180)]
+        reach = sorted((min(p[0] for p in part[0]), max(p[0] for p in part[0])) for part in shape["coordinates"])
+        assert shape["type"] == "MultiPolygon" and reach == [(-180, east), (west, 180)]
+    assert geo.unwrapped({"type": "Polygon", "coordinates": [ring(170, 180)]})["type"] == "Polygon"
     clockwise = ring(0, 10)[::-1]
     assert geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"] == [ring(0, 10)] or geo.area(geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"][0]) > 0
     assert apply(spark, geo.fixed_geometry, ['{"type": "Point", "coordinates": [200, 0]}', "x", None]) == [None, None, None]
@@ -97,7 +109,7 @@ def test_media_types(spark):
 
 
 def test_dates(spark):
-    listing = {"x 2015-09-22 08:40 y": "2015-09-22 08:40:00", "6/17/2021 12:20 PM": "2021-06-17 12:20:00", "02-Oct-2025 11:47 26K": "2025-10-02 11:47:00", "Tuesday, March  3, 2020  1:05 PM": "2020-03-03 13:05:00", "none": "2000-01-01 00:00:00"}
+    listing = {"a 1999-12-31 23:59 b": "1999-12-31 23:59:00", "1/9/2004 12:05 AM 3 kB": "2004-01-09 00:05:00", "11/30/2004 3:07 pm": "2004-11-30 15:07:00", "28-Feb-2012\t06:00 -": "2012-02-28 06:00:00", "Sunday, June  7, 2009   12:30 PM": "2009-06-07 12:30:00", "31-Feb-2012 06:00": "2000-01-01 00:00:00", "size 12:30": "2000-01-01 00:00:00"}
     got = apply(spark, lambda v: dates.listing_time(v, F.lit("2000-01-01").cast("timestamp")).cast("string"), listing)
     assert got == list(listing.values())
     parsed = {"2020": "2020-01-01", "2020-05": "2020-05-01", "2020-05-06": "2020-05-06", "2020-05-06T23:00:00-05:00": "2020-05-06", "2020-05-06T23:00:00": None, "2020-13": None, " 2020": None, "0000": None}
@@ -108,10 +120,11 @@ def test_dates(spark):
 
 
 def test_value_rules(spark):
-    assert apply(spark, quality.bad_duration, ["P1Y", "PT5M", "P", "PT", "P1", "-P2W", None]) == [False, False, True, True, True, False, False]
+    good, bad = ["P3D", "P1Y2M", "PT0.5S", "-P6W", "P2MT3H4M", None], ["", "P", "P3DT", "3D", "P1H", "PT2D", "P1.5D", "P2M1Y"]
+    assert apply(spark, quality.bad_duration, good + bad) == [False] * len(good) + [True] * len(bad)
     assert apply(spark, quality.bad_resolution, ["30", "-1", "0", "1e3", None]) == [False, True, True, True, False]
     assert apply(spark, quality.bad_byte_size, ["1e3", "inf", "12kB"]) == [False, False, True]
-    assert apply(spark, lambda v: quality.duplicate_keywords(F.split(v, ",")), ["a,b,a,c,b", "a"]) == [["a", "b"], []]
+    assert apply(spark, lambda v: quality.duplicate_keywords(F.split(v, ",")), ["k,m,k,n,m,k,,", "k", ""]) == [["k", "m"], [], []]
     assert apply(spark, lambda v: quality.empty_address(v, F.lit("")), ["", None, " "]) == [True, True, False]
 
 
@@ -122,3 +135,21 @@ def test_json_schema():
     assert v.errors({"a": "ab"})[0][:2] == ("$.a", "minLength")
     assert v.errors({"a": ["x"]})[0][:2] == ("$.a[0]", "format")
     assert len(bundled([("$", "a", "1"), ("$", "b", "2"), ("$.x", "c", "3")])) == 2
+
+
+def test_json_schema_keywords():
+    wrong = lambda schema, value: [e[1] for e in Validator(schema).errors(value)]
+    assert wrong({"type": "integer"}, float("inf")) == ["type"] and wrong({"multipleOf": 0.1}, float("nan")) == ["multipleOf"] and wrong({"multipleOf": 0.1}, 0.3) == []
+    assert wrong({"type": "integer"}, 2.0) == [] and wrong({"const": 1}, True) == ["const"] and wrong({"enum": [0]}, False) == ["enum"] and wrong({"const": 1}, 1.0) == []
+    assert wrong({"exclusiveMaximum": 3}, 3) == ["exclusiveMaximum"] and wrong({"minProperties": 1}, {}) == ["minProperties"] and wrong({"propertyNames": {"maxLength": 1}}, {"ab": 1}) == ["maxLength"]
+    assert wrong({"prefixItems": [{"type": "string"}], "items": False}, ["a", 1]) == ["false"] and wrong({"contains": {"const": 1}, "maxContains": 1}, [1, 1]) == ["maxContains"]
+    assert wrong({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"type": "null"}}, "a") == ["minLength"] and wrong({"if": {"type": "string"}, "else": {"type": "null"}}, 1) == ["type"]
+    tree = {"$dynamicAnchor": "node", "type": "object", "properties": {"inner": {"$dynamicRef": "#node"}, "n": {"type": "integer"}}}
+    assert wrong(tree, {"inner": {"inner": {"n": "x"}}}) == ["type"] and wrong({"format": "ipv4"}, "1.2.3.256") == ["format"] and wrong({"format": "ipv4"}, "1.2.3.25") == []
+
+
+def test_schema_errors_of_odd_payloads(spark):
+    from tidemark.functions.json_schema import schema_errors
+
+    got = apply(spark, schema_errors({"type": "integer"}), ["1e999", "NaN", "[" * 5000, "", None, "3"])
+    assert [len(x) for x in got] == [1, 1, 1, 1, 1, 0]

@@ -135,11 +135,43 @@ def test_search(spark):
     assert hit("health food") == ["1", "3"] or set(hit("health food")) == {"1", "3"}
     assert hit('"state of the art"') == ["1"] and set(hit('"art" "state"')) == {"1", "2", "3"} and set(hit("art OR other")) == {"1", "2", "3"}
     assert hit("", keyword="food") == ["1"] and hit("", sort="popularity") == ["2", "1", "3"]
+    first = search.search(docs, search.Criteria.of({"sort": "popularity", "per_page": "2"}))[0].collect()
+    assert [r.id for r in first] == ["2", "1"] and hit("", sort="popularity", per_page="2", after=search.cursor(first[-1], "popularity")) == ["3"] and hit("", per_page="0") == []
+    with pytest.raises(search.FilterError):
+        hit("", spatial_geometry="{")
     assert search.search(docs, search.Criteria())[1]["organizations"].collect()[0]["count"] == 3
     c = search.Criteria.of({"q": "a", "keyword": ["x", "y"], "sort": "popularity"})
     assert c.to_pairs() == [("q", "a"), ("sort", "popularity"), ("keyword", "x"), ("keyword", "y")] and c.has_filters()
 
 
+def test_walks_end_or_tell_of_a_cycle(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(70)], "id int, parent int, pos int")
+    assert catalogs.tree_walk(chain, 0).count() == 70
+    with pytest.raises(ValueError, match="twice"):
+        catalogs.tree_walk(spark.createDataFrame([(0, 2, 0), (1, 0, 0), (2, 1, 0)], "id int, parent int, pos int"), 0)
+    html = lambda *folders: "".join(f'<a href="/f{k}/">x</a>' for k in folders) + '<a href="a.xml">a</a>'
+    pages = spark.createDataFrame([(f"https://h/f{i}/", html(i + 1, 0)) for i in range(40)], "url string, html string")
+    assert listings.crawl(pages, "https://h/f0/").where("kind = 'file'").count() == 40
+
+
+def test_malformed_catalogs_have_no_records(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(['{"dataset": [{"identifier": "a"}]}', "{", None, "[1]", "[" * 3000])], "n int, doc string")
+    assert [r.n for r in catalogs.nested_records(docs).collect()] == [0]
+    assert [r[0] is None for r in docs.select("n", catalogs.stripped()(F.col("doc")).alias("d")).orderBy("n").select("d").collect()] == [False, True, True, True, True]
+
+
+def test_suffixed_slugs_are_free(spark):
+    from tidemark.functions.text import slug_suffix
+
+    new = spark.createDataFrame([("1", "x"), ("2", "x")], "id string, slug string")
+    suffixed = new.where("id = '2'").select(slug_suffix(F.col("slug"), F.col("id"))).first()[0]
+    got = {r.id: r.slug for r in store.unique_slugs(new, spark.createDataFrame([(suffixed,)], "slug string")).collect()}
+    assert got["1"] == "x" and got["2"].startswith(suffixed) and got["2"] != suffixed
+    edits = spark.createDataFrame([("1", "y"), ("2", "y"), ("9", "z")], "id string, slug string")
+    rows, bad = store.reslugged(new, edits)
+    assert {r.slug for r in rows.collect()} == {"x"} and {r.id for r in bad.collect()} == {"1", "2", "9"}
+
+
 def test_catalog_walk(spark):
     doc = '{"dataset": [{"identifier": "a"}], "catalog": [{"dataset": {"identifier": "b"}, "catalog": {"dataset": [{"identifier": "c"}]}}, {"dataset": [{"x": 1}]}]}'
     df = spark.createDataFrame([(1, doc)], "n int, doc string")
