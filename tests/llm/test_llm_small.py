@@ -375,6 +375,14 @@ def test_near_duplicates_odd(spark, odd, none):
     assert near_duplicates.near_duplicates(none).count() == 0 and near_duplicates.one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    edges = [(0, k) for k in range(1, 1500)] + [(k, k + 1) for k in range(2000, 2040)] + [(3000 + k, 3100) for k in range(50)] + [(3100, 5), (7, 7), (None, 3)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(1500), *range(3000, 3050), 3100], 0), **dict.fromkeys(range(2000, 2041), 2000)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(500, 500), (600, 601)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -85,9 +85,27 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; what it holds goes when the session's process ends."""
     path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     atexit.register(delete_path, spark, path)
+    _made.append(path)
     return path
 
 
+#: Scratch paths in the order in which they were made.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many scratch paths there have been; release_since() takes it."""
+    return len(_made)
+
+
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the scratch tables made since a mark but for those to keep."""
+    kept = {getattr(df, "_scratch", None) for df in keep}
+    for path in _made[mark:]:
+        if path not in kept:
+            delete_path(spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

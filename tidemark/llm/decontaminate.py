@@ -127,3 +127,15 @@ def clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     dirty = overlaps(docs, bench, **options).select("doc_id").distinct()
     dirty = written(dirty.withColumn("_hit", F.lit(True)).withColumnRenamed("doc_id", "_dirty"), "contaminated")
     return boxed(docs).join(small(dirty, ID_ROWS), F.col("_doc.doc_id").eqNullSafe(F.col("_dirty")), "left_anti").select("_doc.*")
+
+
+def sql(least_words: int = LEAST_WORDS, least_equal: float = LEAST_EQUAL) -> str:
+    """DuckDB SQL of overlaps(): every pair of equal words names a shift, and all runs between a shift's equal places are tried. Texts shorter than a seed count as they are only."""
+    clean = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '(^|[\x20\x09-\x0D])[\pP\pS]+|[\pP\pS]+([\x20\x09-\x0D]|$)', '\1\2', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""WITH b AS (SELECT DISTINCT item_id, text FROM benchmark), i AS (SELECT item_id, {clean} AS ws, row_number() OVER (ORDER BY item_id, text) AS item FROM b), q AS (SELECT DISTINCT doc_id, text FROM documents), d AS (SELECT doc_id, {clean} AS ws, row_number() OVER (ORDER BY doc_id, text) AS doc FROM q),
+iw AS (SELECT item, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM i), dw AS (SELECT doc, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM d),
+m AS (SELECT doc, item, dw.at - iw.at AS shift, iw.at AS s, n, count(*) OVER (PARTITION BY doc, item, dw.at - iw.at) AS spots FROM dw JOIN iw USING (word)), c AS (SELECT *, row_number() OVER (PARTITION BY doc, item, shift ORDER BY s) AS j FROM m WHERE spots >= {least_equal} * least({least_words}, n) - 1e-6),
+r AS (SELECT x.doc, x.item, x.shift, x.n, x.s + x.shift AS doc_from, y.s - x.s + 1 AS n_places, y.j - x.j + 1 AS n_equal FROM c x JOIN c y ON y.doc = x.doc AND y.item = x.item AND y.shift = x.shift AND y.j >= x.j
+WHERE y.j - x.j + 1 >= (CASE WHEN x.n < {SPAN} THEN 1 ELSE {least_equal} END) * (y.s - x.s + 1) - 1e-6 AND y.s - x.s + 1 >= least({least_words}, x.n)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc, item, shift ORDER BY n_places DESC, doc_from) AS o FROM r), g AS (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY n_equal DESC, n_places DESC, doc_from) AS g FROM o WHERE o = 1)
+SELECT doc_id, item_id, doc_from::INT AS doc_from, n_places::INT AS n_places, n_equal::INT AS n_equal, n::INT AS item_words, (doc_from + n_places)::INT AS doc_to FROM g JOIN d USING (doc) JOIN i USING (item) WHERE g = 1"""

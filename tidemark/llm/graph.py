@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, written
 
-MOST_ROUNDS = 60
+MOST_ROUNDS, HUB = 60, 1000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _star(sided: DataFrame) -> DataFrame:
-    """Each u's least neighbour, u itself included, beside its edges. A hub's edges are a plain join input, so Spark can split them."""
-    least = sided.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return sided.join(least, "u")
+def _star(sided: DataFrame, edges: int) -> DataFrame:
+    """Each u's least neighbour, u itself included, beside its edges.
+
+    A hub, with HUB edges or more and at least a thousandth of all, gets its neighbour from a broadcast: with so many edges each there are no more than
+    2000 hubs. All other nodes meet theirs in a join whose largest key has fewer rows.
+    """
+    least = sided.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hub = F.col("n") >= max(HUB, edges // 1000)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    others = sided.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
+    return sided.join(hubs, "u").unionByName(others)
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -31,9 +38,9 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     mark = _mark(now)
     for _ in range(MOST_ROUNDS):
         # every larger neighbour v of u goes to m; v > u and so v > m
-        large = _star(_both_ways(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = _star(_both_ways(now), mark[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # now a > b on each edge: u's smaller neighbours and u go to m
-        star = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        star = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), mark[0])
         small = star.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = written(small, tag)
         release(now)

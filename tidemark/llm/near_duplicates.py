@@ -339,3 +339,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     if stay.where("_rows > 1").limit(1).count():  # only where whole rows repeat are texts gathered by id
         rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_id", "_keep"]))
     return rows.select("_doc.*")
+
+
+#: DuckDB SQL of near_duplicates() without ``node``: every pair of texts that share a run of words, compared on whole sets.
+SQL = """WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS copy_id, count(*)::BIGINT AS n_copies FROM documents GROUP BY 1), w AS (SELECT copy_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t),
+s AS (SELECT DISTINCT copy_id, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT copy_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)), n AS (SELECT copy_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS shared FROM s a JOIN s b ON b.run = a.run AND b.copy_id > a.copy_id GROUP BY 1, 2), l AS (SELECT a, b FROM c JOIN n x ON x.copy_id = a JOIN n y ON y.copy_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), k AS (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a), d AS (SELECT a, count(*)::BIGINT AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(class_id, t.copy_id) AS class_id, t.copy_id, coalesce(n_links, 0) AS n_links, n_copies FROM documents JOIN t ON t.text = coalesce(documents.text, '') LEFT JOIN k ON k.a = t.copy_id LEFT JOIN d ON d.a = t.copy_id"""

@@ -58,4 +58,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids, op10_pii)}
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_url_filters": url_filters.sql(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.SQL, "op4_jaccard_join": near_duplicates.SQL, "op5_url_filters": url_filters.sql(URL_RULES), "op7_warc": warc.SQL, "op8_decontaminate": decontaminate.sql(),
+}

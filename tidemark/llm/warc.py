@@ -408,3 +408,8 @@ def page_index(spark: SparkSession, folder: str) -> DataFrame:
     length = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))
     kept = rows.where(F.col("record_type").isin("response", "revisit"))
     return kept.select(page("record_id").alias("page_id"), length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+#: DuckDB SQL of page_index(archive(pages)): what the archives must give back.
+SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages), f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.digest = p.digest AND n >= 100"""
