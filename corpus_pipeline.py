@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, mixing, near_duplicates, token_ids, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import made, release_since, table, written
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -44,9 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    """The stages in turn. A stage's own tables, and those of the stage before, go when its result is written."""
+    docs, begun = table(spark, sf_dir, "documents"), made()
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+        release_since(spark, begun, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
