@@ -60,7 +60,7 @@ def give_back() -> None:
 
 
 def mapped(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow with small batches, and with the memory given back after each task."""
+    """df.mapInArrow with small batches, and with the memory given back after each task. The size of batches is a setting of the session, and stays."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):

@@ -7,7 +7,7 @@ back to its documents. All of it is built-in functions: the repeated windows of
 its windows, so a text needs memory in proportion to its own length and no shuffle.
 
 Defined cases: null, empty and blank texts have no words and fail; a null source is a host of its own; documents that repeat are
-counted each; an empty table gives no rows; extra columns are ignored. Two windows are held equal if their 64-bit hashes are.
+counted each; very long texts are counted whole; hosts whose rates tie fare alike; an empty table gives no rows; extra columns are ignored. Two windows are held equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ the log ratio of its backoff weights, by which an n-gram that neither class has
 
 Symbols beyond U+0BFF share 1024 codes. Defined cases: null and empty texts score as a text without evidence; with no labelled
 row of a class the score is 0.5 without evidence for either; rows that repeat are scored each; labels that are null are left out, and of several labels of a
-document every one counts; an empty table gives no rows; extra columns stay out.
+document every one counts; labelled rows whose hashes tie go to the curve in order of their ids; very long texts are taken whole, one at a time; an empty table gives no rows; extra columns stay out.
 """
 
 from __future__ import annotations
