@@ -267,7 +267,9 @@ def test_quality_classifier(spark, labelled, odd, none):
 
 def test_quality_features_stay_within_their_text():
     a, b = "abc de", "fgh"
-    joint, alone = quality_model.per_text(pa.array([a, None, b])), quality_model.per_text(pa.array([b]))
+    joint, alone = quality_model.counted(pa.array([a, None, b])), quality_model.counted(pa.array([b]))
+    places, share = quality_model.unpacked(quality_model.packed(*joint[0]))
+    assert (places == joint[0][0]).all() and share == pytest.approx(joint[0][1] / joint[0][1].sum())
     assert (joint[2][0] == alone[0][0]).all() and len(joint[1][0]) == 1
     # n-grams are of characters and never cross a word's ends
     for text in ("日本 語", "aé\tb  c", "", "x" * 50):

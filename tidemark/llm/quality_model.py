@@ -15,6 +15,7 @@ labelled rows go to the driver a part at a time, as features; an empty table giv
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,22 +62,31 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield bucket(key[own], n), np.searchsorted(own, at)
 
 
-def per_text(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct places with their shares of the average."""
+def counted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct places, in order, and how often it has each."""
     kinds = list(features(texts))
-    out = []
-    for row in range(len(texts)):
-        own, n = np.unique(np.concatenate([np.zeros(1, np.int64), *(p[a[row] : a[row + 1]] for p, a in kinds)]), return_counts=True)
-        out.append((own, (n / n.sum()).astype(np.float32)))
-    return out
+    return [np.unique(np.concatenate([np.zeros(1, np.int64), *(p[a[row] : a[row + 1]] for p, a in kinds)]), return_counts=True) for row in range(len(texts))]
+
+
+def packed(places: np.ndarray, n: np.ndarray) -> bytes:
+    """counted()'s arrays of a text: steps between places and counts, byte planes apart, deflated."""
+    both = np.concatenate((np.diff(places, prepend=0), n)).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct places with their shares of the average."""
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    steps, n = np.split(both, 2)
+    return np.cumsum(steps, dtype=np.int32), (n / n.sum()).astype(np.float32)
 
 
 def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, label) with per_text()'s places and shares for the text: no more than BUCKETS of either, however long it is."""
+    """Rows (doc_id, text, label) with the text's features packed: at most BUCKETS places, however long it is."""
     for batch in batches:
         for a, b in slices(batch["text"], PIECE_BYTES):
-            each = per_text(batch["text"].slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).cast(pa.string()), pa.array([p.astype(np.int32).tobytes() for p, _ in each]), pa.array([s.tobytes() for _, s in each]), batch["label"].slice(a, b - a)], ["doc_id", "places", "share", "label"])
+            each = [packed(p, n) for p, n in counted(batch["text"].slice(a, b - a))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).cast(pa.string()), pa.array(each, pa.binary()), batch["label"].slice(a, b - a)], ["doc_id", "packed", "label"])
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
@@ -106,11 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = mapped(texts, shares, "doc_id string, places binary, share binary, label int").orderBy("doc_id", F.xxhash64("places", "share"), "label").limit(rows).toArrow()
+    got = mapped(texts, shares, "doc_id string, packed binary, label int").orderBy("doc_id", F.xxhash64("packed"), "label").limit(rows).toArrow()
     y = got["label"].to_numpy()
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32)
-    return train([(np.frombuffer(p, np.int32), np.frombuffer(s, np.float32)) for p, s in zip(got["places"].to_pylist(), got["share"].to_pylist(), strict=True)], y)
+    return train([unpacked(x.as_py()) for x in got["packed"]], y)
 
 
 def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
