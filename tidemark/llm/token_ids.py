@@ -41,7 +41,7 @@ END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
 FILE_IDS, CACHE_WORDS = 4_000_000, 250_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def pack(ids: np.ndarray) -> list[tuple[str, np.ndarray]]:
