@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import files
 from tidemark.llm.common import mapped, scratch_path, written
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC, RUN = b"TMDAC\x00\x01\n", 512
 END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
@@ -128,7 +129,11 @@ class Encoder:
         self.between = next(((i, t.content) for i, t in added if t.special and ids(f"a {t.content} b") == [*ids("a"), i, *ids("b")]), None)
         # whether case, and a full stop or comma at a word's end, can be taken apart before words are looked up
         self.folds = all(ids(w) == ids(w.lower()) for w in ("A", "Word", "QX", "Ab,"))
-        self.parts = all(ids(w + p) == ids(w) + ids(p) for w in ("a", "word", "é", "don't", "中") for p in ".,")
+        apart = lambda p: all(ids(w + p) == ids(w) + ids(p) for w in ("a", "word", "é", "don't", "中"))
+        self.parts = all(map(apart, ".,"))
+        # and runs of which other signs: those that come apart alone, repeated, and beside each other
+        signs = [c for c in PUNCTUATION if apart(c) and apart(c * 2) and apart(c * 3)]
+        self.runs = r"(\pL)([" + "".join(f"\\{c}" for c in signs) + r"]+)(\s|$)" if self.parts and all(apart(c + d) for c in signs for d in signs) else None
         self.forget()
 
     def forget(self) -> None:
@@ -167,9 +172,12 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, an end id after each, and how many each has."""
         texts = pc.fill_null(texts, "")
-        if self.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name keeps its case
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # a special token's name keeps its case and its signs
+        if self.folds and not special:
             texts = pc.ascii_lower(texts)
-        if self.parts:
+        if self.runs and not special:
+            texts = pc.replace_substring_regex(texts, self.runs, r"\1 \2\3")
+        elif self.parts:
             texts = pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(texts)
         at = split.offsets.to_numpy().astype(np.int64)
