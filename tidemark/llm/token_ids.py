@@ -41,8 +41,8 @@ MAGIC, RUN = b"TMDAC\x00\x01\n", 512
 END_ID = 1
 #: Ids per file, and words whose ids a worker remembers before it starts anew; neither changes the result.
 FILE_IDS, CACHE_WORDS = 4_000_000, 250_000
-#: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are worked on at once, and that the encoder takes.
+SLICE_BYTES, ENCODED_BYTES = 1 << 20, 2 << 20
 
 
 def pack(ids: np.ndarray) -> list[tuple[str, np.ndarray]]:
@@ -237,7 +237,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         for batch in batches:
             part = batch["part"][0].as_py() if len(batch) else part
             texts = batch["text"].cast(pa.string()) if not pa.types.is_string(batch["text"].type) else batch["text"]
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 ids, lengths = encoder(texts.slice(a, b - a))
                 held.append((batch["doc_id"].slice(a, b - a).to_pylist(), lengths, ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 65536 else ids))
                 if sum(len(h[2]) for h in held) >= file_ids:
