@@ -256,6 +256,23 @@ def test_toxicity_is_the_kneser_ney_ratio(spark):
         assert mean == pytest.approx(np.mean([ratio(own[k : k + size]) for k in range(len(own) - size + 1)]), abs=1e-5)
 
 
+def test_toxicity_of_a_model_too_large_for_a_worker(spark, labelled, odd, none, monkeypatch):
+    docs, labels = labelled
+    both = {}
+    for entries in (toxicity.MODEL_ENTRIES, 0):
+        monkeypatch.setattr(toxicity, "MODEL_ENTRIES", entries)
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", 2000)  # many blocks
+        model = toxicity.fit(docs, labels.selectExpr("doc_id", "toxic label", "int(doc_id % 2) part"))
+        assert isinstance(model[0], tuple) == (entries > 0)
+        both[entries] = [sorted(tuple(r) for r in toxicity.score(df, model, ["doc_id"]).collect()) for df in (docs, odd.where("doc_id is not null"), none)]
+    table, joined = both.values()
+    for a, b in zip(table, joined, strict=True):
+        assert [r[0] for r in a] == [r[0] for r in b] and [r[1] for r in a] == pytest.approx([r[1] for r in b], abs=1e-9)
+    assert len(table[0]) == docs.count() and len(table[1]) == len(ODD) - 1 and table[2] == []
+    kept = toxicity.clean(odd, docs, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() <= len(ODD)
+
+
 def test_quality_classifier(spark, labelled, odd, none):
     docs, labels = labelled
     assert accuracy(quality_model.judge(docs, labels), labels, "quality", False) > 0.95

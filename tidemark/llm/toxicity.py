@@ -8,9 +8,11 @@ either. A text is scored by log P(toxic) - log P(ordinary) of its symbols, norma
 and the largest mean over any ``SPAN`` symbols, which a single expression in a long text moves. A logistic curve over the two turns
 them into a score.
 
-Counting runs over all labelled texts; the counts meet in Spark and the models are built by joins. What goes to the
-workers is a table of the whole model, which grows with the labelled texts: the log ratio of every n-gram that either class has, and of every history
-the log ratio of its backoff weights, by which an n-gram that neither class has is scored before its next shorter suffix. The curve is fitted on at most
+Counting runs over all labelled texts; the counts meet in Spark and the models are built by joins. A model grows with the labelled
+texts and is kept whole: the log ratio of every n-gram that either class has, and of every history
+the log ratio of its backoff weights, by which an n-gram that neither class has is scored before its next shorter suffix. A model of at most ``MODEL_ENTRIES`` goes to every
+worker as a table; a larger one stays a written table that the distinct n-grams of each block of texts are joined with, so that a worker
+holds what one block needs. Both ways give the same scores. The curve is fitted on at most
 ``CURVE_ROWS`` labelled rows of a part that its model did not count; the final model counts all parts.
 
 Symbols beyond U+0BFF share 1024 codes. Defined cases: null and empty texts score as a text without evidence; with no labelled
@@ -26,6 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ EVIDENCE = ("_mean", "_top", "_clear", "_all_clear")
 #: The least places of the model's table; it gets two an entry or more, and entries that share a place are all kept.
 BUCKETS_LOG = 21
 BUCKETS = 1 << BUCKETS_LOG
+#: Entries of a model that goes to every worker: 12 bytes each, and 8 to 16 of places.
+MODEL_ENTRIES = 1 << 23
+#: Bytes of text of a block whose n-grams are joined with a larger model; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 CURVE_ROWS = 20_000
 #: Labelled rows that may be broadcast to the documents.
 LABEL_ROWS = 1_000_000
@@ -142,11 +149,9 @@ def place(key: np.ndarray, bits: int = BUCKETS_LOG) -> np.ndarray:
     return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table for the workers: all keys in order of their places, their log ratios, and where each place begins."""
-    got = rows.select("key", F.col("llr").cast("float")).toArrow()
-    key, ratio = got["key"].to_numpy(), got["llr"].to_numpy()
-    bits = max(BUCKETS_LOG, int(2 * len(key)).bit_length())
+def arranged(key: np.ndarray, ratio: np.ndarray, least: int = BUCKETS_LOG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table for lookups: all keys in order of their places, their log ratios, and where each place begins. It has 2^least places or more."""
+    bits = max(least, int(2 * len(key)).bit_length())
     spot = place(key, bits)
     order = np.argsort(spot, kind="stable")
     starts = np.zeros((1 << bits) + 1, np.int32 if len(key) < 1 << 31 else np.int64)
@@ -154,6 +159,17 @@ def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], ratio[order], starts
 
 
+def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of a whole model for the workers."""
+    got = rows.select("key", F.col("llr").cast("float")).toArrow()
+    return arranged(got["key"].to_numpy(), got["llr"].to_numpy())
+
+
+def model_of(rows: DataFrame):
+    """A model of weights() as score() takes it: a table for every worker up to MODEL_ENTRIES, beyond them the rows themselves."""
+    return packed(rows) if rows.count() <= MODEL_ENTRIES else written(rows.select("key", F.col("llr").cast("float").alias("llr")), "model")
+
+
 def looked_up(key: np.ndarray, keys: np.ndarray, ratios: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key's log ratio, 0 where the table has none, and whether it has."""
     out, found = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
@@ -202,22 +218,66 @@ def evidence(texts: pa.Array, keys: np.ndarray, ratios: np.ndarray, starts: np.n
     return np.stack((mean, top, clear / size, np.log1p(clear)), 1)
 
 
-def _measured(docs: DataFrame, table, keep: list[str]) -> DataFrame:
-    """docs' kept columns with EVIDENCE."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # the whole model: 12 bytes an entry, 4 a place
+def needed(texts: pa.Array) -> np.ndarray:
+    """Every key that evidence() of the texts may look up, once."""
+    gram, out = grams(symbols(texts)[0]), []
+    for k in range(ORDER, 1, -1):
+        gram = np.unique(gram & ((1 << BITS * k) - 1))
+        out += [gram | (k - 2) << BITS * ORDER, np.unique(gram >> BITS) | (k - 2) << BITS * ORDER | HISTORY]
+    return np.concatenate(out)
+
 
+def _measured(docs: DataFrame, model, keep: list[str]) -> DataFrame:
+    """docs' kept columns with EVIDENCE. model: of model_of()."""
     names = [f"_{k}" for k in range(len(keep))]  # a kept column may have any name
     text = names[keep.index("text")] if "text" in keep else "text"
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], *([] if "text" in keep else ["text"]))
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    kind = kinds + ", ".join(f"{e} double" for e in EVIDENCE)
+
+    def measured(batch: pa.RecordBatch, table) -> Iterator[pa.RecordBatch]:
+        for a, b in slices(batch[text], PIECE_BYTES):
+            found = evidence(batch[text].slice(a, b - a), *table)
+            yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(EVIDENCE)))], [*names, *EVIDENCE])
+
+    if isinstance(model, DataFrame):
+        return _met(rows, model, text, measured, kind).toDF(*keep, *EVIDENCE)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_ENTRIES
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch[text], PIECE_BYTES):
-                found = evidence(batch[text].slice(a, b - a), *shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(EVIDENCE)))], [*names, *EVIDENCE])
+            yield from measured(batch, shared.value)
 
-    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], *([] if "text" in keep else ["text"]))
-    return mapped(rows, measure, kinds + ", ".join(f"{e} double" for e in EVIDENCE)).toDF(*keep, *EVIDENCE)
+    return mapped(rows, measure, kind).toDF(*keep, *EVIDENCE)
+
+
+def _met(rows: DataFrame, model: DataFrame, text: str, measured, kind: str) -> DataFrame:
+    """measured() of rows, in blocks, each with the part of the model that its texts need."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in slices(batch[text], BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.full(b - a, block))], [*batch.schema.names, "_block"])
+                block += 1
+
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a block may lie in several batches: a key that comes twice does no harm
+            block = batch["_block"].to_numpy()
+            for one in np.unique(block):
+                own = batch[text].filter(pa.array(block == one))
+                for a, b in slices(own, PIECE_BYTES):
+                    key = needed(own.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), one)), pa.array(key)], ["_block", "key"])
+
+    def measure(texts: pa.Table, found: pa.Table) -> pa.Table:
+        table = arranged(found["key"].to_numpy(), found["llr"].to_numpy(), 1)
+        return pa.Table.from_batches([piece for batch in texts.to_batches() for piece in measured(batch, table)])
+
+    given = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    dealt = written(mapped(rows, deal, f"{given}, _block long"), "blocks")
+    met = mapped(dealt.select("_block", text), want, "_block long, key long").join(model, "key").select("_block", "key", "llr")
+    return dealt.groupBy("_block").cogroup(met.groupBy("_block")).applyInArrow(measure, kind)
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,12 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame):
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int"), F.col("part").cast("int"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(known, LABEL_ROWS), "doc_id")
     seen = written(counts(rows.select("text", "label", "part")), "n-grams")
-    half = packed(weights(seen, F.col("a0"), F.col("a1")))
+    half = model_of(weights(seen, F.col("a0"), F.col("a1")))
     some = rows.where("part = 1").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label").limit(CURVE_ROWS) if labels.where("part = 1").count() > CURVE_ROWS else None
     placed = _measured(rows.where("part = 1") if some is None else rows.where("part = 1").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi"), half, ["label"]).toArrow()
     x, y = np.column_stack([placed[e].to_numpy() for e in EVIDENCE]), placed["label"].to_numpy().astype(float)
     fitted = curve(x, y) if 0 < y.sum() < len(y) else (np.zeros(len(EVIDENCE)), np.ones(len(EVIDENCE)), np.zeros(len(EVIDENCE) + 1))
-    return packed(weights(seen, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1"))), fitted
+    return model_of(weights(seen, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1"))), fitted
 
 
 def score(docs: DataFrame, model, keep: list[str], name: str = "score") -> DataFrame:
