@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import alignment, decontaminate, merkle, mixing, near_duplicates, pii, quality_model, quality_rules, token_ids, toxicity, url_filters, warc
+from tidemark.llm import alignment, decontaminate, languages, merkle, mixing, near_duplicates, pii, quality_model, quality_rules, token_ids, toxicity, url_filters, warc
 from tidemark.llm.common import table
 
 #: (verdict, host, path) of the contract's rules.
@@ -65,7 +65,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids, op10_pii, op11_merkle_manifest, op12_token_alignment)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_classifier, op7_warc, op8_decontaminate, op9_token_ids, op10_pii, op11_merkle_manifest, op12_token_alignment, op13_language_id)}
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL, "op4_jaccard_join": near_duplicates.SQL, "op5_url_filters": url_filters.sql(URL_RULES), "op7_warc": warc.SQL, "op8_decontaminate": decontaminate.sql(), "op11_merkle_manifest": merkle.SQL,
 }
