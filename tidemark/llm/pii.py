@@ -3,16 +3,17 @@
 Four kinds have a form of their own: e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds, and so are
 long runs of letters and digits (``SECRET``), as keys and tokens have; these count as an identifier, of the kind secret, only if a context confirms them. The one or
 two words before a seed and the one or two behind it are lexical patterns; so are the words about any other token that could be an identifier (it has at least
-``LEAST_DIGITS`` digits or an @). Patterns and instances make a graph that Spark scores in rounds: a pattern's confidence for a kind is
+``LEAST_DIGITS`` digits or an @). Patterns and instances make a graph that Spark scores in rounds, until one finds nothing new: a pattern's confidence for a kind is
 the share of all its occurrences in the corpus that known instances of that kind stand at, if at least ``LEAST_INSTANCES`` different ones do; an instance's is
 1 - prod(1 - confidence) over its accepted patterns; instances that reach ``LEAST_INSTANCE`` become known, with the kind of
-their most confident pattern, and the next round's patterns count them. Spans of discovered instances are added; spans of
+their most confident pattern, and the next round's patterns count them, also patterns that no seed of a fixed form stands at. Spans of discovered instances are added; spans of
 the fixed forms stay as they are. A context that ordinary words share is never confident, however often it stands at a seed.
 
-Pattern occurrences are counted over all texts, for at most ``PATTERN_ROWS`` patterns a pass, in as many passes as that takes.
+Occurrences of patterns are counted in one pass over all texts, for every pattern that ``LEAST_INSTANCES`` instances stand at: workers pass a pattern's
+count in a block on if a bitmap of ``2 ** MASK_BITS`` places may hold it, and a join with the patterns themselves keeps the right ones.
 
 Defined cases: null and empty texts have no spans; rows that repeat are each reported; of kinds that tie the last by name holds; an empty table gives no rows;
-a very long token costs time in proportion to its length, and is known by a hash beyond ``LONG_INSTANCE`` characters; extra columns stay out. Offsets are code points, ends exclusive.
+very long texts are scanned whole, one at a time; a very long token costs time in proportion to its length, and is known by a hash beyond ``LONG_INSTANCE`` characters; extra columns stay out. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -44,8 +45,11 @@ CANDIDATE = re.compile(r"[^\s=:;,\"'<>()\[\]{}]+(?:\x20[0-9][^\s=:;,\"'<>()\[\]{
 SECRET = re.compile(r"(?=(?:[A-Za-z]*[0-9]){4})(?=(?:[0-9]*[A-Za-z]){4})[A-Za-z0-9]{16,}")
 #: Characters about an identifier that are looked at first for its two words; more are if those are not whole.
 LEAST_DIGITS, LEAST_LENGTH, REACH, LONG_INSTANCE = 4, 6, 80, 64
-LEAST_INSTANCES, LEAST_PATTERN, LEAST_INSTANCE, ROUNDS = 3, 0.5, 0.8, 3
-PATTERN_ROWS = 1_000_000
+LEAST_INSTANCES, LEAST_PATTERN, LEAST_INSTANCE = 3, 0.5, 0.8
+#: Places of the bitmap of patterns: 16 MB, whatever the corpus. With more patterns than places more counts are passed on in vain, and none is lost.
+MASK_BITS = 27
+#: Counts that a worker holds before it adds equal ones up.
+HELD = 500_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -165,57 +169,66 @@ def scan(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), find, f"doc_id {kind}, {counts}, base_sha256 string, base array<struct<{span}>>, found array<struct<{span}, instance string, patterns array<long>>>")
 
 
+def bitmap(patterns: DataFrame) -> np.ndarray:
+    """The places of patterns as bits, lowest first; 2^MASK_BITS of them."""
+    place = F.col("pattern").bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    rows = patterns.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((max(1, 1 << MASK_BITS - 15), 1 << 12), np.uint8)
+    for r in rows.toArrow().to_pylist():  # 2^(MASK_BITS - 15) rows of 4 KB at most
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each pattern occurs beside a word in all texts."""
     wanted = written(patterns.select("pattern"), "patterns")
-    passes = max(1, -(-wanted.count() // PATTERN_ROWS))
-    out = None
-    for k in range(passes):
-        keys = np.sort(wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).toArrow()["pattern"].to_numpy())
-        shared = docs.sparkSession.sparkContext.broadcast(keys)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys = shared.value
-            total, mask = np.zeros(len(keys), np.int64), np.zeros(1 << 20, bool)
-            mask[keys & (1 << 20) - 1] = True
-            for batch in batches:
-                for a, b in slices(batch["text"]):
-                    words, at = context_words(batch["text"].slice(a, b - a))
-                    if not len(words):
-                        continue
-                    last = at[1:][np.diff(at) > 0] - 1
-                    first = at[:-1][np.diff(at) > 0]
-                    for n, key in enumerate(pattern_keys(words)):
-                        fits = mask[key & (1 << 20) - 1]
-                        if n != 2:  # nothing stands behind a text's last word, nor is there a next word
-                            fits[last] = False
-                        if n:
-                            fits[first] = False
-                        key = key[fits]
-                        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        total += np.bincount(spot[keys[spot] == key], minlength=len(keys))
-            kept = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(total[kept])], ["pattern", "n"])
-
-        if len(keys):
-            got = mapped(docs.select("text"), count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-            out = got if out is None else out.union(got)
-    return out
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, held, size = shared.value, [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return key, np.bincount(back, np.concatenate([h[1] for h in held]), len(key)).astype(np.int64)
+
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                words, at = context_words(batch["text"].slice(a, b - a))
+                if not len(words):
+                    continue
+                last = at[1:][np.diff(at) > 0] - 1
+                first = at[:-1][np.diff(at) > 0]
+                for n, key in enumerate(pattern_keys(words)):
+                    place = key & (1 << MASK_BITS) - 1
+                    fits = (mask[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                    if n != 2:  # nothing stands behind a text's last word, nor is there a next word
+                        fits[last] = False
+                    if n:
+                        fits[first] = False
+                    held.append(np.unique(key[fits], return_counts=True))
+                    size += len(held[-1][0])
+                if size > HELD + len(held[0][0]):
+                    held, size = [summed()], 0
+        key, n = summed()
+        for k in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["pattern", "n"])
+
+    got = mapped(docs.select("text"), count, "pattern long, n long")
+    return got.groupBy("pattern").agg(F.sum("n").alias("total")).join(wanted, "pattern", "left_semi")
 
 
 def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
     """(instance, kind) of the instances that confident patterns discover; None where no pattern could."""
     seen = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
-    edges = written(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pattern-edges")
     open_ = F.col("kind").isNull() | (F.col("kind") == SOFT)
-    often = edges.groupBy("pattern").agg(F.count("*").alias("distinct"), F.count("kind").alias("seeds"), F.count_if(open_).alias("new")).where(f"distinct >= {LEAST_INSTANCES} and seeds > 0")
-    often = written(often.select("pattern"), "candidate-patterns")
+    edges = written(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pattern-edges")
+    often = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {LEAST_INSTANCES}").select("pattern"), "candidate-patterns")
     if not often.limit(1).count() or not edges.where(open_).limit(1).count():
         return None
     totals = written(occurrences(docs, often), "pattern-totals")
     graph = written(edges.join(totals, "pattern"), "pattern-graph")
     known = None
-    for _ in range(ROUNDS):
+    while True:  # every round but the last finds an instance
         now, left = graph, graph.where(open_)
         if known is not None:
             now = graph.join(known.withColumnRenamed("kind", "_kind"), "instance", "left").withColumn("kind", F.coalesce("_kind", "kind")).drop("_kind")
@@ -227,9 +240,8 @@ def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
         new = left.join(accepted, "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("score"), F.max_by("pattern_kind", F.struct("confidence", "pattern_kind")).alias("kind")).where(f"score >= {LEAST_INSTANCE}").select("instance", "kind")
         new = written(new, "instances")
         if not new.limit(1).count():
-            break
+            return known
         known = new if known is None else written(known.union(new), "instances")
-    return known
 
 
 def extract(docs: DataFrame) -> DataFrame:
