@@ -86,11 +86,11 @@ def test_units_give_what_whole_texts_give():
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.sampled_from(SIGNS), max_size=14).map("".join))
     def check(text):
-        tallies, digest, keys, n = own.document(text)
+        tallies, digests, _, _, n = own.block([None, text, text])
         (want,) = plain([text])
-        assert (*tallies.tolist(), digest) == (*want[:4], want[6])
-        assert n.sum() == want[3]
-        assert "".join(u for run in own.units(" " + text) for u in run) == " " + text
+        assert [(*t, d) for t, d in zip(tallies.tolist(), digests, strict=True)] == [(0, 0, 0, 0, "")] + [(*want[:4], want[6])] * 2
+        assert n.sum() == 2 * want[3]
+        assert "".join(alignment.UNIT.findall(" " + text)) == " " + text
 
     check()
 
@@ -115,8 +115,8 @@ def test_long_texts_come_in_runs(monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_UNITS", 5)
     own = alignment.Aligner(A, B)
     text = " ".join(f"word{k % 7}.\nand" for k in range(50)) + "  "
-    tallies, digest, _, n = own.document(text)
-    assert (*tallies.tolist(), digest, n.sum()) == (lambda w: (*w[:4], w[6], w[3]))(plain([text])[0])
+    tallies, digests, _, _, n = own.block([text])
+    assert (*tallies[0].tolist(), digests[0], n.sum()) == (lambda w: (*w[:4], w[6], w[3]))(plain([text])[0])
 
 
 def test_no_rows(spark):
@@ -127,4 +127,4 @@ def test_no_rows(spark):
 def test_other_tokenizers_take_whole_texts(path):
     own = alignment.Aligner(path, B)
     own.cuts = False
-    assert own.document("two  words\nhere")[1] == plain(["two  words\nhere"])[0][6]
+    assert own.block(["two  words\nhere"])[1][0] == plain(["two  words\nhere"])[0][6]

@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +44,13 @@ SPACE_SIGN = "▁"
 #: A unit begins with the text, or at one space or line feed between other signs; other white space is inside.
 UNIT = re.compile(r"(?:\A\s+|[ \n])\S*(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?")
 #: Characters from which a text's units are taken in runs, and so many units a run.
-LONG_TEXT, RUN_UNITS = 4 << 20, 200_000
+LONG_TEXT, RUN_UNITS = 4 << 20, 100_000
+#: Units that a tokenizer gets in one text.
+TOGETHER = 64
 #: Units and characters that a worker remembers before it starts anew, and bytes of text in a block; neither changes the result.
-CACHE_UNITS, CACHE_CHARS, BLOCK_BYTES = 200_000, 16 << 20, 2 << 20
+CACHE_UNITS, CACHE_CHARS, BLOCK_BYTES = 400_000, 16 << 20, 2 << 20
 #: Entries of a B id's postings that go to one task, and all entries of a task.
-SPLIT_ENTRIES, TASK_ENTRIES = 100_000, 20_000_000
+SPLIT_ENTRIES, TASK_ENTRIES = 100_000, 2_000_000
 #: Documents' sums that a task holds before it passes them on.
 HELD = 1_000_000
 
@@ -78,6 +80,8 @@ class Aligner:
         piece = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(piece)]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # ids as text with what stands after them: a comma, or the sign that ends a group's side
+        self.signs = [np.array([f"{i}{c}" for i in range(n) for c in (",", last)], object) for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))]
         before = kind.get("pre_tokenizer") or {}
         self.cuts = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}|.\n|\n.", p) for p in piece)
         self.forget()
@@ -91,104 +95,114 @@ class Aligner:
         self.links = np.empty(0, np.int64)
         self.first = np.zeros(2, np.int64)
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A's and B's ids of a text that begins with its space or with a line feed."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]  # B puts a space before what it gets
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-    def aligned(self, text: str, cut: list[int]):
-        """Each part's tallies, groups as text, links (B id and A id in one number) and number of links; None if the tokens don't give the text back or go across a cut.
-        cut: the byte offsets at which the parts end."""
-        a, b = self.ids(text)
-        if b"".join([self.a_bytes[i] for i in a]) != text.encode() or b"".join([self.b_bytes[i] for i in b]) != text.encode():
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's and B's ids of texts, one behind the other; each begins with its space or with a line feed."""
+        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        b = [self.b.encode(t[1:]) if t[0] == " " else self.b.encode(t)[1:] for t in texts]  # B puts a space before what it gets
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        return flat(e.ids for e in a), flat(b)
+
+    def aligned(self, texts: list[str], cut: np.ndarray):
+        """Each part's tallies, groups as text, and links (B id and A id in one number); None if the tokens don't give the texts back or go across a cut.
+        cut: the byte offsets at which the parts end, the texts standing one behind the other."""
+        a, b = self.ids(texts)
+        text = "".join(texts).encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != text or b"".join([self.b_bytes[i] for i in b.tolist()]) != text:
             return None
-        a_end, b_end, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.array(cut)
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         both = np.intersect1d(a_end, b_end, assume_unique=True)
-        if not np.isin(ends, both).all():
+        if not np.isin(cut, both).all():
             return None
-        a_at, b_at = np.searchsorted(a_end, both, "right").tolist(), np.searchsorted(b_end, both, "right").tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, p, q = [], 0, 0
-        for i, j in zip(a_at, b_at, strict=True):
-            groups.append(f"{','.join(a_text[p:i])}|{','.join(b_text[q:j])}")
-            p, q = i, j
         either = np.union1d(a_end, b_end)
         links = b[np.searchsorted(b_end, either)] << ID_BITS | a[np.searchsorted(a_end, either)]
-        until = np.stack([np.searchsorted(x, ends, "right") for x in (a_end, b_end, both, either)], 1)
-        at = [0, *until[:, 2].tolist()]
-        return np.diff(until, axis=0, prepend=0), [";".join(groups[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], links
+        until = np.stack([np.searchsorted(x, cut, "right") for x in (a_end, b_end, both, either)], 1)
+        # every group shows its A ids, a bar after the last, and its B ids, a semicolon after the last
+        last = [np.isin(end, both) for end in (a_end, b_end)]
+        shown = [self.signs[k][i] for k, i in enumerate((a * 2 + last[0], b * 2 + last[1]))]
+        order = np.argsort(np.concatenate((np.searchsorted(both, a_end) * 2, np.searchsorted(both, b_end) * 2 + 1)), kind="stable")
+        sign = np.concatenate(shown)[order].tolist()
+        at = [0, *until[:, :2].sum(1).tolist()]
+        return np.diff(until, axis=0, prepend=0), ["".join(sign[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], links
 
     def learn(self, units: list[str]) -> None:
         """Align units and remember them: many at once where they can stand one behind the other."""
-        plain = [u for u in units if not (u[-1].isspace() or u[1].isspace() or SPACE_SIGN in u)] if self.cuts else []
-        alone = [u for u in units if u[-1].isspace() or u[1].isspace() or SPACE_SIGN in u] if self.cuts else units
-        for k in range(0, len(plain), 1 << 13):
-            some = plain[k : k + (1 << 13)]
-            self.keep(some, self.aligned("".join(some), np.cumsum([len(u.encode()) for u in some]).tolist()))
-        for unit in alone:
-            self.keep([unit], self.aligned(unit, [len(unit.encode())]))
-
-    def keep(self, units: list[str], found) -> None:
-        if found is None:
-            if len(units) > 1:
-                for unit in units:
-                    self.keep([unit], self.aligned(unit, [len(unit.encode())]))
-            else:
-                self.place[units[0]] = 0
-            return
-        tallies, shown, links = found
-        self.place.update(zip(units, range(len(self.shown), len(self.shown) + len(units)), strict=True))
-        self.chars += sum(map(len, units))
-        self.shown += shown
-        self.tallies = np.concatenate((self.tallies, tallies))
-        self.links = np.concatenate((self.links, links))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(tallies[:, 3])))
-
-    def units(self, text: str) -> Iterator[list[str]]:
-        if not self.cuts:
-            yield [text]
-        elif len(text) < LONG_TEXT:
-            yield UNIT.findall(text)
-        else:
-            every = UNIT.finditer(text)
-            while run := [m[0] for m in islice(every, RUN_UNITS)]:
-                yield run
-
-    def document(self, text: str | None) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """A text's tallies, the digest of its groups, its distinct links and how often each occurs."""
-        nothing = np.zeros(4, np.int64), "", np.empty(0, np.int64), np.empty(0, np.int64)
-        if not text:
-            return nothing
+        odd = {u for u in units if u[-1].isspace() or u[1].isspace() or SPACE_SIGN in u} if self.cuts else set(units)
+        plain, found = [u for u in units if u not in odd], []
+        for k in range(0, len(plain), RUN_UNITS):
+            some = plain[k : k + RUN_UNITS]
+            size = np.fromiter((len(u.encode()) for u in some), np.int64, len(some))
+            found.append((some, self.aligned(["".join(some[j : j + TOGETHER]) for j in range(0, len(some), TOGETHER)], np.cumsum(size))))
+        for some, got in [*found, *(([u], None) for u in odd)]:
+            if got is None:
+                found += [([u], self.aligned([u], np.array([len(u.encode())]))) for u in some]
+        for some, got in found:
+            if got is None and len(some) == 1:
+                self.place[some[0]] = 0
+        found = [(some, got) for some, got in found if got is not None]
+        for some, (_, shown, _) in found:
+            self.place.update(zip(some, range(len(self.shown), len(self.shown) + len(some)), strict=True))
+            self.chars += sum(map(len, some))
+            self.shown += shown
+        self.tallies = np.concatenate((self.tallies, *(got[0] for _, got in found)))
+        self.links = np.concatenate((self.links, *(got[2] for _, got in found)))
+        self.first = np.concatenate(([0], np.cumsum(self.tallies[:, 3])))
+
+    def known(self, units: list[str]) -> np.ndarray:
+        """The units' places, those learned that were new."""
+        if len(self.place) > CACHE_UNITS or self.chars > CACHE_CHARS:
+            self.forget()
+        if new := list({u for u in units if u not in self.place}):
+            self.learn(new)
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+
+    def linked(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of units, one unit's behind the other's, and how many each has."""
+        size = self.first[unit + 1] - self.first[unit]
+        ends = np.cumsum(size)
+        return self.links[np.repeat(self.first[unit] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def document(self, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray] | None:
+        """A text's tallies, the digest of its groups, links and how often each stands; its units are taken in runs. None if its tokens don't give it back."""
         text, tallies, digest, parts = " " + text, np.zeros(4, np.int64), sha256(), []
-        for run in self.units(text):
-            if len(self.place) > CACHE_UNITS or self.chars > CACHE_CHARS:
-                self.forget()
-            if new := list({u for u in run if u not in self.place}):
-                self.learn(new)
-            at = np.fromiter(map(self.place.__getitem__, run), np.int64, len(run))
+        every = UNIT.finditer(text)
+        while self.cuts and (run := [m[0] for m in islice(every, RUN_UNITS)]):
+            at = self.known(run)
             if not at.all():
                 break
-            digest.update((";" if parts else "").encode() + ";".join([self.shown[i] for i in at.tolist()]).encode())
+            digest.update((";" if parts else "").encode() + "".join([self.shown[i] for i in at.tolist()])[:-1].encode())
             tallies += self.tallies[at].sum(0)
             unit, n = np.unique(at, return_counts=True)
-            size = self.tallies[unit, 3]
-            ends = np.cumsum(size)
-            parts.append((self.links[np.repeat(self.first[unit] - (ends - size), size) + np.arange(ends[-1])], np.repeat(n, size)))
+            links, size = self.linked(unit)
+            parts.append((links, np.repeat(n, size)))
         else:
-            return tallies, digest.hexdigest(), *added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        whole = self.aligned(text, [len(text.encode())])  # a unit that B doesn't give back tells nothing yet of the whole
-        if whole is None:
-            return nothing
-        return whole[0][0], sha256(whole[1][0].encode()).hexdigest(), *added(whole[2], np.ones(len(whole[2]), np.int64))
-
-
-def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and the sum of n over each."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+            if parts:
+                return tallies, digest.hexdigest(), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        whole = self.aligned([text], np.array([len(text.encode())]))  # a unit that B doesn't give back tells nothing yet of the whole
+        return whole and (whole[0][0], sha256(whole[1][0][:-1].encode()).hexdigest(), whole[2], np.ones(len(whole[2]), np.int64))
+
+    def block(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's tallies and digest; and the texts' links: the text's place, the link, and how often it stands there, in one or more rows."""
+        tallies, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+        short = [k for k, t in enumerate(texts) if t and self.cuts and len(t) < LONG_TEXT]
+        units = [UNIT.findall(" " + texts[k]) for k in short]
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        at = self.known(list(chain.from_iterable(units)))
+        end = np.cumsum(size)
+        whole = np.add.reduceat(at == 0, end - size) == 0 if len(at) else np.zeros(0, bool)
+        each = at.tolist()
+        for k, a, b, good in zip(short, (end - size).tolist(), end.tolist(), whole.tolist(), strict=True):
+            if good:
+                tallies[k] = self.tallies[at[a:b]].sum(0)
+                digests[k] = sha256("".join([self.shown[i] for i in each[a:b]])[:-1].encode()).hexdigest()
+        good = np.repeat(whole, size)
+        both, n = np.unique(np.repeat(np.array(short, np.int64), size)[good] * len(self.shown) + at[good], return_counts=True)
+        links, count = self.linked(both % len(self.shown))
+        out = [(np.repeat(both // len(self.shown), count), links, np.repeat(n, count))]
+        for k in sorted({k for k, t in enumerate(texts) if t} - {k for k, w in zip(short, whole.tolist(), strict=True) if w}):
+            if got := self.document(texts[k]):
+                tallies[k], digests[k] = got[:2]
+                out.append((np.full(len(got[2]), k), *got[2:]))
+        return tallies, digests, *(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
 @cache
@@ -211,9 +225,13 @@ def values_of(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def postings(block: int, place: np.ndarray, key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """The postings of a block: place, key and times are of every pair of every document."""
-    order = np.argsort(key << PLACE_BITS | place, kind="stable")
-    place, key, times = place[order], key[order], times[order]
+    """The postings of a block: place, key and times are of every pair of every document, in one or more rows."""
+    both = key << PLACE_BITS | place
+    order = np.argsort(both, kind="stable")
+    both, times = both[order], times[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+    both, times = both[first], np.add.reduceat(times, first) if len(first) else times
+    place, key = both & (1 << PLACE_BITS) - 1, both >> PLACE_BITS
     pair = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])  # where each pair begins
     code = key[pair]
     b = code >> ID_BITS
@@ -240,13 +258,11 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for lo in range(0, len(batch), BATCH_ROWS):
                 some = batch.slice(lo, BATCH_ROWS)
                 for a, b in slices(some["text"], BLOCK_BYTES):
-                    found = [aligner.document(t) for t in some["text"].slice(a, b - a).to_pylist()]
-                    tallies = np.stack([f[0] for f in found])
-                    rows = {"row": pa.array(np.arange(b - a) | block << PLACE_BITS), "doc_id": some["doc_id"].slice(a, b - a), "groups_sha256": pa.array([f[1] for f in found], pa.string())}
+                    tallies, digests, *links = aligner.block(some["text"].slice(a, b - a).to_pylist())
+                    rows = {"row": pa.array(np.arange(b - a) | block << PLACE_BITS), "doc_id": some["doc_id"].slice(a, b - a), "groups_sha256": pa.array(digests, pa.string())}
                     rows |= {c: pa.array(np.ascontiguousarray(tallies[:, k])) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
                     yield filled(pa.RecordBatch.from_pydict(rows))
-                    size = np.fromiter((len(f[2]) for f in found), np.int64, len(found))
-                    yield filled(postings(block, np.repeat(np.arange(b - a), size), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])))
+                    yield filled(postings(block, *links))
                     block += 1
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
@@ -280,8 +296,11 @@ def contributions(posted: DataFrame, counts: DataFrame, split: int = SPLIT_ENTRI
             return row, *out
 
         def shown(sums: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(sums[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in sums], ["row", "n_best", "count_sum"])
+            block = sums[0] >> PLACE_BITS
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+            at = np.append(first, len(block))
+            packed = [binaries(x, at) for x in ((sums[0] & (1 << PLACE_BITS) - 1).astype(np.int16), *sums[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[first]), *packed], ["block", "doc", "n_best", "count_sum"])
 
         for batch in batches:
             b, head = batch["b"].to_numpy().astype(np.int64), batch["kind"].to_numpy() == 0
@@ -317,7 +336,17 @@ def contributions(posted: DataFrame, counts: DataFrame, split: int = SPLIT_ENTRI
                     held = [nothing]
         yield from shown(summed())
 
-    return mapped(streams, meet, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    def total(group: pa.Table) -> pa.Table:
+        """A block's sums, of a part per task: its documents are BATCH_ROWS at most."""
+        doc, out = values_of(group["doc"], np.int16), []
+        each, back = np.unique(doc, return_inverse=True)
+        for c in ("n_best", "count_sum"):
+            out.append(np.zeros(len(each), np.int64))
+            np.add.at(out[-1], back, values_of(group[c], np.int64))
+        return pa.table({"row": group["block"].to_numpy()[:1] << PLACE_BITS | each, "n_best": out[0], "count_sum": out[1]})
+
+    sums = mapped(streams, meet, "block long, doc binary, n_best binary, count_sum binary")
+    return sums.groupBy("block").applyInArrow(total, "row long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, split: int = SPLIT_ENTRIES) -> tuple[DataFrame, DataFrame]:
