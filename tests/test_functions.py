@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, geo, identity, media, quality, text
+from tidemark.functions import dates, geo, identity, media, quality, shapes, text
 from tidemark.functions.json_schema import Validator, bundled
 
 
@@ -66,7 +66,7 @@ def test_antimeridian_and_winding(spark):
         assert shape["type"] == "MultiPolygon" and reach == [(-180, east), (west, 180)]
     assert geo.unwrapped({"type": "Polygon", "coordinates": [ring(170, 180)]})["type"] == "Polygon"
     clockwise = ring(0, 10)[::-1]
-    assert geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"] == [ring(0, 10)] or geo.area(geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"][0]) > 0
+    assert geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"] == [ring(0, 10)] or shapes.area(geo.unwrapped({"type": "Polygon", "coordinates": [clockwise]})["coordinates"][0]) > 0
     assert apply(spark, geo.fixed_geometry, ['{"type": "Point", "coordinates": [200, 0]}', "x", None]) == [None, None, None]
 
 

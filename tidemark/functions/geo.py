@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import shapes
+
 EARTH_KM = 6371.0088
 NUMBER = r"^\s*[+-]?((\d[\d_]*\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 
@@ -78,63 +81,40 @@ def box_intersects(a: tuple, b: tuple) -> Column:
 # --- whole geometries, which built-in functions can't take apart: Arrow batches of GeoJSON text
 
 
-def rings(shape: dict) -> list[list]:
-    """The rings of a polygon or multipolygon."""
-    kind, where = shape.get("type"), shape.get("coordinates") or []
-    return where if kind == "Polygon" else [r for p in where for r in p] if kind == "MultiPolygon" else []
-
-
-def area(ring: list) -> float:
-    """Twice the signed area, positive counter-clockwise."""
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
-
-
 def wound(polygon: list) -> list:
-    """A polygon with closed rings, the outer one counter-clockwise and holes clockwise."""
-    out = []
-    for k, ring in enumerate(polygon):
-        ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        out.append(ring if (area(ring) >= 0) == (k == 0) else ring[::-1])
-    return out
+    """A polygon with closed rings without repeated points, the outer one counter-clockwise and holes clockwise."""
+    closed = map(shapes.cleaned, polygon)
+    return [ring if (shapes.area(ring) >= 0) == (k == 0) else ring[::-1] for k, ring in enumerate(closed)]
 
 
-def clipped(ring: list, edge: float, keep_less: bool) -> list:
-    """The part of a ring on one side of a meridian."""
-    inside = (lambda p: p[0] <= edge) if keep_less else (lambda p: p[0] >= edge)
-    out = []
-    for a, b in zip(ring, ring[1:], strict=False):
-        if inside(a):
-            out.append(a)
-        if inside(a) != inside(b):
-            t = (edge - a[0]) / (b[0] - a[0])
-            out.append([edge, a[1] + t * (b[1] - a[1])])
-    return [*out, out[0]] if out else []
+def _numbers(point, reach: float) -> bool:
+    return isinstance(point, list) and len(point) >= 2 and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in point) and abs(point[0]) <= reach and abs(point[1]) <= 90
 
 
 def unwrapped(shape: dict) -> dict | None:
-    """A geometry with rings in order and, where it crosses the date line, cut there; null if it is none or out of range."""
+    """A geometry with rings in order and, where it crosses the date line, cut there.
+
+    Null if it is none, if a point is out of range (polygons may reach 180 degrees beyond the date line), if a ring has no area or meets itself, or if a
+    hole isn't within its shell.
+    """
     kind, where = shape.get("type"), shape.get("coordinates")
+    if kind == "GeometryCollection":
+        parts = [unwrapped(g) for g in shape["geometries"]]
+        return {"type": kind, "geometries": parts} if parts and all(parts) else None
     if not isinstance(where, list) or not where:
         return None
-    if kind == "Point":
-        return shape if len(where) >= 2 and all(isinstance(v, (int, float)) for v in where) and abs(where[0]) <= 180 and abs(where[1]) <= 90 else None
     if kind not in ("Polygon", "MultiPolygon"):
-        return shape if kind in ("LineString", "MultiPoint", "MultiLineString") else None
+        lines = {"Point": [[where]], "MultiPoint": [where], "LineString": [where], "MultiLineString": where}.get(kind, [])
+        good = all(all(_numbers(p, 180) for p in line) and len(line) >= (2 if "Line" in kind else 1) for line in lines)
+        return shape if lines and good else None
     pieces = []
     for polygon in [where] if kind == "Polygon" else where:
-        if not polygon or any(len(r) < 3 or any(not -90 <= p[1] <= 90 or not -360 <= p[0] <= 360 for p in r) for r in polygon):
+        if not polygon or any(len(r) < 3 or not all(_numbers(p, 360) for p in r) for r in polygon):
             return None
         polygon = wound(polygon)
-        x = [p[0] for p in polygon[0]]
-        edge = -180.0 if min(x) < -180 else 180.0 if max(x) > 180 else None
-        if edge is None:
-            pieces.append(polygon)
-            continue
-        for less in (True, False):
-            part = [c for c in (clipped(r, edge, less) for r in polygon) if len(c) > 3]
-            beyond = less == (edge < 0)
-            if part:
-                pieces.append(wound([[[p[0] - 2 * edge, p[1]] for p in r] if beyond else r for r in part]))
+        if any(len(r) < 4 or not shapes.area(r) for r in polygon) or not shapes.simple(polygon) or not shapes.holes_in(polygon):
+            return None
+        pieces += shapes.wrapped(polygon)
     return {"type": "Polygon", "coordinates": pieces[0]} if len(pieces) == 1 else {"type": "MultiPolygon", "coordinates": pieces}
 
 
@@ -158,42 +138,151 @@ def spatial(value: Column, gazetteer: Column | None = None) -> Column:
     return F.coalesce(fixed_geometry(value), *([] if gazetteer is None else [gazetteer]), spatial_text(value))
 
 
-def holds(shape: list[list], point: list) -> bool:
-    """Whether a point lies in rings by the even-odd rule, so holes are out."""
-    inside = False
-    for ring in shape:
-        for a, b in zip(ring, ring[1:], strict=False):
-            if (a[1] > point[1]) != (b[1] > point[1]) and point[0] < (b[0] - a[0]) * (point[1] - a[1]) / (b[1] - a[1]) + a[0]:
-                inside = not inside
-    return inside
+def shape_filter(query: dict, relation: str = "within"):
+    """A column function: whether GeoJSON text lies within, or meets, the query's geometry; sides belong to both. False where the text is no geometry.
+
+    Put a condition on boxes or cells before it, which scans can use.
+    """
+    target = shapes.shape_of(query)
+
+    @F.pandas_udf(T.BooleanType())
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda text: related(text, target)[relation != "within"]).astype(bool)
+
+    return test
 
 
-def crosses(a: list, b: list, c: list, d: list) -> bool:
-    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+def related(text: str | None, target: shapes.Shape) -> tuple[bool, bool]:
+    """Whether GeoJSON text lies within a shape, and whether it meets it."""
+    try:
+        return shapes.relation(shapes.shape_of(json.loads(text)), target)
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError):
+        return False, False
 
 
-def shape_filter(query: dict, relation: str = "within"):
-    """A column function: whether GeoJSON text lies within, or meets, the query's polygon. Put a box condition before it, which scans can use."""
-    target = rings(query)
+def _pairs(k: int):
+    """A function of two columns of GeoJSON text, row by row; k: which of related()'s answers it gives."""
 
     @F.pandas_udf(T.BooleanType())
-    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text):
+    def test(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a, b):
             try:
-                shape = json.loads(text)
-                own = rings(shape) or [[shape["coordinates"]] * 2 if shape["type"] == "Point" else shape["coordinates"]]
-            except (TypeError, ValueError, KeyError):
+                return related(a, shapes.shape_of(json.loads(b)))[k]
+            except (TypeError, ValueError, KeyError, IndexError, AttributeError):
                 return False
-            crossing = any(crosses(a, b, c, d) for r in own for a, b in zip(r, r[1:], strict=False) for t in target for c, d in zip(t, t[1:], strict=False))
-            held = [holds(target, p) for r in own for p in r]
-            if relation == "within":
-                return all(held) and not crossing
-            return any(held) or crossing or bool(rings(shape)) and any(holds(own, p) for t in target for p in t)
 
-        for batch in batches:
-            yield batch.map(one).astype(bool)
+        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
     return test
 
 
+# --- cells: a quadtree over longitude and latitude; a cell is its level and place in one number
+
+
+#: Levels of the quadtree: the finest cells are about a hundredth of a degree.
+LEVELS = 15
+
+
+def _left(v: Column, bits) -> Column:
+    return F.call_function("shiftleft", v, bits if isinstance(bits, Column) else F.lit(bits))
+
+
+def _right(v: Column, bits) -> Column:
+    return F.call_function("shiftrightunsigned", v, bits if isinstance(bits, Column) else F.lit(bits))
+
+
+def _named(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _spread(v: Column) -> Column:
+    """A number with a 0 before each of its binary digits: they are read as digits to the base 4."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
+
+
+def _grid(v: Column, reach: float, level: Column) -> Column:
+    """The column or row of cells of a level that a coordinate is in; coordinates out of range are in the outermost."""
+    n = _left(F.lit(1).cast("long"), level)
+    return F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor((v + reach) / (2 * reach) * n)))
+
+
+def cell(level: Column, x: Column, y: Column) -> Column:
+    """A cell's number: a 1 and then two bits a level, so that a cell's number without its last two bits is its parent's."""
+    return _left(F.lit(1).cast("long"), 2 * level).bitwiseOR(_spread(x)).bitwiseOR(_left(_spread(y), 1))
+
+
+def cover(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """One to four cells that cover a box: those of the finest level whose cells are as large as it."""
+    size = F.greatest((maxx - minx) / 360, (maxy - miny) / 180, F.lit(2.0**-LEVELS))
+
+    def at(level: Column) -> Column:
+        xs, ys = F.sequence(_grid(minx, 180, level), _grid(maxx, 180, level)), F.sequence(_grid(miny, 90, level), _grid(maxy, 90, level))
+        return F.array_distinct(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: cell(level, x, y)))))
+
+    return _named(F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(-F.log2(size)).cast("int"))), at)
+
+
+def with_parents(cells: Column) -> Column:
+    """Cells and all that they are part of."""
+    return F.array_distinct(F.flatten(F.transform(cells, lambda c: F.transform(F.sequence(F.lit(0), F.length(F.bin(c)).cast("int") - 1, F.lit(2)), lambda k: _right(c, k)))))
+
+
+def cell_range(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The least and the largest of the finest cells within the smallest cell that holds a box, as columns for a table to be sorted by and pruned on."""
+    finest = F.lit(LEVELS)
+    ends = F.struct(*(cell(finest, _grid(x, 180, finest), _grid(y, 90, finest)).alias(n) for x, y, n in ((minx, miny, "low"), (maxx, maxy, "high"))))
+
+    def around(e: Column) -> Column:
+        bits = F.length(F.bin(e["low"].bitwiseXOR(e["high"]))).cast("int")  # two a level
+        return _named(F.when(e["low"] == e["high"], 0).otherwise(bits + bits % 2), lambda n: F.struct(_left(_right(e["low"], n), n).alias("first"), (_left(_right(e["low"], n) + 1, n) - 1).alias("last")))
+
+    return _named(ends, around)
+
+
+def covering(box: tuple[float, float, float, float], most: int = 16) -> list[tuple[int, int]]:
+    """Ranges of the finest cells that cover a box: at most so many cells of mixed levels, each cut in four while that leaves some of it out."""
+    box = tuple(max(-reach, min(reach, v)) for v, reach in zip(box, (180, 90, 180, 90), strict=True))
+    todo, done = [(0, 0, 0)], []
+    while todo:
+        level, x, y = todo.pop(0)
+        w, h = 360 / (1 << level), 180 / (1 << level)
+        left, low = x * w - 180, y * h - 90
+        if left > box[2] or left + w < box[0] or low > box[3] or low + h < box[1]:
+            continue
+        whole = box[0] <= left and left + w <= box[2] and box[1] <= low and low + h <= box[3]
+        if whole or level == LEVELS or len(todo) + len(done) + 4 > most:
+            done.append((level, x, y))
+        else:
+            todo += [(level + 1, 2 * x + i, 2 * y + j) for j in (0, 1) for i in (0, 1)]
+    spread = lambda v: sum((v >> k & 1) << 2 * k for k in range(LEVELS))
+    out = []
+    for level, x, y in done:
+        shift, number = 2 * (LEVELS - level), 1 << 2 * level | spread(x) | spread(y) << 1
+        out.append((number << shift, (number << shift) + (1 << shift) - 1))
+    return sorted(out)
+
+
+def in_cells(cells: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a column of cell_range() shares a cell with a box: comparisons that scans can use."""
+    parts = [(cells["first"] <= last) & (cells["last"] >= first) for first, last in covering(box)]
+    return reduce(Column.__or__, parts, F.lit(False))
+
+
+def joined(left: DataFrame, right: DataFrame, within: bool = False) -> DataFrame:
+    """(left_id, right_id) of every pair of shapes that meet, or of which left lies within right. Both have id, shape (GeoJSON text) and box (minx, miny, maxx, maxy).
+
+    Two boxes that meet have cells of which one is part of the other: each side's own cells are joined with the other's cells and their parents, which
+    is at most four cells and fifteen parents of each, and the exact test follows.
+    """
+
+    def cells(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        own = cover(*(F.col(f"box.{c}") for c in ("minx", "miny", "maxx", "maxy")))
+        return tuple(df.select(F.col("id").alias(f"{side}_id"), F.col("box").alias(f"{side}_box"), F.explode(c).alias("cell")) for c in (own, with_parents(own)))
+
+    (lo, lp), (ro, rp) = cells(left, "left"), cells(right, "right")
+    apart = [F.col(f"{a}_box.min{c}") > F.col(f"{b}_box.max{c}") for a, b in (("left", "right"), ("right", "left")) for c in "xy"]
+    pairs = lo.join(rp, "cell").unionByName(lp.join(ro, "cell")).where(~reduce(Column.__or__, apart)).select("left_id", "right_id").distinct()
+    met = pairs.join(left.select(F.col("id").alias("left_id"), F.col("shape").alias("_left")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("shape").alias("_right")), "right_id")
+    return met.where(_pairs(0 if within else 1)("_left", "_right")).select("left_id", "right_id")

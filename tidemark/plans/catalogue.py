@@ -471,15 +471,17 @@ def bbox_within_intersects(s, d):
     return _places(s, d).select("id", geo.box_within(box, area).alias("within"), geo.box_intersects(box, area).alias("meets"))
 
 
-@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon > -60 AND lon < 60 AND lat > -30 AND lat < 30")
+@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon >= -60 AND lon <= 60 AND lat >= -30 AND lat <= 30")
 def polygon_within(s, d):
     area = {"type": "Polygon", "coordinates": [[[-60, -30], [60, -30], [60, 30], [-60, 30], [-60, -30]]]}
     point = F.format_string('{"type": "Point", "coordinates": [%s, %s]}', "lon", "lat")
-    near = _places(s, d).where("lon > -60 and lon < 60 and lat > -30 and lat < 30")  # the box first; the exact test sees what it leaves
+    near = _places(s, d).where("lon >= -60 and lon <= 60 and lat >= -30 and lat <= 30")  # the box first; the exact test sees what it leaves
     return near.where(geo.shape_filter(area)(point)).select("id")
 
 
-@query()
+@query(f"""WITH x AS ({_AT}) SELECT id, CASE WHEN lon <= 160 THEN '{{"type": "Polygon", "coordinates": [[[' || lon || ', ' || lat || '], [' || (lon + 20) || ', ' || lat || '], [' || (lon + 20) || ', ' || (lat + 4) || '], [' || lon || ', ' || (lat + 4) || '], [' || lon || ', ' || lat || ']]]}}'
+ELSE '{{"type": "MultiPolygon", "coordinates": [[[[180.0, ' || (lat + 4) || '.0], [' || lon || ', ' || (lat + 4) || '], [' || lon || ', ' || lat || '], [180.0, ' || lat || '.0], [180.0, ' || (lat + 4) || '.0]]], [[[-180.0, ' || (lat + 4) || '.0], [-180.0, ' || lat || '.0], ['
+|| (lon - 340) || '.0, ' || lat || '], [' || (lon - 340) || '.0, ' || (lat + 4) || '], [-180.0, ' || (lat + 4) || '.0]]]]}}' END AS geojson FROM x""")
 def antimeridian(s, d):
     lon = F.col("lon")
     shape = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', lon, "lat", lon + 20, "lat", lon + 20, F.col("lat") + 4, lon, F.col("lat") + 4, lon, "lat")

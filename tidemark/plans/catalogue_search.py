@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import quality
+from tidemark.functions import geo, quality
 from tidemark.plans import roles, search
 from tidemark.plans.registry import query
 from tidemark.sources import scratch
@@ -208,16 +208,42 @@ def _placed(s, d, within):
     return docs.select("id")
 
 
-@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon > -60 AND lon + 2 < 60 AND lat > -30 AND lat + 2 < 30")
+@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon >= -60 AND lon + 2 <= 60 AND lat >= -30 AND lat + 2 <= 30")
 def search_within_area(s, d):
-    inside = squares(s, d).where("bbox.minx > -60 and bbox.maxx < 60 and bbox.miny > -30 and bbox.maxy < 30").select("id")  # sides that touch apart
-    return _placed(s, d, "true").join(inside, "id", "left_semi")
+    return _placed(s, d, "true")
 
 
-@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon < 60 AND lon + 2 > -60 AND lat < 30 AND lat + 2 > -30")
+@query(f"WITH x AS ({_AT}) SELECT id FROM x WHERE lon <= 60 AND lon + 2 >= -60 AND lat <= 30 AND lat + 2 >= -30")
 def search_meets_area(s, d):
-    meets = squares(s, d).where("bbox.minx < 60 and bbox.maxx > -60 and bbox.miny < 30 and bbox.maxy > -30").select("id")
-    return _placed(s, d, "no").join(meets, "id", "left_semi")
+    return _placed(s, d, "no")
+
+
+#: A square hole, and an island in it, whose sides run through the places of squares.
+_HOLED = {"type": "MultiPolygon", "coordinates": [[*_AREA["coordinates"], [[-20, -10], [-20, 10], [20, 10], [20, -10], [-20, -10]]], [[[-6, -6], [6, -6], [6, 6], [-6, 6], [-6, -6]]]]}
+_IN = "lon >= {0} AND lon + 2 <= {1} AND lat >= {2} AND lat + 2 <= {3}"
+
+
+@query(f"""WITH x AS ({_AT}) SELECT id, ({_IN.format(-60, 60, -30, 30)} AND (lon + 2 <= -20 OR lon >= 20 OR lat + 2 <= -10 OR lat >= 10)) OR ({_IN.format(-6, 6, -6, 6)}) AS within,
+(lon <= 60 AND lon + 2 >= -60 AND lat <= 30 AND lat + 2 >= -30 AND NOT (lon > -20 AND lon + 2 < 20 AND lat > -10 AND lat + 2 < 10)) OR (lon <= 6 AND lon + 2 >= -6 AND lat <= 6 AND lat + 2 >= -6) AS meets FROM x""")
+def place_relations(s, d):
+    """Squares against an area with a hole and an island in it: sides that run along each other, holes and all."""
+    shape = F.col("spatial_shape")
+    return squares(s, d).select("id", geo.shape_filter(_HOLED)(shape).alias("within"), geo.shape_filter(_HOLED, "intersects")(shape).alias("meets"))
+
+
+_SITES = "SELECT s_suppkey AS site, (s_suppkey * 53 % 160) - 80 AS lat, (s_suppkey * 29 % 330) - 165 AS lon, 1 + s_suppkey % 9 AS w FROM supplier"
+
+
+@query(f"WITH x AS ({_AT}), y AS ({_SITES}) SELECT x.id, site FROM x JOIN y ON x.lon <= y.lon + w AND x.lon + 2 >= y.lon AND x.lat <= y.lat + w AND x.lat + 2 >= y.lat")
+def place_join(s, d):
+    """Squares of customers and of suppliers that meet, joined by cells."""
+    n = F.col("s_suppkey")
+    x, y, w = (n * 29 % 330) - 165, (n * 53 % 160) - 80, 1 + n % 9
+    shape = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', x, y, x + w, y, x + w, y + w, x, y + w, x, y)
+    box = F.struct(x.alias("minx"), y.alias("miny"), (x + w).alias("maxx"), (y + w).alias("maxy"))
+    sites = roles.read(s, d, "supplier").select(n.alias("id"), shape.alias("shape"), box.alias("box"))
+    own = squares(s, d).select("id", F.col("spatial_shape").alias("shape"), F.col("bbox").alias("box"))
+    return geo.joined(own, sites).select(F.col("left_id").alias("id"), F.col("right_id").alias("site"))
 
 
 @query(f"WITH x AS ({_AT}) SELECT id, round({_KM}, 3) AS distance FROM x ORDER BY {_KM}, id DESC LIMIT 40")

@@ -499,6 +499,51 @@ def antimeridian_parts(s, d):
     return rows.withColumn("rings", rings).select("id", F.size("rings").alias("parts"), F.array_min(x).alias("west"), F.array_max(x).alias("east"))
 
 
+def _measured_rings(rows):
+    """id, and of the GeoJSON polygons in g (null: none) their parts, rings, points, and the area west and east of the date line."""
+    c = F.get_json_object("g", "$.coordinates")
+    polygons = F.when(F.get_json_object("g", "$.type") == "Polygon", F.array(F.from_json(c, "array<array<array<double>>>"))).otherwise(F.from_json(c, "array<array<array<array<double>>>>"))
+    rings = F.flatten("polygons")
+    area = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda t, k: t + (F.get(F.get(r, k), F.lit(0)) * F.get(F.get(r, k + 1), F.lit(1)) - F.get(F.get(r, k + 1), F.lit(0)) * F.get(F.get(r, k), F.lit(1))) / 2)
+    total = lambda kept: F.round(F.aggregate(F.filter(rings, kept), F.lit(0.0), lambda t, r: t + area(r)), 6)
+    west = lambda r: F.forall(r, lambda p: F.get(p, F.lit(0)) < 0)
+    return rows.withColumn("polygons", polygons).select("id", F.size("polygons").alias("parts"), F.size(rings).alias("rings"), F.aggregate(rings, F.lit(0), lambda t, r: t + F.size(r)).alias("points"), total(lambda r: ~west(r)).alias("east_area"), total(west).alias("west_area"))
+
+
+@query("""WITH x AS (SELECT c_custkey AS id, (c_custkey * 43 % 175) + 1 AS lon FROM customer)
+SELECT id, CASE WHEN lon > 160 THEN 2 ELSE 1 END AS parts, CASE WHEN lon <= 160 OR lon + 7 <= 180 AND lon + 13 >= 180 THEN 2 ELSE 3 END AS rings,
+CASE WHEN lon <= 160 THEN 10 WHEN lon + 13 = 180 OR lon + 7 = 180 THEN 14 WHEN lon + 7 < 180 AND lon + 13 > 180 THEN 18 ELSE 15 END AS points,
+(CASE WHEN lon <= 160 THEN 68 ELSE 4 * (180 - lon) - 2 * greatest(0, least(6, 173 - lon)) END)::DOUBLE AS east_area, (CASE WHEN lon <= 160 THEN 0 ELSE 4 * (lon - 160) - 2 * greatest(0, least(6, lon - 167)) END)::DOUBLE AS west_area FROM x""")
+def dateline_holes(s, d):
+    """Shapes with a hole, cut at the date line: a hole that reaches the line joins the ring round it."""
+    lon, lat = (F.col("c_custkey") * 43 % 175) + 1, (F.col("c_custkey") * 37 % 170) - 85
+    ring = lambda x0, y0, x1, y1: F.format_string("[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]", x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)
+    shape = F.concat(F.lit('{"type": "Polygon", "coordinates": ['), ring(lon, lat, lon + 20, lat + 4), F.lit(", "), ring(lon + 7, lat + 1, lon + 13, lat + 3), F.lit("]}"))
+    return _measured_rings(roles.read(s, d, "customer").select(F.col("c_custkey").alias("id"), geo.fixed_geometry(shape).alias("g")))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 6 THEN 10 WHEN 7 THEN 5 END AS points, CASE c_custkey % 8 WHEN 1 THEN 16 WHEN 2 THEN 16 WHEN 6 THEN 15 WHEN 7 THEN 16 END::DOUBLE AS area,
+c_custkey % 8 IN (1, 2, 5, 6, 7) AS valid FROM customer""")
+def geometry_repair(s, d):
+    """Shapes that are repaired (open or clockwise rings, points that repeat) or refused (rings that meet themselves, holes outside, places out of range)."""
+    n = F.col("c_custkey")
+    x, y = n * 37 % 150, n * 13 % 80
+    p = lambda i, j: F.format_string("[%s, %s]", x + i, y + j)
+    ring = lambda *at: F.concat(F.lit("["), F.concat_ws(", ", *[p(i, j) for i, j in at]), F.lit("]"))
+    square = ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))
+    polygon = lambda *rings: F.concat(F.lit('{"type": "Polygon", "coordinates": ['), F.concat_ws(", ", *rings), F.lit("]}"))
+    cases = [
+        polygon(ring((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))), polygon(ring((0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (0, 4))), polygon(ring(*square[::-1])),
+        F.format_string('{"type": "LineString", "coordinates": [[%s, 0], [1, 1]]}', x + 999), polygon(ring(*square), ring((3, 1), (6, 1), (6, 2), (3, 2), (3, 1))),
+        F.format_string('{"type": "LineString", "coordinates": [[%s, 0], [1, 1]]}', x), polygon(ring(*square), ring((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))), polygon(ring(*square[:4])),
+    ]
+    shape = F.element_at(F.array(*cases), (n % 8 + 1).cast("int"))
+    rows = roles.read(s, d, "customer").select(n.alias("id"), geo.fixed_geometry(shape).alias("g"))
+    area = F.col("east_area") + F.col("west_area")
+    measured = _measured_rings(rows.where("g like '%Polygon%'")).select("id", "points", area.alias("area"))
+    return rows.select("id", F.col("g").isNotNull().alias("valid")).join(measured, "id", "left")
+
+
 @query(f"WITH {RECORDS} SELECT id, identifier FROM records WHERE status = 'success' AND record_type = 'dataset' AND harvest_source_id = 3")
 def records_of_source(s, d):
     return facets.facet_filter(roles.records(s, d), facets.facet_string("status eq success,record_type eq dataset", harvest_source_id="3")).select("id", "identifier")

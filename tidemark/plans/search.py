@@ -18,7 +18,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import box_intersects, box_within, haversine, shape_filter
+from tidemark.functions.geo import box_intersects, box_within, haversine, in_cells, shape_filter
 from tidemark.operators import paging
 
 #: The analyser's stop words, the searched fields with their weights, and BM25's constants.
@@ -208,7 +208,7 @@ def shape(value) -> dict | None:
 
 
 def _bounds(geometry: dict) -> tuple[float, float, float, float]:
-    todo, points = [geometry["coordinates"]], []
+    todo, points = [g["coordinates"] for g in geometry.get("geometries") or [geometry]], []
     while todo:
         x = todo.pop()
         if x and isinstance(x[0], (int, float)):
@@ -219,15 +219,17 @@ def _bounds(geometry: dict) -> tuple[float, float, float, float]:
 
 
 def geography(value: tuple[dict, bool]) -> Column:
-    """Whether spatial_shape (GeoJSON text) lies within a geometry, or meets it; where documents have a column bbox (minx, miny, maxx, maxy) that is tried first, and scans can use it."""
+    """Whether spatial_shape (GeoJSON text) lies within a geometry, or meets it; sides belong to both."""
     geometry, within = value
     return shape_filter(geometry, "within" if within else "intersects")(F.col("spatial_shape"))
 
 
-def near(value: tuple[dict, bool]) -> Column:
-    """The box condition that geography() implies."""
-    own, area = tuple(F.col(f"bbox.{c}") for c in ("minx", "miny", "maxx", "maxy")), tuple(map(F.lit, _bounds(value[0])))
-    return box_within(own, area) if value[1] else box_intersects(own, area)
+def near(value: tuple[dict, bool], columns: Iterable[str]) -> list[Column]:
+    """What geography() implies of columns that documents may have and scans can use: bbox (minx, miny, maxx, maxy), and cells, a cell range by which a table is sorted."""
+    box = _bounds(value[0])
+    own, area = tuple(F.col(f"bbox.{c}") for c in ("minx", "miny", "maxx", "maxy")), tuple(map(F.lit, box))
+    out = [box_within(own, area) if value[1] else box_intersects(own, area)] if "bbox" in columns else []
+    return out + ([in_cells(F.col("cells"), box)] if "cells" in columns else [])
 
 
 FILTERS = [
@@ -251,7 +253,7 @@ def filter_predicates(params: dict, columns: Iterable[str] = ()) -> list[Column]
     """Predicates of the filters that the parameters set, in the registry's order, the exact place test last; columns: those of the documents."""
     read = ((f, f.parse(params.get(f.name))) for f in FILTERS)
     out, place = [f.predicate(v) for f, v in read if f.active(v)], place_filter(params)
-    return out + ([] if place is None else [*([near(place)] if "bbox" in columns else []), geography(place)])
+    return out + ([] if place is None else [*near(place, columns), geography(place)])
 
 
 PLACE = ("spatial_geometry", "spatial_within", "geography_label")
