@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug_suffix
-from tidemark.sources.scratch import remove
+from tidemark.sources import versions
 
 
 def patched(current: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -34,19 +32,23 @@ def removed(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def unique_slugs(new: DataFrame, existing: DataFrame, slug: str = "slug", order: str = "id") -> DataFrame:
-    """new with a slug for each row that no other has: the first of a slug keeps it unless it is taken, others get a suffix of their id's hash."""
+    """new with a slug for each row that no other has: the first of a slug keeps it unless it is taken, others get a suffix of their id's hash.
+
+    Which row is first is a minimum by slug, added up before the shuffle, so a slug that most rows share is no task of its own. order is unique.
+    """
+    first = new.groupBy(F.col(slug).alias("_slug")).agg(F.min(order).alias("_first"))
     taken = existing.select(F.col(slug).alias("_slug")).distinct().withColumn("_taken", F.lit(True))
-    nth = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    rows = new.withColumn("_nth", nth).join(taken, F.col(slug) == F.col("_slug"), "left").drop("_slug")
-    clash = (F.col("_nth") > 1) | F.col("_taken").isNotNull()
-    own = F.when(clash, slug_suffix(F.col(slug), F.col(order).cast("string"))).otherwise(F.col(slug))
-    rows = rows.withColumn("_own", own).drop("_taken")
+    rows = new.join(first, F.col(slug).eqNullSafe(F.col("_slug")), "left").drop("_slug").join(taken, F.col(slug) == F.col("_slug"), "left").drop("_slug")
+    later = ~F.col(order).eqNullSafe(F.col("_first"))
+    own = F.when(later | F.col("_taken").isNotNull(), slug_suffix(F.col(slug), F.col(order).cast("string"))).otherwise(F.col(slug))
+    rows = rows.withColumn("_own", own).drop("_taken", "_first")
     # a suffixed slug may be another's: such rows get the whole hash
-    all_slugs = taken.select("_slug").union(rows.where("_nth = 1").select(slug)).distinct().withColumnRenamed("_slug", "_other")
-    again = F.row_number().over(Window.partitionBy("_own").orderBy(order)) > 1
-    rows = rows.withColumn("_again", again).join(all_slugs, F.col("_own") == F.col("_other"), "left")
+    all_slugs = taken.select(F.col("_slug").alias("_other")).union(new.select(slug)).distinct()
+    same = rows.where(~F.col("_own").eqNullSafe(F.col(slug))).groupBy("_own").agg(F.min(order).alias("_least"))
+    rows = rows.join(same, "_own", "left").join(all_slugs, F.col("_own") == F.col("_other"), "left")
     whole = F.concat(F.col(slug), F.lit("-"), F.sha2(F.col(order).cast("string"), 256))
-    chosen = F.when((F.col("_own") != F.col(slug)) & (F.col("_other").isNotNull() | F.col("_again")), whole).otherwise(F.col("_own"))
+    again = F.col("_other").isNotNull() | (F.col(order) != F.col("_least"))
+    chosen = F.when((F.col("_own") != F.col(slug)) & again, whole).otherwise(F.col("_own"))
     return rows.select(*[chosen.alias(c) if c == slug else F.col(c) for c in new.columns])
 
 
@@ -112,19 +114,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_table(df: DataFrame, root: str, name: str, expected: int | None = None, old: str | None = None) -> str:
-    """Write df as a new version of a table, check its count, and point the view of that name at it; the version's path.
+def replace_table(df: DataFrame, root: str, name: str, expected: int | None = None) -> str:
+    """Write df as the next version of a table under root, check its count, switch to it, and point this session's view of that name at it; the version's path.
 
-    Readers keep the old version until the new one is whole; old is the path of a version to delete then.
+    Other sessions find it by sources.versions; those that read the version before keep it, and it goes once none does.
     """
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    new = df.sparkSession.read.schema(df.schema).parquet(path)
-    if expected is not None and (n := new.count()) != expected:
-        raise ValueError(f"{name}: wrote {n} rows, expected {expected}")
-    new.createOrReplaceTempView(name)
-    if old:
-        remove(df.sparkSession, old)
+    spark, table = df.sparkSession, f"{root}/{name}"
+    path = versions.replaced(df, table, expected)["paths"][0]
+    spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(name)
+    versions.vacuum(spark, table)
     return path
 
 

@@ -81,7 +81,10 @@ def parse(text: str | None) -> Query | None:
 
 
 class Index(NamedTuple):
-    """postings (field, token, id, places), lengths (field, id, length) and stats (field, n, mean: documents that have the field, and its mean length)."""
+    """postings (field, token, id, places, length: of the id's whole field), lengths (field, id, length) and stats (field, n, mean: documents that have the field, and its mean length).
+
+    Ids are unique, as store.index_outcome() leaves them.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -93,15 +96,16 @@ def _words(docs: DataFrame, field: str, key: str, gap: str) -> DataFrame:
     text = F.array_join(field, " ") if kind.startswith("array") else F.col(field)
     split = docs.select(F.col(key).alias("id"), F.split(F.lower(F.coalesce(text, F.lit(""))), gap).alias("_all"))
     # text that begins with a gap has an empty piece before its first word
-    each = split.select("id", F.when(F.get("_all", F.lit(0)) == "", 1).otherwise(0).alias("_first"), F.posexplode("_all").alias("_at", "token"))
-    return each.where((F.col("token") != "") & ~F.col("token").isin(*STOP_WORDS)).select(F.lit(field).alias("field"), "token", "id", (F.col("_at") - F.col("_first")).alias("at"))
+    counts = F.size(F.filter("_all", lambda w: (w != "") & ~w.isin(*STOP_WORDS)))
+    each = split.select("id", counts.alias("length"), F.when(F.get("_all", F.lit(0)) == "", 1).otherwise(0).alias("_first"), F.posexplode("_all").alias("_at", "token"))
+    return each.where((F.col("token") != "") & ~F.col("token").isin(*STOP_WORDS)).select(F.lit(field).alias("field"), "token", "id", (F.col("_at") - F.col("_first")).alias("at"), "length")
 
 
 def index(docs: DataFrame, fields=FIELDS, key: str = "id", gap: str = TOKEN_GAP) -> Index:
     """The index of docs' searched fields, those it has."""
     every = reduce(DataFrame.unionAll, [_words(docs, f, key, gap) for f in fields if f in docs.columns])
-    postings = every.groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    lengths = postings.groupBy("field", "id").agg(F.sum(F.size("places")).alias("length"))
+    postings = every.groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("at")).alias("places"), F.max("length").alias("length"))
+    lengths = postings.groupBy("field", "id").agg(F.max("length").alias("length"))
     return Index(postings, lengths, lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
 
 
@@ -110,7 +114,7 @@ def stored(made: Index, path: str) -> Index:
     spark = made.postings.sparkSession
     made.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "field", "id").write.parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("field", "id").agg(F.sum(F.size("places")).alias("length")).write.parquet(f"{path}/lengths")
+    postings.groupBy("field", "id").agg(F.max("length").alias("length")).write.parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/stats")
     return loaded(spark, path)
@@ -150,11 +154,11 @@ def matching(index: Index, query: Query | None) -> DataFrame | None:
 
 def bm25(index: Index, words: list[str], fields=FIELDS) -> DataFrame:
     """(id, score): fields' BM25 by weight, summed over the words; statistics are those of all documents."""
-    own = index.postings.where(F.col("token").isin(sorted(set(words))) & F.col("field").isin(*fields)).select("field", "token", "id", F.size("places").alias("tf"))
+    own = index.postings.where(F.col("token").isin(sorted(set(words))) & F.col("field").isin(*fields)).select("field", "token", "id", F.size("places").alias("tf"), "length")
     often = own.groupBy("field", "token").agg(F.count("*").alias("df")).join(F.broadcast(index.stats), "field")  # a row per field
     n, df, tf, weight = F.col("n"), F.col("df"), F.col("tf"), F.element_at(F.create_map(*[F.lit(x) for f in fields.items() for x in f]), F.col("field"))
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    rows = own.join(index.lengths, ["field", "id"]).join(F.broadcast(often), ["field", "token"])  # a row per field and query word
+    rows = own.join(F.broadcast(often), ["field", "token"])  # a row per field and query word
     return rows.groupBy("id").agg(F.sum(weight * F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + norm)).alias("score"))
 
 
