@@ -155,6 +155,20 @@ def test_bad_host_takes_its_documents_along(spark):
     assert not any(got[k] for k in range(100)) and all(got[1000 + k] for k in range(100) if k % 10)
 
 
+def test_verdict_on_a_rule_falls_by_host(spark):
+    """Documents full of symbols go where the host has the usual share of them or more, and stay where it hardly has any; each rule has a prior of its own."""
+    good = " ".join(f"w{i}" for i in range(80))
+    odd, lines = good + " " + "#" * 60, good + "\n" + "x\n" * 9
+    rows = [(h * 1000 + k, odd if k < n else lines if k == 999 and h == 0 else good, "en", f"h{h}", 0) for h, n in enumerate([1, 100, 120, 80, 90]) for k in range(1000)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, KIND)).collect()}
+    assert got[0].kept and not any(got[h * 1000 + k].kept for h, n in enumerate([1, 100, 120, 80, 90]) for k in range(n) if h)
+    assert not got[999].kept and all(r.kept for i, r in got.items() if i % 1000 >= 120 and i != 999)
+    rate, n = [n / 1000 for n in (1, 100, 120, 80, 90)], 1000
+    m = sum(rate) / 5
+    w = m * (1 - m) / (sum((x - m) ** 2 for x in rate) / 4) - 1
+    assert got[1500].rate_symbols == pytest.approx((100 + m * w) / (n + w), abs=1e-8)
+
+
 # 3 and 6
 
 
