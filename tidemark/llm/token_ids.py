@@ -246,10 +246,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # rows that share a doc_id are told apart by their texts, and rows that repeat by their place in the input, so that no key is a task of its own
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_hash", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col("doc_id").asc_nulls_first(), "_hash", "_tie"]
+    ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     manifest = written(mapped(ordered.withColumn("part", F.spark_partition_id()), encode, "part int, number long, path string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    before = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = manifest.groupBy("part").agg(F.sum("n_ids").alias("_ids")).select("part", before(Window.orderBy("part"), "_ids").alias("_ahead"))  # a row per task
+    return manifest.join(ahead, "part").withColumn("start", F.col("_ahead") + before(Window.partitionBy("part").orderBy("number"), "n_ids")).drop("_ahead")
 
 
 def read(manifest: DataFrame) -> DataFrame:
