@@ -169,11 +169,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts, _, _ = mix(docs, **options)
     own = parts.groupBy("doc_id", "row_hash", "start", "size", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
     per_row = own.groupBy("doc_id", "row_hash", "start", "size").agg(F.array_sort(F.collect_list(F.struct("epoch", "n", "runs"))).alias("epochs"))
-    per_key = per_row.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(F.struct("start", "size", "epochs"))).alias("_copies"))
-    per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_copies")
-    # documents stand in a struct, so no column of theirs can clash
-    rows = boxed(docs, F.xxhash64(*columns(docs)).alias("_row")).withColumn("_copy", F.row_number().over(Window.partitionBy("_doc.doc_id", "_row").orderBy(F.lit(1))))
-    both = rows.join(per_key, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))).withColumn("_place", F.get("_copies", F.col("_copy") - 1)).withColumn("_epoch", F.explode("_place.epochs"))
+    places = per_row.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.struct("size", "epochs").alias("_place"))
+    # rows that repeat are one row until they meet their places; documents stand in a struct, so no column of theirs can clash
+    rows = boxed(docs, F.xxhash64(*columns(docs)).alias("_row")).groupBy(F.col("_doc.doc_id").alias("_own"), "_row").agg(F.first("_doc").alias("_doc"))
+    both = places.join(rows, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))).withColumn("_epoch", F.explode("_place.epochs"))
     both = both.withColumn("_words", words(F.col("_doc.text")))
     cut = F.array_join(F.flatten(F.transform("_epoch.runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
     both = both.withColumn("_text", F.when(F.col("_epoch.n") == F.col("_place.size"), F.col("_doc.text")).otherwise(cut))
