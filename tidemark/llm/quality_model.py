@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mapped
+from tidemark.llm.common import mapped, written
 from tidemark.llm.textvec import word_codes, hashed
 from tidemark.llm.token_ids import slices
 
@@ -32,6 +32,8 @@ GRAMS, BUCKETS_LOG, DIMENSIONS = (3, 4, 5), 18, 10
 BUCKETS = 1 << BUCKETS_LOG
 #: Labelled rows to learn from, passes over them, and the first step's rate.
 TRAIN_ROWS, EPOCHS, RATE, SEED = 5000, 10, 0.5, 11
+#: Bytes of packed features that the learner holds at most: of texts with more together, those first in order are learned from.
+TRAIN_BYTES = 64 << 20
 #: Bytes of text that a worker takes apart at once.
 PIECE_BYTES = 1 << 19
 
@@ -116,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = mapped(texts, shares, "doc_id string, packed binary, label int").orderBy("doc_id", F.xxhash64("packed"), "label").limit(rows).toArrow()
+    got = mapped(texts, shares, "doc_id string, packed binary, label int").orderBy("doc_id", F.xxhash64("packed"), "label").limit(rows)
+    so_far = F.sum(F.octet_length("packed")).over(Window.orderBy("doc_id", F.xxhash64("packed"), "label").rowsBetween(Window.unboundedPreceding, 0))
+    got = written(got, "examples").withColumn("_bytes", so_far).where(f"_bytes <= {TRAIN_BYTES}").toArrow()  # a window over rows at most
     y = got["label"].to_numpy()
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32)
