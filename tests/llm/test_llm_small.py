@@ -725,3 +725,58 @@ def test_contexts_discover(spark, odd, none):
     assert all(got[10 + k].spans == "phone:22:30" and got[10 + k].n_phone == 0 for k in range(4)) and all(got[20 + k].spans == "" for k in range(9))
     assert got[0].base_sha256 == hashlib.sha256(b"phone:22:39").hexdigest() and got[0].spans == "phone:22:39"
     assert pii.extract(odd).count() == len(ODD) and pii.extract(none).count() == 0
+
+
+def plain_features(text):
+    """A text's places by the definitions, one feature at a time."""
+    import xxhash
+
+    def bucket(key, salt):
+        turned = (key + salt) * 0x9E3779B97F4A7C15 % 2**64
+        turned ^= turned >> 29
+        return max(turned * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - quality_model.BUCKETS_LOG, 1)
+
+    out = [0] + [bucket(xxhash.xxh3_64_intdigest(w), 7) for w in text.split()]
+    for word in text.split():
+        padded = f" {word} "
+        for n in quality_model.GRAMS:
+            for k in range(len(padded) - n + 1):
+                key = 0
+                for c in padded[k : k + n]:
+                    key = (key * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                out.append(bucket(key, n))
+    return out
+
+
+def test_quality_model_against_plain_descent(spark):
+    texts, labels = ["good words here", "bad bad stuff", "good enough words", "awful stuff", "é good"], [1, 0, 1, 0, 1]
+    got = quality_model.train([quality_model.unpacked(quality_model.packed(*x)) for x in quality_model.counted(pa.array(texts))], np.array(labels), epochs=3)
+    rng, size = np.random.default_rng(quality_model.SEED), quality_model.DIMENSIONS
+    vectors = rng.uniform(-1 / size, 1 / size, (quality_model.BUCKETS, size)).astype(np.float32)
+    each, layer, step = [plain_features(t) for t in texts], np.zeros((size, 2)), 0
+    rows = {p: vectors[p].astype(float) for f in each for p in f}
+    for _ in range(3):
+        for k in rng.permutation(len(texts)):
+            share = {p: each[k].count(p) / len(each[k]) for p in each[k]}
+            mean = sum(s * rows[p] for p, s in share.items())
+            odds = np.exp(mean @ layer)
+            loss = odds / odds.sum() - np.eye(2)[labels[k]]
+            now, back = quality_model.RATE * (1 - step / 15), layer @ loss
+            layer = layer - now * np.outer(mean, loss)
+            for p, s in share.items():
+                rows[p] = rows[p] - now * s * len(share) ** 0.5 * back
+            step += 1
+    assert {p: got[p] for p in rows} == pytest.approx({p: rows[p] @ (layer[:, 1] - layer[:, 0]) for p in rows}, abs=1e-4)
+    new = [*texts, "good stuff", "", None]
+    scored = quality_model.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), got)
+    want = [1 / (1 + np.exp(-np.mean([float(got[p]) for p in plain_features(t or "")]))) for t in new]
+    assert [r["score"] for r in scored.orderBy("doc_id").collect()] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_label_of_many_documents_is_bounded(spark, monkeypatch):
+    rows = [(1, "good words here", "en", "a", 1)] * 40 + [(k, "bad stuff" if k % 2 else "good words", "en", "a", 1) for k in range(2, 40)]
+    docs, labels = spark.createDataFrame(rows, KIND), spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 5)
+    monkeypatch.setattr(quality_model, "TRAIN_BYTES", 2000)
+    for got in (toxicity.judge(docs, labels), quality_model.judge(docs, labels)):
+        assert got.count() == len(rows) and got.where("score between 0 and 1").count() == len(rows)

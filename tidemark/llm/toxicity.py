@@ -17,7 +17,7 @@ holds what one block needs. Both ways give the same scores. The curve is fitted
 
 Symbols beyond U+0BFF share 1024 codes. Defined cases: null and empty texts score as a text without evidence; with no labelled
 row of a class the score is 0.5 without evidence for either; rows that repeat are scored each; labels that are null are left out, and of several labels of a
-document every one counts; labelled rows whose hashes tie go to the curve in order of their ids; very long texts are taken whole, one at a time; an empty table gives no rows; extra columns stay out.
+document every one counts, as does each of several documents of a label, of which CURVE_ROWS at most place the curve; labelled rows whose hashes tie go to the curve in order of their ids; very long texts are taken whole, one at a time; an empty table gives no rows; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -301,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     seen = written(counts(rows.select("text", "label", "part")), "n-grams")
     half = model_of(weights(seen, F.col("a0"), F.col("a1")))
     some = rows.where("part = 1").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label").limit(CURVE_ROWS) if labels.where("part = 1").count() > CURVE_ROWS else None
-    placed = _measured(rows.where("part = 1") if some is None else rows.where("part = 1").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi"), half, ["label"]).toArrow()
+    placed = _measured(rows.where("part = 1") if some is None else rows.where("part = 1").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi"), half, ["label"])
+    placed = placed.orderBy(F.xxhash64("label", *EVIDENCE)).limit(CURVE_ROWS).toArrow()  # a document may stand many times
     x, y = np.column_stack([placed[e].to_numpy() for e in EVIDENCE]), placed["label"].to_numpy().astype(float)
     fitted = curve(x, y) if 0 < y.sum() < len(y) else (np.zeros(len(EVIDENCE)), np.ones(len(EVIDENCE)), np.zeros(len(EVIDENCE) + 1))
     return model_of(weights(seen, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1"))), fitted
