@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, geo, identity, media, quality, shapes, text
-from tidemark.functions.json_schema import Validator, bundled
+from tidemark.functions.durations import is_plain_duration
+from tidemark.functions.json_schema import Validator, bundled, reported
 
 
 def apply(spark, f, values, kind="string"):
@@ -148,6 +149,52 @@ def test_json_schema_keywords():
     assert wrong(tree, {"inner": {"inner": {"n": "x"}}}) == ["type"] and wrong({"format": "ipv4"}, "1.2.3.256") == ["format"] and wrong({"format": "ipv4"}, "1.2.3.25") == []
 
 
+def test_causes_of_choices():
+    causes = lambda schema, value: [(e[0], e[2]) for e in Validator(schema).errors(value)]
+    at = lambda x: {"properties": {"k": x}}
+    text, many = {"type": "string"}, {"type": "array", "minItems": 2, "items": {"type": "string", "format": "date"}}
+    # of a filled value every branch's own wrong type is noise while another branch tells more
+    assert causes(at({"anyOf": [text, many]}), {"k": ["2024-01-01", "x"]}) == [("$.k[1]", "'x' is not a 'date'")]
+    # and all of them count if none does
+    assert causes(at({"anyOf": [text, many]}), {"k": {"a": 1}}) == [("$.k", "{'a': 1} is not of type 'string'"), ("$.k", "{'a': 1} is not of type 'array'")]
+    assert causes(at({"anyOf": [{"type": ["string", "null"]}, many]}), {"k": {"a": 1}}) == [("$.k", "{'a': 1} is not of type 'string', 'null'")]
+    assert causes(at({"type": "string"}), {"k": [1]}) == [("$.k", "[1] is not of type 'string'")]
+    # an empty list tells by itself, so does a limit of items
+    assert causes(at({"anyOf": [text, many]}), {"k": []}) == [("$.k", "[] is not of type 'string'"), ("$.k", "[] is too short [minItems=2]")]
+    assert causes(at({"oneOf": [text, {"anyOf": [many, {"type": "object", "required": ["a"]}]}]}), {"k": ["2024-01-01"]}) == [("$.k", "['2024-01-01'] is too short [minItems=2]")]
+    assert causes(at({"oneOf": [{"minLength": 1}, {"maxLength": 3}]}), {"k": "ab"}) == [("$.k", "'ab' is valid under each of {'minLength': 1}, {'maxLength': 3}")]
+    assert causes({"anyOf": [{"required": ["a"]}, {"required": ["b"]}]}, {"c": 1}) == [("$", "'a' is a required property"), ("$", "'b' is a required property")]
+
+
+def test_reports():
+    assert reported([("$", "required", "'a' is a required property"), ("$.k", "type", "[1] is not of type 'string'"), ("$.n", "minimum", "3 is less than the minimum of 5")]) == ["$, 'a' is a required property", "$.k, array value does not match any of the acceptable formats: 'string'"]
+    assert reported([("$.@type", "const", "'dcat:Dataset' was expected")]) == ["$.@type, @type value does not match any of the acceptable formats: constant value 'dcat:Dataset' was expected"]
+    assert reported([("$.u", "type", "None is not of type 'string'"), ("$.t", "maxItems", "[1, 2] is too long [maxItems=1]")]) == ["$.u, None does not match any of the acceptable formats: 'string'", "$.t, array value does not match any of the acceptable formats: max 1 items"]
+
+
+def test_unevaluated_members_and_dynamic_scope():
+    wrong = lambda schema, value: [e[:2] for e in Validator(schema).errors(value)]
+    shape = {"properties": {"a": True}, "anyOf": [{"properties": {"b": {"const": 1}}, "required": ["b"]}, {"properties": {"c": True}, "required": ["c"]}], "unevaluatedProperties": {"type": "integer"}}
+    assert wrong(shape, {"a": "x", "b": 1, "d": 2}) == [] and wrong(shape, {"a": "x", "c": "y", "b": "z"}) == [("$", "unevaluatedProperties")]
+    assert wrong({"allOf": [{"$ref": "#/$defs/x"}], "$defs": {"x": {"patternProperties": {"^x": True}}}, "unevaluatedProperties": False}, {"xy": 1, "y": 1}) == [("$", "unevaluatedProperties")]
+    assert wrong({"not": {"properties": {"a": True}, "required": ["b"]}, "unevaluatedProperties": False}, {"a": 1}) == [("$", "unevaluatedProperties")]
+    items = {"prefixItems": [{"const": 1}], "contains": {"type": "string"}, "unevaluatedItems": False}
+    assert wrong(items, [1, "a", "b"]) == [] and wrong(items, [1, "a", 2]) == [("$", "unevaluatedItems")] and wrong({"items": True, "unevaluatedItems": False}, [1]) == []
+    tree = {"$id": "https://e.org/tree", "$dynamicAnchor": "node", "properties": {"child": {"$dynamicRef": "#node"}, "n": {"type": "integer"}}}
+    strict = Validator({"$id": "https://e.org/strict", "$dynamicAnchor": "node", "$ref": "tree", "unevaluatedProperties": False}, {"https://e.org/tree": tree})
+    assert strict.errors({"child": {"child": {"n": 1}}}) == [] and "$.child.child" in [e[0] for e in strict.errors({"child": {"child": {"m": 1}}})]
+    assert Validator(tree).errors({"child": {"m": 1}}) == []  # alone the tree doesn't mind
+    held = Validator({"$id": "https://e.org/a", "$ref": "b", "$defs": {"x": {"$id": "b", "$anchor": "top", "properties": {"y": {"$ref": "#top"}, "z": {"$ref": "https://e.org/a#/$defs/w"}}}, "w": {"const": 3}}})
+    assert held.errors({"y": {"y": {"z": 3}}}) == [] and len(held.errors({"y": {"y": {"z": 4}}})) == 1
+
+
+def test_durations(spark):
+    good = ["P1D", "P1Y2M3W4DT5H6M7S", "PT1.5S", "-P2W", "PT3H", "P0D"]
+    bad = ["P", "PT", "P1DT", "1D", "P1D2Y", "P1H", "PT1D", "PT1.5H", "P1.5D", "P1D1D", "PT1.5", "P1DTT1S", "P-1D", "", "P1d", "PT1.S"]
+    assert apply(spark, quality.bad_duration, [*good, *bad, None]) == [False] * len(good) + [True] * len(bad) + [False]
+    assert [is_plain_duration(x) for x in ("P1Y2M", "P2W", "PT1H", "P1YT1S")] == [True] * 4 and not any(is_plain_duration(x) for x in [*bad, "P1W1D", "-P1D", "PT1.5S", "P1WT1H"])
+
+
 def test_schema_errors_of_odd_payloads(spark):
     from tidemark.functions.json_schema import schema_errors
 

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The canonical form of a random UUID, and the name space of synthetic record ids that stored records use.
+#: The canonical form of a random UUID, and the name space of synthetic record ids where the caller has none of its own.
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-RECORD_SPACE = "urn:datagov:catalogrecord:"
+RECORD_SPACE = "urn:catalogrecord:"
 
 
 def is_uuid4(text: Column) -> Column:
@@ -33,10 +33,10 @@ def identifier_error(raw: Column) -> Column:
     return F.when(identifier(raw).isNotNull(), F.lit(None).cast("string")).when(kind.startswith("OBJECT"), "identifier object has no usable '@id'").when(raw.isNull() | kind.isin("VOID", "STRING") | kind.isNull(), "identifier is missing").otherwise("identifier is invalid")
 
 
-def synthetic_record_id(topic: Column, modified: Column) -> Column:
+def synthetic_record_id(topic: Column, modified: Column, space: str = RECORD_SPACE) -> Column:
     """A stable @id for a catalog record without one."""
     basis = F.concat(F.coalesce(topic, F.lit("None")), F.lit("|"), F.coalesce(modified, F.lit("None")))
-    return F.concat(F.lit(RECORD_SPACE), F.sha2(basis, 256))
+    return F.concat(F.lit(space), F.sha2(basis, 256))
 
 
 def text_hash(text: Column) -> Column:

@@ -392,7 +392,7 @@ def content_hash(s, d):
     return roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), identity.text_hash(F.col("p_name")).alias("text_hash"), identity.content_hash()(raw).alias("content_hash"))
 
 
-@query("SELECT event_id AS id, 'urn:datagov:catalogrecord:' || sha256(coalesce(json_extract_string(props, '$.k'), 'None') || '|' || CASE WHEN event_id % 3 = 0 THEN 'None' ELSE event_type END) AS record_id FROM events")
+@query("SELECT event_id AS id, 'urn:catalogrecord:' || sha256(coalesce(json_extract_string(props, '$.k'), 'None') || '|' || CASE WHEN event_id % 3 = 0 THEN 'None' ELSE event_type END) AS record_id FROM events")
 def synthetic_ids(s, d):
     return roles.read(s, d, "events").select(F.col("event_id").alias("id"), identity.synthetic_record_id(F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 3 != 0, F.col("event_type"))).alias("record_id"))
 

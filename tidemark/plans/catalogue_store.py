@@ -479,6 +479,66 @@ def quality_errors(raw):
     return schema_errors(_DRAFT)(raw)
 
 
+#: Choices in choices, an open list of allowed kinds, and limits that messages tell.
+_CHOICES = {
+    "type": "object", "required": ["title"], "properties": {
+        "title": {"type": "string", "maxLength": 12}, "keyword": {"anyOf": [{"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 2}}, {"type": "string"}]},
+        "contact": {"oneOf": [{"type": "string"}, {"anyOf": [{"type": "object", "required": ["fn"]}, {"type": "null"}]}]}, "unit": {"anyOf": [{"const": "m"}, {"pattern": "^x"}]},
+    },
+}
+
+
+def _choices(s, d):
+    n, size = F.col("p_partkey"), F.col("p_size")
+    keyword = F.when(size % 4 == 0, "[]").when(size % 4 == 1, '["ab", "c"]').when(size % 4 == 2, '{"k": 1}').otherwise('"ab"')
+    contact = F.when(n % 3 == 0, "[1]").when(n % 3 == 1, '{"x": 1}').otherwise("null")
+    raw = F.concat(F.lit('{"title": "'), F.col("p_name"), F.lit('", "keyword": '), keyword, F.lit(', "contact": '), contact, F.lit(', "unit": "'), F.when(n % 2 == 0, "y").otherwise("m"), F.lit('"}'))
+    return roles.read(s, d, "part").select(n.alias("id"), raw.alias("raw"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size % 4 AS k, p_name FROM part)
+SELECT id, '$.title' AS path, '''' || p_name || ''' is too long [maxLength=12]' AS message FROM p WHERE length(p_name) > 12
+UNION ALL SELECT id, '$.keyword', CASE k WHEN 0 THEN '[] should be non-empty; [] is not of type ''string''' ELSE '{''k'': 1} is not of type ''array''; {''k'': 1} is not of type ''string''' END FROM p WHERE k IN (0, 2)
+UNION ALL SELECT id, '$.keyword[1]', '''c'' is too short' FROM p WHERE k = 1
+UNION ALL SELECT id, '$.contact', CASE id % 3 WHEN 0 THEN '[1] is not of type ''object''; [1] is not of type ''null''' ELSE '''fn'' is a required property' END FROM p WHERE id % 3 < 2
+UNION ALL SELECT id, '$.unit', '''m'' was expected; ''y'' does not match ''^x''' FROM p WHERE id % 2 = 0""")
+def schema_causes(s, d):
+    """Failures of choices by their causes."""
+    from tidemark.functions.json_schema import schema_errors
+
+    return _choices(s, d).select("id", F.explode(schema_errors(_CHOICES)("raw")).alias("e")).select("id", "e.path", "e.message")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size % 4 AS k, p_name FROM part)
+SELECT id, '$.title, ''' || p_name || ''' does not match any of the acceptable formats: max string length of 12 characters' AS text FROM p WHERE length(p_name) > 12
+UNION ALL SELECT id, CASE k WHEN 0 THEN '$.keyword, [] does not match any of the acceptable formats: non-empty, ''string''' ELSE '$.keyword, object value does not match any of the acceptable formats: ''array'', ''string''' END FROM p WHERE k IN (0, 2)
+UNION ALL SELECT id, '$.keyword[1], ''c'' does not match any of the acceptable formats: min items requirement' FROM p WHERE k = 1
+UNION ALL SELECT id, CASE id % 3 WHEN 0 THEN '$.contact, array value does not match any of the acceptable formats: ''object'', ''null''' ELSE '$.contact, ''fn'' is a required property' END FROM p WHERE id % 3 < 2
+UNION ALL SELECT id, '$.unit, ''y'' does not match any of the acceptable formats: constant value ''m'' was expected, ''^x''' FROM p WHERE id % 2 = 0""")
+def schema_texts(s, d):
+    """Failures as the texts that a publisher reads."""
+    from tidemark.functions.json_schema import schema_reports
+
+    return _choices(s, d).select("id", F.explode(schema_reports(_CHOICES)("raw")).alias("text"))
+
+
+#: A tree of nodes, and a schema that extends it: through the dynamic anchor every node may have nothing that neither knows.
+_TREE = {"$id": "https://example.org/tree", "$dynamicAnchor": "node", "type": "object", "properties": {"name": True, "parts": {"type": "array", "items": {"$dynamicRef": "#node"}}}}
+_STRICT = {"$id": "https://example.org/strict", "$dynamicAnchor": "node", "$ref": "tree", "if": {"properties": {"name": {"const": "even"}}, "required": ["name"]}, "then": {"properties": {"size": {"type": "integer"}}}, "unevaluatedProperties": False}
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS n FROM part)
+SELECT id, '$.parts[1]' AS path, 'Unevaluated properties are not allowed (''nme'' was unexpected)' AS message FROM p WHERE id % 3 = 0
+UNION ALL SELECT id, '$', 'Unevaluated properties are not allowed (' || CASE WHEN id % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN '''parts'' was' ELSE '''name'', ''size'', ''parts'' were' END ELSE '''size'' was' END || ' unexpected)' FROM p WHERE n % 2 = 1 OR id % 3 = 0""")
+def schema_unevaluated(s, d):
+    """Members that no keyword has seen to; a schema that fails sees to none."""
+    from tidemark.functions.json_schema import schema_errors
+
+    n = F.col("p_partkey")
+    raw = F.concat(F.lit('{"name": "'), F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"), F.lit('", "size": 1, "parts": [{"name": "x"}, {"'), F.when(n % 3 == 0, "nme").otherwise("name"), F.lit('": "y", "parts": []}]}'))
+    return roles.read(s, d, "part").select(n.alias("id"), F.explode(schema_errors(_STRICT, {"https://example.org/tree": _TREE})(raw)).alias("e")).select("id", "e.path", "e.message")
+
+
 @query("SELECT 'u' || n_nationkey AS url, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE '0' END AS identifier, '$' AS path FROM nation UNION ALL SELECT 'u' || n_nationkey, 'b', '$.title' FROM nation")
 def invalid_catalog_records(s, d):
     schema = {"type": "object", "required": ["title"], "properties": {"title": {"type": "string"}}}
