@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diff, facets, paging, reports, store, versions
+from tidemark.operators import diff, documents, facets, paging, reports, store, versions
 from tidemark.plans import search
 from tidemark.schema import TABLES, empty
 from tidemark.sources import catalogs, listings, vocabularies
@@ -212,3 +212,38 @@ def test_streaming_capture(spark, tmp_path):
         capture(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         got = {(r.identifier, r.action) for r in spark.read.parquet(str(tmp_path / f"out/job={n}")).collect()}
         assert got == ({("a", "create"), ("b", "create")}, {("a", "update"), ("c", "create"), ("b", "delete")})[n]
+
+def test_numbers_and_slices_against_windows(spark):
+    rows = [(k * 7 % 101, [None, "a", "b", "a", None][k % 5] if k < 80 else "a", "x") for k in range(101)]
+    df = spark.createDataFrame(rows, "pos long, key string, more string").repartition(5)
+    got = sorted(tuple(r) for r in paging.numbered(df, ["key"], "pos").select("pos", "nth").collect())
+    order = {}
+    want = []
+    for pos, key, _ in sorted(rows):
+        order[key] = order.get(key, 0) + 1
+        want.append((pos, order[key]))
+    assert got == want and paging.numbered(df.limit(0), ["key"], "pos").count() == 0
+    for start, size in ((0, 3), (50, 10), (95, 20), (200, 5), (-2, 4)):
+        assert sorted(r["pos"] for r in paging.slice_of(df, "pos", start, size).collect()) == list(range(max(0, start), max(0, start) + size))[: max(0, 101 - start)]
+    a, b = (sorted(r["pos"] for r in reports.seeded_sample(x, 10, 7, "pos").collect()) for x in (df, df.repartition(3)))
+    assert a == b and a == list(range(a[0], a[0] + 10))
+    kept, errors = versions.split_duplicates(df, "key")
+    assert sorted(r["pos"] for r in kept.collect()) == sorted(p for p, n in want if n == 1) and errors.count() == 98
+
+
+def test_places_by_part_of_name_against_every_pair(spark):
+    names = ["Springfield, Ohio", "Springfield", "Ohio County", "oh", None, "Ünïon", "", "a.b%c_d", "Ohio"]
+    places = spark.createDataFrame([(f"p{k}", n, [3, 2, None, 1][k % 4], f"g{k}") for k, n in enumerate(names)], "id string, display_name string, type_order int, the_geom string")
+    texts = ["ohio", "SPRING", "field, o", "o", "OH", "h", "ünï", "%c_", "b%c_d", "nowhere", "springs", " ", "", None, "Ohio", "ohio county and more"]
+    got = {r["text"]: r["id"] for r in documents.places_named(spark.createDataFrame([(t,) for t in texts * 2], "text string"), places).collect()}
+    ranked = sorted((([3, 2, None, 1][k % 4] is None, [3, 2, None, 1][k % 4] or 0, f"p{k}", n) for k, n in enumerate(names) if n is not None))
+    want = {t: next(r[2] for r in ranked if t.lower() in r[3].lower()) for t in texts if t and t.strip() and any(t.lower() in r[3].lower() for r in ranked)}
+    assert got == want
+
+
+def test_deep_differences(spark):
+    kind = "id int, doc string"
+    left = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "x"}]}, "e": {}, "same": [[]]}'), (2, "no json"), (3, None), (4, "[1, 2]")], kind)
+    right = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "y"}, 3]}, "e": [], "same": [[]]}'), (2, "no json"), (3, "5"), (4, '{"a": 1}')], kind)
+    got = {tuple(r) for r in reports.deep_differences(left, right).collect()}
+    assert got == {(1, "$.a.b[1].c", '"x"', '"y"'), (1, "$.a.b[2]", None, "3"), (1, "$.e", "{}", "[]"), (3, "$", None, "5"), (4, "$[0]", "1", None), (4, "$[1]", "2", None), (4, "$.a", None, "1")}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.geo import centroid, spatial
 from tidemark.functions.text import slug
+from tidemark.sources.scratch import written
 
 #: Placeholders of fields that a record lacks. The contact is the caller's to give; the two spellings of the type are those that stored records have.
 CONTACT = {"fn": "Not provided", "hasEmail": "mailto:unknown@example.org"}
@@ -113,12 +114,40 @@ def dataset_payloads(records: DataFrame, gazetteer: DataFrame | None = None) ->
     rows = rows.withColumn("slug", slug(F.coalesce(_clean(text(F.col("_doc"), "$.title")), F.col("identifier")))).withColumn("_place", F.get_json_object("dcat", "$.spatial"))
     found = None
     if gazetteer is not None:
-        names = gazetteer.select(F.lower("display_name").alias("_name"), F.col("the_geom").alias("_geom")).dropDuplicates(["_name"])
-        rows, found = rows.join(names, F.lower("_place") == F.col("_name"), "left"), F.col("_geom")
+        named = places_named(rows.select(F.col("_place").alias("text")), gazetteer).select(F.col("text").alias("_text"), F.col("the_geom").alias("_geom"))
+        rows, found = rows.join(named, F.col("_place") == F.col("_text"), "left"), F.col("_geom")
     shape = F.nullif(spatial(F.col("_place"), found), F.lit(""))
     return rows.withColumn("translated_spatial", shape).withColumn("spatial_warning", F.col("_place").isNotNull() & F.col("translated_spatial").isNull()).select("id", "slug", "dcat", F.col("record_type").alias("type"), "harvest_source_id", "translated_spatial", "date_finished", "spatial_warning")
 
 
+def _parts(text: Column, n: int) -> Column:
+    """All runs of n signs of a text, once."""
+    return F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, n))).otherwise(F.array().cast("array<string>")))
+
+
+def places_named(texts: DataFrame, locations: DataFrame) -> DataFrame:
+    """(text, id, the_geom): for each distinct text the first place, by type_order and id, whose name contains it, in any case; texts without one, and blank ones, are left out.
+
+    Names are indexed by their runs of one to three signs. A text of up to three signs is a run itself; a longer one is held against the names
+    that have its rarest run of three.
+    """
+    size = 3
+    for c, stand_in in (("id", F.col("display_name")), ("type_order", F.lit(0))):  # a gazetteer may have neither
+        locations = locations if c in locations.columns else locations.withColumn(c, stand_in)
+    names = locations.where("display_name is not null").select("id", "type_order", F.lower("display_name").alias("name"))
+    runs = written(names.select("id", "type_order", F.explode(F.concat(*[_parts(F.col("name"), n) for n in range(1, size + 1)])).alias("run")), "runs")
+    first = F.min(F.struct(F.col("type_order").isNull().alias("last"), "type_order", "id")).alias("first")
+    each = written(texts.where(F.trim("text") != "").select("text", F.lower("text").alias("low")).distinct(), "texts")
+    short = each.where(F.length("low") <= size).join(runs, F.col("low") == F.col("run")).groupBy("text").agg(first)
+    often = runs.where(F.length("run") == size).groupBy("run").agg(F.count("*").alias("n"))
+    own = each.where(F.length("low") > size).select("text", "low", F.explode(_parts(F.col("low"), size)).alias("run"))
+    # a run that no name has rules its text out
+    rarest = own.join(often, "run", "left").groupBy("text", "low").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    met = rarest.join(runs.where(F.length("run") == size).select("run", "id"), "run").join(names, "id").where(F.contains("name", F.col("low")))
+    found = short.unionByName(met.groupBy("text").agg(first)).select("text", F.col("first.id").alias("id"))
+    return found.join(locations.select("id", "the_geom"), "id").select("text", "id", "the_geom")
+
+
 def repaired(contact: dict = CONTACT):
     """A column function of (JSON text, identifier, parent, organization's name): placeholders filled in, identifier and parent set, theme geospatial added."""
 

@@ -7,9 +7,11 @@ import json
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import new_path, written
+
 PER_PAGE, MOST_PER_PAGE, SEARCH_PER_PAGE, SEARCH_MOST = 10, 100, 20, 1000
 
 
@@ -75,3 +77,36 @@ def decode_cursor(cursor: str) -> list:
 def search_size(per_page: int | None) -> int:
     """Hits of a search page: 20 unless asked, 1000 at most, 0 for aggregations only."""
     return SEARCH_PER_PAGE if per_page is None else max(0, min(per_page, SEARCH_MOST))
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str = "nth") -> DataFrame:
+    """rows with their number, from 1, in order within the columns by; order is unique, nulls are values as any other.
+
+    Rows are dealt by range and sorted, and counts of each part tell where the next one begins, so a group that has most rows is as many parts as any: a
+    window sees a row per part of a group only.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*by, order)]
+    dealt = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ordered")
+    spans = dealt.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spans.select(*[F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)], F.col("_part").alias("_own"), (before - F.col("_first") + 1).alias("_shift"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{k}")) for k, c in enumerate(by)], F.col("_part") == F.col("_own"))
+    return dealt.join(starts, same).withColumn(name, F.col("_at") + F.col("_shift")).select(*rows.columns, name)
+
+
+def slice_of(rows: DataFrame, key: str, start, size: int) -> DataFrame:
+    """The rows whose keys, each unique, are those from a place on in the order of all; start: the place, or a function of how many rows there are.
+
+    Keys are dealt by range and counted by part, and only the parts that the slice is in are read and sorted.
+    """
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "keys")
+    rows.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+    keys = spark.read.schema(f"`{key}` {rows.schema[key].dataType.simpleString()}, _part int").parquet(path)
+    counts = sorted(keys.groupBy("_part").count().collect())  # a row per part
+    place, before, wanted, skipped = start(sum(n for _, n in counts)) if callable(start) else start, 0, [], None
+    for part, n in counts:
+        if before < place + size and place < before + n:
+            wanted, skipped = [*wanted, part], place - before if skipped is None else skipped
+        before += n
+    chosen = keys.where(F.col("_part").isin(wanted)).select(key).orderBy(key).offset(max(0, skipped or 0)).limit(size)
+    return rows.join(F.broadcast(chosen), key, "left_semi")  # no more than the slice's size

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import extra
+from tidemark.operators.paging import slice_of
+from tidemark.sources.scratch import written
 
 VALIDATION_TYPES = ("ValidationException", "ValidationError")
 FIRST = ("harvest_job_id", "date_created", "type", "severity", "id")
@@ -193,10 +195,10 @@ def source_summary(jobs: DataFrame, live: DataFrame, now: str) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, size: int, seed: int, key: str = "id") -> DataFrame:
-    """A run of rows, by key, from a place that the seed chooses: the same on every run."""
+    """A run of rows, by a unique key, from a place that the seed chooses: the same on every run."""
     import random
 
-    return rows.orderBy(key).offset(random.Random(seed).randrange(max(1, rows.count() - size + 1))).limit(size)
+    return slice_of(rows, key, lambda n: random.Random(seed).randrange(max(1, n - size + 1)), size)
 
 
 def document_differences(left: DataFrame, right: DataFrame, key: str = "id", doc: str = "doc") -> DataFrame:
@@ -204,3 +206,26 @@ def document_differences(left: DataFrame, right: DataFrame, key: str = "id", doc
     flat = lambda df, name: df.select(key, F.explode(F.from_json(doc, "map<string,string>")).alias("field", name))
     both = flat(left, "left").join(flat(right, "right"), [key, "field"], "full_outer")
     return both.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def flattened(docs: DataFrame, key: str = "id", doc: str = "doc") -> DataFrame:
+    """(key, path, value) of everything plain in JSON documents, whatever its depth: members by name, items by place; empty objects and lists are values. Text that is no JSON is one value."""
+    todo, out = docs.select(key, F.lit("$").alias("path"), F.col(doc).alias("value")).where("value is not null"), None
+    while True:
+        parsed = F.try_parse_json("value")
+        kind = F.schema_of_variant(parsed)
+        filled = F.coalesce((kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~F.to_json(parsed).isin("{}", "[]"), F.lit(False))
+        now = written(todo.withColumn("_kind", F.when(filled, F.substring(kind, 1, 5))), "level")
+        plain = now.where("_kind is null").select(key, "path", "value")
+        out = plain if out is None else out.union(plain)
+        if not now.where("_kind is not null").limit(1).count():
+            return out
+        members = now.where("_kind = 'OBJEC'").select(key, "path", F.explode(F.try_variant_get(parsed, "$", "map<string,variant>")).alias("_name", "_v")).select(key, F.concat("path", F.lit("."), "_name").alias("path"), F.to_json("_v").alias("value"))
+        items = now.where("_kind = 'ARRAY'").select(key, "path", F.posexplode(F.try_variant_get(parsed, "$", "array<variant>")).alias("_at", "_v")).select(key, F.concat("path", F.lit("["), "_at", F.lit("]")).alias("path"), F.to_json("_v").alias("value"))
+        todo = members.union(items)
+
+
+def deep_differences(left: DataFrame, right: DataFrame, key: str = "id", doc: str = "doc") -> DataFrame:
+    """(key, path, left, right) of every value, at any depth, in which two JSON documents differ; values are JSON text, null where a side has none. Lists are held against each other place by place."""
+    flat = lambda df, name: flattened(df, key, doc).withColumnRenamed("value", name)
+    return flat(left, "left").join(flat(right, "right"), [key, "path"], "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))

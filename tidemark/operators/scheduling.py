@@ -67,7 +67,7 @@ def organization_of(organizations: DataFrame, name: str) -> DataFrame:
 
 def place_named(locations: DataFrame, name: str) -> DataFrame:
     """The first place whose name contains some text, in any case."""
-    return locations.where(F.contains(F.lower("display_name"), F.lower(F.lit(name)))).orderBy("type_order", "id").limit(1)
+    return locations.where(F.contains(F.lower("display_name"), F.lower(F.lit(name)))).orderBy(F.col("type_order").asc_nulls_last(), "id").limit(1)
 
 
 def notify(preference: Column, errored: Column, updated: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.paging import numbered
+
 IDENTITY = ("harvest_source_id", "identifier", "record_type")
 
 
@@ -53,17 +57,18 @@ def outdated_records(records: DataFrame, days: int, now: str) -> DataFrame:
 
 
 def duplicate_positions(rows: DataFrame, key: str = "identifier", order: str = "pos", within: tuple = ()) -> DataFrame:
-    """Second and later rows of each key in order; null is a key as any other."""
-    nth = F.row_number().over(Window.partitionBy(*within, key).orderBy(order))
-    return rows.withColumn("occurrence", nth).where("occurrence > 1")
+    """Second and later rows of each key in order; null is a key as any other, and a frequent one is no task of its own."""
+    return numbered(rows, [*within, key], order, "occurrence").withColumn("occurrence", F.col("occurrence").cast("int")).where("occurrence > 1")
 
 
 def split_duplicates(rows: DataFrame, key: str = "identifier", order: str = "pos", within: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and an error row for each later one."""
-    nth = F.row_number().over(Window.partitionBy(*within, key).orderBy(order))
-    marked = rows.withColumn("_nth", nth)
-    errors = marked.where("_nth > 1").select(*rows.columns, F.lit("error").alias("status"), F.lit("DuplicateIdentifierException").alias("type"), F.concat(F.lit("Duplicate identifier '"), F.coalesce(F.col(key).cast("string"), F.lit("None")), F.lit("' found")).alias("message"))
-    return marked.where("_nth = 1").drop("_nth"), errors
+    """The first row of each key, and an error row for each later one. Which is first is a minimum by key, added up before the shuffle; order is unique."""
+    by = [*within, key]
+    first = rows.groupBy(*[F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)]).agg(F.min(order).alias("_first"))
+    marked = rows.join(first, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{k}")) for k, c in enumerate(by)]))
+    later = F.col(order) != F.col("_first")
+    errors = marked.where(later).select(*rows.columns, F.lit("error").alias("status"), F.lit("DuplicateIdentifierException").alias("type"), F.concat(F.lit("Duplicate identifier '"), F.coalesce(F.col(key).cast("string"), F.lit("None")), F.lit("' found")).alias("message"))
+    return marked.where(~later).select(*rows.columns), errors
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: int = 1) -> DataFrame:

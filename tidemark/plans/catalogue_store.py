@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, geo, identity, media, quality, text
-from tidemark.operators import diff, documents, facets, lifecycle, reports, scheduling, store, versions
+from tidemark.operators import diff, documents, facets, lifecycle, paging, reports, scheduling, store, versions
 from tidemark.plans import roles
 from tidemark.plans.registry import query
 from tidemark.plans.roles import EVENTS_NOW, ISSUES, JOBS, ORDERS_NOW, RECORDS
@@ -612,3 +612,29 @@ def records_of_source(s, d):
 @query(f"WITH {RECORDS}, x AS (SELECT *, row_number() OVER (PARTITION BY harvest_source_id ORDER BY date_created DESC, id DESC) AS r FROM records) SELECT id, harvest_source_id FROM x WHERE r <= 10")
 def newest_records(s, d):
     return versions.top_per_group(roles.records(s, d), ["harvest_source_id"], [F.desc("date_created"), F.desc("id")], 10).select("id", "harvest_source_id")
+
+@query("""WITH t AS (SELECT DISTINCT upper(substring(p_name, 2, 1 + p_partkey % 6)) AS text FROM part), m AS (
+SELECT text, p_partkey AS place, row_number() OVER (PARTITION BY text ORDER BY p_size, p_partkey) AS r FROM t JOIN part ON contains(lower(p_name), lower(text)) WHERE trim(text) <> '') SELECT text, place FROM m WHERE r = 1""")
+def places_by_part_of_name(s, d):
+    """For each text the first place whose name contains it."""
+    part = roles.read(s, d, "part")
+    texts = part.select(F.upper(F.substring("p_name", F.lit(2), (1 + F.col("p_partkey") % 6).cast("int"))).alias("text"))
+    places = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("display_name"), F.col("p_size").alias("type_order"), F.lit("").alias("the_geom"))
+    return documents.places_named(texts, places).select("text", F.col("id").alias("place"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS n, p_name FROM part)
+SELECT id, '$.size' AS path, n::VARCHAR AS left, (n + 1)::VARCHAR AS right FROM p WHERE n % 2 = 0 UNION ALL SELECT id, '$.at[1].name', '"' || p_name || '"', NULL FROM p WHERE n % 3 = 0
+UNION ALL SELECT id, '$.at[0][1]', NULL, '7' FROM p WHERE n % 5 = 0 UNION ALL SELECT id, '$.deep.er', '{}', NULL FROM p WHERE n % 7 = 0 UNION ALL SELECT id, '$.deep.er.most', NULL, 'null' FROM p WHERE n % 7 = 0""")
+def deep_differences(s, d):
+    """Values at any depth in which two documents differ."""
+    n = F.col("p_size")
+    doc = lambda side: F.concat(F.lit('{"size": '), F.when(n % 2 == 0, n + side).otherwise(n), F.lit(', "at": [[1'), F.when((n % 5 == 0) & F.lit(side == 1), ", 7").otherwise(""), F.lit('], {"x": [], '), F.when((n % 3 == 0) & F.lit(side == 1), '"y": 0').otherwise(F.concat(F.lit('"y": 0, "name": "'), "p_name", F.lit('"'))), F.lit('}], "deep": {"er": {'), F.when((n % 7 == 0) & F.lit(side == 1), '"most": null').otherwise(""), F.lit("}}}"))
+    left, right = (roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), doc(side).alias("doc")) for side in (0, 1))
+    return reports.deep_differences(left, right)
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents ORDER BY 1 LIMIT 40 OFFSET (SELECT count(*) // 3 FROM documents)")
+def contiguous_rows(s, d):
+    """A run of rows from a place in the order of all."""
+    return paging.slice_of(roles.read(s, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id", lambda n: n // 3, 40)
