@@ -12,12 +12,18 @@ PAIRS = {"Æ": "Ae", "Ð": "Th", "Þ": "th", "ß": "ss", "æ": "ae", "ð": "th",
 LONGEST, SHORTEST = 90, 2
 
 
+def _folded(text: Column) -> Column:
+    """Latin-1 letters to ASCII; few texts have letters that become two."""
+    one = F.translate(text, ACCENTED, PLAIN)
+    two = one
+    for letter, pair in PAIRS.items():
+        two = F.replace(two, F.lit(letter), F.lit(pair))
+    return F.when(text.rlike(f"[{''.join(PAIRS)}]"), two).otherwise(one)
+
+
 def ascii_fold(text: Column) -> Column:
     """Latin-1 letters to ASCII; what else lies beyond ASCII is dropped."""
-    out = F.translate(text, ACCENTED, PLAIN)
-    for letter, pair in PAIRS.items():
-        out = F.replace(out, F.lit(letter), F.lit(pair))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    return F.regexp_replace(_folded(text), r"[^\x00-\x7F]", "")
 
 
 def slug(title: Column, longest: int = LONGEST) -> Column:
@@ -25,8 +31,8 @@ def slug(title: Column, longest: int = LONGEST) -> Column:
 
     Blanks, full stops, colons, slashes and hyphens part words; other characters than letters, digits and ``_`` vanish from them.
     """
-    letters = F.regexp_replace(F.lower(ascii_fold(title)), r"[^a-z0-9_ .:/-]+", "")
-    name = F.array_join(F.filter(F.split(letters, r"[ .:/-]+"), lambda word: word != ""), "-")
+    letters = F.lower(F.regexp_replace(_folded(title), r"[^A-Za-z0-9_ .:/-]+", ""))
+    name = F.btrim(F.regexp_replace(letters, r"[ .:/-]+", "-"), F.lit("-"))
     year = F.regexp_extract(name, r"[-_](\d{2,4}(?:-\d{2,4})?)$", 1)
     kept = F.concat(F.left(name, F.lit(longest - 1) - F.length(year)), F.lit("-"), year)
     cut = F.when(F.length(name) <= longest, name).when(year == "", F.left(name, F.lit(longest))).otherwise(kept)
