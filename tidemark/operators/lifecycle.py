@@ -35,14 +35,21 @@ def states(records: DataFrame, issues: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(failed, "error").otherwise("success"), "synced": ~failed & F.col("action").isNotNull(), "warned": F.coalesce("_warning", F.lit(False))}).drop("_error", "_warning")
 
 
+#: What a record's action counts as.
+COUNTED = {"added": "create", "updated": "update", "deleted": "delete"}
+
+
+def counter_columns(validate_only: bool = False) -> list:
+    """The outcome counters as aggregates of records with their states."""
+    good = F.col("status") == "success"
+    named = {name: good & (F.col("action") == action) for name, action in COUNTED.items()}
+    rest = {"ignored": good & F.col("action").isNull() & F.lit(not validate_only), "errored": ~good, "validated": good & F.lit(validate_only), "warned": F.col("warned")}
+    return [F.count("*").alias("records_total"), *[F.count_if(test).alias(f"records_{name}") for name, test in (named | rest).items()]]
+
+
 def counters(done: DataFrame, by: tuple[str, ...] = (), validate_only: bool = False) -> DataFrame:
     """Outcome counters of records with their states (action, status, warned): a record with an error counts as that and nothing else."""
-    good = F.col("status") == "success"
-    named = [F.count_if(good & (F.col("action") == a)).alias(f"records_{n}") for a, n in (("create", "added"), ("update", "updated"), ("delete", "deleted"))]
-    return done.groupBy(*by).agg(
-        F.count("*").alias("records_total"), *named, F.count_if(good & F.col("action").isNull() & F.lit(not validate_only)).alias("records_ignored"),
-        F.count_if(~good).alias("records_errored"), F.count_if(good & F.lit(validate_only)).alias("records_validated"), F.count_if(F.col("warned")).alias("records_warned"),
-    )
+    return done.groupBy(*by).agg(*counter_columns(validate_only))
 
 
 def planned_total(already: DataFrame, deletions: DataFrame, external: Mapping[str, DataFrame]) -> DataFrame:

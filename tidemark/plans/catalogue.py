@@ -519,4 +519,4 @@ def waf_links(s, d):
     return found.join(pages.dropDuplicates(["url"]).select(F.col("url").alias("page"), "page_id"), "page").select("page_id", "href", "target")
 
 
-from tidemark.plans import catalogue_search, catalogue_store  # noqa: E402, F401  they register more queries
+from tidemark.plans import catalogue_jobs, catalogue_search, catalogue_store  # noqa: E402, F401  they register more queries
