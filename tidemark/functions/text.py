@@ -44,6 +44,12 @@ def slug_suffix(name: Column, key: Column) -> Column:
     return F.concat(name, F.lit("-"), F.left(F.sha2(key, 256), F.lit(5)))
 
 
+def flag(text: Column) -> Column:
+    """True or false as people write them; null for anything else."""
+    word = F.lower(F.trim(text))
+    return F.when(word.isin("1", "true", "t", "yes", "on"), True).when(word.isin("0", "false", "f", "no", "off"), False)
+
+
 def munged_name(name: Column) -> Column:
     """Lower case, words joined by ``_``, without slashes."""
     return F.replace(F.regexp_replace(F.lower(F.trim(name)), r"\s+", "_"), F.lit("/"), F.lit(""))

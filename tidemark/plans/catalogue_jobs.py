@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import geo, text
 from tidemark.functions.json_schema import schema_errors
-from tidemark.operators import diff, lifecycle, progress, scheduling, store
+from tidemark.operators import diff, facets, lifecycle, progress, reports, scheduling, store
+from tidemark.operators import documents as payloads
 from tidemark.plans import roles, search, segments
 from tidemark.plans.catalogue_search import GAP, documents
 from tidemark.plans.registry import query
-from tidemark.plans.roles import RECORDS
-from tidemark.schema import IDENTITY_FIELD, source_violations
+from tidemark.plans.roles import JOBS, ORDERS_NOW, RECORDS
+from tidemark.schema import IDENTITY_FIELD, serialised, source_violations
 from tidemark.sources import catalogs, scratch, versions, vocabularies
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
@@ -150,3 +152,48 @@ def reference_vocabulary(s, d):
     path = scratch.new_path(s, "snapshot")
     roles.read(s, d, "part").agg(F.to_json(F.struct(F.struct(F.collect_set("p_brand").alias("values")).alias("brands"))).alias("value")).write.text(path)
     return vocabularies.reference_values(s, path, "brands").select("value")
+
+
+# --- lookups, listings and texts
+
+
+@query(f"WITH {JOBS} SELECT id, harvest_source_id FROM jobs WHERE status = 'in_progress'")
+def jobs_in_progress(s, d):
+    return facets.facet_filter(roles.jobs(s, d), "status eq in_progress").select("id", "harvest_source_id")
+
+
+@query(f"""WITH {JOBS} SELECT id FROM jobs WHERE status = 'new' AND date_created < TIMESTAMP '{ORDERS_NOW}' AND harvest_source_id NOT IN (SELECT harvest_source_id FROM jobs WHERE status = 'in_progress') ORDER BY date_created, id LIMIT 3""")
+def jobs_polled(s, d):
+    """What a poll starts: due jobs of sources that run none, as many as there are free slots."""
+    return scheduling.due(scheduling.startable(roles.jobs(s, d)), ORDERS_NOW, scheduling.free_slots(2)).select("id")
+
+
+@query("""SELECT p_partkey AS id, 'https://example.org/harvest_record/' || p_partkey AS record, 'https://example.org/harvest_record/' || p_partkey || '/raw' AS raw,
+CASE WHEN p_size % 2 = 0 THEN 'https://example.org/harvest_record/' || p_partkey || '/transformed' END AS transformed, p_size % 3 = 0 OR p_size % 5 = 0 AS has_spatial, p_size % 4 = 0 AS has_download FROM part""")
+def record_urls(s, d):
+    """Where a search document's record can be read, and what it has."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    doc = F.concat(F.lit('{"title": "x", "spatial": "'), F.when(size % 3 == 0, "here").otherwise(""), F.lit('", "theme": ["'), F.when(size % 5 == 0, " Geospatial ").otherwise("other"), F.lit('"], "distribution": [{"downloadURL": "'), F.when(size % 4 == 0, "https://x").otherwise(" "), F.lit('"}]}'))
+    rows = roles.read(s, d, "part").select(n.alias("id"), doc.alias("dcat"), F.lit(None).cast("string").alias("translated_spatial"), n.alias("harvest_record_id"), (size % 2 == 0).alias("has_transformed"))
+    return payloads.documents(rows, "https://example.org").select("id", F.col("harvest_record").alias("record"), F.col("harvest_record_raw").alias("raw"), F.col("harvest_record_transformed").alias("transformed"), "has_spatial", "has_download")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 6 < 4 AS number, CASE o_orderkey % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'neither' END AS flag FROM orders")
+def texts_as_values(s, d):
+    """Texts that read as numbers, in all ways to write one, and as flags."""
+    n, price = F.col("o_orderkey") % 6, F.col("o_totalprice").cast("string")
+    number = F.when(n == 0, F.concat(F.lit(" -"), price, F.lit(" "))).when(n == 1, F.concat(price, F.lit("e3"))).when(n == 2, "-Infinity").when(n == 3, "1_000.").when(n == 4, F.concat(price, F.lit("km"))).otherwise("")
+    word = F.when(n == 0, " Yes").when(n == 1, "0").when(n == 2, "maybe")
+    return roles.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), geo.is_number(number).alias("number"), F.coalesce(text.flag(word).cast("string"), F.lit("neither")).alias("flag"))
+
+
+@query("""SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '","none":null}' AS json FROM region""")
+def rows_as_json(s, d):
+    return serialised(roles.read(s, d, "region").select("r_regionkey", "r_name", F.lit(None).cast("string").alias("none")))
+
+
+@query(f"WITH {JOBS}, c AS (SELECT status, count(*) AS n FROM jobs GROUP BY 1) SELECT string_agg(status, ',' ORDER BY status) AS status, string_agg(n::VARCHAR, ',' ORDER BY status) AS n FROM c")
+def chart_of_states(s, d):
+    """A chart's series, one list a column."""
+    counts = roles.jobs(s, d).groupBy("status").agg(F.count("*").alias("n"))
+    return reports.chart_series(counts, ["status", "n"], "status").select(F.array_join("status", ",").alias("status"), F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("n"))
