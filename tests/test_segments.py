@@ -95,3 +95,18 @@ def test_only_one_of_two_writers_wins(spark, tmp_path):
 def test_length_stands_in_postings(spark):
     index = search.index(docs(spark, [(1, "The red, red sky", "blue")]))
     assert {(r["token"], r["length"]) for r in index.postings.where(F.col("field") == "title").collect()} == {("red", 3), ("sky", 3)}
+
+
+def test_recreating_and_refreshing(spark, tmp_path):
+    table = f"file://{tmp_path}/index"
+    segments.changed(spark, table, docs(spark, [(1, "red sky", "blue")]))
+    with pytest.raises(ValueError, match="postings"):
+        segments.recreated(spark, table, {"postings": "field string"})
+    assert segments.opened(spark, table).postings.count() > 0
+    segments.recreated(spark, table)
+    assert segments.opened(spark, table).postings.count() == 0
+    view = f"file://{tmp_path}/view"
+    assert versions.refreshed(spark.range(2), view) is None and versions.manifest(spark, view)["version"] == 0
+    versions.replaced(spark.range(2), view)
+    versions.refreshed(spark.range(7), view)
+    assert versions.Reader(spark, view).table().count() == 7

@@ -183,6 +183,39 @@ def repaired(contact: dict = CONTACT):
     return fill
 
 
+#: Fields whose value is one text, and the field that stays as it is.
+PLAIN_FIELDS, KEPT_FIELD = ("modified", "issued", "temporal", "spatial"), "publisher"
+
+
+@F.pandas_udf(T.StringType())
+def metadata(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A record's JSON for an index whose fields are texts: members of objects, and items of lists, that hold objects or lists themselves become JSON text with keys in order.
+
+    Dates and places that are no text become one, the publisher stays as it is. Null where the text is no JSON object.
+    """
+
+    def as_text(v):
+        return json.dumps(v, sort_keys=True) if isinstance(v, (dict, list)) else v
+
+    def level(v):
+        if isinstance(v, dict):
+            return {k: as_text(x) for k, x in v.items()}
+        return [level(x) if isinstance(x, dict) else as_text(x) for x in v] if isinstance(v, list) else v
+
+    def one(raw):
+        try:
+            doc = json.loads(raw)
+        except (TypeError, ValueError):
+            return None
+        if not isinstance(doc, dict):
+            return None
+        plain = lambda v: v if v is None or isinstance(v, str) else as_text(v) if isinstance(v, (dict, list)) else str(v)
+        return json.dumps({k: v if k == KEPT_FIELD else plain(v) if k in PLAIN_FIELDS else level(v) for k, v in doc.items()})
+
+    for batch in batches:
+        yield batch.map(one, na_action=None)
+
+
 def normalised(payload: Column) -> Column:
     """A payload as JSON text if it is JSON, else as it stands."""
     return F.coalesce(F.to_json(F.try_parse_json(payload)), payload)

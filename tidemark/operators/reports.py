@@ -53,6 +53,11 @@ def count_by_parent(parents: DataFrame, children: DataFrame, key: str, foreign:
     return parents.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def children_of(parents: DataFrame, children: DataFrame, foreign: str, key: str = "id") -> DataFrame:
+    """The children of some parents."""
+    return children.join(parents.select(F.col(key).alias(foreign)).distinct(), foreign, "left_semi")
+
+
 def age_bins(docs: DataFrame, now: str, column: str = "last_harvested_date") -> DataFrame:
     """One row: documents harvested within 7, 7 to 30, 30 to 365 days, and before; bounds fall on days, null dates in no bin."""
     day = lambda n: F.date_trunc("day", F.lit(now).cast("timestamp") - F.expr(f"interval {n} days"))

@@ -151,4 +151,4 @@ def index_batches(spark: SparkSession, ids: DataFrame, documents: DataFrame) ->
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)  # a quote in a value is doubled

@@ -197,3 +197,29 @@ def chart_of_states(s, d):
     """A chart's series, one list a column."""
     counts = roles.jobs(s, d).groupBy("status").agg(F.count("*").alias("n"))
     return reports.chart_series(counts, ["status", "n"], "status").select(F.array_join("status", ",").alias("status"), F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("n"))
+
+
+@query("SELECT l_orderkey AS job, count(*)::BIGINT AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY 1")
+def children_listing(s, d):
+    """The issues of some jobs."""
+    running = roles.jobs(s, d).where("status = 'in_progress'")
+    return reports.children_of(running, roles.issues(s, d), "harvest_job_id").groupBy(F.col("harvest_job_id").alias("job")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, c_name || ', \"' || c_mktsegment || '\"' AS name, c_acctbal AS balance FROM customer")
+def exported_report(s, d):
+    """A report as CSV, read back: quotes and commas in its values stay."""
+    path, rows = scratch.new_path(s, "report"), roles.read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("name"), F.col("c_acctbal").alias("balance"))
+    store.export_csv(rows, path)
+    return s.read.schema(rows.schema).csv(path, header=True, escape='"')
+
+
+@query("""SELECT p_partkey AS id, '{"a": 1, "b": ' || p_size || '}' AS nested, p_size::VARCHAR AS issued, '[1, [2]]' AS place, '{"x": {"y": 2}}' AS publisher, CASE WHEN p_size % 2 = 0 THEN '["k", "[1, 2]"]' ELSE '["k", {"l": "[3]"}]' END AS many FROM part""")
+def metadata_texts(s, d):
+    """Metadata with whatever is nested more than a level as text."""
+    n = F.col("p_size")
+    raw = F.concat(F.lit('{"o": {"n": {"b": '), n, F.lit(', "a": 1}}, "issued": '), n, F.lit(', "spatial": [1,[2]], "publisher": {"x":{"y":2}}, "m": ["k", '), F.when(n % 2 == 0, "[1,2]").otherwise('{"l": [3]}'), F.lit("]}"))
+    out = roles.read(s, d, "part").select(F.col("p_partkey").alias("id"), payloads.metadata(raw).alias("m"))
+    at = lambda p: F.get_json_object("m", p)
+    spaced = lambda c: F.regexp_replace(F.regexp_replace(c, ",", ", "), ":", ": ")  # noqa: E731  as the extractor writes it compactly
+    return out.select("id", at("$.o.n").alias("nested"), at("$.issued").alias("issued"), at("$.spatial").alias("place"), spaced(at("$.publisher")).alias("publisher"), F.when(F.col("id").isNotNull(), F.regexp_extract("m", r'"m": (\[.*\])\}$', 1)).alias("many"))

@@ -44,8 +44,7 @@ def opened(spark: SparkSession, table: str, reader: versions.Reader | None = Non
     stats = spark.createDataFrame([(f, n, total / n) for f, (n, total) in sorted(manifest.get("fields", {}).items()) if n], "field string, n long, mean double")
     postings, lengths = _live(spark, manifest, "postings"), _live(spark, manifest, "lengths")
     if postings is None:
-        postings = spark.createDataFrame([], "field string, token string, id string, places array<int>, length int")
-        lengths = spark.createDataFrame([], "field string, id string, length int")
+        postings, lengths = (spark.createDataFrame([], MAPPING[part]) for part in ("postings", "lengths"))
     return search.Index(postings, lengths, stats)
 
 
@@ -79,6 +78,20 @@ def changed(spark: SparkSession, table: str, added: DataFrame | None = None, del
     return merged(spark, table) if len(segments) > MOST_SEGMENTS else after
 
 
+#: What the tables of a segment hold.
+MAPPING = {"postings": "field string, token string, id string, places array<int>, length int", "lengths": "field string, id string, length int"}
+
+
+def recreated(spark: SparkSession, table: str, mapping: dict[str, str] = MAPPING) -> dict:
+    """Drop all documents of an index and start it anew, empty; ValueError if what it would hold then isn't what the mapping says."""
+    made = search.index(spark.createDataFrame([], ", ".join(f"{f} string" for f in ("id", *search.FIELDS))))
+    for part, kind in mapping.items():
+        own, want = getattr(made, part).schema, spark.createDataFrame([], kind).schema
+        if sorted((f.name, f.dataType.simpleString()) for f in own) != sorted((f.name, f.dataType.simpleString()) for f in want):
+            raise ValueError(f"{part} would be {own.simpleString()}, not {want.simpleString()}")
+    return versions.publish(spark, table, versions.manifest(spark, table), paths=[], segments=[], fields={})
+
+
 def merged(spark: SparkSession, table: str) -> dict:
     """The next version of an index, with its live rows in one segment."""
     before, path = versions.manifest(spark, table), versions.new_data(table)
