@@ -78,11 +78,10 @@ def job_progress(s, d):
     return progress.progress(s, told)
 
 
-@query(f"WITH {RECORDS} SELECT DISTINCT identifier, record_type, NULL::VARCHAR AS action, 1 AS phase FROM records WHERE trim(identifier) <> '' AND harvest_source_id % 3 = 0")
+@query(f"WITH {RECORDS} SELECT DISTINCT identifier, record_type, NULL::VARCHAR AS action, 1 AS phase FROM records WHERE trim(identifier) <> ''")
 def harvest_validated(s, d):
     """A validate-only job compares and deletes nothing."""
-    rows = roles.records(s, d).where("harvest_source_id % 3 = 0")
-    external = rows.select("identifier", "record_type", F.sha2(F.col("id").cast("string"), 256).alias("source_hash"), F.col("id").alias("pos"))
+    external = roles.records(s, d).select("identifier", "record_type", F.sha2(F.col("id").cast("string"), 256).alias("source_hash"), F.col("id").alias("pos"))
     return diff.harvest(external, external.select("identifier", "record_type", "source_hash").limit(0), "validate").distinct()
 
 

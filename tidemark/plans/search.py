@@ -97,7 +97,9 @@ def _words(docs: DataFrame, field: str, key: str, gap: str) -> DataFrame:
     split = docs.select(F.col(key).alias("id"), F.split(F.lower(F.coalesce(text, F.lit(""))), gap).alias("_all"))
     # text that begins with a gap has an empty piece before its first word
     counts = F.size(F.filter("_all", lambda w: (w != "") & ~w.isin(*STOP_WORDS)))
-    each = split.select("id", counts.alias("length"), F.when(F.get("_all", F.lit(0)) == "", 1).otherwise(0).alias("_first"), F.posexplode("_all").alias("_at", "token"))
+    # worked out here once a text; beside the explode they would be once a word
+    whole = split.select("id", "_all", counts.alias("length"), F.when(F.get("_all", F.lit(0)) == "", 1).otherwise(0).alias("_first"))
+    each = whole.select("id", "length", "_first", F.posexplode("_all").alias("_at", "token"))
     return each.where((F.col("token") != "") & ~F.col("token").isin(*STOP_WORDS)).select(F.lit(field).alias("field"), "token", "id", (F.col("_at") - F.col("_first")).alias("at"), "length")
 
 
