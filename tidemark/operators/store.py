@@ -31,19 +31,28 @@ def removed(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return current.join(keys.select(*on), on, "left_anti")
 
 
-def unique_slugs(new: DataFrame, existing: DataFrame, slug: str = "slug", order: str = "id") -> DataFrame:
-    """new with a slug for each row that no other has: the first of a slug keeps it unless it is taken, others get a suffix of their id's hash.
+def suffixed_slugs(new: DataFrame, existing: DataFrame, slug: str = "slug", order: str = "id") -> DataFrame:
+    """new with the first of a slug as it is unless it is taken, and the others with a suffix of five characters of their id's hash, which may coincide.
 
     Which row is first is a minimum by slug, added up before the shuffle, so a slug that most rows share is no task of its own. order is unique.
     """
+    return _suffixed(new, existing, slug, order).select(*[F.col("_own").alias(c) if c == slug else F.col(c) for c in new.columns])
+
+
+def _suffixed(new: DataFrame, existing: DataFrame, slug: str, order: str) -> DataFrame:
+    """new with the slug of suffixed_slugs() as _own."""
     first = new.groupBy(F.col(slug).alias("_slug")).agg(F.min(order).alias("_first"))
     taken = existing.select(F.col(slug).alias("_slug")).distinct().withColumn("_taken", F.lit(True))
     rows = new.join(first, F.col(slug).eqNullSafe(F.col("_slug")), "left").drop("_slug").join(taken, F.col(slug) == F.col("_slug"), "left").drop("_slug")
     later = ~F.col(order).eqNullSafe(F.col("_first"))
     own = F.when(later | F.col("_taken").isNotNull(), slug_suffix(F.col(slug), F.col(order).cast("string"))).otherwise(F.col(slug))
-    rows = rows.withColumn("_own", own).drop("_taken", "_first")
-    # a suffixed slug may be another's: such rows get the whole hash
-    all_slugs = taken.select(F.col("_slug").alias("_other")).union(new.select(slug)).distinct()
+    return rows.withColumn("_own", own).drop("_taken", "_first")
+
+
+def unique_slugs(new: DataFrame, existing: DataFrame, slug: str = "slug", order: str = "id") -> DataFrame:
+    """new with a slug for each row that no other has: suffixed_slugs(), and the whole hash where a suffixed slug is another's."""
+    rows = _suffixed(new, existing, slug, order)
+    all_slugs = existing.select(slug).union(new.select(slug)).distinct().withColumnRenamed(slug, "_other")
     same = rows.where(~F.col("_own").eqNullSafe(F.col(slug))).groupBy("_own").agg(F.min(order).alias("_least"))
     rows = rows.join(same, "_own", "left").join(all_slugs, F.col("_own") == F.col("_other"), "left")
     whole = F.concat(F.col(slug), F.lit("-"), F.sha2(F.col(order).cast("string"), 256))
