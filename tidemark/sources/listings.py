@@ -21,15 +21,15 @@ def joined_url(base: Column, link: Column) -> Column:
     return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
 
 
-def links(pages: DataFrame, url: str = "url", html: str = "html", extension: str = ".xml", excluded=EXCLUDED) -> DataFrame:
-    """(page, pos, href, target, kind, row): each link to a file of the extension or to a folder below, with the text of its row."""
+def links(pages: DataFrame, url: str = "url", html: str = "html", extension: str = ".xml", excluded=EXCLUDED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page, pos, href, target, kind, row): each link to a file of the extension or to a folder below, with the text of its row, and the columns of its page that keep names."""
     row = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<a\b[^>]*?\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>[^<]*(?:</td>\s*<td[^>]*>[^<]*)*)"), F.lit(1))
-    found = pages.select(F.col(url).alias("page"), F.posexplode(row).alias("pos", "row")).withColumn("href", F.regexp_extract("row", ANCHOR, 1))
+    found = pages.select(*keep, F.col(url).alias("page"), F.posexplode(row).alias("pos", "row")).withColumn("href", F.regexp_extract("row", ANCHOR, 1))
     parent = F.regexp_replace(F.regexp_replace("page", r"/+$", ""), r"/[^/]*$", "")
     folder = F.col("href").endswith("/") & ~F.endswith(parent, F.regexp_replace("href", r"/+$", "")) & ~F.col("href").isin(*excluded)
     kind = F.when(F.col("href").endswith(extension), "file").when(folder, "folder")
     text = F.regexp_replace(F.regexp_replace("row", r"(?is)<[^>]*>", " "), r"&nbsp;|\s+", " ")
-    return found.withColumn("kind", kind).where("kind is not null").select("page", "pos", "href", joined_url(F.col("page"), F.col("href")).alias("target"), "kind", text.alias("row"))
+    return found.withColumn("kind", kind).where("kind is not null").select(*keep, "page", "pos", "href", joined_url(F.col("page"), F.col("href")).alias("target"), "kind", text.alias("row"))
 
 
 def files(links_table: DataFrame, placeholder: str) -> DataFrame:
