@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import shapes
+from tidemark.session import spread
 
 EARTH_KM = 6371.0088
 NUMBER = r"^\s*[+-]?((\d[\d_]*\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
@@ -138,17 +139,25 @@ def spatial(value: Column, gazetteer: Column | None = None) -> Column:
     return F.coalesce(fixed_geometry(value), *([] if gazetteer is None else [gazetteer]), spatial_text(value))
 
 
+_RELATION = T.StructType([T.StructField(c, T.BooleanType()) for c in ("within", "meets")])
+
+
 def shape_filter(query: dict, relation: str = "within"):
     """A column function: whether GeoJSON text lies within, or meets, the query's geometry; sides belong to both. False where the text is no geometry.
 
     Put a condition on boxes or cells before it, which scans can use.
     """
+    return lambda text: shape_relation(query)(text)[relation if relation == "within" else "meets"]
+
+
+def shape_relation(query: dict):
+    """A column function: shape_filter()'s two answers at once, as a struct (within, meets)."""
     target = shapes.shape_of(query)
 
-    @F.pandas_udf(T.BooleanType())
-    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_RELATION)
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.map(lambda text: related(text, target)[relation != "within"]).astype(bool)
+            yield pd.DataFrame([related(text, target) for text in batch], columns=["within", "meets"], dtype=bool)
 
     return test
 
@@ -161,25 +170,23 @@ def related(text: str | None, target: shapes.Shape) -> tuple[bool, bool]:
         return False, False
 
 
-def _pairs(k: int):
-    """A function of two columns of GeoJSON text, row by row; k: which of related()'s answers it gives."""
+@F.pandas_udf(_RELATION)
+def pair_relation(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """related() of two columns of GeoJSON text, row by row."""
 
-    @F.pandas_udf(T.BooleanType())
-    def test(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(a, b):
-            try:
-                return related(a, shapes.shape_of(json.loads(b)))[k]
-            except (TypeError, ValueError, KeyError, IndexError, AttributeError):
-                return False
-
-        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
+    def one(a, b):
+        try:
+            return related(a, shapes.shape_of(json.loads(b)))
+        except (TypeError, ValueError, KeyError, IndexError, AttributeError):
+            return False, False
 
-    return test
+    return pd.DataFrame([one(a, b) for a, b in zip(left, right, strict=True)], columns=["within", "meets"], dtype=bool)
 
 
 # --- cells: a quadtree over longitude and latitude; a cell is its level and place in one number
 
 
+_BOX = ("minx", "miny", "maxx", "maxy")
 #: Levels of the quadtree: the finest cells are about a hundredth of a degree.
 LEVELS = 15
 
@@ -274,15 +281,24 @@ def joined(left: DataFrame, right: DataFrame, within: bool = False) -> DataFrame
     """(left_id, right_id) of every pair of shapes that meet, or of which left lies within right. Both have id, shape (GeoJSON text) and box (minx, miny, maxx, maxy).
 
     Two boxes that meet have cells of which one is part of the other: each side's own cells are joined with the other's cells and their parents, which
-    is at most four cells and fifteen parents of each, and the exact test follows.
+    is at most four cells and fifteen parents of each, and the exact test follows. Equal shapes are one, the least id's, until the pairs are known.
     """
 
+    def alike(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        """Different shapes by their least id, and each row's."""
+        own = df.select("id", "shape", *(F.col(f"box.{c}").alias(f"_{c}") for c in _BOX))
+        unlike = own.groupBy("shape", *(f"_{c}" for c in _BOX)).agg(F.min("id").alias("_same"))
+        members = own.join(unlike, ["shape", *(f"_{c}" for c in _BOX)]).select(F.col("id").alias(f"{side}_id"), F.col("_same").alias(f"{side}_same"))
+        return unlike.select(F.col("_same").alias("id"), "shape", F.struct(*(F.col(f"_{c}").alias(c) for c in _BOX)).alias("box")), members
+
     def cells(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        own = cover(*(F.col(f"box.{c}") for c in ("minx", "miny", "maxx", "maxy")))
-        return tuple(df.select(F.col("id").alias(f"{side}_id"), F.col("box").alias(f"{side}_box"), F.explode(c).alias("cell")) for c in (own, with_parents(own)))
+        own = cover(*(F.col(f"box.{c}") for c in _BOX))
+        return tuple(df.select(F.col("id").alias(f"{side}_same"), F.col("box").alias(f"{side}_box"), F.explode(c).alias("cell")) for c in (own, with_parents(own)))
 
+    (left, lefts), (right, rights) = alike(left, "left"), alike(right, "right")
     (lo, lp), (ro, rp) = cells(left, "left"), cells(right, "right")
     apart = [F.col(f"{a}_box.min{c}") > F.col(f"{b}_box.max{c}") for a, b in (("left", "right"), ("right", "left")) for c in "xy"]
-    pairs = lo.join(rp, "cell").unionByName(lp.join(ro, "cell")).where(~reduce(Column.__or__, apart)).select("left_id", "right_id").distinct()
-    met = pairs.join(left.select(F.col("id").alias("left_id"), F.col("shape").alias("_left")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("shape").alias("_right")), "right_id")
-    return met.where(_pairs(0 if within else 1)("_left", "_right")).select("left_id", "right_id")
+    pairs = lo.join(rp, "cell").unionByName(lp.join(ro, "cell")).where(~reduce(Column.__or__, apart)).select("left_same", "right_same").distinct()
+    met = pairs.join(left.select(F.col("id").alias("left_same"), F.col("shape").alias("_left")), "left_same").join(right.select(F.col("id").alias("right_same"), F.col("shape").alias("_right")), "right_same")
+    found = spread(met).where(pair_relation("_left", "_right")["within" if within else "meets"]).select("left_same", "right_same")
+    return found.join(lefts, "left_same").join(rights, "right_same").select("left_id", "right_id")
