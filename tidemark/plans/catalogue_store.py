@@ -10,6 +10,7 @@ from tidemark.plans import roles
 from tidemark.plans.registry import query
 from tidemark.plans.roles import EVENTS_NOW, ISSUES, JOBS, ORDERS_NOW, RECORDS
 from tidemark.schema import outside
+from tidemark.session import spread
 from tidemark.sources import catalogs, listings, vocabularies
 
 _SOURCES = "sources AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS organization_id, CASE c_custkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'manual' END AS frequency, lower(c_mktsegment) AS source_type FROM customer)"
@@ -579,7 +580,7 @@ def dateline_holes(s, d):
     lon, lat = (F.col("c_custkey") * 43 % 175) + 1, (F.col("c_custkey") * 37 % 170) - 85
     ring = lambda x0, y0, x1, y1: F.format_string("[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]", x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)
     shape = F.concat(F.lit('{"type": "Polygon", "coordinates": ['), ring(lon, lat, lon + 20, lat + 4), F.lit(", "), ring(lon + 7, lat + 1, lon + 13, lat + 3), F.lit("]}"))
-    return _measured_rings(roles.read(s, d, "customer").select(F.col("c_custkey").alias("id"), geo.fixed_geometry(shape).alias("g")))
+    return _measured_rings(spread(roles.read(s, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), geo.fixed_geometry(shape).alias("g")))
 
 
 @query("""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 6 THEN 10 WHEN 7 THEN 5 END AS points, CASE c_custkey % 8 WHEN 1 THEN 16 WHEN 2 THEN 16 WHEN 6 THEN 15 WHEN 7 THEN 16 END::DOUBLE AS area,
