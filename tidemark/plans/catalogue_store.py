@@ -554,21 +554,21 @@ def antimeridian_parts(s, d):
     n = F.col("c_custkey")
     lon, lat = (n * 91 % 350) - 175, (n * 37 % 170) - 85
     shape = F.format_string('{"type": "Polygon", "coordinates": [[[%s, %s], [%s, %s], [%s, %s], [%s, %s], [%s, %s]]]}', lon, lat, lon + 20, lat, lon + 20, lat + 4, lon, lat + 4, lon, lat)
-    rows = roles.read(s, d, "customer").select(n.alias("id"), geo.fixed_geometry(shape).alias("g")).select("id", F.get_json_object("g", "$.type").alias("kind"), F.get_json_object("g", "$.coordinates").alias("c"))
+    rows = spread(roles.read(s, d, "customer").select("c_custkey")).select(n.alias("id"), geo.fixed_geometry(shape).alias("g")).select("id", F.get_json_object("g", "$.type").alias("kind"), F.get_json_object("g", "$.coordinates").alias("c"))
     rings = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>"))).otherwise(F.from_json("c", "array<array<array<array<double>>>>"))
     x = F.transform(F.flatten(F.flatten("rings")), lambda p: p[0])
     return rows.withColumn("rings", rings).select("id", F.size("rings").alias("parts"), F.array_min(x).alias("west"), F.array_max(x).alias("east"))
 
 
-def _measured_rings(rows):
-    """id, and of the GeoJSON polygons in g (null: none) their parts, rings, points, and the area west and east of the date line."""
+def _measured_rings(rows, *keep):
+    """id and what keep names, and of the GeoJSON polygons in g (null: none) their parts, rings, points, and the area west and east of the date line."""
     c = F.get_json_object("g", "$.coordinates")
     polygons = F.when(F.get_json_object("g", "$.type") == "Polygon", F.array(F.from_json(c, "array<array<array<double>>>"))).otherwise(F.from_json(c, "array<array<array<array<double>>>>"))
     rings = F.flatten("polygons")
     area = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda t, k: t + (F.get(F.get(r, k), F.lit(0)) * F.get(F.get(r, k + 1), F.lit(1)) - F.get(F.get(r, k + 1), F.lit(0)) * F.get(F.get(r, k), F.lit(1))) / 2)
     total = lambda kept: F.round(F.aggregate(F.filter(rings, kept), F.lit(0.0), lambda t, r: t + area(r)), 6)
     west = lambda r: F.forall(r, lambda p: F.get(p, F.lit(0)) < 0)
-    return rows.withColumn("polygons", polygons).select("id", F.size("polygons").alias("parts"), F.size(rings).alias("rings"), F.aggregate(rings, F.lit(0), lambda t, r: t + F.size(r)).alias("points"), total(lambda r: ~west(r)).alias("east_area"), total(west).alias("west_area"))
+    return rows.withColumn("polygons", polygons).select("id", *keep, F.size("polygons").alias("parts"), F.size(rings).alias("rings"), F.aggregate(rings, F.lit(0), lambda t, r: t + F.size(r)).alias("points"), total(lambda r: ~west(r)).alias("east_area"), total(west).alias("west_area"))
 
 
 @query("""WITH x AS (SELECT c_custkey AS id, (c_custkey * 43 % 175) + 1 AS lon FROM customer)
@@ -599,10 +599,10 @@ def geometry_repair(s, d):
         F.format_string('{"type": "LineString", "coordinates": [[%s, 0], [1, 1]]}', x), polygon(ring(*square), ring((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))), polygon(ring(*square[:4])),
     ]
     shape = F.element_at(F.array(*cases), (n % 8 + 1).cast("int"))
-    rows = roles.read(s, d, "customer").select(n.alias("id"), geo.fixed_geometry(shape).alias("g"))
+    rows = spread(roles.read(s, d, "customer").select("c_custkey")).select(n.alias("id"), geo.fixed_geometry(shape).alias("g"))
     area = F.col("east_area") + F.col("west_area")
-    measured = _measured_rings(rows.where("g like '%Polygon%'")).select("id", "points", area.alias("area"))
-    return rows.select("id", F.col("g").isNotNull().alias("valid")).join(measured, "id", "left")
+    polygons = F.when(F.col("g").contains("Polygon"), F.col("g"))
+    return _measured_rings(rows.select("id", F.col("g").isNotNull().alias("valid"), polygons.alias("g")), "valid").select("id", "points", area.alias("area"), "valid")
 
 
 @query(f"WITH {RECORDS} SELECT id, identifier FROM records WHERE status = 'success' AND record_type = 'dataset' AND harvest_source_id = 3")
