@@ -537,7 +537,7 @@ def schema_unevaluated(s, d):
 
     n = F.col("p_partkey")
     raw = F.concat(F.lit('{"name": "'), F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"), F.lit('", "size": 1, "parts": [{"name": "x"}, {"'), F.when(n % 3 == 0, "nme").otherwise("name"), F.lit('": "y", "parts": []}]}'))
-    return roles.read(s, d, "part").select(n.alias("id"), F.explode(schema_errors(_STRICT, {"https://example.org/tree": _TREE})(raw)).alias("e")).select("id", "e.path", "e.message")
+    return spread(roles.read(s, d, "part").select("p_partkey", "p_size")).select(n.alias("id"), F.explode(schema_errors(_STRICT, {"https://example.org/tree": _TREE})(raw)).alias("e")).select("id", "e.path", "e.message")
 
 
 @query("SELECT 'u' || n_nationkey AS url, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE '0' END AS identifier, '$' AS path FROM nation UNION ALL SELECT 'u' || n_nationkey, 'b', '$.title' FROM nation")
