@@ -471,7 +471,7 @@ def json_schema_keywords(s, d):
         F.when(n % 5 == 0, '["t", "d"]').when(n % 5 == 1, '["u", "c"]').otherwise('["t", "c"]'), F.when(n % 7 == 0, '"x-a": 1e999').when(n % 7 == 1, '"other": 1').otherwise('"x-a": 2.0'),
     )
     errors = F.explode(quality_errors(raw))
-    return roles.read(s, d, "part").select(n.alias("id"), errors.alias("e")).select("id", "e.path", "e.keyword")
+    return spread(roles.read(s, d, "part").select("p_partkey", "p_name", "p_size")).select(n.alias("id"), errors.alias("e")).select("id", "e.path", "e.keyword")
 
 
 def quality_errors(raw):
