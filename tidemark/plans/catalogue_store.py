@@ -494,7 +494,7 @@ def _choices(s, d):
     keyword = F.when(size % 4 == 0, "[]").when(size % 4 == 1, '["ab", "c"]').when(size % 4 == 2, '{"k": 1}').otherwise('"ab"')
     contact = F.when(n % 3 == 0, "[1]").when(n % 3 == 1, '{"x": 1}').otherwise("null")
     raw = F.concat(F.lit('{"title": "'), F.col("p_name"), F.lit('", "keyword": '), keyword, F.lit(', "contact": '), contact, F.lit(', "unit": "'), F.when(n % 2 == 0, "y").otherwise("m"), F.lit('"}'))
-    return roles.read(s, d, "part").select(n.alias("id"), raw.alias("raw"))
+    return spread(roles.read(s, d, "part").select("p_partkey", "p_name", "p_size")).select(n.alias("id"), raw.alias("raw"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_size % 4 AS k, p_name FROM part)
