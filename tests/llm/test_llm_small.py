@@ -422,6 +422,20 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}, 600: 600, 601: 600}
 
 
+def test_components_by_small_plans(spark, monkeypatch):
+    """Of a round of stars no query may have dozens of exchanges: the driver plans it anew whenever one of them ends."""
+    exchanges, write = [], graph.written
+
+    def counted(df, tag):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.component for r in graph.connected_components(edges).collect()} == {0}
+    assert max(exchanges) <= 8, exchanges
+
+
 def test_shingles():
     values, at = textvec.shingles(pa.array(["a b c d e f", "a b c d e", None, " a ", "a  b\tc d e f"]))
     assert np.diff(at).tolist() == [2, 1, 0, 1, 2] and values[0] == values[2] and (values[:2] == values[-2:]).all()

@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "groups")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     # a class's id is the smallest doc_id of its texts
-    ids = groups.join(texts.select("node", "rep"), "node")
+    ids = written(groups.join(texts.select("node", "rep"), "node"), "group-ids")
     least = ids.groupBy("component").agg(F.min("rep").alias("class_id"))
     tied = ids.join(least, "component").select("node", "class_id").join(links, "node", "left")
     table = texts.select("node", "rep", "n_copies").join(tied, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mapped, small, written
+from tidemark.llm.common import give_back, mapped, small, written
 from tidemark.llm.token_ids import slices
 
 ORDER, DISCOUNT, SPAN, CLEAR = 5, 0.75, 12, 4 / 12
@@ -331,4 +331,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def clean(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score at least the threshold, by a model learned from corpus and labels."""
     rows = score(docs, fit(corpus, parts(labels, "toxic", 4, 2, 3)), docs.columns, "_score")
+    give_back()  # the model is the workers' now, and a pipeline's driver lives on
     return rows.where(F.col("_score") < threshold).drop("_score")
